@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ids_and_text, materialize, partitions, public_id
+from .common import NULL_ID, ids_and_text, materialize, partitions, public_id, small_batches
 from .kernels import mix64, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
@@ -31,6 +31,8 @@ HOT_TOKENS = 1 << 18
 HOT_LEAST, BLOCK_DOCS = 32, 2048
 #: Bits of the set of wanted ids that is sent to all tasks (8 MB); more ids let more rows through.
 ID_BITS = 1 << 26
+#: Pairs of texts per Arrow batch.
+PAIR_ROWS = 512
 
 
 def _batch(names: str, *columns) -> pa.RecordBatch:
@@ -254,7 +256,8 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     texts = materialize(_texts_of(rows, ids).dropDuplicates(["_id"]), "texts")
     joined = pairs.join(texts.select(F.col("_id").alias("x"), F.col("_text").alias("tx")), "x")
     joined = joined.join(texts.select(F.col("_id").alias("y"), F.col("_text").alias("ty")), "y")
-    return joined.select("x", "y", "tx", "ty").mapInArrow(_links, "x long, y long")
+    with small_batches(rows.sparkSession, PAIR_ROWS):
+        return materialize(joined.select("x", "y", "tx", "ty").mapInArrow(_links, "x long, y long"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -319,7 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = pairs.join(bits.select(F.col("_id").alias("x"), F.col("size").alias("sx"), F.col("bits").alias("bx")), "x")
     near = near.join(bits.select(F.col("_id").alias("y"), F.col("size").alias("sy"), F.col("bits").alias("by")), "y")
     first = materialize(near.select("x", "y", "sx", "sy", "bx", "by").mapInArrow(_may_link, "x long, y long"), "pairs")
-    links = materialize(_verified(first, rows), "verified")
+    links = _verified(first, rows)
     same = copies.select(F.col("rep").alias("x"), F.col("_id").alias("y"))
     groups = components(links.union(same))
 
@@ -339,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.groupBy("block").agg(F.collect_list(F.struct("_id", "size", "label", "bits")).alias("docs"))
     second = left.mapInArrow(_open, "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
     second = materialize(second, "pairs")
-    more = materialize(_verified(second, rows), "verified")
+    more = _verified(second, rows)
     every = links.union(more)
     final = components(every.union(same))
     count = every.union(same).select(F.explode(F.array("x", "y")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("n_links"))
