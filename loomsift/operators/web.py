@@ -172,7 +172,8 @@ def clean_url(url: Column) -> Column:
 
 
 @query(
-    "WITH u AS (SELECT page_id, split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END AS url FROM pages) SELECT page_id, url || 'id=' || page_id || '&b=2#top' AS clean, url || 'utm_source=a&id=' || page_id || '&gclid=x&b=2' AS bare FROM u"
+    "WITH u AS (SELECT page_id, split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END || 'utm_source=a&id=' || page_id || '&gclid=x&b=2' AS url FROM pages) "
+    f"SELECT page_id, split_part(url, '?', 1) || '?' || array_to_string(list_filter(string_split(regexp_extract(url, '[?](.*)', 1), '&'), lambda p: NOT regexp_matches(split_part(p, '=', 1), '{TRACKING}')), '&') || '#top' AS clean, url AS bare FROM u"
 )
 def w14_clean_urls(spark, sf_dir):
     """Tracking parameters gone (W14); fragment gone."""
