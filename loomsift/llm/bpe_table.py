@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,9 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
         table, names, n = HashTable(), [], np.zeros(0, np.int64)
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(n[: len(names)])], names=["word", "n"])
+            own = pa.array(names, pa.string())
+            order = pa.compute.sort_indices(own)  # neighbours that look alike compress well on their way
+            return pa.RecordBatch.from_arrays([own.take(order), pa.array(n[: len(names)]).take(order)], names=["word", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -80,7 +83,8 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
 
 
 def encode_table(words: DataFrame, vocab: str) -> DataFrame:
-    """word, n, ids (little-endian 32-bit): each distinct word is encoded here, once."""
+    """word, n, ids (little-endian, 16 bits where the vocabulary allows): each distinct word is encoded
+    here, once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocab)
@@ -88,23 +92,37 @@ def encode_table(words: DataFrame, vocab: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             ids, size = coder.encode_words(batch["word"].to_pylist())
-            offsets = np.concatenate(([0], np.cumsum(4 * size.astype(np.int64)))).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())])
+            width = _width(coder)
+            offsets = np.concatenate(([0], np.cumsum(width.itemsize * size.astype(np.int64)))).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(width).tobytes())])
             yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], blob], names=["word", "n", "ids"])
 
     return words.mapInArrow(encode, "word string, n long, ids binary")
 
 
+def _width(coder) -> np.dtype:
+    """How an id is stored in the table."""
+    return np.dtype("<u2" if coder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+
 class _Head:
-    """The words that every task has: from word hash to ids."""
+    """The words that every task has: from word hash to ids.  Hashes, sizes and ids travel; the table
+    is built where it is used."""
 
-    def __init__(self, words: list[str], blobs: list[bytes]) -> None:
-        self.table = HashTable()
-        self.size = np.array([len(b) // 4 for b in blobs], np.int32)
-        self.pool = np.frombuffer(b"".join(blobs), "<u4").astype(np.int32)
+    def __init__(self, words: list[str], blobs: list[bytes], width: np.dtype) -> None:
+        keys = np.concatenate([c.hashes() for c in _as_words(words)]) if words else np.zeros(0, np.uint64)
+        self.__setstate__((keys, np.array([len(b) // width.itemsize for b in blobs], np.uint8), np.frombuffer(b"".join(blobs), width)))
+
+    def __getstate__(self):
+        return self.keys, self.size.astype(np.uint8), self.packed
+
+    def __setstate__(self, state) -> None:
+        self.keys, size, self.packed = state
+        self.size, self.pool = size.astype(np.int32), self.packed.astype(np.int32)
         self.offset = np.cumsum(self.size) - self.size
-        if words:
-            self.table.add(np.concatenate([c.hashes() for c in _as_words(words)]))
+        self.table = HashTable()
+        if len(self.keys):
+            self.table.add(self.keys)
 
 
 def _as_words(words: list[str]):
@@ -127,8 +145,9 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = ids_and_text(docs, id_col, text_col)
     table = materialize(encode_table(word_counts(rows, vocab), vocab), "words")
     top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    got = top.select("word", "ids").toArrow()
-    head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist()))
+    got = top.select("word", "n", "ids").toArrow()
+    head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), _width(encoder(vocab))))
+    rest = table.select("word", "ids") if got.num_rows < HEAD_WORDS else table.where((F.col("n") <= min(got["n"].to_pylist())) | (F.octet_length("word") > HEAD_BYTES)).select("word", "ids")
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(vocab).special
@@ -157,7 +176,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     )
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = zstandard.ZstdCompressor(level=3)
+        coder = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             block = np.floor_divide(batch[0].to_numpy(), BLOCK)
             order = np.argsort(block, kind="stable")
@@ -187,12 +206,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     for key, mark, pos, ids in zip(*(p.field(i).to_pylist() for i in range(4))):
                         patches.setdefault((key, mark), {})[pos] = ids
                 for lo in range(0, len(texts), 64):
-                    yield _finish(keys[lo : lo + 64], texts[lo : lo + 64], prints[lo : lo + 64], patches, plain_head, special_ids, coder.special, piece, piece_at)
+                    yield _finish(keys[lo : lo + 64], texts[lo : lo + 64], prints[lo : lo + 64], patches, plain_head, special_ids, coder.special, piece, piece_at, _width(coder))
 
-    marked = rows.withColumn("_print", F.xxhash64("_text"))
+    marked = rows.withColumn("_print", F.hash("_text"))
     patches = (
-        marked.mapInArrow(tails, "word string, _id long, _print long, pos int")
-        .join(table.select("word", "ids"), "word")
+        marked.mapInArrow(tails, "word string, _id long, _print int, pos int")
+        .join(rest, "word")
         .groupBy(F.floor(F.col("_id") / BLOCK).alias("block"))
         .agg(F.collect_list(F.struct("_id", "_print", "pos", "ids")).alias("patches"))
     )
@@ -201,7 +220,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(public_id(), "n_tokens", "ids", "decoded")
 
 
-def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, piece, piece_at) -> pa.RecordBatch:
+def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, piece, piece_at, width) -> pa.RecordBatch:
     """Ids and decoded text of some documents, from the head and the joined ids of other words."""
     plain, between = _plain(texts, special)
     parts: list[np.ndarray] = []
@@ -217,7 +236,7 @@ def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, pie
         own = number[at : at + n]
         size = np.where(own >= 0, head.size[own] if len(head.size) else 0, 0).astype(np.int64)
         miss = np.flatnonzero(own < 0)
-        extra = [np.frombuffer(patches[key, mark][int(i)], "<u4").astype(np.int32) for i in miss]
+        extra = [np.frombuffer(patches[key, mark][int(i)], width).astype(np.int32) for i in miss]
         size[miss] = [len(x) for x in extra]
         ids = np.empty(int(size.sum()), np.int32)
         to = np.cumsum(size) - size

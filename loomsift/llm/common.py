@@ -42,7 +42,7 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomsift-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
