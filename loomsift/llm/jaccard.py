@@ -3,7 +3,7 @@
 Documents are sets of word shingles.  Two sets that link share a token among the first ones of each,
 under one order of all tokens in which frequent ones come last, so each document is posted under few
 tokens.  Documents of one token and of compatible sizes form a block.  Each block first tests its
-documents against one leader; those that link form groups.  For every group the matrix row, its token
+documents against leaders; those that link form groups.  For every group the matrix row, its token
 union, is kept as hashed token columns: a document's tokens outside the union bound its overlap with
 every member, and only groups that the bound leaves are opened.  Each candidate is verified on whole
 texts, so the links are exact.  Within a group nothing is compared again, as it is connected already.
@@ -26,9 +26,9 @@ from .kernels import mix64, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 #: Frequent tokens that all tasks know, at most; the order of the others is that of their hashes.
-HOT_TOKENS = 1 << 18
+HOT_TOKENS = 1 << 20
 #: Documents of a token from which it counts as frequent, and per block of a frequent token.
-HOT_LEAST, BLOCK_DOCS = 32, 2048
+HOT_LEAST, BLOCK_DOCS = 8, 2048
 #: Bits of the set of wanted ids that is sent to all tasks (8 MB); more ids let more rows through.
 ID_BITS = 1 << 26
 #: Pairs of texts per Arrow batch.
@@ -83,7 +83,7 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(names, pa.array(ids, pa.int64()), pa.array(size, pa.int64()), np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64), pa.array(bits, pa.binary()), nothing, nothing)
     if held:
         token, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= 4
+        often = n >= 2
         nothing = pa.nulls(int(often.sum()), pa.int64())
         yield _batch(names, nothing, nothing, nothing, nothing, pa.nulls(len(nothing), pa.binary()), token[often].view(np.int64), n[often].astype(np.int64))
 
@@ -187,32 +187,77 @@ def _bound(bits: np.ndarray, size: np.ndarray, union: np.ndarray) -> np.ndarray:
     return size - np.bitwise_count(bits & ~union).sum(axis=1, dtype=np.int64)
 
 
+class Columns:
+    """The hashed token columns of a block's documents, by width."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes]) -> None:
+        self.sizes, self.widths = sizes.astype(np.int64), np.array([len(b) for b in bits])
+        self.at = {int(w): np.flatnonzero(self.widths == w) for w in np.unique(self.widths)}
+        self.matrix = {(w, w): np.frombuffer(b"".join(bits[i] for i in own), np.uint8).reshape(len(own), w) for w, own in self.at.items()}
+
+    def folded(self, of: int, to: int) -> np.ndarray:
+        if (of, to) not in self.matrix:
+            self.matrix[of, to] = _fold(self.matrix[of, of], to)
+        return self.matrix[of, to]
+
+    def may_link(self, i: int) -> np.ndarray:
+        """Which documents may link with the i-th: every column that one has and the other has not is
+        a token outside both.  Sizes that may link differ by one width at most."""
+        out = np.zeros(len(self.sizes), bool)
+        w, size = int(self.widths[i]), self.sizes[i]
+        row = np.flatnonzero(self.at[w] == i)[0]
+        for other in (w // 2, w, 2 * w):
+            if other in self.at:
+                own, to = self.at[other], min(w, other)
+                mine, theirs = self.folded(w, to)[row], self.folded(other, to)
+                most = np.minimum(size - np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64), self.sizes[own] - np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64))
+                fits = 100 * np.minimum(self.sizes[own], size) >= PERCENT * np.maximum(self.sizes[own], size)
+                out[own] = fits & (most >= _least_overlap(self.sizes[own], size))
+        out[i] = False
+        return out
+
+
+def stars(docs: np.ndarray, sizes: np.ndarray, bits: list[bytes], probes: int = 32) -> list[tuple[int, int]]:
+    """Pairs of leaders with the documents that may link with them, each document in one star.
+
+    Leaders are taken by how many of some evenly chosen documents may link with them, so that the
+    text that copies were made from comes before the copies."""
+    columns = Columns(sizes, bits)
+    degree = np.zeros(len(docs), np.int64)
+    for i in np.unique(np.linspace(0, len(docs) - 1, probes).astype(np.int64)) if len(docs) > 2 else []:
+        degree += columns.may_link(int(i))
+    done, out = np.zeros(len(docs), bool), []
+    for i in np.lexsort((docs, -degree)).tolist():
+        if not done[i]:
+            done[i] = True
+            members = columns.may_link(i) & ~done
+            done |= members
+            out += [(int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[members] if d != docs[i]]
+    return out
+
+
 def open_groups(docs: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
     """Pairs of documents of different groups of a block that may link.
 
     Each document is held against each other group's token union, and against the members of those
-    groups only that the bound leaves.  Sets are compared at the narrower one's width; sizes that may
-    link differ by one width at most."""
-    out = []
-    widths = np.array([len(b) for b in bits])
-    for width in np.unique(widths):
-        a = np.flatnonzero(widths == width)
-        both = np.flatnonzero((widths == width) | (widths == 2 * width))
-        matrix = np.concatenate([_fold(np.frombuffer(bits[i], np.uint8)[None], int(width)) for i in both])
-        place = {int(j): k for k, j in enumerate(both)}
-        mine = matrix[[place[int(i)] for i in a]]
-        for g in np.unique(groups[both]):
-            members = np.flatnonzero(groups[both] == g)
+    groups only that the bound leaves."""
+    columns = Columns(sizes, bits)
+    out: list[tuple[int, int]] = []
+    for width, a in columns.at.items():
+        others = np.concatenate([columns.at.get(w, a[:0]) for w in (width, 2 * width)])
+        matrix = np.concatenate([columns.folded(w, width) for w in (width, 2 * width) if w in columns.at])
+        mine = columns.folded(width, width)
+        qualifies: dict[int, np.ndarray] = {}
+        for g in np.unique(groups[others]):
+            members = groups[others] == g
             union = np.bitwise_or.reduce(matrix[members], axis=0)
-            least = sizes[both[members]].min()
-            need = _least_overlap(sizes[a], np.maximum(least, -(-PERCENT * sizes[a] // 100)))
-            for i in np.flatnonzero((groups[a] != g) & (_bound(mine, sizes[a], union) >= need)):
-                d = a[i]
-                other = both[members]
-                fits = (100 * np.minimum(sizes[other], sizes[d]) >= PERCENT * np.maximum(sizes[other], sizes[d])) & ((widths[other] > width) | (docs[other] < docs[d]))
-                outside = np.bitwise_count(mine[i] & ~matrix[members]).sum(axis=1, dtype=np.int64)
-                fits &= sizes[d] - outside >= _least_overlap(sizes[other], sizes[d])
-                out += [(int(min(docs[d], docs[o])), int(max(docs[d], docs[o]))) for o in other[fits]]
+            need = _least_overlap(sizes[a], np.maximum(sizes[others[members]].min(), -(-PERCENT * sizes[a] // 100)))
+            for i in a[(groups[a] != g) & (_bound(mine, sizes[a], union) >= need)].tolist():
+                qualifies[i] = qualifies.get(i, np.zeros(len(docs), bool))
+                qualifies[i][others[members]] = True
+        for i, opened in qualifies.items():
+            fits = columns.may_link(i) & opened & ((columns.widths > width) | (docs < docs[i]))
+            out += [(int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[fits]]
     return out
 
 
@@ -310,18 +355,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plain = blocks.where("token is null").select("block", "docs", "sizes")
     dealt = blocks.where("token is not null").select("token", "deal", "docs", "sizes")
 
-    # First wave: a leader of each block against the others, and the leaders of a dealt token.
-    middle = F.floor(F.size("docs") / 2).cast("int")
-    head = lambda d: d.select("*", F.get("docs", middle).alias("x"), F.get("sizes", middle).alias("sx"))
-    stars = head(blocks).select("x", "sx", F.explode(F.arrays_zip("docs", "sizes")).alias("m")).select("x", "sx", F.col("m.docs").alias("y"), F.col("m.sizes").alias("sy"))
-    tops = head(dealt).select("token", F.struct("x", "sx").alias("one"))
-    tops = tops.join(tops.groupBy("token").agg(F.min("one").alias("top")), "token").select("top.x", "top.sx", F.col("one.x").alias("y"), F.col("one.sx").alias("sy"))
-    fits = 100 * F.least("sx", "sy") >= PERCENT * F.greatest("sx", "sy")
-    pairs = stars.union(tops).where(fits & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # First wave: stars in each block, and among the middle documents of a dealt token's blocks.
     bits = sets.select("_id", "size", "bits").dropDuplicates(["_id"])
-    near = pairs.join(bits.select(F.col("_id").alias("x"), F.col("size").alias("sx"), F.col("bits").alias("bx")), "x")
-    near = near.join(bits.select(F.col("_id").alias("y"), F.col("size").alias("sy"), F.col("bits").alias("by")), "y")
-    first = materialize(near.select("x", "y", "sx", "sy", "bx", "by").mapInArrow(_may_link, "x long, y long"), "pairs")
+    middle = F.get("docs", F.floor(F.size("docs") / 2).cast("int"))
+    of = plain.select("block", F.explode("docs").alias("_id"))
+    of = of.union(dealt.select(F.xxhash64("token", "deal").alias("block"), F.explode("docs").alias("_id"))).union(dealt.select(F.xxhash64("token").alias("block"), middle.alias("_id")))
+    grouped = of.join(bits, "_id").groupBy("block").agg(F.collect_list(F.struct("_id", "size", "bits")).alias("docs"))
+    first = materialize(grouped.mapInArrow(_stars, "x long, y long").distinct(), "pairs")
     links = _verified(first, rows)
     same = copies.select(F.col("rep").alias("x"), F.col("_id").alias("y"))
     groups = components(links.union(same))
@@ -351,20 +391,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(public_id(), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs that the bound leaves, each document as a group of one."""
-    for batch in batches:
-        hit = []
-        for sx, sy, bx, by in zip(*(batch[c].to_pylist() for c in ("sx", "sy", "bx", "by"))):
-            hit.append(bool(open_groups(np.array([0, 1]), np.array([sx, sy]), np.array([0, 1]), [bx, by])))
-        yield batch.select(["x", "y"]).filter(pa.array(hit, pa.bool_()))
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _pairs_of(batches, lambda own: stars(own.field("_id").to_numpy(), own.field("size").to_numpy(), own.field("bits").to_pylist()))
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _pairs_of(batches, lambda own: open_groups(own.field("_id").to_numpy(), own.field("size").to_numpy(), own.field("label").to_numpy(), own.field("bits").to_pylist()))
+
+
+def _pairs_of(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
+    """x, y that ``find`` gives for blocks; pairs that a task has given out already are left out."""
+    given: set[tuple[int, int]] = set()
     for batch in batches:
-        out: list[tuple[int, int]] = []
+        out: set[tuple[int, int]] = set()
         for docs in batch["docs"]:
-            own = docs.values
-            out += open_groups(own.field("_id").to_numpy(), own.field("size").to_numpy(), own.field("label").to_numpy(), own.field("bits").to_pylist())
-        out = sorted(set(out))
-        yield _batch("x y", pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64()))
+            out.update(find(docs.values))
+        new = sorted(out - given)
+        if len(given) < 1_000_000:
+            given |= out
+        yield _batch("x y", pa.array([x for x, _ in new], pa.int64()), pa.array([y for _, y in new], pa.int64()))
