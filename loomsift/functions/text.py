@@ -77,7 +77,7 @@ def squeeze(c) -> Column:
 def cut_bytes(c, most: int) -> Column:
     """At most ``most`` bytes of UTF-8, never half a character."""
     raw = F.substring(F.encode(c, "UTF-8"), 1, most)
-    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", ""))
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "�+$", ""))
 
 
 # Secret patterns in the order in which they are applied; with a group, it stays.
