@@ -31,6 +31,8 @@ HOT_TOKENS = 1 << 20
 HOT_LEAST, BLOCK_DOCS = 8, 2048
 #: Bits of the set of wanted ids that is sent to all tasks (8 MB); more ids let more rows through.
 ID_BITS = 1 << 26
+#: Least block keys of a document that go along with it, so that few blocks give out the same pair.
+LEAST_KEYS = 16
 #: Pairs of texts per Arrow batch.
 PAIR_ROWS = 512
 
@@ -236,28 +238,39 @@ def stars(docs: np.ndarray, sizes: np.ndarray, bits: list[bytes], probes: int =
     return out
 
 
-def open_groups(docs: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+def open_groups(docs: np.ndarray, sizes: np.ndarray, groups: np.ndarray, bits: list[bytes], key: int = 0, keys: list[list[int]] | None = None) -> list[tuple[int, int]]:
     """Pairs of documents of different groups of a block that may link.
 
-    Each document is held against each other group's token union, and against the members of those
-    groups only that the bound leaves."""
+    Strays, the documents outside the block's largest group, are held against each other group's
+    token union, and against the members of those groups only that the bound leaves.  ``keys`` has
+    the least block keys of each document: a pair is given out by the block of its least common key
+    (by every block if the lists share none)."""
     columns = Columns(sizes, bits)
+    names, count = np.unique(groups, return_counts=True)
+    stray = groups != names[np.argmax(count)]
+    held = [frozenset(k) for k in keys] if keys is not None else None
     out: list[tuple[int, int]] = []
-    for width, a in columns.at.items():
-        others = np.concatenate([columns.at.get(w, a[:0]) for w in (width, 2 * width)])
-        matrix = np.concatenate([columns.folded(w, width) for w in (width, 2 * width) if w in columns.at])
-        mine = columns.folded(width, width)
-        qualifies: dict[int, np.ndarray] = {}
-        for g in np.unique(groups[others]):
-            members = groups[others] == g
-            union = np.bitwise_or.reduce(matrix[members], axis=0)
-            need = _least_overlap(sizes[a], np.maximum(sizes[others[members]].min(), -(-PERCENT * sizes[a] // 100)))
-            for i in a[(groups[a] != g) & (_bound(mine, sizes[a], union) >= need)].tolist():
-                qualifies[i] = qualifies.get(i, np.zeros(len(docs), bool))
-                qualifies[i][others[members]] = True
-        for i, opened in qualifies.items():
-            fits = columns.may_link(i) & opened & ((columns.widths > width) | (docs < docs[i]))
-            out += [(int(min(docs[i], d)), int(max(docs[i], d))) for d in docs[fits]]
+    for width, own in columns.at.items():
+        a = own[stray[own]]
+        if not len(a):
+            continue
+        opened = np.zeros((len(a), len(docs)), bool)
+        for other in (width // 2, width, 2 * width):
+            if other not in columns.at:
+                continue
+            to, members = min(width, other), columns.at[other]
+            mine, theirs = columns.folded(width, to)[stray[own]], columns.folded(other, to)
+            for g in np.unique(groups[members]):
+                of = groups[members] == g
+                union = np.bitwise_or.reduce(theirs[of], axis=0)
+                need = _least_overlap(sizes[a], np.maximum(sizes[members[of]].min(), -(-PERCENT * sizes[a] // 100)))
+                opened[np.ix_((groups[a] != g) & (_bound(mine, sizes[a], union) >= need), members[of])] = True
+        for row, i in enumerate(a.tolist()):
+            fits = columns.may_link(i) & opened[row] & (~stray | (docs < docs[i])) if opened[row].any() else opened[row]
+            for j in np.flatnonzero(fits).tolist():
+                common = held[i] & held[j] if held is not None else ()
+                if not common or min(common) == key:
+                    out.append((int(min(docs[i], docs[j])), int(max(docs[i], docs[j]))))
     return out
 
 
@@ -368,18 +381,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Second wave: what is left between different groups of a block.
     label = F.coalesce("label", "_id").alias("label")
-    of = plain.where(F.size("docs") > 2).select("block", F.explode("docs").alias("_id"))
+    of = plain.where(F.size("docs") > 2).select("block", F.col("block").alias("key"), F.explode("docs").alias("_id"))
     each = dealt.select("token", "deal", F.explode("docs").alias("_id")).join(groups, "_id", "left").select("token", "deal", "_id", label)
     mains = each.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
     strays = each.join(mains, "token").where("label <> main").select("token", F.col("deal").alias("from"), F.col("_id").alias("stray"))
     cells = each.join(strays.select("token", "from").distinct(), "token")
-    cell = F.xxhash64("token", "deal", "from").alias("block")
-    extra = strays.join(each.select("token", "deal").distinct(), "token").select(cell, F.col("stray").alias("_id"))
-    of = of.join(groups, "_id", "left").select("block", "_id", label)
-    of = of.union(cells.select(cell, "_id", "label")).union(extra.join(groups, "_id", "left").select("block", "_id", label))
+    cell = [F.xxhash64("token", "deal", "from").alias("block"), F.xxhash64("token").alias("key")]
+    extra = strays.join(each.select("token", "deal").distinct(), "token").select(*cell, F.col("stray").alias("_id"))
+    of = of.join(groups, "_id", "left").select("block", "key", "_id", label)
+    of = of.union(cells.select(*cell, "_id", "label")).union(extra.join(groups, "_id", "left").select("block", "key", "_id", label))
     open_ = of.groupBy("block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("block")
-    left = of.join(open_, "block").dropDuplicates(["block", "_id"]).join(bits, "_id")
-    left = left.groupBy("block").agg(F.collect_list(F.struct("_id", "size", "label", "bits")).alias("docs"))
+    left = materialize(of.join(open_, "block").dropDuplicates(["block", "_id"]), "open")
+    keys = left.groupBy("_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("keys"))
+    left = left.join(keys.join(bits, "_id"), "_id")
+    left = left.groupBy("block").agg(F.first("key").alias("key"), F.collect_list(F.struct("_id", "size", "label", "bits", "keys")).alias("docs"))
     second = left.mapInArrow(_open, "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
     second = materialize(second, "pairs")
     more = _verified(second, rows)
@@ -392,11 +407,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _pairs_of(batches, lambda own: stars(own.field("_id").to_numpy(), own.field("size").to_numpy(), own.field("bits").to_pylist()))
+    yield from _pairs_of(batches, lambda own, _: stars(own.field("_id").to_numpy(), own.field("size").to_numpy(), own.field("bits").to_pylist()))
 
 
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _pairs_of(batches, lambda own: open_groups(own.field("_id").to_numpy(), own.field("size").to_numpy(), own.field("label").to_numpy(), own.field("bits").to_pylist()))
+    yield from _pairs_of(batches, lambda own, key: open_groups(own.field("_id").to_numpy(), own.field("size").to_numpy(), own.field("label").to_numpy(), own.field("bits").to_pylist(), key, own.field("keys").to_pylist()))
 
 
 def _pairs_of(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatch]:
@@ -404,8 +419,9 @@ def _pairs_of(batches: Iterator[pa.RecordBatch], find) -> Iterator[pa.RecordBatc
     given: set[tuple[int, int]] = set()
     for batch in batches:
         out: set[tuple[int, int]] = set()
-        for docs in batch["docs"]:
-            out.update(find(docs.values))
+        keys = batch["key"].to_pylist() if "key" in batch.schema.names else [0] * batch.num_rows
+        for docs, key in zip(batch["docs"], keys, strict=True):
+            out.update(find(docs.values, key))
         new = sorted(out - given)
         if len(given) < 1_000_000:
             given |= out
