@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ids_and_text, materialize, partitions, public_id, small_batches
+from .common import NULL_ID, ids_and_text, materialize, partitions, public_id, small_batches, tidy
 from .kernels import mix64, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
@@ -295,7 +295,7 @@ def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(hit.astype(bool))).select(["_id", "_text"])
 
     hashed = rows.select("_id", "_text", F.pmod(F.xxhash64("_id"), F.lit(ID_BITS)).alias("at"))
-    return hashed.mapInArrow(keep, "_id long, _text string")
+    return hashed.mapInArrow(tidy(keep), "_id long, _text string")
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +315,7 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     joined = pairs.join(texts.select(F.col("_id").alias("x"), F.col("_text").alias("tx")), "x")
     joined = joined.join(texts.select(F.col("_id").alias("y"), F.col("_text").alias("ty")), "y")
     with small_batches(rows.sparkSession, PAIR_ROWS):
-        return materialize(joined.select("x", "y", "tx", "ty").mapInArrow(_links, "x long, y long"), "verified")
+        return materialize(joined.select("x", "y", "tx", "ty").mapInArrow(tidy(_links), "x long, y long"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -352,7 +352,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     n = partitions(spark)
     rows = ids_and_text(docs, id_col, text_col)
-    table = materialize(rows.mapInArrow(_summary, SUMMARY), "sets")
+    table = materialize(rows.mapInArrow(tidy(_summary), SUMMARY), "sets")
     sets = table.where("_id is not null")
     usable = sets.where((F.col("size") > 0) & (F.col("_id") != NULL_ID))
     often = table.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
@@ -362,8 +362,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = usable.groupBy("a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = materialize(usable.select("_id", "a", "b").join(classes, ["a", "b"]).where("_id <> rep").select("_id", "rep"), "copies")
 
-    posted = rows.mapInArrow(_postings(order), "token long, deal int, _id long, size int").repartition(n, "token", "deal")
-    blocks = posted.mapInArrow(_blocks, BLOCK).groupBy("block").agg(*[F.first(c).alias(c) for c in ("token", "deal", "docs", "sizes")])
+    posted = rows.mapInArrow(tidy(_postings(order)), "token long, deal int, _id long, size int").repartition(n, "token", "deal")
+    blocks = posted.mapInArrow(tidy(_blocks), BLOCK).groupBy("block").agg(*[F.first(c).alias(c) for c in ("token", "deal", "docs", "sizes")])
     blocks = materialize(blocks, "blocks")
     plain = blocks.where("token is null").select("block", "docs", "sizes")
     dealt = blocks.where("token is not null").select("token", "deal", "docs", "sizes")
@@ -374,7 +374,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = plain.select("block", F.explode("docs").alias("_id"))
     of = of.union(dealt.select(F.xxhash64("token", "deal").alias("block"), F.explode("docs").alias("_id"))).union(dealt.select(F.xxhash64("token").alias("block"), middle.alias("_id")))
     grouped = of.join(bits, "_id").groupBy("block").agg(F.collect_list(F.struct("_id", "size", "bits")).alias("docs"))
-    first = materialize(grouped.mapInArrow(_stars, "x long, y long").distinct(), "pairs")
+    first = materialize(grouped.mapInArrow(tidy(_stars), "x long, y long").distinct(), "pairs")
     links = _verified(first, rows)
     same = copies.select(F.col("rep").alias("x"), F.col("_id").alias("y"))
     groups = components(links.union(same))
@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = left.groupBy("_id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, LEAST_KEYS).alias("keys"))
     left = left.join(keys.join(bits, "_id"), "_id")
     left = left.groupBy("block").agg(F.first("key").alias("key"), F.collect_list(F.struct("_id", "size", "label", "bits", "keys")).alias("docs"))
-    second = left.mapInArrow(_open, "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
+    second = left.mapInArrow(tidy(_open), "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
     second = materialize(second, "pairs")
     more = _verified(second, rows)
     every = links.union(more)

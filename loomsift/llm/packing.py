@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary
-from .common import NULL_ID, public_id
+from .common import NULL_ID, public_id, tidy
 
 PIECES = "_id long, start long, length long, ids binary, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -168,5 +168,5 @@ def pack_documents(
         F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
         prompt.alias("_prompt"),
     )
-    out = rows.mapInArrow(pack, PIECES)
+    out = rows.mapInArrow(tidy(pack), PIECES)
     return out.select(public_id(), *[c for c in out.columns if c != "_id"])

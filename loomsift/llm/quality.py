@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, materialize, public_id
+from .common import ids_and_text, materialize, public_id, tidy
 from .kernels import ALNUM, chunks, words
 
 FEATURES = 256
@@ -87,7 +87,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             x = [r for block in statistics_of(batch[1]) for r in block.astype(np.float32)]
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(x, pa.list_(pa.float32()))], names=["_id", "x"])
 
-    return ids_and_text(docs, id_col, text_col).mapInArrow(compute, "_id long, x array<float>")
+    return ids_and_text(docs, id_col, text_col).mapInArrow(tidy(compute), "_id long, x array<float>")
 
 
 class Model:
@@ -129,7 +129,7 @@ def _summed(rows: DataFrame, share) -> np.ndarray | None:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], names=["total"])
 
-    shares = [np.array(r.total) for r in rows.mapInArrow(add, "total array<double>").collect()]
+    shares = [np.array(r.total) for r in rows.mapInArrow(tidy(add), "total array<double>").collect()]
     return np.sum(shares, axis=0) if shares else None
 
 
@@ -211,7 +211,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(model.value.score(_matrix(batch)))], names=["_id", "score"])
 
-    out = stats.mapInArrow(score, "_id long, score double")
+    out = stats.mapInArrow(tidy(score), "_id long, score double")
     return out.select(
         public_id(),
         F.coalesce(remainder(public_id("i")) == 0, F.lit(False)).alias("held_out"),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_text, public_id
+from .common import ids_and_text, public_id, tidy
 from .kernels import chunks
 
 
@@ -232,7 +232,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [[dict(zip(("kind", "start", "end"), s)) for s in x] for _, block in scanner.scan(batch[1]) for x in block]
             yield pa.RecordBatch.from_arrays([batch[0], pa.array(spans, kind)], names=["_id", "spans"])
 
-    out = ids_and_text(docs, id_col, text_col).mapInArrow(scan, "_id long, spans array<struct<kind:string,start:long,end:long>>")
+    out = ids_and_text(docs, id_col, text_col).mapInArrow(tidy(scan), "_id long, spans array<struct<kind:string,start:long,end:long>>")
     return out.select(public_id(), "spans")
 
 
@@ -259,7 +259,7 @@ def redact(docs: DataFrame, text_col: str = "text", rules: list[Rule] = RULES) -
                 texts = pa.array(all_texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], schema=batch.schema)
 
-    return docs.mapInArrow(clean, docs.schema)
+    return docs.mapInArrow(tidy(clean), docs.schema)
 
 
 def _replace(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, partitions, public_id
+from .common import NULL_ID, partitions, public_id, tidy
 from .kernels import Words, mix64, ngrams, ranges, words
 
 WINDOW, ANCHOR = 20, 6
@@ -224,10 +224,10 @@ def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``rows`` (_id, _text and more) dealt by id once, and the factors of all documents."""
     n = partitions(rows.sparkSession)
     dealt = rows.repartition(n, "_id")
-    anchors = rows.select("_id", "_text").mapInArrow(_anchor_rows, "key long, _id long, pos int, known byte").repartition(n, "key")
-    marks = anchors.mapInArrow(_repeated, "_id long, pos int").groupBy("_id").agg(F.array_distinct(F.collect_list("pos")).alias("marks"))
-    stretches = dealt.join(marks, "_id").select("_id", "_text", "marks").mapInArrow(_stretches, STRETCH)
-    return dealt, stretches.repartition(n, "key").mapInArrow(_factor, FACTOR)
+    anchors = rows.select("_id", "_text").mapInArrow(tidy(_anchor_rows), "key long, _id long, pos int, known byte").repartition(n, "key")
+    marks = anchors.mapInArrow(tidy(_repeated), "_id long, pos int").groupBy("_id").agg(F.array_distinct(F.collect_list("pos")).alias("marks"))
+    stretches = dealt.join(marks, "_id").select("_id", "_text", "marks").mapInArrow(tidy(_stretches), STRETCH)
+    return dealt, stretches.repartition(n, "key").mapInArrow(tidy(_factor), FACTOR)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
@@ -282,7 +282,7 @@ def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     rows, factors = _dealt(_rows(docs, id_col, text_col, False))
     spans = factors.groupBy("_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    out = rows.join(spans, "_id", "left").mapInArrow(finish, "_id long, n_words long, n_removed long, kept string")
+    out = rows.join(spans, "_id", "left").mapInArrow(tidy(finish), "_id long, n_words long, n_removed long, kept string")
     return out.select(public_id(), "n_words", "n_removed", "kept")
 
 
@@ -308,5 +308,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).schema["_row"].dataType
     rows, factors = _dealt(_rows(docs, id_col, text_col, True))
     spans = factors.groupBy("_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    out = rows.join(spans, "_id", "left").select("_id", "_text", "_row", "spans").mapInArrow(cut, f"_row {kind.simpleString()}, _cut string")
+    out = rows.join(spans, "_id", "left").select("_id", "_text", "_row", "spans").mapInArrow(tidy(cut), f"_row {kind.simpleString()}, _cut string")
     return out.select(*[F.when(F.col("_row")[c].isNotNull(), F.col("_cut")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
