@@ -135,20 +135,3 @@ def k9_large_pieces(spark, sf_dir, most: int = 2048):
             yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "piece"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(pieces, "doc_id long, piece_no long, piece string")
-
-
-# What words of an option's description say about its purpose.
-OPTION_WORDS = {"all": "show everything", "hidden": "include hidden entries", "limit": "limit the output", "lines": "work by line", "output": "write output", "recursive": "descend into folders"}
-
-
-@query(
-    "WITH w AS (SELECT unnest(['all', 'hidden', 'limit', 'lines', 'output', 'recursive']) AS word, unnest(['show everything', 'include hidden entries', 'limit the output', 'work by line', 'write output', 'descend into folders']) AS intent), "
-    f"{MANUAL_SQL}, h AS (SELECT part_key, 8 AS pos, '-a, --all Show all. Even hidden; really?' AS d FROM manual_pages UNION ALL SELECT part_key, 9, '-n, --number=NUM Limit to lines of output.' FROM manual_pages) "
-    "SELECT part_key, pos, string_agg(intent, '|' ORDER BY intent) AS intents FROM h JOIN w ON contains(lower(d), word) GROUP BY ALL"
-)
-def k20_option_intents(spark, sf_dir):
-    """Options joined with a small rule table on contained words (K20-K23 in one shape)."""
-    rules = spark.createDataFrame(list(OPTION_WORDS.items()), "word string, intent string")
-    hints = option_hints(manual_pages(spark, sf_dir), "part_key").where("pos < 10").withColumn("d", F.lower(F.concat_ws(" ", "display", "description")))
-    hit = hints.join(F.broadcast(rules), F.contains("d", F.col("word")))
-    return hit.groupBy("part_key", "pos").agg(F.array_join(F.sort_array(F.collect_list("intent")), "|").alias("intents"))
