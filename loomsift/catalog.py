@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import chunking, guides, index, metrics, relational, retrieval, routing, search, shell, web  # noqa: F401
+from .operators import chunking, drafts, guides, index, metrics, relational, retrieval, routing, search, shell, web  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .streaming import events  # noqa: F401
 

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_lower
 from ..registry import query
 from ..sources.tables import COMMANDS_SQL, shell_commands
 
@@ -158,44 +157,6 @@ def p9_stripped_operators(spark, sf_dir):
     return shell_commands(spark, sf_dir).select("cmd_id", F.regexp_replace("command", r"\s*(\s*(&&|\|\||\||;|&))+\s*$", "").alias("command"))
 
 
-# What a prompt asks for (all words of one list), what the command must hold (any),
-# and what is reported otherwise.
-EFFECTS = [
-    ("count_files", ["count", "file"], ["wc -l"], "file-count request needs a count-producing command such as wc -l"),
-    ("disk", ["disk", "free"], ["df"], "filesystem disk-usage request should use df, not a directory listing"),
-    ("changed", ["git", "changed"], ["git status", "git diff"], "git changed-files request should use git status or git diff"),
-    ("backup", ["backup", "today"], ["date"], "dated backup request should create a backup/archive and include today's date"),
-    ("markdown", ["markdown", "list"], [".md", ".markdown"], "Markdown-file request needs a .md or .markdown filter"),
-    ("mkdir", ["create", "folder"], ["mkdir"], "compound request creates a destination folder but draft has no mkdir step"),
-]
-_ASKS = ["count every file", "how much disk is free", "list git changed paths", "backup this today", "list markdown here", "create a folder", "just list"]
-
-
-def effect_findings(prompt: Column, command: Column) -> Column:
-    """array<string> of what a command lacks for its prompt."""
-    p, c = ascii_lower(prompt), ascii_lower(command)
-    every = []
-    for _, asks, needs, detail in EFFECTS:
-        wanted, met = F.lit(True), F.lit(False)
-        for a in asks:
-            wanted = wanted & F.contains(p, F.lit(a))
-        for n in needs:
-            met = met | F.contains(c, F.lit(n))
-        every.append(F.when(wanted & ~met, F.lit(detail)))
-    return F.filter(F.array(*every), lambda x: x.isNotNull())
-
-
-@query(
-    f"WITH {COMMANDS_SQL}, a AS (SELECT cmd_id, lower(command) AS c, [{', '.join(repr(a) for a in _ASKS)}][cmd_id % 7 + 1] AS p FROM shell_commands) SELECT cmd_id, concat_ws('; ', "
-    + ", ".join("CASE WHEN " + " AND ".join(f"contains(p, '{a}')" for a in asks) + " AND NOT (" + " OR ".join(f"contains(c, '{n}')" for n in needs) + f") THEN '{_q(detail)}' END" for _, asks, needs, detail in EFFECTS)
-    + ") AS findings FROM a"
-)
-def p2_effect_findings(spark, sf_dir):
-    """A small rule table of prompt effects (P1-P4 in one shape)."""
-    prompt = F.element_at(F.array(*map(F.lit, _ASKS)), (F.col("cmd_id") % len(_ASKS) + 1).cast("int"))
-    return shell_commands(spark, sf_dir).select("cmd_id", F.array_join(effect_findings(prompt, F.col("command")), "; ").alias("findings"))
-
-
 def scan(command: str) -> dict:
     """Words and structure of one command line: a character machine over quotes, escapes, groups and
     operators.  Substitution inside double quotes is not seen, as ``$(`` there is plain text."""
