@@ -6,7 +6,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import COMMANDS_SQL, shell_commands, table
 
 
 def nearest_rank(values: Column, p: float) -> Column:
@@ -127,3 +127,53 @@ def f1_scalars(spark, sf_dir):
         "event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("f1"), F.greatest(F.lit(0), F.rint("value").cast("long") - 50).alias("f6"), F.ceil(F.col("value") / 1000).cast("long").alias("f5"), F.round(F.log1p("value"), 6).alias("f4"),
         F.sha2(F.col("event_type").cast("binary"), 256).alias("f7"), F.base64(F.col("event_type").cast("binary")).alias("f8"), F.trim(F.regexp_replace(F.concat(F.lit("  "), "event_type", F.lit("   x ")), r"\s+", " ")).alias("f11"),
     )
+
+
+def lookahead_match(subject: Column, blocked: str, tail: str) -> Column:
+    """``^(?!.*\\bblocked\\b).*tail``: the blocked word nowhere in any case, and the tail found."""
+    return ~F.contains(F.lower(subject), F.lit(blocked.lower())) & F.rlike(subject, F.lit(tail))
+
+
+@query(f"WITH {COMMANDS_SQL} SELECT cmd_id, NOT contains(lower(command), 'sudo') AND regexp_matches(command, '(rm|chmod) -') AS matched FROM shell_commands")
+def t10_lookahead(spark, sf_dir):
+    return shell_commands(spark, sf_dir).select("cmd_id", lookahead_match(F.col("command"), "SUDO", "(rm|chmod) -").alias("matched"))
+
+
+@query(
+    "WITH v AS (SELECT event_type, CAST(floor(value) AS BIGINT) AS ms FROM events), l AS (SELECT event_type, list_sort(list(ms)) AS l, round_even(median(ms), 0)::BIGINT AS p50, round_even((count(*) - 1) * 0.95::DOUBLE, 0)::BIGINT AS i FROM v GROUP BY event_type) "
+    "SELECT event_type, 'p50=' || p50 || ' ms, p95=' || l[i + 1] || ' ms, max=' || l[-1] || ' ms' AS summary FROM l"
+)
+def t11_latency_summary(spark, sf_dir):
+    """Median, value at the rounded index of 95 % and maximum in a line; halves round to even.  Values
+    are counted before they are placed, so no group is gathered."""
+    ms = table(spark, sf_dir, "events").select("event_type", F.floor("value").cast("long").alias("ms"))
+    counts = ms.groupBy("event_type", "ms").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("event_type")
+    placed = counts.withColumn("upto", F.sum("n").over(by.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(by))
+    value_at = lambda i: F.min(F.when(F.col("upto") > i, F.col("ms")))
+    last = F.col("total") - 1
+    g = placed.groupBy("event_type").agg(value_at(F.floor(last / 2)).alias("a"), value_at(F.ceil(last / 2)).alias("b"), value_at(F.bround(last * F.lit(0.95))).alias("p95"), F.max("ms").alias("most"))
+    p50 = F.bround((F.col("a") + F.col("b")) / 2).cast("long")
+    return g.select("event_type", F.concat(F.lit("p50="), p50.cast("string"), F.lit(" ms, p95="), F.col("p95").cast("string"), F.lit(" ms, max="), F.col("most").cast("string"), F.lit(" ms")).alias("summary"))
+
+
+def markdown_cell(c: Column) -> Column:
+    """Text for a cell of a Markdown table; null is empty."""
+    return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+
+
+@query(
+    "SELECT doc_id, replace(replace(source || '|' || left(text, 60), '|', chr(92) || '|'), chr(10), '<br>') AS cell FROM documents JOIN labels USING (doc_id) WHERE quality = 0 ORDER BY doc_id LIMIT 50"
+)
+def t12_failures(spark, sf_dir):
+    """The first 50 failures (here: rows of low quality) as cells of a report."""
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    rows = table(spark, sf_dir, "documents").join(bad, "doc_id").orderBy("doc_id").limit(50)
+    return rows.select("doc_id", markdown_cell(F.concat(F.col("source"), F.lit("|"), F.substring("text", 1, 60))).alias("cell"))
+
+
+@query("SELECT source, round(avg(n_chars), 4) AS mean, round(count(*) / (sum(n_chars) / 1000.0), 6) AS per_second, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source")
+def t13_sizes_and_rates(spark, sf_dir):
+    """Mean of samples (T13), chunks by elapsed time (T14) and bytes in a folder (T15), per source."""
+    g = table(spark, sf_dir, "documents").groupBy("source")
+    return g.agg(F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.try_divide(F.count(F.lit(1)), F.sum("n_chars") / 1000.0), 6).alias("per_second"), F.sum(F.octet_length("text").cast("long")).alias("bytes"))

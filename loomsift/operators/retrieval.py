@@ -66,10 +66,11 @@ def l1_query_tf(spark, sf_dir):
     return query_terms(table(spark, sf_dir, "benchmark")).drop("terms")
 
 
-def _lexical(spark, sf_dir, text: str | Column = "text") -> DataFrame:
+def _lexical(spark, sf_dir, text: str | Column = "text", queries: DataFrame | None = None) -> DataFrame:
     posted = postings(table(spark, sf_dir, "documents"), text=text)
     n = table(spark, sf_dir, "documents").where(F.size(tokens(text)) > 0).agg(F.count(F.lit(1)).alias("n"))
-    return lexical_scores(posted, query_terms(table(spark, sf_dir, "benchmark")), n)
+    queries = table(spark, sf_dir, "benchmark") if queries is None else queries
+    return lexical_scores(posted, query_terms(queries), n)
 
 
 @query(f"WITH {_scores_sql('text')} SELECT item_id, doc_id, round(score, 6) AS score FROM s")
@@ -235,3 +236,33 @@ def l26_token_estimates(spark, sf_dir):
     from ..functions.text import tokens_down, tokens_up
 
     return table(spark, sf_dir, "documents").select("doc_id", tokens_up("text").alias("up"), tokens_down("text").alias("down"))
+
+
+def command_query(command: Column, prompt: Column) -> Column:
+    """What a drafted command looks for: its name, its flags, then the prompt."""
+    from .shell import flags
+
+    return F.concat_ws(" ", F.split_part(F.trim(command), F.lit(" "), F.lit(1)), F.array_join(flags(command), " "), prompt)
+
+
+_SOURCE_TEXT = "source || ' ' || text"
+
+
+@query(
+    f"WITH benchmark AS (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS item_id, source || ' -a -l --token show the files' AS text FROM documents), {_scores_sql(_SOURCE_TEXT)} "
+    "SELECT * FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 3"
+)
+def l16_command_retrieval(spark, sf_dir):
+    """The best three rows for each drafted command with its flags; here a draft per source."""
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    text = command_query(F.concat("source", F.lit(" -al --token=x /y")), F.lit("show the files"))
+    drafts = sources.select(F.substring("source", 4, 20).cast("long").alias("item_id"), text.alias("text"))
+    scores = _lexical(spark, sf_dir, F.concat_ws(" ", "source", "text"), drafts).withColumn("score", F.round("score", 6))
+    return top(scores, 3, [F.desc("score"), F.col("doc_id")])
+
+
+@query(f"WITH {_vectors_sql('q', 'item_id', 'prefixed', '(SELECT item_id, $$search_query: $$ || text AS prefixed FROM benchmark)')} SELECT item_id, idx, round(value, 5) AS value FROM q")
+def l13_query_prefix(spark, sf_dir):
+    """Vectors of queries with the embedder's prefix, which lexical terms never see."""
+    queries = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("search_query: "), "text").alias("text"))
+    return hashed_vectors(occurrences(queries, "item_id"), "item_id").withColumn("value", F.round("value", 5))
