@@ -17,6 +17,10 @@ def ascii_lower_sql(x: str) -> str:
     return f"translate({x}, '{UPPER}', '{LOWER}')"
 
 
+#: A text that this expression finds has a token.
+TOKEN = r"[\p{IsAlphabetic}\p{N}_-]"
+
+
 def tokens(c) -> Column:
     """Runs of letters, digits, ``-`` and ``_`` in ASCII lower case."""
     return F.filter(F.split(ascii_lower(c), r"[^\p{IsAlphabetic}\p{N}_-]+"), lambda t: t != "")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens, tokens_sql
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 #: Ids per block of two-level running sums: no task gets all rows.
 BLOCK = 4096
@@ -41,17 +41,17 @@ def document_frequency(posted: DataFrame) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len({tokens_sql('text')}) AS BIGINT) AS n_tokens FROM documents")
 def k1_token_counts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens("text")).cast("long").alias("n_tokens"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.size(tokens("text")).cast("long").alias("n_tokens"))
 
 
 @query(f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token")
 def b1_postings_df(spark, sf_dir):
-    return document_frequency(postings(table(spark, sf_dir, "documents")))
+    return document_frequency(postings(spread(table(spark, sf_dir, "documents"))))
 
 
 @query(f"SELECT token, count(*) AS occurrences FROM (SELECT unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY token")
 def b2_postings_occurrences(spark, sf_dir):
-    return occurrences(table(spark, sf_dir, "documents")).groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"))
+    return occurrences(spread(table(spark, sf_dir, "documents"))).groupBy("token").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
 @query(f"SELECT count(*) AS n FROM documents WHERE len({tokens_sql('text')}) > 0")

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import bucket_and_sign, bucket_and_sign_sql
-from ..functions.text import ascii_lower, ascii_lower_sql, tokens, tokens_sql
+from ..functions.text import TOKEN, ascii_lower, ascii_lower_sql, tokens, tokens_sql
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import sent, spread, table
 from .index import document_frequency, occurrences, postings
 
 DIM = 384
@@ -24,13 +24,14 @@ def lexical_scores(posted: DataFrame, terms: DataFrame, n_docs: DataFrame, q: st
     """item_id, doc_id, score.  A term weighs ``idf * (1 + ln(1 + qtf))``; covering all terms adds 0.2.
 
     Postings are cut to the queries' tokens before anything is counted, so the frequency of no other
-    token is shuffled."""
+    token is shuffled.  What is left is dealt by document once: counting and scoring share that
+    exchange, texts are split into tokens once, and a frequent token is in no one task."""
     wanted = terms.select("token").distinct()
-    used = posted.join(wanted, "token", "left_semi")
+    used = posted.join(sent(wanted, terms), "token", "left_semi").select(d, "token").repartition(d)
     weighted = terms.join(document_frequency(used), "token").crossJoin(F.broadcast(n_docs))
     idf = F.greatest(F.lit(0.0), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
     weighted = weighted.select(q, "token", "terms", (idf * (1 + F.log1p("qtf"))).alias("w"))
-    out = used.join(weighted, "token").groupBy(q, d).agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("m"), F.first("terms").alias("t"))
+    out = used.join(sent(weighted, terms), "token").groupBy(q, d).agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("m"), F.first("terms").alias("t"))
     return out.select(q, d, (F.col("s") + 0.2 * F.col("m") / F.col("t")).alias("score"))
 
 
@@ -67,8 +68,9 @@ def l1_query_tf(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir, text: str | Column = "text", queries: DataFrame | None = None) -> DataFrame:
-    posted = postings(table(spark, sf_dir, "documents"), text=text)
-    n = table(spark, sf_dir, "documents").where(F.size(tokens(text)) > 0).agg(F.count(F.lit(1)).alias("n"))
+    docs = spread(table(spark, sf_dir, "documents"))
+    posted = postings(docs, text=text)
+    n = table(spark, sf_dir, "documents").where(F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(TOKEN))).agg(F.count(F.lit(1)).alias("n"))
     queries = table(spark, sf_dir, "benchmark") if queries is None else queries
     return lexical_scores(posted, query_terms(queries), n)
 
@@ -147,7 +149,7 @@ def hybrid(spark, sf_dir, lexical_k: int = 50, min_score: float = 0.0) -> DataFr
     """item_id, doc_id, source, score: lexical plus vector score plus boosts of the lexical candidates.
 
     Texts are met again for the candidates alone; scoring carries ids."""
-    docs = table(spark, sf_dir, "documents").withColumn("whole", F.concat_ws(" ", "source", "lang", "text"))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("whole", F.concat_ws(" ", "source", "lang", "text"))
     queries = table(spark, sf_dir, "benchmark").select("item_id", "text")
     lexical = _lexical(spark, sf_dir, F.concat_ws(" ", "source", "lang", "text")).withColumn("by", F.round("score", 6))
     candidates = top(lexical, lexical_k, [F.desc("by"), F.col("doc_id")]).select("item_id", "doc_id", "score")

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import redact, redact_sql, tokens
 from ..registry import query
-from ..sources.tables import SECRETS_SQL, secret_lines, table
+from ..sources.tables import SECRETS_SQL, secret_lines, spread, table
 
 
 @query(f"WITH {SECRETS_SQL}, r AS (SELECT doc_id, text, {redact_sql('text')} AS out FROM secret_lines) SELECT doc_id, sha256(out) AS digest, text <> out AS redacted, CAST(len(regexp_extract_all(out, '<redacted>')) AS BIGINT) AS n FROM r")
 def r1_redacted(spark, sf_dir):
     """Redacted text (R1, R2), whether anything changed, and how often."""
-    rows = secret_lines(spark, sf_dir).withColumn("out", redact(F.col("text")))
+    rows = spread(secret_lines(spark, sf_dir)).withColumn("out", redact(F.col("text")))
     return rows.select("doc_id", F.sha2(F.col("out").cast("binary"), 256).alias("digest"), (F.col("text") != F.col("out")).alias("redacted"), F.regexp_count("out", F.lit("<redacted>")).cast("long").alias("n"))
 
 

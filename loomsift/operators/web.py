@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ENTITIES, squeeze, unescape, unescape_sql, word_count, word_count_sql
 from ..registry import query
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 # What goes from a page before its content is chosen, in order.
 NOISE = [r"(?is)<!--.*?-->", r"(?is)<(?:script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>", r"(?is)<(img|picture|source|svg|canvas)[^>]*?/?>"]
@@ -129,12 +129,12 @@ _SELECTED = (
 
 @query(f"{_SELECTED} SELECT page_id, method, CAST({word_count_sql('content')} AS BIGINT) AS words FROM sel")
 def w2_content_strategy(spark, sf_dir):
-    return selected(table(spark, sf_dir, "pages")).select("page_id", "method", word_count("content").cast("long").alias("words"))
+    return selected(spread(table(spark, sf_dir, "pages"))).select("page_id", "method", word_count("content").cast("long").alias("words"))
 
 
 @query(f"{_SELECTED} SELECT page_id, sha256({_markdown_sql('content')}) AS digest FROM sel")
 def w5_markdown(spark, sf_dir):
-    return selected(table(spark, sf_dir, "pages")).select("page_id", F.sha2(markdown(F.col("content")).cast("binary"), 256).alias("digest"))
+    return selected(spread(table(spark, sf_dir, "pages"))).select("page_id", F.sha2(markdown(F.col("content")).cast("binary"), 256).alias("digest"))
 
 
 @query(
@@ -145,7 +145,7 @@ def w5_markdown(spark, sf_dir):
     "b AS (SELECT *, lag(blank) OVER (PARTITION BY page_id ORDER BY pos) AS before FROM f) SELECT page_id, pos, line FROM b WHERE NOT blank OR NOT coalesce(before, true)"
 )
 def w11_markdown_dedupe(spark, sf_dir):
-    return deduped_lines(selected(table(spark, sf_dir, "pages")).select("page_id", markdown(F.col("content")).alias("md")), "page_id", "md")
+    return deduped_lines(selected(spread(table(spark, sf_dir, "pages"))).select("page_id", markdown(F.col("content")).alias("md")), "page_id", "md")
 
 
 @query(
@@ -159,7 +159,7 @@ def w17_status(spark, sf_dir):
     for m in MARKERS:
         dynamic = dynamic | low.contains(m)
     status = F.when(F.char_length(markdown(F.col("content"))) >= max(LEAST, 80), "ok").when(dynamic, "dynamic_content_unavailable").otherwise("insufficient_content")
-    return selected(table(spark, sf_dir, "pages")).select("page_id", status.alias("status"))
+    return selected(spread(table(spark, sf_dir, "pages"))).select("page_id", status.alias("status"))
 
 
 def clean_url(url: Column) -> Column:

@@ -10,6 +10,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table whose files may hold it in fewer row groups than there are cores.
+SMALL = 1 << 28
+#: Bytes of a side that may be sent to all tasks.
+SENT = 1 << 23
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """What the optimizer expects ``df`` to hold, from the sizes of the files that it reads."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where it is small and its splits may be one row group; a large table
+    has a row group for every core and is read as it is."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if planned_bytes(df) < SMALL else df
+
+
+def sent(df: DataFrame, by: DataFrame | None = None) -> DataFrame:
+    """``df`` marked for broadcast where it, or the table ``by`` that bounds its rows, is small enough;
+    else the join shuffles."""
+    return F.broadcast(df) if planned_bytes(df if by is None else by) <= SENT else df
+
+
 def manual_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part_key, command_name, raw: one manual page per part."""
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("command_name"), F.expr(_RAW.format(name="lower(replace(p_name, ' ', '-'))")).alias("raw"))
