@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import bucket_and_sign, bucket_and_sign_sql
 from ..functions.text import TOKEN, ascii_lower, ascii_lower_sql, tokens, tokens_sql
 from ..registry import query
+from ..sources.formats import stored
 from ..sources.tables import sent, spread, table
 from .index import document_frequency, occurrences, postings
 
@@ -148,12 +149,13 @@ _HYBRID = (
 def hybrid(spark, sf_dir, lexical_k: int = 50, min_score: float = 0.0) -> DataFrame:
     """item_id, doc_id, source, score: lexical plus vector score plus boosts of the lexical candidates.
 
-    Texts are met again for the candidates alone; scoring carries ids."""
+    Texts are met again for the candidates alone; scoring carries ids.  The candidates, at most
+    ``lexical_k`` rows a query, are stored, as three branches use them."""
     docs = spread(table(spark, sf_dir, "documents")).withColumn("whole", F.concat_ws(" ", "source", "lang", "text"))
     queries = table(spark, sf_dir, "benchmark").select("item_id", "text")
     lexical = _lexical(spark, sf_dir, F.concat_ws(" ", "source", "lang", "text")).withColumn("by", F.round("score", 6))
-    candidates = top(lexical, lexical_k, [F.desc("by"), F.col("doc_id")]).select("item_id", "doc_id", "score")
-    own = docs.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    candidates = stored(top(lexical, lexical_k, [F.desc("by"), F.col("doc_id")]).select("item_id", "doc_id", "score"), "candidates")
+    own = docs.join(sent(candidates.select("doc_id").distinct(), candidates), "doc_id", "left_semi")
     qv = hashed_vectors(occurrences(queries, "item_id"), "item_id").select("item_id", "idx", F.col("value").alias("qv"))
     dv = hashed_vectors(occurrences(own, text="whole"), "doc_id").select("doc_id", "idx", F.col("value").alias("dv"))
     dots = candidates.select("item_id", "doc_id").join(qv, "item_id").join(dv, ["doc_id", "idx"]).groupBy("item_id", "doc_id").agg(F.sum(F.col("qv") * F.col("dv")).alias("dot"))

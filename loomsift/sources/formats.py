@@ -18,6 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once in the shared folder and read back: what several branches use is computed
+    once, and a lost executor doesn't bring its lineage back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def round_trip(df: DataFrame, formats: list[str]) -> DataFrame:
     """The union of ``df`` as each format gives it back, under its own schema."""
     base = f"{shared_folder(df.sparkSession)}/formats-{uuid.uuid4().hex}"
