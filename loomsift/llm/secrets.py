@@ -37,8 +37,16 @@ BASE_RULES = [
     Rule("access", r"AKIA[A-Z0-9]+", (0, 20)),
     Rule("hex", r"[0-9a-f]{24,}", (0, 24)),
 ]
+#: A private key goes from its header to its END line; without one, to the end of its base64 lines (line
+#: breaks may be written as \\n).  A short last line counts only if it stands alone or is padded.
+_BREAK = r"(?:\s|\\[rn])+"
+_KEY_BODY = (
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}(?:Proc-Type|DEK-Info|Version|Comment):[^\r\n\\]*)*(?:{_BREAK}[A-Za-z0-9+/=]{{16,}})+"
+    rf"(?:{_BREAK}[A-Za-z0-9+/]{{1,15}}=|\r?\n[A-Za-z0-9+/]{{1,15}}(?=\r?\n|\Z))?=?)?"
+)
 MORE_RULES = [
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----" + _KEY_BODY),
     Rule("code_host", r"gh[opsru]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud_key", r"AIza[0-9A-Za-z_-]{35}"),

@@ -62,6 +62,22 @@ def test_redact(docs, corpus):
     assert secrets.redact(docs).count() == len(corpus)
 
 
+def test_private_keys_are_redacted_whole(spark):
+    lines = ["MIIEpAIBAAKCAQEA" + c * 48 for c in "abc"]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\n".join([*lines, "Zm9v"])
+    texts = [
+        f"x\n{head}\n{body}\n{end}\ny", f"x\n{head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n\nstays y", f"x {head} is a header y", f"x {head}\\n" + "\\n".join(lines) + f"\\n{end} y",
+        f"x {head} {' '.join(lines)} Zm8= y", f"{head} two {head}\n{body}\n{end} y",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(rows).collect()}
+    key = "<private_key>"
+    assert got == {0: f"x\n{key}\ny", 1: f"x\n{key}\n\nstays y", 2: f"x {key} is a header y", 3: f"x {key} y", 4: f"x {key} y", 5: f"{key} two {key} y"}
+    spans = {r.doc_id: r.spans for r in secrets.secret_spans(rows).collect()}
+    assert texts[0][spans[0][0].start : spans[0][0].end] == f"{head}\n{body}\n{end}"
+
+
 def test_kept_words(docs, corpus):
     n = substring.WINDOW
     first = {}
