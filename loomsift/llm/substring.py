@@ -8,6 +8,9 @@ its windows and factors each document's stretch greedily against it: a factor gr
 window continues the same reference, and where it ends the next window is looked up anew, so windows
 across a factor's or a stretch's border are checked too.  A factor has ``WINDOW`` words at least.
 
+A row's place is its id and the hash of its text (``_text_key``), so texts under one id, or under none, keep
+their own words; their order is that of the hashes.
+
 Each task combines its own repeats before it hands windows on, so a passage that a third of all
 documents share arrives at a block once per task, not once per document.
 """
@@ -25,6 +28,8 @@ from .common import NULL_ID, partitions, public_id, tidy
 from .kernels import Words, mix64, ngrams, ranges, words
 
 WINDOW, ANCHOR = 20, 6
+#: Columns that say which rows are one document.
+PLACE = ["_id", "_text_key"]
 #: Anchors or windows that a task gathers before it combines and hands on what it has.
 FLUSH = 6_000_000
 
@@ -62,32 +67,32 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, _id, pos, known.  known 0: the only one of this task; 1: the first of several; 2: a later
+    """key, _id, _text_key, pos, known.  known 0: the only one of this task; 1: the first of several; 2: a later
     one, repeated for sure, which needs no partner and is dealt by its own place."""
-    names = ["key", "_id", "pos", "known"]
+    names = ["key", "_id", "_text_key", "pos", "known"]
     parts, n = [], 0
 
     def combine():
-        key, ids, pos = _concat(parts)
+        key, ids, texts, pos = _concat(parts)
         order = np.argsort(key, kind="stable")
-        key, ids, pos = key[order], ids[order], pos[order]
+        key, ids, texts, pos = (x[order] for x in (key, ids, texts, pos))
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         several = np.diff(np.append(np.flatnonzero(first), len(key))) > 1
         known = np.full(len(key), 2, np.int8)
         known[first] = several
-        spread = mix64(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))
-        return _batch(names, _signed(np.where(known == 2, spread, key)), ids, pos.astype(np.int32), known)
+        spread = mix64((ids.astype(np.uint64) ^ texts.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))
+        return _batch(names, _signed(np.where(known == 2, spread, key)), ids, texts, pos.astype(np.int32), known)
 
     for batch in batches:
-        keys = batch[0].to_numpy()
+        keys, text_keys = batch[0].to_numpy(), batch["_text_key"].to_numpy()
         for w in words(batch[1]):
             _, begin, anchor, at = _windows(w)
             if len(begin):
                 new = np.ones(len(at), bool)
                 new[1:] = at[1:] != at[:-1]
                 doc = np.searchsorted(w.first, at[new], side="right") - 1
-                parts.append((anchor[new], keys[w.row0 + doc], at[new] - w.first[doc]))
+                parts.append((anchor[new], keys[w.row0 + doc], text_keys[w.row0 + doc], at[new] - w.first[doc]))
                 n += len(doc)
         if n > FLUSH:
             yield combine()
@@ -97,19 +102,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, pos of the anchors of one partition that occur more than once."""
+    """_id, _text_key, pos of the anchors of one partition that occur more than once."""
     parts = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
     if parts:
-        key, ids, pos, known = _concat(parts)
+        names = ["_id", "_text_key", "pos"]
+        key, ids, texts, pos, known = _concat(parts)
         sure = known == 2
-        yield _batch(["_id", "pos"], ids[sure], pos[sure])
-        key, ids, pos, known = (x[~sure] for x in (key, ids, pos, known))
+        yield _batch(names, ids[sure], texts[sure], pos[sure])
+        key, ids, texts, pos, known = (x[~sure] for x in (key, ids, texts, pos, known))
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         again = (count > 1) | (np.bincount(inverse, known, len(count)) > 0)
-        yield _batch(["_id", "pos"], ids[again[inverse]], pos[again[inverse]])
+        again = again[inverse]
+        yield _batch(names, ids[again], texts[again], pos[again])
 
 
-STRETCH = "key long, _id long, start int, size int, windows binary, ref_id long, ref_start int"
+STRETCH = "key long, _id long, _text_key long, start int, size int, windows binary, ref_id long, ref_start int"
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,29 +127,29 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, n = [], 0
 
     def combine():
-        win, anchor, ids, pos = _concat(parts)
-        order = np.lexsort((pos, ids, anchor, win))
-        win, anchor, ids, pos = (x[order] for x in (win, anchor, ids, pos))
+        win, anchor, ids, texts, pos = _concat(parts)
+        order = np.lexsort((pos, texts, ids, anchor, win))
+        win, anchor, ids, texts, pos = (x[order] for x in (win, anchor, ids, texts, pos))
         first = np.ones(len(win), bool)
         first[1:] = (win[1:] != win[:-1]) | (anchor[1:] != anchor[:-1])
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        # A row that repeats an id has the same place as the other: neither is earlier.
-        same = (ids == ids[lead]) & (pos == pos[lead]) & ~first
-        ref_id, ref_pos = ids[lead], pos[lead]
-        order = np.lexsort((pos, ids))
+        # A row that repeats an id and its text has the same place as the other: neither is earlier.
+        same = (ids == ids[lead]) & (texts == texts[lead]) & (pos == pos[lead]) & ~first
+        ref_id, ref_text, ref_pos = ids[lead], texts[lead], pos[lead]
+        order = np.lexsort((pos, texts, ids))
         order = order[~same[order]]
-        win, anchor, ids, pos, first, ref_id, ref_pos = (x[order] for x in (win, anchor, ids, pos, first, ref_id, ref_pos))
-        yield from _runs(win[first], anchor[first], ids[first], pos[first])
+        win, anchor, ids, texts, pos, first, ref_id, ref_text, ref_pos = (x[order] for x in (win, anchor, ids, texts, pos, first, ref_id, ref_text, ref_pos))
+        yield from _runs(win[first], anchor[first], ids[first], texts[first], pos[first])
         late = ~first
-        ids, pos, ref_id, ref_pos = ids[late], pos[late], ref_id[late], ref_pos[late]
-        start, size = _factors(ids, pos, ref_id, ref_pos)
+        ids, texts, pos, ref_id, ref_text, ref_pos = (x[late] for x in (ids, texts, pos, ref_id, ref_text, ref_pos))
+        start, size = _factors(ids, texts, pos, ref_id, ref_text, ref_pos)
         yield _batch(
             [x.split()[0] for x in STRETCH.split(", ")],
-            _signed(mix64(ids[start].astype(np.uint64) + np.uint64(1))), ids[start], pos[start].astype(np.int32), size.astype(np.int32), pa.nulls(len(start), pa.binary()), ref_id[start], ref_pos[start].astype(np.int32),
+            _signed(mix64((ids[start] ^ texts[start]).astype(np.uint64) + np.uint64(1))), ids[start], texts[start], pos[start].astype(np.int32), size.astype(np.int32), pa.nulls(len(start), pa.binary()), ref_id[start], ref_pos[start].astype(np.int32),
         )
 
     for batch in batches:
-        keys, marks = batch[0].to_numpy(), batch[2]
+        keys, text_keys, marks = batch[0].to_numpy(), batch["_text_key"].to_numpy(), batch["marks"]
         offsets, values = marks.offsets.to_numpy(), marks.flatten().to_numpy()
         offsets = offsets - offsets[0]
         for w in words(batch[1]):
@@ -156,7 +163,7 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = marked[at]
             begin = begin[keep]
             doc = np.searchsorted(w.first, begin, side="right") - 1
-            parts.append((win[keep], anchor[keep], keys[w.row0 + doc], begin - w.first[doc]))
+            parts.append((win[keep], anchor[keep], keys[w.row0 + doc], text_keys[w.row0 + doc], begin - w.first[doc]))
             n += len(doc)
         if n > FLUSH:
             yield from combine()
@@ -165,10 +172,10 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from combine()
 
 
-def _runs(win, anchor, ids, pos) -> Iterator[pa.RecordBatch]:
+def _runs(win, anchor, ids, texts, pos) -> Iterator[pa.RecordBatch]:
     """Stretch rows of windows in the order of document and place."""
     cut = np.ones(len(win), bool)
-    cut[1:] = (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1] + 1)
+    cut[1:] = (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (pos[1:] != pos[:-1] + 1)
     start = np.flatnonzero(cut)
     ends = np.append(start[1:], len(win))
     for a in range(0, len(start), 100_000):
@@ -177,18 +184,19 @@ def _runs(win, anchor, ids, pos) -> Iterator[pa.RecordBatch]:
             offsets = np.append(s, e[-1]) - s[0]
             blob = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(win[s[0] : e[-1]].tobytes())])
             n = pa.nulls(len(s), pa.int64())
-            yield _batch([x.split()[0] for x in STRETCH.split(", ")], _signed(anchor[s]), ids[s], pos[s].astype(np.int32), (e - s).astype(np.int32), blob, n, n.cast(pa.int32()))
+            yield _batch([x.split()[0] for x in STRETCH.split(", ")], _signed(anchor[s]), ids[s], texts[s], pos[s].astype(np.int32), (e - s).astype(np.int32), blob, n, n.cast(pa.int32()))
 
 
-def _factors(ids, pos, ref_id, ref_pos) -> tuple[np.ndarray, np.ndarray]:
+def _factors(ids, texts, pos, ref_id, ref_text, ref_pos) -> tuple[np.ndarray, np.ndarray]:
     """First windows and numbers of windows of maximal factors: places and references both go on."""
     cut = np.ones(len(ids), bool)
-    cut[1:] = (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1] + 1) | (ref_id[1:] != ref_id[:-1]) | (ref_pos[1:] != ref_pos[:-1] + 1)
+    cut[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (pos[1:] != pos[:-1] + 1)
+    cut[1:] |= (ref_id[1:] != ref_id[:-1]) | (ref_text[1:] != ref_text[:-1]) | (ref_pos[1:] != ref_pos[:-1] + 1)
     start = np.flatnonzero(cut)
     return start, np.diff(np.append(start, len(ids)))
 
 
-FACTOR = "_id long, start int, size int, ref_id long, ref_start int"
+FACTOR = "_id long, _text_key long, start int, size int, ref_id long, ref_start int"
 
 
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,36 +211,38 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if new.num_rows:
             size = new["size"].to_numpy()
             win = np.frombuffer(b"".join(new["windows"].to_pylist()), np.uint64)
-            parts.append((np.repeat(new["key"].to_numpy(), size), win, np.repeat(new["_id"].to_numpy(), size), ranges(new["start"].to_numpy(), size)))
+            parts.append((np.repeat(new["key"].to_numpy(), size), win, np.repeat(new["_id"].to_numpy(), size), np.repeat(new["_text_key"].to_numpy(), size), ranges(new["start"].to_numpy(), size)))
     if not parts:
         return
-    key, win, ids, pos = _concat(parts)
-    order = np.lexsort((pos, ids, win, key))
-    key, win, ids, pos = (x[order] for x in (key, win, ids, pos))
+    key, win, ids, texts, pos = _concat(parts)
+    order = np.lexsort((pos, texts, ids, win, key))
+    key, win, ids, texts, pos = (x[order] for x in (key, win, ids, texts, pos))
     first = np.ones(len(key), bool)
     first[1:] = (key[1:] != key[:-1]) | (win[1:] != win[:-1])
     lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    late = (ids != ids[lead]) | (pos != pos[lead])
-    ids, pos, ref_id, ref_pos = ids[late], pos[late], ids[lead][late], pos[lead][late]
-    order = np.lexsort((pos, ids))
-    ids, pos, ref_id, ref_pos = (x[order] for x in (ids, pos, ref_id, ref_pos))
-    start, size = _factors(ids, pos, ref_id, ref_pos)
-    yield _batch(names, ids[start], pos[start].astype(np.int32), size.astype(np.int32), ref_id[start], ref_pos[start].astype(np.int32))
+    late = (ids != ids[lead]) | (texts != texts[lead]) | (pos != pos[lead])
+    lead = lead[late]
+    ids, texts, pos, ref_id, ref_text, ref_pos = ids[late], texts[late], pos[late], ids[lead], texts[lead], pos[lead]
+    order = np.lexsort((pos, texts, ids))
+    ids, texts, pos, ref_id, ref_text, ref_pos = (x[order] for x in (ids, texts, pos, ref_id, ref_text, ref_pos))
+    start, size = _factors(ids, texts, pos, ref_id, ref_text, ref_pos)
+    yield _batch(names, ids[start], texts[start], pos[start].astype(np.int32), size.astype(np.int32), ref_id[start], ref_pos[start].astype(np.int32))
 
 
 def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (_id, _text and more) dealt by id once, and the factors of all documents."""
+    """``rows`` (_id, _text, _text_key and more) dealt by place once, and the factors of all documents."""
     n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, "_id")
-    anchors = rows.select("_id", "_text").mapInArrow(tidy(_anchor_rows), "key long, _id long, pos int, known byte").repartition(n, "key")
-    marks = anchors.mapInArrow(tidy(_repeated), "_id long, pos int").groupBy("_id").agg(F.array_distinct(F.collect_list("pos")).alias("marks"))
-    stretches = dealt.join(marks, "_id").select("_id", "_text", "marks").mapInArrow(tidy(_stretches), STRETCH)
+    dealt = rows.repartition(n, *PLACE)
+    anchors = rows.select("_id", "_text", "_text_key").mapInArrow(tidy(_anchor_rows), "key long, _id long, _text_key long, pos int, known byte").repartition(n, "key")
+    marks = anchors.mapInArrow(tidy(_repeated), "_id long, _text_key long, pos int").groupBy(*PLACE).agg(F.array_distinct(F.collect_list("pos")).alias("marks"))
+    stretches = dealt.join(marks, PLACE).select("_id", "_text", "_text_key", "marks").mapInArrow(tidy(_stretches), STRETCH)
     return dealt, stretches.repartition(n, "key").mapInArrow(tidy(_factor), FACTOR)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *kept)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_text_key"), *kept)
 
 
 def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,15 +270,16 @@ def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A window of ``WINDOW`` words is repeated if its words also start earlier: in a document of
     smaller id, or earlier in the same.  Windows are judged on the input.  A null text has no words;
-    a null id counts as smaller than all others and stays null; rows that repeat an id are judged
-    alike, as one place; an empty table gives no rows.
+    a null id counts as smaller than all others and stays null; different texts under one id (or null) are
+    different documents, ordered by a hash; rows that repeat an id and its text are judged alike, as one
+    place; an empty table gives no rows.
     """
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in words(batch[1]):
                 n = len(w.first) - 1
-                gone = _covered(w, batch[2])
+                gone = _covered(w, batch["spans"])
                 size = np.where(gone, 0, w.end - w.start + 1)
                 source = np.append(w.data, np.uint8(32))
                 out = source[ranges(w.start, size)]
@@ -281,8 +292,8 @@ def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield _batch(["_id", "n_words", "n_removed", "kept"], batch[0].slice(w.row0, n), np.diff(w.first).astype(np.int64), np.diff(removed).astype(np.int64), pa.array(kept, pa.binary()).cast(pa.string()))
 
     rows, factors = _dealt(_rows(docs, id_col, text_col, False))
-    spans = factors.groupBy("_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    out = rows.join(spans, "_id", "left").mapInArrow(tidy(finish), "_id long, n_words long, n_removed long, kept string")
+    spans = factors.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    out = rows.join(spans, PLACE, "left").select("_id", "_text", "spans").mapInArrow(tidy(finish), "_id long, n_words long, n_removed long, kept string")
     return out.select(public_id(), "n_words", "n_removed", "kept")
 
 
@@ -294,7 +305,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts = batch[1].to_pylist()
             for w in words(batch[1]):
-                gone = _covered(w, batch[3])
+                gone = _covered(w, batch["spans"])
                 raw = w.data.tobytes()
                 doc_end = np.searchsorted(w.first, np.flatnonzero(gone), side="right") - 1
                 for i in np.unique(doc_end).tolist():
@@ -303,10 +314,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     starts = np.append(w.start[a:b], w.end[b - 1] if end is not None else w.end[b - 1])
                     keep = ~gone[a:b]
                     texts[w.row0 + i] = b"".join(raw[x:y] for x, y, k in zip(starts[:-1].tolist(), starts[1:].tolist(), keep.tolist()) if k).decode("utf-8", "replace").rstrip(" \t\n\v\f\r")
-            yield _batch(["_row", "_cut"], batch[2], pa.array(texts, pa.string()))
+            yield _batch(["_row", "_cut"], batch["_row"], pa.array(texts, pa.string()))
 
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).schema["_row"].dataType
     rows, factors = _dealt(_rows(docs, id_col, text_col, True))
-    spans = factors.groupBy("_id").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    out = rows.join(spans, "_id", "left").select("_id", "_text", "_row", "spans").mapInArrow(tidy(cut), f"_row {kind.simpleString()}, _cut string")
+    spans = factors.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    out = rows.join(spans, PLACE, "left").select("_id", "_text", "_row", "spans").mapInArrow(tidy(cut), f"_row {kind.simpleString()}, _cut string")
     return out.select(*[F.when(F.col("_row")[c].isNotNull(), F.col("_cut")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -104,6 +104,34 @@ def test_kept_words(docs, corpus):
     assert all(r.n_words >= n for r in substring.duplicate_factors(docs).collect())
 
 
+def test_repeats_under_one_id(spark):
+    """Null and repeated ids with texts of different lengths: each text loses its own words alone."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    text = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(5, text("a", 30) + " " + passage)]
+    for i in (None, 9):
+        rows += [(i, text(f"b{i}", 100) + " " + passage), (i, text(f"c{i}", 200)), (i, "short"), (i, text(f"d{i}", 25)), (i, text(f"e{i}", 60) + " " + passage)]
+    rows += [rows[1], rows[2]]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.kept_words(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert Counter((i, n) for i, n, _, _ in got.elements()) == Counter((i, len(t.split())) for i, t in rows)
+    free = {(i, t) for i, t in rows if passage not in t}
+    assert {(i, kept) for i, _, gone, kept in got if not gone and passage not in kept} == free
+    whole = {(i, kept) for i, _, gone, kept in got if passage in kept}
+    assert len(whole) == 1 and next(iter(whole))[0] is None, "the passage stays once, under the smallest id"
+    assert all(gone == 40 and (i, kept + " " + passage) in rows for i, _, gone, kept in got if gone)
+    cut = {(r.doc_id, r.text) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert cut == {(i, kept) for i, _, _, kept in got}
+
+
+def test_near_dedup_keeps_repeated_rows_once(spark):
+    import corpus_pipeline
+
+    rows = [(None, "x y z"), (None, "x y z"), (None, "other"), (None, None), (None, None), (3, "one two"), (3, "one two"), (4, "one two"), (5, "else")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == Counter([(None, "x y z"), (None, "other"), (None, None), (3, "one two"), (5, "else")])
+
+
 def shingles(text):
     w = words_of((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
