@@ -29,7 +29,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; a null id is no group's.  Of
     rows that repeat an id (or null) and its text, one is kept."""
-    return _by_id(docs, jaccard.near_duplicates(docs).where("component_id is null or component_id = doc_id")).dropDuplicates(["doc_id", "text"])
+    return _by_id(docs, jaccard.near_duplicates(docs, count_links=False).where("component_id is null or component_id = doc_id")).dropDuplicates(["doc_id", "text"])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

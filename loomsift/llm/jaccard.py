@@ -6,7 +6,10 @@ tokens.  Documents of one token and of compatible sizes form a block.  Each bloc
 documents against leaders; those that link form groups.  For every group the matrix row, its token
 union, is kept as hashed token columns: a document's tokens outside the union bound its overlap with
 every member, and only groups that the bound leaves are opened.  Each candidate is verified on whole
-texts, so the links are exact.  Within a group nothing is compared again, as it is connected already.
+texts, so the links are exact.  Within a group nothing is compared again to connect it.
+
+Links are counted once components are known: sets that link are in one component, whose different sets
+are dealt to cells, pairs of buckets, and compared there all with all.
 
 Equal sets are one document here, from their tasks on.  A token of very many documents is dealt over
 several blocks, each of which meets the documents outside the token's main group.
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, ids_and_text, materialize, partitions, public_id, small_batches, tidy
-from .kernels import mix64, shingle_sets
+from .kernels import mix64, ranges, shingle_sets
 
 SHINGLE, PERCENT = 5, 80
 #: Frequent tokens that all tasks know, at most; the order of the others is that of their hashes.
@@ -33,6 +36,10 @@ HOT_LEAST, BLOCK_DOCS = 8, 2048
 ID_BITS = 1 << 26
 #: Least block keys of a document that go along with it, so that few blocks give out the same pair.
 LEAST_KEYS = 16
+#: Different sets of a component per bucket; a cell compares two buckets.
+CELL_DOCS = 1024
+#: Documents of a cell from which a token is counted by a matrix product; rarer ones are paired. Tokens per product.
+CELL_HOT, CELL_TOKENS = 32, 4096
 #: Pairs of texts per Arrow batch.
 PAIR_ROWS = 512
 
@@ -340,12 +347,116 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("_id")).agg(F.min("v").alias("label")).unionByName(edges.select(F.col("v").alias("_id"), F.col("v").alias("label")).distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _common(sets: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+    """Common tokens of each set that is not ``right`` (rows) and each that is (columns)."""
+    size = np.array([len(x) for x in sets])
+    token, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(sets)), size)
+    place = np.empty(len(sets), np.int64)  # row or column
+    place[right], place[~right] = np.arange(right.sum()), np.arange((~right).sum())
+    rows, columns = int((~right).sum()), int(right.sum())
+    out = np.zeros((rows, columns), np.float32)
+    hot = np.flatnonzero(count >= CELL_HOT)
+    slot = np.full(len(token), -1, np.int64)
+    slot[hot] = np.arange(len(hot))
+    at, side = slot[inverse], right[doc]
+    for a in range(0, len(hot), CELL_TOKENS):
+        own = (at >= a) & (at < a + CELL_TOKENS)
+        x, y = np.zeros((rows, CELL_TOKENS), np.float32), np.zeros((columns, CELL_TOKENS), np.float32)
+        x[place[doc[own & ~side]], at[own & ~side] - a] = 1
+        y[place[doc[own & side]], at[own & side] - a] = 1
+        out += x @ y.T
+    few = (count > 1) & (count < CELL_HOT)
+    own = np.flatnonzero(few[inverse] & ~side)
+    other = np.flatnonzero(few[inverse] & side)
+    other = other[np.argsort(inverse[other], kind="stable")]
+    n = np.bincount(inverse[other], minlength=len(token))
+    begin = np.cumsum(n) - n
+    flat = out.reshape(-1)
+    for a in range(0, len(own), 200_000):
+        some = own[a : a + 200_000]
+        each = n[inverse[some]]
+        partner = other[ranges(begin[inverse[some]], each)]
+        cell = np.repeat(place[doc[some]], each) * columns + place[doc[partner]]
+        cell, k = np.unique(cell, return_counts=True)
+        flat[cell] += k
+    return out
+
+
+def _cell_links(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """How many documents of a cell each set links with.  ``copies``: documents of each set; ``side``:
+    0 and 1 for the buckets of a cell of two, 2 for all of a cell of one bucket with itself."""
+    n = np.zeros(len(sets), np.int64)
+    if len(sets) < 2 or len(np.unique(side)) < 2 and side[0] != 2:
+        return n
+    one = side[0] == 2
+    right = np.arange(2 * len(sets)) >= len(sets) if one else side == 1
+    size = np.array([len(x) for x in sets])
+    left = np.arange(len(sets)) if one else np.flatnonzero(~right)
+    over = left if one else np.flatnonzero(right)
+    common = _common(sets + sets if one else sets, right).astype(np.int64)
+    link = (common > 0) & (100 * common >= PERCENT * (size[left][:, None] + size[over][None, :] - common))
+    if one:
+        np.fill_diagonal(link, False)
+    n[left] += link @ copies[over]
+    if not one:
+        n[over] += copies[left] @ link
+    return n
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_id, n: linked documents of each set in each cell; a cell's rows follow each other."""
+    held: list[tuple] = []
+    now = None
+
+    def close():
+        ids, copies, side, sets = zip(*held)
+        n = _cell_links(list(sets), np.array(copies, np.int64), np.array(side))
+        return _batch("_id n", pa.array(ids, pa.int64()), n)
+
+    for batch in batches:
+        cells = list(zip(*(batch[c].to_pylist() for c in ("label", "lo", "hi"))))
+        ids, copies, side = (batch[c].to_pylist() for c in ("_id", "copies", "side"))
+        for i, tokens in _sets(batch.select(["_id", "_text"])):
+            if cells[i] != now and held:
+                yield close()
+                held = []
+            now = cells[i]
+            held.append((ids[i], copies[i], side[i], tokens.copy()))
+    if held:
+        yield close()
+
+
+def _link_counts(rows: DataFrame, groups: DataFrame, classes: DataFrame, copies: DataFrame) -> DataFrame:
+    """rep, links: for each set, named by its smallest id, the documents of other sets that link with it."""
+    n = partitions(rows.sparkSession)
+    reps = groups.join(copies.select("_id"), "_id", "left_anti").join(classes.select(F.col("rep").alias("_id"), F.col("n").alias("copies")), "_id", "left")
+    reps = reps.select("_id", "label", F.coalesce("copies", F.lit(1)).alias("copies"))
+    sizes = reps.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("copies").alias("all"))
+    reps = materialize(reps.join(sizes.where("sets > 1"), "label"), "members")
+    # Two sets that are a whole component link.
+    pairs = reps.where("sets = 2").select("_id", (F.col("all") - F.col("copies")).alias("n"))
+    many = reps.where("sets > 2").withColumn("buckets", F.ceil(F.col("sets") / CELL_DOCS).cast("int"))
+    texts = _texts_of(rows, many.select("_id")).dropDuplicates(["_id"])
+    own, other = F.pmod(F.xxhash64("_id"), F.col("buckets")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))
+    cells = many.select("_id", "label", "copies", own.alias("own"), other.alias("other")).select(
+        "_id", "label", "copies", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"),
+    )
+    # Named by ids first: texts meet their cells once and go to them at once.
+    placed = cells.join(texts, "_id").repartition(n, "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+    with small_batches(rows.sparkSession, PAIR_ROWS):
+        counted = materialize(placed.select("_id", "_text", "label", "lo", "hi", "copies", "side").mapInArrow(tidy(_cells), "_id long, n long").union(pairs), "counts")
+    return counted.groupBy(F.col("_id").alias("rep")).agg(F.sum("n").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every row.
 
     A document's set is its distinct shingles of ``SHINGLE`` lower-cased words (A-Z; fewer words:
     all as one).  Documents link at a Jaccard index of ``PERCENT``/100 or more; component_id is the
-    smallest id reachable.  n_links counts the verified links that were needed to connect it.  A null
+    smallest id reachable.  n_links counts the documents that it links with; without ``count_links`` it
+    is null and the counting is saved.  A null
     or empty text has an empty set, which links with nothing; a null id links with nothing and has a
     null component; rows that repeat an id are one document in links; an empty table gives no rows.
     """
@@ -359,7 +470,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     got = often.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
     order = spark.sparkContext.broadcast(_Order(got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()))
 
-    classes = usable.groupBy("a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    classes = usable.groupBy("a", "b").agg(F.min("_id").alias("rep"), F.countDistinct("_id").alias("n")).where("n > 1")
     copies = materialize(usable.select("_id", "a", "b").join(classes, ["a", "b"]).where("_id <> rep").select("_id", "rep"), "copies")
 
     posted = rows.mapInArrow(tidy(_postings(order)), "token long, deal int, _id long, size int").repartition(n, "token", "deal")
@@ -400,10 +511,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = _verified(second, rows)
     every = links.union(more)
     final = components(every.union(same))
-    count = every.union(same).select(F.explode(F.array("x", "y")).alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("n_links"))
-    out = sets.select("_id", "size").join(final, "_id", "left").join(count, "_id", "left")
     component = F.when(F.col("_id") != NULL_ID, F.coalesce("label", "_id"))
-    return out.select(public_id(), F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = sets.select("_id", "size", "a", "b").join(final, "_id", "left")
+    links_of = F.lit(None).cast("long")
+    if count_links:
+        counts = _link_counts(rows, final, classes, copies)
+        out = out.join(classes, ["a", "b"], "left").withColumn("rep", F.coalesce("rep", "_id")).join(counts, "rep", "left")
+        usual = (F.col("size") > 0) & (F.col("_id") != NULL_ID)
+        links_of = F.when(usual, F.coalesce("n", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).otherwise(0).cast("long")
+    return out.select(public_id(), F.col("size").alias("n_shingles"), component.alias("component_id"), links_of.alias("n_links"))
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -184,6 +184,26 @@ def test_many_near_copies(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("cell", [1024, 7])
+def test_every_link_is_counted(spark, monkeypatch, cell):
+    """Near copies that all link, a chain, exact copies, a repeated row, null ids and loners."""
+    base = [f"w{i}" for i in range(100)]
+    rows, words = [(None, " ".join(base)), (1, None), (2, ""), (3, "alone")], list(base)
+    for i in range(40):
+        words[(7 * i) % 100] = f"v{i}"
+        rows.append((1000 - i, " ".join(words)))
+    rows += [(2000 + i, " ".join(base[:50] + [f"u{i // 2}"] + base[51:])) for i in range(60)]
+    rows += [(3000 + i, "a pair of texts that are the same but for one more word here or there and so they link" + " x" * (i == 2)) for i in range(3)] + [(2000, rows[44][1])]
+    monkeypatch.setattr(jaccard, "CELL_DOCS", cell)
+    monkeypatch.setattr(jaccard, "CELL_HOT", 5 if cell == 7 else 32)
+    monkeypatch.setattr(jaccard, "CELL_TOKENS", 16 if cell == 7 else 4096)
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    want = {i: sum(j != i and bool(x & y) and 100 * len(x & y) >= 80 * len(x | y) for j, y in sets.items()) for i, x in sets.items()}
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((i, want.get(i, 0)) for i, _ in rows)
+    assert min(want[2000 + i] for i in range(60)) >= 59 and want[3002] == 2
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7), (300, 299)]
     got = {r._id: r.label for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
