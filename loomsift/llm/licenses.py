@@ -2,7 +2,10 @@
 
 Words that are unique in both the text and a template are anchors; the longest increasing
 subsequence of their positions is kept, and the gaps between anchors are aligned in the same way
-again.  The share of the template's words that are aligned is its coverage.
+again.  A text that holds a template twice, or its words elsewhere too, has few anchors or none: windows
+of the text that hold enough of the template's words are then aligned exactly, by longest common
+subsequences on bits, and the best of all alignments counts.  The share of the template's words that are
+aligned is its coverage.
 """
 
 from __future__ import annotations
@@ -97,6 +100,67 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _subsequence(text: list[str], places: dict[str, int], size: int) -> list[int]:
+    """Bits of each row of the table of longest common subsequences: a zero is one word more.
+    ``places`` has the bits of a template of ``size`` words at which each word stands."""
+    full = (1 << size) - 1
+    row, out = full, []
+    for w in text:
+        both = row & places.get(w, 0)
+        row = ((row + both) | (row - both)) & full
+        out.append(row)
+    return out
+
+
+def _length(rows: list[int], size: int) -> int:
+    return size - rows[-1].bit_count() if rows else 0
+
+
+def windows(text: list[str], template: list[str], least: float, known: int = 0) -> list[tuple[int, int]]:
+    """The best alignment within a window of twice the template's words and 8, the first of equal ones,
+    if it has more than ``known`` words and ``least`` of the template; else none."""
+    m, have = len(template), Counter(template)
+    width = 2 * m + 8
+    places: dict[str, int] = {}
+    for j, w in enumerate(template):
+        places[w] = places.get(w, 0) | 1 << j
+    hits = [i for i, w in enumerate(text) if w in places]
+    within: Counter = Counter()
+    most, end, best, start = 0, 0, known, -1
+    for k, i in enumerate(hits):
+        while end < len(hits) and hits[end] < i + width:
+            w = text[hits[end]]
+            within[w] += 1
+            most += within[w] <= have[w]
+            end += 1
+        if most >= least * m and most > best:
+            got = _length(_subsequence([text[h] for h in hits[k:end]], places, m), m)
+            if got > best and got >= least * m:
+                best, start = got, k
+                if best == m:
+                    break
+        most -= within[text[i]] <= have[text[i]]
+        within[text[i]] -= 1
+    if start < 0:
+        return []
+    own = [h for h in hits[start:] if h < hits[start] + width]
+    length = lambda a, b: _length(_subsequence([text[h] for h in own[a:b]], places, m), m)
+    last = bisect.bisect_left(range(len(own)), best, key=lambda b: length(0, b + 1)) + 1
+    first = bisect.bisect_left(range(last), -best + 1, key=lambda a: -length(a, last)) - 1
+    own = own[first:last]
+    rows, out = _subsequence([text[h] for h in own], places, m), []
+    i, j = len(own), m
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((own[i], j))
+    return out[::-1]
+
+
 def license_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> DataFrame:
     """doc_id, license, coverage, first_word, last_word, matches of every row.
 
@@ -140,6 +204,8 @@ def license_coverage(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     for k in names:
                         name, template = list(split_.items())[k]
                         pairs = patience(text, template)
+                        if len(pairs) < len(template):
+                            pairs = windows(text, template, least, len(pairs)) or pairs
                         if len(pairs) >= least * len(template):
                             found.append({"license": name, "coverage": len(pairs) / len(template), "first_word": pairs[0][0], "last_word": pairs[-1][0], "aligned": len(pairs)})
                     best = max(found, key=lambda f: (f["coverage"], f["aligned"]), default=None)

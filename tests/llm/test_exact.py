@@ -342,6 +342,35 @@ def test_licenses(spark):
     assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:])) and len(pairs) == 5
 
 
+def test_licenses_given_twice_or_in_long_texts(spark):
+    import random
+
+    rng = random.Random(2)
+    mit, isc = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["ISC"]
+    notice = "Released under the MIT License."
+    noise = "license x mit x the x under x released x x x x x x x x x x " * 40
+    rows = [
+        (1, f"a b {notice} c d {notice} e f"), (2, f"{mit} x {mit}"), (3, "q " + " ".join([notice] * 50) + " q"), (4, noise + " z " * 30 + notice + " z " * 30 + noise),
+        (5, f"x {mit} y {mit.replace('free of charge', 'for no money')} {isc} {isc}"), (6, ("mit z z z z z z z z z under z z z z z z z z z z released z z z z z z z z z license the " * 9)),
+    ]
+    got = {r.doc_id: r for r in licenses.license_coverage(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(licenses.tokens(mit))
+    assert [(got[i].license, got[i].coverage, got[i].first_word, got[i].last_word) for i in (1, 2, 3, 5)] == [("MIT-notice", 1, 2, 6), ("MIT", 1, 0, n - 1), ("MIT-notice", 1, 1, 5), ("MIT", 1, 1, n)]
+    at = len(licenses.tokens(noise)) + 30
+    assert (got[4].license, got[4].coverage, got[4].first_word, got[4].last_word) == ("MIT-notice", 1, at, at + 4)
+    assert {x.license for x in got[5].matches} >= {"MIT", "ISC"} and got[6].license is None
+    for _ in range(300):
+        text, template = [[rng.choice("abcdef") for _ in range(rng.randrange(1, k))] for k in (14, 8)]
+        table = [[0] * (len(template) + 1) for _ in range(len(text) + 1)]
+        for i, w in enumerate(text):
+            for j, v in enumerate(template):
+                table[i + 1][j + 1] = table[i][j] + 1 if w == v else max(table[i][j + 1], table[i + 1][j])
+        pairs = licenses.windows(text, template, 0.0)
+        if len(text) <= 2 * len(template) + 8:
+            assert len(pairs) == table[-1][-1]
+        assert all(text[i] == template[j] for i, j in pairs) and all(p < q and x < y for (p, x), (q, y) in zip(pairs, pairs[1:]))
+
+
 def test_quality(spark):
     import random
 
