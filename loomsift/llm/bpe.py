@@ -1,8 +1,9 @@
 """Byte-level BPE over whole Arrow batches.
 
-``Splitter`` finds the words of the byte-level pattern with array operations on code points;
-``Encoder`` keeps a table from word hash to ids, so that a word is encoded once and looked up after.
-The vocabulary file is a parameter and is read by path on each executor.
+``split`` finds the words of the byte-level pattern with array operations on code points; ``WordTable``
+numbers distinct words, where a hash finds a word and its bytes decide; ``Encoder`` keeps the ids of the
+numbered words, so that a word is encoded once and looked up after.  The vocabulary file is a parameter
+and is read by path on each executor.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pathlib import Path
 
 import numpy as np
 
-from .kernels import mix64, ranges, span_sums
+from .kernels import ranges, same_spans, span_hashes
 
 SPACE, LETTER, NUMBER, OTHER, BREAK = range(5)
 # Code points with the Unicode property White_Space.
@@ -57,11 +58,19 @@ class Chunk:
         points[self.breaks] = _SENTINEL
         self.start, self.end = _spans(points)
         self.first = np.searchsorted(self.start, np.concatenate(([0], self.breaks + 1)))
-        self.points = points
+        raw = self.text.encode()
+        #: UTF-8 bytes, with eight to spare, and the words' places there.
+        self.data = np.frombuffer(raw + bytes(8), np.uint8)
+        if len(raw) == len(points):
+            self.byte_start, self.byte_end = self.start, self.end
+        else:
+            points[self.breaks] = 0x0A
+            wide = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            at = np.concatenate(([0], np.cumsum(wide)))
+            self.byte_start, self.byte_end = at[self.start], at[self.end]
 
     def hashes(self) -> np.ndarray:
-        values = mix64(self.points.astype(np.uint64) + np.uint64(0x51ED270B))
-        return mix64(span_sums(values, self.start, self.end) + (self.end - self.start).astype(np.uint64))
+        return span_hashes(self.data, self.byte_start, self.byte_end)
 
 
 def _spans(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,11 +165,83 @@ class HashTable:
             at[todo] = np.where(self.values[at[todo]] >= 0, (at[todo] + 1) & self.mask, at[todo])
 
 
+class Spans:
+    """Words that follow each other in ``data``, which has eight bytes to spare."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray) -> None:
+        self.data, self.byte_end = data, np.cumsum(size)
+        self.byte_start = self.byte_end - size
+
+    def hashes(self) -> np.ndarray:
+        return span_hashes(self.data, self.byte_start, self.byte_end)
+
+
+class WordTable:
+    """Consecutive numbers of distinct words.  Words whose hash belongs to another word are kept by text."""
+
+    def __init__(self) -> None:
+        self.table, self.other = HashTable(), {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint8), 0
+        self.at, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    @property
+    def n(self) -> int:
+        return self.table.n
+
+    def words(self, first: int = 0) -> list[str]:
+        """The words from number ``first`` on."""
+        raw, base = self.pool[self.at[first] if first < self.n else self.used : self.used].tobytes(), 0
+        out = []
+        for size in self.size[first:].tolist():
+            out.append(raw[base : base + size].decode())
+            base += size
+        return out
+
+    def _store(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        total = int(size.sum())
+        if self.used + total + 8 > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(self.used, total) + total + 8, np.uint8)))
+        self.pool[self.used : self.used + total] = data[ranges(start, size)]
+        self.at = np.concatenate((self.at, self.used + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.used += total
+        self.table.add(keys)
+
+    def numbers(self, chunk: Chunk | Spans, add: bool = True) -> np.ndarray:
+        """The number of each word; without ``add``, -1 for words that have none."""
+        h, start = chunk.hashes(), chunk.byte_start
+        size = chunk.byte_end - start
+        found = self.table.find(h)
+        missing = np.flatnonzero(found < 0)
+        if add and len(missing):
+            keys, one = np.unique(h[missing], return_index=True)
+            one = missing[one]
+            self._store(keys, chunk.data, start[one], size[one])
+            found[missing] = self.table.find(h[missing])
+        if not self.n:
+            return found
+        known = np.maximum(found, 0)
+        differs = (found >= 0) & (self.size[known] != size)
+        same = np.flatnonzero((found >= 0) & ~differs)
+        differs[same] = ~same_spans(self.pool, self.at[found[same]], chunk.data, start[same], size[same])
+        for i in np.flatnonzero(differs).tolist():
+            word = chunk.data[start[i] : start[i] + size[i]].tobytes()
+            if word not in self.other:
+                if not add:
+                    found[i] = -1
+                    continue
+                key = next(k for k in range(len(self.other), 1 << 62) if self.table.find(np.array([k], np.uint64))[0] < 0)
+                self.other[word] = self.n
+                self._store(np.array([key], np.uint64), chunk.data, start[i : i + 1], size[i : i + 1])
+            found[i] = self.other[word]
+        return found
+
+
 class Encoder:
     """Ids of whole documents, as the tokenizers library gives them for the same file."""
 
-    #: Words kept before the table starts anew: it bounds the memory, not the results.
-    MOST_WORDS = 1_500_000
+    #: Words, and bytes of words, kept before the table starts anew: they bound the memory, not the results.
+    MOST_WORDS, MOST_BYTES = 1_500_000, 1 << 26
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -174,7 +255,7 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.table, self.pool, self.used = HashTable(), np.zeros(1 << 16, np.int32), 0
+        self.table, self.pool, self.used = WordTable(), np.zeros(1 << 16, np.int32), 0
         self.offset, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _fast(self, path: str):
@@ -219,21 +300,16 @@ class Encoder:
 
     def numbers(self, chunk: Chunk) -> np.ndarray:
         """The table's number of each word of the chunk; new words are encoded, each once."""
-        h = chunk.hashes()
-        found = self.table.find(h)
-        missing = np.flatnonzero(found < 0)
-        if len(missing):
-            keys, one = np.unique(h[missing], return_index=True)
-            at, to = chunk.start[missing[one]].tolist(), chunk.end[missing[one]].tolist()
-            flat, size = self.encode_words([chunk.text[a:b] for a, b in zip(at, to, strict=True)])
+        before = self.table.n
+        found = self.table.numbers(chunk)
+        if self.table.n > before:
+            flat, size = self.encode_words(self.table.words(before))
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
             self.pool[self.used : self.used + len(flat)] = flat
             self.offset = np.concatenate((self.offset, self.used + np.cumsum(size) - size))
             self.length = np.concatenate((self.length, size))
             self.used += len(flat)
-            self.table.add(keys)
-            found[missing] = self.table.find(h[missing])
         return found
 
     def batches(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -241,7 +317,7 @@ class Encoder:
         special = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
         plain = texts if not special else ["" if i in set(special) else t for i, t in enumerate(texts)]
         for chunk in split(plain):
-            if self.table.n > self.MOST_WORDS:
+            if self.table.n > self.MOST_WORDS or self.table.used > self.MOST_BYTES:
                 self._clear()
             number = self.numbers(chunk)
             size = self.length[number]
@@ -264,6 +340,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@functools.cache
 def pieces(path: str) -> tuple[np.ndarray, np.ndarray]:
     """Id-to-piece table: all pieces' bytes and their offsets by id."""
     from tokenizers import Tokenizer

@@ -7,6 +7,7 @@ so memory is bounded by the chunk or the longest document.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,45 +20,84 @@ CHUNK_BYTES = 1 << 19
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Spans of more bytes are hashed, or compared, one at a time.
+LONG = 64
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first k bytes of a lane
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, element by element."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            n = max(n, 2 * len(self.up))
-            for name, base in (("up", _BASE), ("down", _BASE_INV)):
-                steps = np.full(n, base & _MASK, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def span_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of ``values[s:e]`` for every span, independent of where the span lies."""
-    n = len(values)
-    up, down = _POWERS.get(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(values * up[:n], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def pair64(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return mix64(x * _STEP + y)
+
+
+def lanes(data: np.ndarray, padded: bool = False) -> np.ndarray:
+    """The eight bytes from each byte on, as a number; ``padded``: ``data`` has eight bytes to spare."""
+    if not padded:
+        data = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes.  Eight bytes at a time are mixed in, long spans are digested."""
+    size = end - start
+    at = lanes(data)
+    out = mix64((size.astype(np.uint64) * _SEED) ^ (at[start] & _FIRST[np.minimum(size, 8)]))
+    own, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(own):
+        out[own] = mix64(out[own] ^ (at[start[own] + k] & _FIRST[np.minimum(size[own] - k, 8)]))
+        k += 8
+        own = own[size[own] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def same_spans(one: np.ndarray, start: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``one[s:s + n]`` and ``other[b:b + n]`` are equal, for every span.  Both have eight bytes to spare."""
+    out = np.ones(len(size), bool)
+    x, y = lanes(one, True), lanes(other, True)
+    own, k = np.flatnonzero(size <= LONG), 0
+    while len(own := own[size[own] > k]):
+        out[own] &= ((x[start[own] + k] ^ y[begin[own] + k]) & _FIRST[np.minimum(size[own] - k, 8)]) == 0
+        k += 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = np.array_equal(one[start[i] : start[i] + size[i]], other[begin[i] : begin[i] + size[i]])
+    return out
+
+
+def runs(values: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every ``n`` consecutive values, from pairs of pairs."""
+    if len(values) < n:
+        return values[:0]
+    power, width, out, have = values, 1, None, 0
+    while True:
+        if n & width:
+            out = power if out is None else pair64(out[: len(values) - have - width + 1], power[have:])
+            have += width
+        if 2 * width > n:
+            return mix64(out + np.uint64(n))
+        power = pair64(power[:-width], power[width:])
+        width *= 2
+
+
+def whole(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each short run ``values[s:s + n]``, n from 1 on."""
+    out = values[starts]
+    for k in range(1, int(sizes.max(initial=0))):
+        own = np.flatnonzero(sizes > k)
+        out[own] = pair64(out[own], values[starts[own] + k])
+    return mix64(out + sizes.astype(np.uint64))
 
 
 @dataclass
@@ -76,8 +116,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        size = (self.end - self.start).astype(np.uint64)
-        return mix64(span_sums(_BYTE[self.data], self.start, self.end) + size * np.uint64(0xD6E8FEB86659FD93))
+        return span_hashes(self.data, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         """The document (counted from 0 in this chunk) of each word."""
@@ -133,7 +172,7 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     """Hashes of all runs of ``n`` words within one document, and the index of each run's first word."""
     count = np.maximum(np.diff(first) - n + 1, 0)
     at = np.arange(count.sum()) + np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-    return mix64(span_sums(hashes, at, at + n) + np.uint64(n)), at
+    return runs(hashes, n)[at] if len(at) else hashes[:0], at
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -142,8 +181,9 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
-def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, sorted distinct shingle hashes of all rows, offsets per row) by chunk.
+def shingles(column: pa.Array, n: int = 5) -> Iterator[tuple[Words, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lower-cased words, sorted distinct shingle hashes of all rows, the first words of these shingles,
+    offsets per row) by chunk.
 
     A row with fewer than ``n`` words has its whole word sequence as one shingle, a row without
     words has none.
@@ -155,11 +195,16 @@ def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[tuple[int, np.ndarray
         count = np.diff(w.first)
         short = np.flatnonzero((count > 0) & (count < n))
         if len(short):
-            whole = mix64(span_sums(h, w.first[short], w.first[short + 1]) + count[short].astype(np.uint64))
-            grams, docs = np.concatenate((grams, whole)), np.concatenate((docs, short))
+            grams, docs, at = np.concatenate((grams, whole(h, w.first[short], count[short]))), np.concatenate((docs, short)), np.concatenate((at, w.first[short]))
         order = np.lexsort((grams, docs))
         grams, docs = grams[order], docs[order]
         keep = np.ones(len(grams), dtype=bool)
         keep[1:] = (grams[1:] != grams[:-1]) | (docs[1:] != docs[:-1])
         grams, docs = grams[keep], docs[keep]
-        yield w.row0, grams, np.searchsorted(docs, np.arange(len(w.first)))
+        yield w, grams, at[order[keep]], np.searchsorted(docs, np.arange(len(w.first)))
+
+
+def shingle_sets(column: pa.Array, n: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, sorted distinct shingle hashes of all rows, offsets per row) by chunk, as in ``shingles``."""
+    for w, grams, _, offsets in shingles(column, n):
+        yield w.row0, grams, offsets
