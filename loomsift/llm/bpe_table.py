@@ -1,34 +1,36 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Words are split in Spark tasks and counted; each distinct word is encoded once, into a table that
-is written to the shared folder.  Its most frequent words (a fixed number of short ones, so the
-size is bounded) go to all tasks; the occurrences of all others are joined with the table by word,
-and come back to their document by position.  Documents travel as compressed blocks of a range of
-ids, the ids that a block needs are joined on the block.  Decoding joins ids with their pieces, of
-which a vocabulary has a fixed number.
+is written to the shared folder.  Its ids are joined with their pieces, of which a vocabulary has a
+fixed number, so each distinct word is decoded once too.  The table's most frequent words (a fixed
+number of short ones, so the size is bounded) go to all tasks, which compare words byte by byte; the
+occurrences of all others are joined with the table by word.  Both come back to their document by
+position: its ids are its words' ids, its decoded text is its words' decoded pieces.  Documents travel
+as compressed blocks of a range of ids, the ids that a block needs are joined on the block.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import HashTable, encoder, pieces, split, vocabulary
-from .common import ids_and_text, materialize, public_id
-from .kernels import ranges
+from .bpe import Spans, WordTable, encoder, pieces, split, vocabulary
+from .common import NULL_ID, ids_and_text, materialize, public_id
+from .kernels import ranges, same_spans
 
 HEAD_WORDS = 1 << 19
 HEAD_BYTES = 64
 #: Document ids per block.
 BLOCK = 256
-#: Distinct words that a task holds before it hands its counts on.
-FLUSH = 400_000
+#: Distinct words, and bytes of them, that a task holds before it hands its counts on.
+FLUSH, FLUSH_BYTES = 400_000, 1 << 25
 
 
 def _plain(texts: list[str], special: list[str]) -> tuple[list[str], list[list[str]]]:
@@ -36,8 +38,6 @@ def _plain(texts: list[str], special: list[str]) -> tuple[list[str], list[list[s
 
     A text with k special tokens becomes k + 1 texts; the second list has, per original text, the
     specials between them."""
-    import re
-
     cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
     out, between = [], []
     for t in texts:
@@ -52,52 +52,108 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(vocab).special
-        table, names, n = HashTable(), [], np.zeros(0, np.int64)
+        table, n = WordTable(), np.zeros(0, np.int64)
 
         def out():
-            own = pa.array(names, pa.string())
+            own = pa.array(table.words(), pa.string())
             order = pa.compute.sort_indices(own)  # neighbours that look alike compress well on their way
-            return pa.RecordBatch.from_arrays([own.take(order), pa.array(n[: len(names)]).take(order)], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([own.take(order), pa.array(n[: len(own)]).take(order)], names=["word", "n"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 for chunk in split(_plain(batch[1].slice(at, 1024).to_pylist(), special)[0]):
-                    h = chunk.hashes()
-                    found = table.find(h)
-                    missing = np.flatnonzero(found < 0)
-                    if len(missing):
-                        keys, one = np.unique(h[missing], return_index=True)
-                        a, b = chunk.start[missing[one]].tolist(), chunk.end[missing[one]].tolist()
-                        names += [chunk.text[x:y] for x, y in zip(a, b)]
-                        table.add(keys)
-                        found[missing] = table.find(h[missing])
-                    if len(n) < len(names):
-                        n = np.concatenate((n, np.zeros(max(len(names), 1 << 16), np.int64)))
+                    found = table.numbers(chunk)
+                    if len(n) < table.n:
+                        n = np.concatenate((n, np.zeros(max(table.n, 1 << 16), np.int64)))
                     n += np.bincount(found, minlength=len(n))
-                    if len(names) > FLUSH:
+                    if table.n > FLUSH or table.used > FLUSH_BYTES:
                         yield out()
-                        table, names, n = HashTable(), [], np.zeros(0, np.int64)
+                        table, n = WordTable(), np.zeros(0, np.int64)
         yield out()
 
     return docs.select("_id", "_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_table(words: DataFrame, vocab: str) -> DataFrame:
-    """word, n, ids (little-endian, 16 bits where the vocabulary allows): each distinct word is encoded
-    here, once."""
+    """word, n, ids: each distinct word is encoded here, once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocab)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, size = coder.encode_words(batch["word"].to_pylist())
-            width = _width(coder)
-            offsets = np.concatenate(([0], np.cumsum(width.itemsize * size.astype(np.int64)))).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(width).tobytes())])
-            yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], blob], names=["word", "n", "ids"])
+            if batch.num_rows:
+                ids, size = coder.encode_words(batch["word"].to_pylist())
+                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["word", "n", "ids"])
+
+    return words.mapInArrow(encode, "word string, n long, ids array<int>")
+
+
+def piece_table(spark: SparkSession, vocab: str) -> DataFrame:
+    """id, piece: a row per id of the vocabulary."""
+    data, at = pieces(vocab)
+    raw = data.tobytes()
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(at) - 1), pa.int32()), "piece": pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())}))
+
+
+def decode_table(table: DataFrame, vocab: str) -> DataFrame:
+    """word, n, ids (little-endian, 16 bits where the vocabulary allows), decoded (binary; null if it is
+    the word): ids joined with their pieces.
+
+    The pieces are the side that is sent, so a word's rows stay together in the order of its ids."""
+    width = _width(encoder(vocab))
+    each = table.select("word", "n", "ids", F.posexplode_outer("ids").alias("pos", "id"))
+    each = each.join(F.broadcast(piece_table(table.sparkSession, vocab)), "id", "left")
+    each = each.select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("word")).alias("word"), "n", "id", "pos", F.coalesce("piece", F.lit(b"")).alias("piece"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def out(rows: pa.Table) -> pa.RecordBatch:
+            (rows,) = rows.combine_chunks().to_batches()
+            pos = rows["pos"].fill_null(0).to_numpy()
+            first = np.flatnonzero(pos == 0)
+            cuts = np.append(first, len(pos))
+            if (pos != np.arange(len(pos)) - np.repeat(first, np.diff(cuts))).any():
+                raise RuntimeError("ids of a word came out of order")
+            raw = [_binary(rows[c]) for c in ("piece", "word")]
+            (data, at), (words, to) = raw
+            at, to = at[cuts], to[cuts]
+            size = np.diff(to)
+            same = np.diff(at) == size
+            own = np.flatnonzero(same)
+            same[own] = same_spans(np.append(data, np.zeros(8, np.uint8)), at[own], np.append(words, np.zeros(8, np.uint8)), to[own], size[own])
+            whole = data.tobytes()
+            decoded = [None if s else whole[a:b] for s, a, b in zip(same.tolist(), at[:-1].tolist(), at[1:].tolist())]
+            count = np.diff(cuts) * ~rows["pos"].is_null().to_numpy(zero_copy_only=False)[first]
+            ids = rows["id"].drop_null().to_numpy().astype(width)
+            ends = np.concatenate(([0], np.cumsum(width.itemsize * count))).astype(np.int32)
+            blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
+            take = pa.array(first)
+            return pa.RecordBatch.from_arrays([rows["word"].take(take), rows["n"].take(take), blob, pa.array(decoded, pa.binary())], names=["word", "n", "ids", "decoded"])
 
-    return words.mapInArrow(encode, "word string, n long, ids binary")
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            starts = np.flatnonzero(rows["pos"].fill_null(0).to_numpy() == 0)
+            if len(starts):
+                last = int(starts[-1])  # the next batch may go on with this word
+                if last:
+                    yield out(rows.slice(0, last))
+                held = rows.slice(last)
+            else:
+                held = rows if rows.num_rows else held
+        if held is not None and held.num_rows:
+            yield out(held)
+
+    return each.mapInArrow(join, "word string, n long, ids binary, decoded binary")
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a column of strings or bytes; nulls count as empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
 def _width(coder) -> np.dtype:
@@ -106,32 +162,25 @@ def _width(coder) -> np.dtype:
 
 
 class _Head:
-    """The words that every task has: from word hash to ids.  Hashes, sizes and ids travel; the table
-    is built where it is used."""
+    """The words that every task has, their ids and, where they differ, decoded pieces.  Bytes, sizes and
+    ids travel; the table of words is built where it is used."""
 
-    def __init__(self, words: list[str], blobs: list[bytes], width: np.dtype) -> None:
-        keys = np.concatenate([c.hashes() for c in _as_words(words)]) if words else np.zeros(0, np.uint64)
-        self.__setstate__((keys, np.array([len(b) // width.itemsize for b in blobs], np.uint8), np.frombuffer(b"".join(blobs), width)))
+    def __init__(self, words: list[str], blobs: list[bytes], decoded: list[bytes | None], width: np.dtype) -> None:
+        raw = [w.encode() for w in words]
+        state = np.array([len(w) for w in raw], np.uint8), b"".join(raw), np.array([len(b) // width.itemsize for b in blobs], np.uint8), np.frombuffer(b"".join(blobs), width)
+        self.__setstate__((*state, {i: d for i, d in enumerate(decoded) if d is not None}))
 
     def __getstate__(self):
-        return self.keys, self.size.astype(np.uint8), self.packed
+        return self.state
 
     def __setstate__(self, state) -> None:
-        self.keys, size, self.packed = state
-        self.size, self.pool = size.astype(np.int32), self.packed.astype(np.int32)
-        self.offset = np.cumsum(self.size) - self.size
-        self.table = HashTable()
-        if len(self.keys):
-            self.table.add(self.keys)
-
-
-def _as_words(words: list[str]):
-    """Chunks in which each given word is one word, whatever it is made of."""
-    for at in range(0, len(words), 1 << 14):
-        (chunk,) = split(words[at : at + (1 << 14)], limit=1 << 40)
-        begin = np.concatenate(([0], chunk.breaks[:-1] + 1))
-        chunk.start, chunk.end = begin, chunk.breaks
-        yield chunk
+        self.state = word_size, raw, size, packed, changed = state
+        self.table = WordTable()
+        number = self.table.numbers(Spans(np.frombuffer(raw + bytes(8), np.uint8), word_size.astype(np.int64))) if len(word_size) else np.zeros(0, np.int64)
+        self.size, self.offset = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
+        self.size[number], self.offset[number] = size, np.cumsum(size.astype(np.int64)) - size
+        self.pool = packed.astype(np.int32)
+        self.changed = {int(number[i]): d for i, d in changed.items()}
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None) -> DataFrame:
@@ -143,11 +192,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     vocab = vocab or vocabulary()
     spark = docs.sparkSession
     rows = ids_and_text(docs, id_col, text_col)
-    table = materialize(encode_table(word_counts(rows, vocab), vocab), "words")
+    table = materialize(decode_table(encode_table(word_counts(rows, vocab), vocab), vocab), "words")
     top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    got = top.select("word", "n", "ids").toArrow()
-    head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), _width(encoder(vocab))))
-    rest = table.select("word", "ids") if got.num_rows < HEAD_WORDS else table.where((F.col("n") <= min(got["n"].to_pylist())) | (F.octet_length("word") > HEAD_BYTES)).select("word", "ids")
+    got = top.select("word", "n", "ids", "decoded").toArrow()
+    head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist(), _width(encoder(vocab))))
+    rest = table.select("word", "ids", "decoded")
+    if got.num_rows >= HEAD_WORDS:
+        rest = table.where((F.col("n") <= min(got["n"].to_pylist())) | (F.octet_length("word") > HEAD_BYTES)).select("word", "ids", "decoded")
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(vocab).special
@@ -160,7 +211,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 words, doc, pos = [], [], []
                 seen = np.zeros(len(texts), np.int64)
                 for chunk in split(plain):
-                    found = head.value.table.find(chunk.hashes())
+                    found = head.value.table.numbers(chunk, add=False)
                     own = owner[chunk.row0 + np.repeat(np.arange(len(chunk.first) - 1), np.diff(chunk.first))]
                     per = np.bincount(own, minlength=len(texts))
                     within = np.arange(len(own)) - (np.cumsum(per) - per)[own] + seen[own]
@@ -178,12 +229,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=9)
         for batch in batches:
-            block = np.floor_divide(batch[0].to_numpy(), BLOCK)
+            block = batch["block"].to_numpy()
             order = np.argsort(block, kind="stable")
             cuts = np.flatnonzero(np.diff(block[order])) + 1
             out = []
             for own in np.split(order, cuts) if len(order) else []:
-                part = batch.take(pa.array(own))
+                part = batch.take(pa.array(own)).drop_columns(["block"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema) as writer:
                     writer.write_batch(part)
@@ -192,8 +243,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocab)
-        piece, piece_at = pieces(vocab)
-        plain_head = head.value
         special_ids = {t.content: i for i, t in coder.tokenizer.get_added_tokens_decoder().items()}
         for batch in batches:
             for b in range(batch.num_rows):
@@ -203,40 +252,46 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 patches: dict = {}
                 if batch["patches"][b].is_valid:
                     p = batch["patches"][b].values
-                    for key, mark, pos, ids in zip(*(p.field(i).to_pylist() for i in range(4))):
-                        patches.setdefault((key, mark), {})[pos] = ids
+                    for key, mark, pos, ids, decoded in zip(*(p.field(i).to_pylist() for i in range(5))):
+                        patches.setdefault((key, mark), {})[pos] = ids, decoded
                 for lo in range(0, len(texts), 64):
-                    yield _finish(keys[lo : lo + 64], texts[lo : lo + 64], prints[lo : lo + 64], patches, plain_head, special_ids, coder.special, piece, piece_at, _width(coder))
+                    yield _finish(keys[lo : lo + 64], texts[lo : lo + 64], prints[lo : lo + 64], patches, head.value, special_ids, coder.special, _width(coder))
 
-    marked = rows.withColumn("_print", F.hash("_text"))
+    marked = rows.withColumn("_print", F.xxhash64("_text"))
+    # Rows without an id are dealt by their texts.
+    block = F.when(F.col("_id") == NULL_ID, F.col("_print")).otherwise(F.floor(F.col("_id") / BLOCK)).alias("block")
     patches = (
-        marked.mapInArrow(tails, "word string, _id long, _print int, pos int")
+        marked.mapInArrow(tails, "word string, _id long, _print long, pos int")
         .join(rest, "word")
-        .groupBy(F.floor(F.col("_id") / BLOCK).alias("block"))
-        .agg(F.collect_list(F.struct("_id", "_print", "pos", "ids")).alias("patches"))
+        .groupBy(block)
+        .agg(F.collect_list(F.struct("_id", "_print", "pos", "ids", "decoded")).alias("patches"))
     )
-    whole = marked.mapInArrow(blocks, "block long, rows binary").join(patches, "block", "left").select("rows", "patches")
+    whole = marked.withColumn("block", block).mapInArrow(blocks, "block long, rows binary").join(patches, "block", "left").select("rows", "patches")
     out = whole.mapInArrow(finish, "_id long, n_tokens long, ids binary, decoded string")
     return out.select(public_id(), "n_tokens", "ids", "decoded")
 
 
-def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, piece, piece_at, width) -> pa.RecordBatch:
+def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, width) -> pa.RecordBatch:
     """Ids and decoded text of some documents, from the head and the joined ids of other words."""
     plain, between = _plain(texts, special)
-    parts: list[np.ndarray] = []
     segment_words = np.zeros(len(plain), np.int64)
     numbers = []
     for chunk in split(plain):
-        numbers.append(head.table.find(chunk.hashes()))
+        numbers.append(head.table.numbers(chunk, add=False))
         segment_words[chunk.row0 : chunk.row0 + len(chunk.first) - 1] = np.diff(chunk.first)
     number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
+    odd = np.isin(number, list(head.changed)) if head.changed else np.zeros(len(number), bool)
     at, segment = 0, 0
-    for key, mark, cut in zip(keys, prints, between, strict=True):
-        n = int(segment_words[segment : segment + len(cut) + 1].sum())
+    parts: list[np.ndarray] = []
+    decoded: list[str] = []
+    for key, mark, cut, text in zip(keys, prints, between, texts, strict=True):
+        segments = segment_words[segment : segment + len(cut) + 1]
+        n = int(segments.sum())
         own = number[at : at + n]
         size = np.where(own >= 0, head.size[own] if len(head.size) else 0, 0).astype(np.int64)
         miss = np.flatnonzero(own < 0)
-        extra = [np.frombuffer(patches[key, mark][int(i)], width).astype(np.int32) for i in miss]
+        joined = [patches[key, mark][int(i)] for i in miss]
+        extra = [np.frombuffer(ids, width).astype(np.int32) for ids, _ in joined]
         size[miss] = [len(x) for x in extra]
         ids = np.empty(int(size.sum()), np.int32)
         to = np.cumsum(size) - size
@@ -244,16 +299,26 @@ def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, pie
         ids[ranges(to[known], size[known])] = head.pool[ranges(head.offset[own[known]], size[known])]
         if extra:
             ids[ranges(to[miss], size[miss])] = np.concatenate(extra)
+        ends = np.cumsum(segments)[:-1]
         if cut:
-            ends = np.cumsum(segment_words[segment : segment + len(cut) + 1])[:-1]
-            total = np.append(to, len(ids))
-            ids = np.insert(ids, total[ends], [special_ids[s] for s in cut])
+            ids = np.insert(ids, np.append(to, len(ids))[ends], [special_ids[s] for s in cut])
         parts.append(ids)
+        changed = {int(i): d for i, (_, d) in zip(miss, joined) if d is not None} | {int(i): head.changed[int(own[i])] for i in np.flatnonzero(odd[at : at + n])}
+        # Words whose pieces spell them out need no second copy: together they are the text.
+        decoded.append(_spelled(plain[segment : segment + len(cut) + 1], cut, changed) if changed else text)
         at, segment = at + n, segment + len(cut) + 1
-    decoded = []
-    for ids in parts:
-        size = piece_at[ids + 1] - piece_at[ids]
-        decoded.append(piece[ranges(piece_at[ids], size)].tobytes().decode("utf-8", "replace"))
     return pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary()), pa.array(decoded, pa.string())], names=["_id", "n_tokens", "ids", "decoded"]
     )
+
+
+def _spelled(segments: list[str], cut: list[str], changed: dict[int, bytes]) -> str:
+    """A document's decoded text, where some words (by position) are decoded to something else."""
+    out, i = [], 0
+    for k, segment in enumerate(segments):
+        for chunk in split([segment]):
+            for a, b in zip(chunk.start.tolist(), chunk.end.tolist()):
+                out.append(changed.get(i, chunk.text[a:b].encode()))
+                i += 1
+        out += [cut[k].encode()] if k < len(cut) else []
+    return b"".join(out).decode("utf-8", "replace")

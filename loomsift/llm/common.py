@@ -22,9 +22,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where none is (tests)."""
+    """The folder that all executors share.  One is set only where none is and executors are threads of this
+    machine (tests); on a cluster a missing folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomsift-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -67,6 +70,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the files of a table that ``materialize`` wrote and nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("loomsift-"):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ids_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns ``_id`` and ``_text``: other columns go, so that none can clash."""
     return docs.select(
