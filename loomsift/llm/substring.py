@@ -3,44 +3,49 @@
 The text that documents can be factored against is sharded by content.  Every window of ``WINDOW``
 words has an anchor, the least hash among its ``ANCHOR``-word runs, which depends on the window's
 words alone; so equal windows have equal anchors and meet in the same reference block (the hash
-partition of the anchor).  Only windows whose anchor occurs more than once travel.  A block indexes
-its windows and factors each document's stretch greedily against it: a factor grows while the next
-window continues the same reference, and where it ends the next window is looked up anew, so windows
-across a factor's or a stretch's border are checked too.  A factor has ``WINDOW`` words at least.
+partition of the anchor).  Only stretches of text whose anchor occurs more than once travel.  A block
+indexes the words of its stretches in the order of documents and parses each stretch greedily: a factor
+is the longest run of words, ``WINDOW`` at least, that also starts at an earlier place of the block, and is
+compared with that reference word by word.  Where a factor ends, the next window is looked up anew, so
+windows across a factor's or a stretch's border are checked too.
 
 A row's place is its id and the hash of its text (``_text_key``), so texts under one id, or under none, keep
 their own words; their order is that of the hashes.
 
-Each task combines its own repeats before it hands windows on, so a passage that a third of all
-documents share arrives at a block once per task, not once per document.
+Each task parses its own rows as a block first, so a passage that a third of all documents share arrives
+at its block once per task, not once per document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, partitions, public_id, tidy
-from .kernels import Words, mix64, ngrams, ranges, words
+from .kernels import Words, mix64, ngrams, pair64, ranges, runs, same_spans, words
 
 WINDOW, ANCHOR = 20, 6
 #: Columns that say which rows are one document.
 PLACE = ["_id", "_text_key"]
-#: Anchors or windows that a task gathers before it combines and hands on what it has.
+#: Anchors that a task gathers before it combines and hands on what it has.
 FLUSH = 6_000_000
+#: Bytes of text that are indexed at once.
+FLUSH_BYTES = 20 << 20
 
 
-def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: window hashes, their first words, their anchors' hashes and first words."""
-    h = w.hashes()
+def _windows(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk with the words' hashes: the windows' first words, their anchors' hashes and first words."""
     grams, at = ngrams(h, w.first, ANCHOR)
-    wins, begin = ngrams(h, w.first, WINDOW)
-    if not len(wins):
-        return wins, begin, wins, begin
+    count = np.maximum(np.diff(w.first) - WINDOW + 1, 0)
+    begin = ranges(w.first[:-1], count)
+    if not len(begin):
+        return begin, grams[:0], begin
     best, value, width = np.arange(len(grams)), grams, 1
     span = WINDOW - ANCHOR + 1
     while width < span:
@@ -51,7 +56,7 @@ def _windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         value, best = np.where(take, right, left), np.where(take, other, best[: len(right)])
         width += step
     own = best[np.searchsorted(at, begin)]
-    return wins, begin, grams[own], at[own]
+    return begin, grams[own], at[own]
 
 
 def _concat(parts: list[tuple]) -> list[np.ndarray]:
@@ -87,7 +92,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, text_keys = batch[0].to_numpy(), batch["_text_key"].to_numpy()
         for w in words(batch[1]):
-            _, begin, anchor, at = _windows(w)
+            begin, anchor, at = _windows(w, w.hashes())
             if len(begin):
                 new = np.ones(len(at), bool)
                 new[1:] = at[1:] != at[:-1]
@@ -116,117 +121,207 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(names, ids[again], texts[again], pos[again])
 
 
-STRETCH = "key long, _id long, _text_key long, start int, size int, windows binary, ref_id long, ref_start int"
+STRETCH = "key long, _id long, _text_key long, start int, size int, body string, ref_id long, ref_start int"
+FACTOR = "_id long, _text_key long, start int, size int, ref_id long, ref_start int"
+
+
+@dataclass
+class Block:
+    """A reference block: words in ``data`` (which has eight bytes to spare), and the windows of its
+    stretches in the order of documents and places, each place once.
+
+    ``at`` is a window's first word, ``stop`` the end of its stretch, ``key`` its anchor."""
+
+    data: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    hashes: np.ndarray
+    at: np.ndarray
+    stop: np.ndarray
+    key: np.ndarray
+    ids: np.ndarray
+    texts: np.ndarray
+    pos: np.ndarray
+
+    def __post_init__(self) -> None:
+        order = np.lexsort((self.pos, self.texts, self.ids))
+        ids, texts, pos = self.ids[order], self.texts[order], self.pos[order]
+        again = np.zeros(len(order), bool)
+        # A row that repeats an id and its text has the same places as the other: neither is earlier.
+        again[1:] = (ids[1:] == ids[:-1]) & (texts[1:] == texts[:-1]) & (pos[1:] == pos[:-1])
+        order = order[~again]
+        for name in ("at", "stop", "key", "ids", "texts", "pos"):
+            setattr(self, name, getattr(self, name)[order])
+
+    def cuts(self) -> np.ndarray:
+        """Where a window does not go on from the one before it."""
+        out = np.ones(len(self.at), bool)
+        out[1:] = (self.key[1:] != self.key[:-1]) | (self.ids[1:] != self.ids[:-1]) | (self.texts[1:] != self.texts[:-1]) | (self.pos[1:] != self.pos[:-1] + 1)
+        return out
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window the words of the longest earlier match (0: none), and the first window where such
+        a match begins.  The index is by hash, first of ``WINDOW`` words, then of one word more at a time."""
+        length, ref = np.zeros(len(self.at), np.int64), np.full(len(self.at), -1)
+        left, n = np.arange(len(self.at)), WINDOW
+        name = runs(self.hashes, WINDOW)[self.at] if len(left) else self.hashes[:0]
+        while len(left):
+            order = np.argsort(name[left], kind="stable")
+            own = left[order]
+            first = np.ones(len(own), bool)
+            first[1:] = name[own[1:]] != name[own[:-1]]
+            begin = np.flatnonzero(first)
+            group = np.cumsum(first) - 1
+            lead = own[begin][group]
+            length[own[~first]], ref[own[~first]] = n, lead[~first]
+            several = np.diff(np.append(begin, len(own)))[group] > 1
+            left = np.sort(own[several & (self.stop[own] > self.at[own] + n)])
+            name[left] = pair64(name[left], self.hashes[self.at[left] + n])
+            n += 1
+        return length, ref
+
+    def exact(self) -> tuple[np.ndarray, np.ndarray]:
+        """As ``longest``, by the words themselves and for ``WINDOW`` words: where hashes of different words met."""
+        raw = self.data.tobytes()
+        words_ = [raw[a : a + n] for a, n in zip(self.start.tolist(), self.size.tolist())]
+        seen: dict[tuple, int] = {}
+        ref = np.array([seen.setdefault(tuple(words_[a : a + WINDOW]), i) for i, a in enumerate(self.at.tolist())], np.int64)
+        late = ref != np.arange(len(ref))
+        return np.where(late, WINDOW, 0), np.where(late, ref, -1)
+
+    def parse(self, length: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy factors: first windows, references, words.  A cursor per stretch takes the longest match; the
+        next window that lies not wholly inside a factor is looked up anew, so the windows across a
+        factor's end are checked too."""
+        cursor = np.flatnonzero(self.cuts())
+        end = np.append(cursor[1:], len(self.at))
+        found = []
+        while len(cursor):
+            size = length[cursor]
+            found.append(cursor[size > 0])
+            cursor = cursor + np.where(size > 0, size - WINDOW + 1, 1)
+            cursor, end = cursor[cursor < end], end[cursor < end]
+        at = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return at, ref[at], length[at]
+
+    def same(self, at: np.ndarray, ref: np.ndarray, size: np.ndarray) -> bool:
+        """Whether all factors and their references are the same words."""
+        one, two = ranges(self.at[at], size), ranges(self.at[ref], size)
+        return bool((self.size[one] == self.size[two]).all() and same_spans(self.data, self.start[one], self.data, self.start[two], self.size[one]).all())
+
+    def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First windows, references and numbers of windows of the block's factors."""
+        found = self.parse(*self.longest())
+        if not self.same(*found):
+            found = self.parse(*self.exact())
+        return found[0], found[1], found[2] - WINDOW + 1
+
+    def rows(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """The columns of ``FACTOR``, where factors that go on together are one, and which windows no factor covers."""
+        at, ref, size = self.factors()
+        change = np.zeros(len(self.at) + 1, np.int64)
+        change[at] += 1
+        np.add.at(change, at + size, -1)
+        free = np.cumsum(change)[:-1] == 0
+        ids, texts, pos, ref_id, ref_text, ref_pos = self.ids[at], self.texts[at], self.pos[at], self.ids[ref], self.texts[ref], self.pos[ref]
+        cut = np.ones(len(at), bool)
+        cut[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (pos[1:] != pos[:-1] + size[:-1])
+        cut[1:] |= (ref_id[1:] != ref_id[:-1]) | (ref_text[1:] != ref_text[:-1]) | (ref_pos[1:] != ref_pos[:-1] + size[:-1])
+        start = np.flatnonzero(cut)
+        total = np.add.reduceat(size, start) if len(start) else size
+        return [ids[start], texts[start], pos[start].astype(np.int32), total.astype(np.int32), ref_id[start], ref_pos[start].astype(np.int32)], free
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows with repeated anchors, as stretches with one anchor and consecutive starts.
 
-    The earliest of a task's equal windows travels to its block; the later ones are repeats already
-    and become runs with a reference (no ``windows``)."""
-    parts, n = [], 0
+    A task factors its own rows first.  What no factor covers travels to its block; the factors go along
+    (without a ``body``)."""
+    names = [x.split()[0] for x in STRETCH.split(", ")]
+    parts: list[tuple] = []
+    texts_: list[tuple] = []
+    size = count = 0
 
     def combine():
-        win, anchor, ids, texts, pos = _concat(parts)
-        order = np.lexsort((pos, texts, ids, anchor, win))
-        win, anchor, ids, texts, pos = (x[order] for x in (win, anchor, ids, texts, pos))
-        first = np.ones(len(win), bool)
-        first[1:] = (win[1:] != win[:-1]) | (anchor[1:] != anchor[:-1])
-        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-        # A row that repeats an id and its text has the same place as the other: neither is earlier.
-        same = (ids == ids[lead]) & (texts == texts[lead]) & (pos == pos[lead]) & ~first
-        ref_id, ref_text, ref_pos = ids[lead], texts[lead], pos[lead]
-        order = np.lexsort((pos, texts, ids))
-        order = order[~same[order]]
-        win, anchor, ids, texts, pos, first, ref_id, ref_text, ref_pos = (x[order] for x in (win, anchor, ids, texts, pos, first, ref_id, ref_text, ref_pos))
-        yield from _runs(win[first], anchor[first], ids[first], texts[first], pos[first])
-        late = ~first
-        ids, texts, pos, ref_id, ref_text, ref_pos = (x[late] for x in (ids, texts, pos, ref_id, ref_text, ref_pos))
-        start, size = _factors(ids, texts, pos, ref_id, ref_text, ref_pos)
-        yield _batch(
-            [x.split()[0] for x in STRETCH.split(", ")],
-            _signed(mix64((ids[start] ^ texts[start]).astype(np.uint64) + np.uint64(1))), ids[start], texts[start], pos[start].astype(np.int32), size.astype(np.int32), pa.nulls(len(start), pa.binary()), ref_id[start], ref_pos[start].astype(np.int32),
-        )
+        data = np.concatenate([*(x[0] for x in texts_), np.zeros(8, np.uint8)])
+        start, length, h = _concat([x[1:] for x in texts_])
+        block = Block(data, start, length, h, *_concat(parts))
+        (ids, texts, pos, n, ref_id, ref_pos), free = block.rows()
+        yield _batch(names, _signed(mix64((ids ^ texts).astype(np.uint64) + np.uint64(1))), ids, texts, pos, n, pa.nulls(len(ids), pa.string()), ref_id, ref_pos)
+        cut = block.cuts()
+        cut[1:] |= free[1:] != free[:-1]
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(cut)) - 1
+        first, last = first[free[first]], last[free[first]]
+        for a in range(0, len(first), 50_000):
+            s, e = first[a : a + 50_000], last[a : a + 50_000]
+            begin, to = start[block.at[s]], block.at[e] + WINDOW - 1
+            wide = start[to] + length[to] - begin
+            offsets = np.concatenate(([0], np.cumsum(wide)))
+            body = pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[ranges(begin, wide)])])
+            none = pa.nulls(len(s), pa.int64())
+            yield _batch(names, _signed(block.key[s]), block.ids[s], block.texts[s], block.pos[s].astype(np.int32), (e - s + 1).astype(np.int32), body, none, none.cast(pa.int32()))
 
     for batch in batches:
         keys, text_keys, marks = batch[0].to_numpy(), batch["_text_key"].to_numpy(), batch["marks"]
         offsets, values = marks.offsets.to_numpy(), marks.flatten().to_numpy()
         offsets = offsets - offsets[0]
         for w in words(batch[1]):
-            win, begin, anchor, at = _windows(w)
-            if not len(win):
+            h = w.hashes()
+            begin, anchor, at = _windows(w, h)
+            if not len(begin):
                 continue
             marked = np.zeros(w.first[-1] + 1, bool)
             rows = slice(w.row0, w.row0 + len(w.first))
             own = values[offsets[rows][0] : offsets[rows][-1]]
             marked[np.repeat(w.first[:-1], np.diff(offsets[rows])) + own] = True
             keep = marked[at]
-            begin = begin[keep]
+            begin, anchor = begin[keep], anchor[keep]
             doc = np.searchsorted(w.first, begin, side="right") - 1
-            parts.append((win[keep], anchor[keep], keys[w.row0 + doc], text_keys[w.row0 + doc], begin - w.first[doc]))
-            n += len(doc)
-        if n > FLUSH:
-            yield from combine()
-            parts, n = [], 0
-    if n:
+            cut = np.ones(len(begin), bool)
+            cut[1:] = (anchor[1:] != anchor[:-1]) | (begin[1:] != begin[:-1] + 1) | (doc[1:] != doc[:-1])
+            ends = np.append(np.flatnonzero(cut)[1:], len(begin)) - 1
+            stop = (begin[ends] + WINDOW)[np.cumsum(cut) - 1] if len(begin) else begin
+            parts.append((begin + count, stop + count, anchor, keys[w.row0 + doc], text_keys[w.row0 + doc], begin - w.first[doc]))
+            texts_.append((w.data, w.start + size, w.end - w.start, h))
+            size, count = size + len(w.data), count + len(w.start)
+            if size > FLUSH_BYTES:
+                yield from combine()
+                parts, texts_, size, count = [], [], 0, 0
+    if texts_:
         yield from combine()
 
 
-def _runs(win, anchor, ids, texts, pos) -> Iterator[pa.RecordBatch]:
-    """Stretch rows of windows in the order of document and place."""
-    cut = np.ones(len(win), bool)
-    cut[1:] = (anchor[1:] != anchor[:-1]) | (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (pos[1:] != pos[:-1] + 1)
-    start = np.flatnonzero(cut)
-    ends = np.append(start[1:], len(win))
-    for a in range(0, len(start), 100_000):
-        s, e = start[a : a + 100_000], ends[a : a + 100_000]
-        if len(s):
-            offsets = np.append(s, e[-1]) - s[0]
-            blob = pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer((8 * offsets).astype(np.int32)), pa.py_buffer(win[s[0] : e[-1]].tobytes())])
-            n = pa.nulls(len(s), pa.int64())
-            yield _batch([x.split()[0] for x in STRETCH.split(", ")], _signed(anchor[s]), ids[s], texts[s], pos[s].astype(np.int32), (e - s).astype(np.int32), blob, n, n.cast(pa.int32()))
-
-
-def _factors(ids, texts, pos, ref_id, ref_text, ref_pos) -> tuple[np.ndarray, np.ndarray]:
-    """First windows and numbers of windows of maximal factors: places and references both go on."""
-    cut = np.ones(len(ids), bool)
-    cut[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (pos[1:] != pos[:-1] + 1)
-    cut[1:] |= (ref_id[1:] != ref_id[:-1]) | (ref_text[1:] != ref_text[:-1]) | (ref_pos[1:] != ref_pos[:-1] + 1)
-    start = np.flatnonzero(cut)
-    return start, np.diff(np.append(start, len(ids)))
-
-
-FACTOR = "_id long, _text_key long, start int, size int, ref_id long, ref_start int"
-
-
 def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Factors of one reference block, in windows; runs that a task had found pass through."""
+    """Factors of one reference block, in windows; those that a task had found pass through."""
     names = [x.split()[0] for x in FACTOR.split(", ")]
-    parts = []
+    held = []
     for b in batches:
-        done = pa.compute.is_null(b["windows"])
+        done = pa.compute.is_null(b["body"])
         old, new = b.filter(done), b.filter(pa.compute.invert(done))
         if old.num_rows:
             yield _batch(names, *(old[c] for c in names))
         if new.num_rows:
-            size = new["size"].to_numpy()
-            win = np.frombuffer(b"".join(new["windows"].to_pylist()), np.uint64)
-            parts.append((np.repeat(new["key"].to_numpy(), size), win, np.repeat(new["_id"].to_numpy(), size), np.repeat(new["_text_key"].to_numpy(), size), ranges(new["start"].to_numpy(), size)))
-    if not parts:
+            held.append(new)
+    if not held:
         return
-    key, win, ids, texts, pos = _concat(parts)
-    order = np.lexsort((pos, texts, ids, win, key))
-    key, win, ids, texts, pos = (x[order] for x in (key, win, ids, texts, pos))
-    first = np.ones(len(key), bool)
-    first[1:] = (key[1:] != key[:-1]) | (win[1:] != win[:-1])
-    lead = np.flatnonzero(first)[np.cumsum(first) - 1]
-    late = (ids != ids[lead]) | (texts != texts[lead]) | (pos != pos[lead])
-    lead = lead[late]
-    ids, texts, pos, ref_id, ref_text, ref_pos = ids[late], texts[late], pos[late], ids[lead], texts[lead], pos[lead]
-    order = np.lexsort((pos, texts, ids))
-    ids, texts, pos, ref_id, ref_text, ref_pos = (x[order] for x in (ids, texts, pos, ref_id, ref_text, ref_pos))
-    start, size = _factors(ids, texts, pos, ref_id, ref_text, ref_pos)
-    yield _batch(names, ids[start], texts[start], pos[start].astype(np.int32), size.astype(np.int32), ref_id[start], ref_pos[start].astype(np.int32))
+    every = pa.Table.from_batches(held)
+    # Stretches of one anchor stay together; the rest of the block need not be in memory with them.
+    parts = -(-every["body"].nbytes // FLUSH_BYTES)
+    of = mix64(every["key"].to_numpy().view(np.uint64)) % np.uint64(parts)
+    for k in range(parts):
+        own = every.take(pa.array(np.flatnonzero(of == k))) if parts > 1 else every
+        if not own.num_rows:
+            continue
+        (w,) = words(own["body"].combine_chunks(), limit=1 << 62)
+        size = own["size"].to_numpy()
+        each = lambda x: np.repeat(x, size)
+        at = ranges(w.first[:-1], size)
+        block = Block(
+            np.append(w.data, np.zeros(8, np.uint8)), w.start, w.end - w.start, w.hashes(), at, each(w.first[1:]), each(own["key"].to_numpy().view(np.uint64)),
+            each(own["_id"].to_numpy()), each(own["_text_key"].to_numpy()), ranges(own["start"].to_numpy(), size),
+        )
+        yield _batch(names, *block.rows()[0])
 
 
 def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
