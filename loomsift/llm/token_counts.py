@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder, vocabulary
-from .common import ids_and_text, public_id
+from .common import ids_and_text, materialize, public_id
 
 #: Lengths per block of the two-level sums.
 BLOCK = 1024
@@ -40,7 +40,8 @@ def length_histogram(lengths: DataFrame, col: str = "n_tokens") -> DataFrame:
     that L is).  Null lengths don't count; no rows for an empty table.  The sums run over blocks of
     lengths first and inside each block then, so no task gets all lengths.
     """
-    hist = lengths.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs"))
+    # A row per length: written, as two branches read it and lengths may come from encoding all texts.
+    hist = materialize(lengths.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n_docs")), "lengths")
     hist = hist.withColumn("_block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("_tokens", F.col("n_tokens") * F.col("n_docs"))
     above = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
