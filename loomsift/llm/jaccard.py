@@ -11,7 +11,7 @@ texts, so the links are exact.  Within a group nothing is compared again to conn
 Links are counted once components are known: sets that link are in one component, whose different sets
 are dealt to cells, pairs of buckets, and compared there all with all.
 
-Equal sets are one document here, from their tasks on.  A token of very many documents is dealt over
+Equal sets are one document here, from their tasks on and again in each block.  A token of very many documents is dealt over
 several blocks, each of which meets the documents outside the token's main group.
 """
 
@@ -24,14 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, ids_and_text, materialize, partitions, public_id, small_batches, tidy
-from .kernels import mix64, ranges, shingle_sets
+from .common import NULL_ID, discard, ids_and_text, materialize, partitions, public_id, small_batches, tidy
+from .kernels import mix64, ranges, same_spans, shingle_sets, shingles
 
 SHINGLE, PERCENT = 5, 80
 #: Frequent tokens that all tasks know, at most; the order of the others is that of their hashes.
 HOT_TOKENS = 1 << 20
 #: Documents of a token from which it counts as frequent, and per block of a frequent token.
 HOT_LEAST, BLOCK_DOCS = 8, 2048
+#: Tokens of different sets that a task counts at once.
+FLUSH_TOKENS = 4_000_000
 #: Bits of the set of wanted ids that is sent to all tasks (8 MB); more ids let more rows through.
 ID_BITS = 1 << 26
 #: Least block keys of a document that go along with it, so that few blocks give out the same pair.
@@ -67,17 +69,25 @@ def _bits(tokens: np.ndarray) -> bytes:
     return np.packbits(flags, bitorder="little").tobytes()
 
 
-SUMMARY = "_id long, size long, a long, b long, bits binary, token long, n long"
+SUMMARY = "_id long, size long, a long, b long, bits binary, mark long, token long, n long"
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document, and the tokens that many different sets of this task have, with counts.
+    """A row per document, and the tokens that several different sets of this task have, with counts.
 
-    Tokens are counted if their hash is low enough to come first in a set's order."""
+    ``FLUSH_TOKENS`` are counted at once, so a token that is frequent enough to make a large block is
+    seen several times."""
     seen: set = set()
     held: list[np.ndarray] = []
-    low = np.uint64(int(0.35 * 2**64))
-    names = "_id size a b bits token n"
+    n_held = 0
+    names = "_id size a b bits mark token n"
+
+    def often():
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        some = n >= 2
+        nothing = pa.nulls(int(some.sum()), pa.int64())
+        return _batch(names, nothing, nothing, nothing, nothing, pa.nulls(len(nothing), pa.binary()), nothing, token[some].view(np.int64), n[some].astype(np.int64))
+
     for batch in batches:
         keys = batch[0].to_pylist()
         rows = []
@@ -86,15 +96,16 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((keys[i], len(tokens), a, b, _bits(tokens)))
             if (a, b) not in seen:
                 seen.add((a, b))
-                held.append(tokens[: np.searchsorted(tokens, low)])
+                held.append(tokens.copy())
+                n_held += len(tokens)
+                if n_held > FLUSH_TOKENS:
+                    yield often()
+                    held, n_held = [], 0
         ids, size, a, b, bits = zip(*rows) if rows else [()] * 5
         nothing = pa.nulls(len(rows), pa.int64())
-        yield _batch(names, pa.array(ids, pa.int64()), pa.array(size, pa.int64()), np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64), pa.array(bits, pa.binary()), nothing, nothing)
+        yield _batch(names, pa.array(ids, pa.int64()), pa.array(size, pa.int64()), np.array(a, np.uint64).view(np.int64), np.array(b, np.uint64).view(np.int64), pa.array(bits, pa.binary()), batch["_mark"], nothing, nothing)
     if held:
-        token, n = np.unique(np.concatenate(held), return_counts=True)
-        often = n >= 2
-        nothing = pa.nulls(int(often.sum()), pa.int64())
-        yield _batch(names, nothing, nothing, nothing, nothing, pa.nulls(len(nothing), pa.binary()), token[often].view(np.int64), n[often].astype(np.int64))
+        yield often()
 
 
 class _Order:
@@ -126,7 +137,9 @@ class _Order:
 
 def _postings(order):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """token, deal, _id, size: one document of each set of this task, under its first tokens."""
+        """token, deal, _id, size, who: one document of each set of this task, under its first tokens.
+
+        Equal sets of different tasks are dealt alike, and ``_blocks`` keeps one of them."""
         seen: set = set()
         for batch in batches:
             keys, parts = batch[0].to_pylist(), []
@@ -134,11 +147,11 @@ def _postings(order):
                 if len(tokens) and keys[i] != NULL_ID and (who := _identity(tokens)) not in seen:
                     seen.add(who)
                     first, deals = order.value.prefix(tokens)
-                    own = np.uint64(mix64(np.array([keys[i]]).astype(np.uint64))[0])
-                    parts.append((first, np.where(deals > 1, (own % deals.astype(np.uint64)).astype(np.int64), -1), np.full(len(first), keys[i]), np.full(len(first), len(tokens))))
+                    own = np.uint64(who[0])
+                    parts.append((first, np.where(deals > 1, (own % deals.astype(np.uint64)).astype(np.int64), -1), np.full(len(first), keys[i]), np.full(len(first), len(tokens)), np.full(len(first), own)))
             if parts:
-                token, deal, ids, size = (np.concatenate(x) for x in zip(*parts))
-                yield _batch("token deal _id size", token.view(np.int64), deal.astype(np.int32), ids, size.astype(np.int32))
+                token, deal, ids, size, who = (np.concatenate(x) for x in zip(*parts))
+                yield _batch("token deal _id size who", token.view(np.int64), deal.astype(np.int32), ids, size.astype(np.int32), who.view(np.int64))
 
     return post
 
@@ -154,8 +167,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
     if not parts:
         return
-    token, deal, ids, size = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((ids, size, deal, token))
+    token, deal, ids, size, who = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, who, size, deal, token))
+    one = np.ones(len(order), bool)  # of equal sets the smallest id
+    one[1:] = np.logical_or.reduce([x[order[1:]] != x[order[:-1]] for x in (token, deal, size, who)])
+    order = order[one]
+    order = order[np.lexsort((ids[order], size[order], deal[order], token[order]))]
     token, deal, ids, size = (x[order] for x in (token, deal, ids, size))
     cut = np.ones(len(ids), bool)
     far = (100 * size[:-1].astype(np.int64) < PERCENT * size[1:].astype(np.int64)) & (deal[1:] < 0)
@@ -186,8 +203,8 @@ def _fold(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def _least_overlap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Common tokens that sets of sizes x and y need at least to link."""
+def _least_overlap(x, y):
+    """Common tokens that sets of sizes x and y need at least to link (numbers or arrays)."""
     return -(-PERCENT * (x + y) // (100 + PERCENT))
 
 
@@ -305,20 +322,38 @@ def _texts_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return hashed.mapInArrow(tidy(keep), "_id long, _text string")
 
 
+def _one_text(texts: DataFrame) -> DataFrame:
+    """A text per id: of several the one with the least hash."""
+    return texts.groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+
+
+def _places(column: pa.Array) -> Iterator[tuple]:
+    """(tokens, their first words, words of a shingle, bytes, starts and sizes of words) of each document."""
+    for w, grams, at, offsets in shingles(column, SHINGLE):
+        data, size, count = np.append(w.data, np.zeros(8, np.uint8)), w.end - w.start, np.diff(w.first).tolist()
+        for n, a, b in zip(count, offsets[:-1].tolist(), offsets[1:].tolist()):
+            yield grams[a:b], at[a:b], min(n, SHINGLE), data, w.start, size
+
+
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """x, y of the pairs that link, by their whole texts."""
+    """x, y of the pairs that link, by their whole texts: common shingles are compared word by word."""
     for batch in batches:
         hit = []
-        last: tuple = (None, None)
-        for (_, one), (_, two), y in zip(_sets(pa.RecordBatch.from_arrays([batch["x"], batch["tx"]], names=["x", "t"])), _sets(pa.RecordBatch.from_arrays([batch["y"], batch["ty"]], names=["y", "t"])), batch["y"].to_pylist()):
-            common = len(np.intersect1d(one, two, assume_unique=True))
-            hit.append(100 * common >= PERCENT * (len(one) + len(two) - common) and common > 0)
+        for (one, p, n, data, start, size), (two, q, m, other, begin, width) in zip(_places(batch["tx"]), _places(batch["ty"]), strict=True):
+            _, i, j = np.intersect1d(one, two, assume_unique=True, return_indices=True)
+            least = _least_overlap(len(one), len(two))
+            if n == m and len(i) >= max(least, 1):
+                a, b = (p[i][:, None] + np.arange(n)).ravel(), (q[j][:, None] + np.arange(n)).ravel()
+                same = (size[a] == width[b]) & same_spans(data, start[a], other, begin[b], np.minimum(size[a], width[b]))
+                hit.append(int(same.reshape(-1, n).all(1).sum()) >= max(least, 1))
+            else:
+                hit.append(False)
         yield batch.select(["x", "y"]).filter(pa.array(hit, pa.bool_()))
 
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     ids = pairs.select(F.explode(F.array("x", "y")).alias("_id"))
-    texts = materialize(_texts_of(rows, ids).dropDuplicates(["_id"]), "texts")
+    texts = materialize(_one_text(_texts_of(rows, ids)), "texts")
     joined = pairs.join(texts.select(F.col("_id").alias("x"), F.col("_text").alias("tx")), "x")
     joined = joined.join(texts.select(F.col("_id").alias("y"), F.col("_text").alias("ty")), "y")
     with small_batches(rows.sparkSession, PAIR_ROWS):
@@ -339,14 +374,26 @@ def components(links: DataFrame) -> DataFrame:
         large = large.distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        edges = materialize(small.distinct(), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v") % 1_000_003), F.lit(0)), F.countDistinct("u")).first())
+        last, edges = edges, materialize(small.distinct(), "links")
+        # The same set of links: sums of whole hashes, without overflow.
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
+        discard(last)
         if now == before:
             break
         before = now
     return edges.groupBy(F.col("u").alias("_id")).agg(F.min("v").alias("label")).unionByName(edges.select(F.col("v").alias("_id"), F.col("v").alias("label")).distinct())
 
 
+def extended(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``components`` of the links that made ``groups`` and of ``links`` (x, y): only labels are connected anew."""
+    of = lambda c: groups.select(F.col("_id").alias(c), F.col("label").alias(f"l{c}"))
+    joined = links.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    top = components(joined.select(F.coalesce("lx", "x").alias("x"), F.coalesce("ly", "y").alias("y")))
+    renamed = top.select(F.col("_id").alias("label"), F.col("label").alias("now"))
+    old = groups.join(renamed, "label", "left").select("_id", F.coalesce("now", "label").alias("label"))
+    return old.unionByName(top.join(groups, "_id", "left_anti"))
+
+
 def _common(sets: list[np.ndarray], right: np.ndarray) -> np.ndarray:
     """Common tokens of each set that is not ``right`` (rows) and each that is (columns)."""
     size = np.array([len(x) for x in sets])
@@ -437,7 +484,7 @@ def _link_counts(rows: DataFrame, groups: DataFrame, classes: DataFrame, copies:
     # Two sets that are a whole component link.
     pairs = reps.where("sets = 2").select("_id", (F.col("all") - F.col("copies")).alias("n"))
     many = reps.where("sets > 2").withColumn("buckets", F.ceil(F.col("sets") / CELL_DOCS).cast("int"))
-    texts = _texts_of(rows, many.select("_id")).dropDuplicates(["_id"])
+    texts = _one_text(_texts_of(rows, many.select("_id")))
     own, other = F.pmod(F.xxhash64("_id"), F.col("buckets")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("buckets") - 1))
     cells = many.select("_id", "label", "copies", own.alias("own"), other.alias("other")).select(
         "_id", "label", "copies", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
@@ -458,29 +505,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable.  n_links counts the documents that it links with; without ``count_links`` it
     is null and the counting is saved.  A null
     or empty text has an empty set, which links with nothing; a null id links with nothing and has a
-    null component; rows that repeat an id are one document in links; an empty table gives no rows.
+    null component; rows that repeat an id are one document in links, of different texts the one with the least
+    hash; an empty table gives no rows.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     rows = ids_and_text(docs, id_col, text_col)
-    table = materialize(rows.mapInArrow(tidy(_summary), SUMMARY), "sets")
+    table = materialize(rows.withColumn("_mark", F.xxhash64("_text")).mapInArrow(tidy(_summary), SUMMARY), "sets")
     sets = table.where("_id is not null")
-    usable = sets.where((F.col("size") > 0) & (F.col("_id") != NULL_ID))
+    bits = sets.where((F.col("size") > 0) & (F.col("_id") != NULL_ID)).groupBy("_id").agg(F.min_by(F.struct("size", "a", "b", "bits"), "mark").alias("s")).select("_id", "s.*")
     often = table.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
     got = often.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
     order = spark.sparkContext.broadcast(_Order(got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()))
 
-    classes = usable.groupBy("a", "b").agg(F.min("_id").alias("rep"), F.countDistinct("_id").alias("n")).where("n > 1")
-    copies = materialize(usable.select("_id", "a", "b").join(classes, ["a", "b"]).where("_id <> rep").select("_id", "rep"), "copies")
+    classes = bits.groupBy("a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialize(bits.select("_id", "a", "b").join(classes, ["a", "b"]).where("_id <> rep").select("_id", "rep"), "copies")
 
-    posted = rows.mapInArrow(tidy(_postings(order)), "token long, deal int, _id long, size int").repartition(n, "token", "deal")
+    posted = rows.mapInArrow(tidy(_postings(order)), "token long, deal int, _id long, size int, who long").repartition(n, "token", "deal")
     blocks = posted.mapInArrow(tidy(_blocks), BLOCK).groupBy("block").agg(*[F.first(c).alias(c) for c in ("token", "deal", "docs", "sizes")])
     blocks = materialize(blocks, "blocks")
     plain = blocks.where("token is null").select("block", "docs", "sizes")
     dealt = blocks.where("token is not null").select("token", "deal", "docs", "sizes")
 
     # First wave: stars in each block, and among the middle documents of a dealt token's blocks.
-    bits = sets.select("_id", "size", "bits").dropDuplicates(["_id"])
+    bits = bits.select("_id", "size", "bits")
     middle = F.get("docs", F.floor(F.size("docs") / 2).cast("int"))
     of = plain.select("block", F.explode("docs").alias("_id"))
     of = of.union(dealt.select(F.xxhash64("token", "deal").alias("block"), F.explode("docs").alias("_id"))).union(dealt.select(F.xxhash64("token").alias("block"), middle.alias("_id")))
@@ -488,7 +536,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(grouped.mapInArrow(tidy(_stars), "x long, y long").distinct(), "pairs")
     links = _verified(first, rows)
     same = copies.select(F.col("rep").alias("x"), F.col("_id").alias("y"))
-    groups = components(links.union(same))
+    groups = materialize(components(links.union(same)), "components")
 
     # Second wave: what is left between different groups of a block.
     label = F.coalesce("label", "_id").alias("label")
@@ -509,8 +557,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = left.mapInArrow(tidy(_open), "x long, y long").distinct().join(first, ["x", "y"], "left_anti")
     second = materialize(second, "pairs")
     more = _verified(second, rows)
-    every = links.union(more)
-    final = components(every.union(same))
+    final = materialize(extended(groups, more), "components")
     component = F.when(F.col("_id") != NULL_ID, F.coalesce("label", "_id"))
     out = sets.select("_id", "size", "a", "b").join(final, "_id", "left")
     links_of = F.lit(None).cast("long")

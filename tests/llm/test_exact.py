@@ -245,10 +245,10 @@ def test_token_counts(docs, corpus, tokenizer):
         assert r.truncated_total == sum(min(s, r.limit) for s in sizes) and r.docs_within == sum(s <= r.limit for s in sizes)
 
 
-@pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 40)])
+@pytest.mark.parametrize("limits", [packing.Limits(), packing.INSTRUCTIONS, packing.Limits(64, 3, 40)])
 def test_packing(docs, corpus, tokenizer, limits):
-    rows = docs.withColumn("prompt", F.lit(5)) if limits.loss < limits.tokens else docs
-    pieces = packing.pack_documents(rows, limits=limits, prompt_col="prompt" if rows is not docs else None).collect()
+    prompt = packing.prompt_chars(F.col("text")) if limits.loss < limits.tokens else None
+    pieces = packing.pack_documents(docs, limits=limits, prompt=prompt).collect()
     sequences, texts = {}, Counter()
     for p in pieces:
         ids = np.frombuffer(p.ids, "<u4").tolist()
@@ -269,9 +269,47 @@ def test_packing(docs, corpus, tokenizer, limits):
         assert Counter(x for s, b in parts for x in range(s, s + len(b) // 4)) == Counter({x: want[i, n] for x in range(n)})
         assert all(np.frombuffer(b, "<u4").tolist() == ids[s : s + len(b) // 4] for s, b in parts)
     assert set(held) == set(want)
-    if limits.loss >= limits.tokens:
-        sizes = [sum(x[1] for x in parts) for parts in sequences.values()]
-        assert sum(0 if s & (s - 1) == 0 else 2048 - s for s in sizes) == 0
+    sizes = [sum(x[1] for x in parts) for parts in sequences.values()]
+    assert all(s & (s - 1) == 0 for s in sizes), "no padding"
+    if prompt is None:
+        assert all(p.loss_tokens == p.length for p in pieces)
+    else:
+        loss = Counter()
+        for p in pieces:
+            loss[p.doc_id, p.doc_tokens] += p.loss_tokens
+        for i, t in set(corpus):
+            t = t or ""
+            end = re.compile(r"[.!?\n]").search(t, len(t) // 4)
+            bound = end.end() if end else len(t) // 4
+            whole, ids = 0, encode(tokenizer, t)
+            while whole < len(ids) and len(tokenizer.decode(ids[: whole + 1], skip_special_tokens=False).encode("utf-8", "replace")) <= len(t[:bound].encode()):
+                whole += 1
+            if t.isascii() and "<|" not in t:
+                assert loss[i, len(ids) + 1] == (len(ids) + 1 - whole) * want_rows(corpus, i, len(ids) + 1, tokenizer)
+
+
+def want_rows(corpus, i, n, tokenizer):
+    """Rows of an id whose text has n - 1 ids."""
+    return sum(j == i and len(encode(tokenizer, t)) + 1 == n for j, t in corpus)
+
+
+def test_dot_product_is_not_largest_fit():
+    packer = packing._Packer(packing.Limits(100, 10, 60), 0)
+    for k, (size, prompt) in enumerate([(40, 40), (39, 0)]):
+        packer._wait(k, 0, np.arange(size), size, prompt)
+    at = packer.choose()
+    assert packer.items[at][0] == 1, "40 tokens fit, but 39 that all bear loss point where the room is"
+    sizes, loss = [], []
+    rng = np.random.default_rng(4)
+    packer = packing._Packer(packing.INSTRUCTIONS, 0)
+    for k in range(400):
+        size = int(rng.integers(10, 3000))
+        packer.add(k, np.arange(size), int(size * rng.uniform(0.25, 0.5)))
+    packer.finish()
+    for sequence in {r[6] for r in packer.rows}:
+        sizes.append(sum(r[2] for r in packer.rows if r[6] == sequence))
+        loss.append(sum(r[5] for r in packer.rows if r[6] == sequence))
+    assert max(loss) <= 1792 and all(s & (s - 1) == 0 for s in sizes) and np.mean([s == 2048 for s in sizes]) > 0.9
 
 
 def test_transport_stream(docs, corpus):
