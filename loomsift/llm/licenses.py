@@ -45,6 +45,10 @@ TEMPLATES = {
 }
 
 
+#: Words of text per template word within which a notice without unique words counts as one notice.
+WIDTH = 2
+
+
 def tokens(text: str) -> list[str]:
     """Lower-cased (A-Z) runs of letters, digits and characters beyond ASCII."""
     column = pa.array([text])
@@ -90,9 +94,6 @@ def patience(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         anchors = _rising([(i, place[w]) for i, w in enumerate(text[a:b], a) if w in place and here[w] == 1])
         if not anchors:
             continue
-        # Outside the outermost anchors nothing bounds the text: as many words as the template has left.
-        first, last = anchors[0], anchors[-1]
-        a, b = max(a, first[0] - 2 * (first[1] - c) - 8), min(b, last[0] + 1 + 2 * (d - last[1] - 1) + 8)
         out += anchors
         for (i, j), (k, m) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)]):
             if i + 1 < k and j + 1 < m:
@@ -117,10 +118,10 @@ def _length(rows: list[int], size: int) -> int:
 
 
 def windows(text: list[str], template: list[str], least: float, known: int = 0) -> list[tuple[int, int]]:
-    """The best alignment within a window of twice the template's words and 8, the first of equal ones,
-    if it has more than ``known`` words and ``least`` of the template; else none."""
+    """The best alignment within a window of ``WIDTH`` times the template's words and 8, the first of equal
+    ones, if it has more than ``known`` words and ``least`` of the template; else none."""
     m, have = len(template), Counter(template)
-    width = 2 * m + 8
+    width = WIDTH * m + 8
     places: dict[str, int] = {}
     for j, w in enumerate(template):
         places[w] = places.get(w, 0) | 1 << j
