@@ -28,7 +28,7 @@ ALIGN = 192
 
 READ = (
     "payload binary, programs int, stream_type int, packets long, continuity_errors long, "
-    "units array<struct<pts:long,packet:long,offset:long,size:long,random_access:boolean>>, feature string"
+    "units array<struct<pts:long,packet:long,offset:long,size:long,random_access:boolean>>, feature string, error string"
 )
 
 
@@ -126,34 +126,61 @@ def _section_of(packet: np.ndarray) -> bytes:
 _CHECKED: set[bytes] = set()
 
 
+def _own(packets: np.ndarray, pid: np.ndarray, wanted: int) -> tuple[np.ndarray, int]:
+    """Indexes of a stream's packets without repeats of the packet before (which the format allows), and how
+    many continuity counters are not the next."""
+    index = np.flatnonzero(pid == wanted)
+    own = packets[index]
+    has_payload = own[:, 3] & 0x10 != 0
+    counter, bearing = own[has_payload, 3].astype(np.int16) & 0x0F, own[has_payload]
+    step = np.diff(counter) % 16
+    again = np.zeros(len(counter), bool)
+    again[1:] = (step == 0) & (bearing[1:] == bearing[:-1]).all(1)
+    keep = np.ones(len(index), bool)
+    keep[np.flatnonzero(has_payload)[again]] = False
+    return index[keep], int((np.diff(counter[~again]) % 16 != 1).sum())
+
+
 def demux(data: bytes) -> dict:
-    """Payload, tables, continuity errors and units of a transport stream."""
+    """Payload, tables, continuity errors (of tables and streams) and units of a transport stream.
+
+    All program tables are read; where they change, streams of earlier ones count too."""
     packets = np.frombuffer(data, np.uint8)
     if len(packets) % PACKET or (packets[::PACKET] != SYNC).any():
         raise ValueError("not a transport stream of 188-byte packets")
     packets = packets.reshape(-1, PACKET)
     pid = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
-    programs = {}
-    for i in np.flatnonzero(pid == PAT_PID)[:1]:
-        section = _section_of(packets[i])
+
+    def sections(wanted: int) -> tuple[list[bytes], int]:
+        index, wrong = _own(packets, pid, wanted)
+        different = {packets[i, 4:].tobytes(): i for i in index[::-1].tolist()}
+        return [_section_of(packets[i]) for i in sorted(different.values())], wrong
+
+    programs: dict[int, int] = {}
+    tables, errors = sections(PAT_PID)
+    for section in tables:
         for at in range(8, len(section) - 4, 4):
-            programs[int.from_bytes(section[at : at + 2], "big")] = int.from_bytes(section[at + 2 : at + 4], "big") & 0x1FFF
-    streams = {}
-    for pmt in programs.values():
-        for i in np.flatnonzero(pid == pmt)[:1]:
-            section = _section_of(packets[i])
+            number, table = int.from_bytes(section[at : at + 2], "big"), int.from_bytes(section[at + 2 : at + 4], "big") & 0x1FFF
+            if number:  # 0 names the network table
+                programs[number] = table
+    streams: dict[int, int] = {}
+    for pmt in dict.fromkeys(programs.values()):
+        tables, wrong = sections(pmt)
+        errors += wrong
+        for section in tables:
             at = 12 + (int.from_bytes(section[10:12], "big") & 0x0FFF)
             while at < len(section) - 4:
                 streams[int.from_bytes(section[at + 1 : at + 3], "big") & 0x1FFF] = section[at]
                 at += 5 + (int.from_bytes(section[at + 3 : at + 5], "big") & 0x0FFF)
-    errors, units, payload = 0, [], []
+    units, payload = [], []
     for es in streams:
-        index = np.flatnonzero(pid == es)
+        index, wrong = _own(packets, pid, es)
+        errors += wrong
         own = packets[index]
         has_field, has_payload = own[:, 3] & 0x20 != 0, own[:, 3] & 0x10 != 0
-        counter = own[has_payload, 3] & 0x0F
-        errors += int(((np.diff(counter.astype(np.int16)) % 16) != 1).sum())
         begin = np.where(has_payload, np.where(has_field, 5 + own[:, 4].astype(np.int32), 4), PACKET)
+        if (begin > PACKET).any():
+            raise ValueError("an adaptation field is longer than its packet")
         field = np.where(has_field & (own[:, 4] > 0), own[:, 5], 0)
         content = own[np.arange(PACKET) >= begin[:, None]]
         to = np.cumsum(PACKET - begin)
@@ -162,16 +189,18 @@ def demux(data: bytes) -> dict:
         offset = 0
         for k, packet in enumerate(starts.tolist()):
             pes = content[cuts[k] : cuts[k + 1]]
-            head = 9 + int(pes[8])
-            p = [int(x) for x in pes[9:14]]
-            pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
+            if len(pes) < 9 or pes[:3].tobytes() != b"\x00\x00\x01":
+                raise ValueError("an elementary packet does not begin with its code")
+            head, pts = 9 + int(pes[8]), None
+            if pes[7] & 0x80:
+                p = [int(x) for x in pes[9:14]]
+                pts = (p[0] >> 1 & 7) << 30 | p[1] << 22 | p[2] >> 1 << 15 | p[3] << 7 | p[4] >> 1
             size = int.from_bytes(pes[4:6].tobytes(), "big") - (head - 6)
             body = pes[head : head + size]
             units.append({"pts": pts, "packet": int(index[packet]), "offset": offset, "size": len(body), "random_access": bool(field[packet] & 0x40)})
             payload.append(body)
             offset += len(body)
     samples = np.concatenate(payload) if payload else np.zeros(0, np.uint8)
-    errors += sum(u["size"] == 0 for u in units)
     return {"payload": samples, "programs": len(programs), "stream_type": next(iter(streams.values()), None), "packets": len(packets), "continuity_errors": errors, "units": units}
 
 
@@ -182,7 +211,7 @@ def feature_of(found: dict) -> str:
     mean = x.mean() if len(x) else 0.0
     above = x > mean
     points = sum(u["random_access"] for u in found["units"])
-    last = found["units"][-1]["pts"] if found["units"] else 0
+    last = next((u["pts"] for u in reversed(found["units"]) if u["pts"] is not None), 0)
     return f"mean={mean:.4f};deviation={x.std() if len(x) else 0:.4f};crossings={int((above[1:] != above[:-1]).sum())};units={len(found['units'])};points={points};last_pts={last}"
 
 
@@ -205,21 +234,32 @@ def to_transport_stream(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(store, "_id long, n_bytes long, media binary").select(public_id(), "n_bytes", "media")
 
 
+def _read(data: bytes | None) -> dict:
+    """The columns of ``READ``; all but ``error`` are null for a stream that can't be read."""
+    try:
+        if data is None:
+            raise ValueError("no media")
+        found = demux(data)
+    except (ValueError, IndexError) as wrong:
+        return {"error": str(wrong) or type(wrong).__name__}
+    return {**found, "feature": feature_of(found), "payload": found["payload"].tobytes(), "error": None}
+
+
 def read_transport_stream(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, media and what is read back from media: see ``READ``."""
+    """doc_id, n_bytes, media and what is read back from media: see ``READ``.
+
+    Media that is null, or no whole transport stream with sound tables, gives nulls and an ``error``; lost
+    packets are counted in ``continuity_errors``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [demux(x) for x in part["media"].to_pylist()]
+                found = [_read(x) for x in part["media"].to_pylist()]
                 kinds = {
                     "payload": pa.binary(), "programs": pa.int32(), "stream_type": pa.int32(), "packets": pa.int64(), "continuity_errors": pa.int64(),
-                    "units": pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())])), "feature": pa.string(),
+                    "units": pa.list_(pa.struct([("pts", pa.int64()), ("packet", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())])), "feature": pa.string(), "error": pa.string(),
                 }
-                for f in found:
-                    f["feature"] = feature_of(f)
-                    f["payload"] = f["payload"].tobytes()
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([f[k] for f in found], kind) for k, kind in kinds.items())], names=[*part.schema.names, *kinds])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array([f.get(k) for f in found], kind) for k, kind in kinds.items())], names=[*part.schema.names, *kinds])
 
     return stored.select(F.col(id_col).alias("doc_id"), "n_bytes", "media").mapInArrow(read, f"doc_id long, n_bytes long, media binary, {READ}")

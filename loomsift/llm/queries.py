@@ -64,6 +64,7 @@ def op7_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         _sha("media").alias("media_sha256"),
         "feature",
         "continuity_errors",
+        F.array_join(F.transform("units", lambda u: F.concat_ws(":", u["pts"], u["offset"], u["size"], u["random_access"].cast("int"))), ",").alias("units"),
     )
 
 

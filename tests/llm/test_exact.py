@@ -323,16 +323,27 @@ def test_transport_stream(docs, corpus):
         assert r.continuity_errors == 0 and r.programs == 1 and r.units[0].random_access and [u.pts for u in r.units] == sorted(u.pts for u in r.units)
 
 
-def test_transport_stream_faults():
-    data = bytearray(media.mux(bytes(range(256)) * 192))
-    whole = media.demux(bytes(data))
-    assert whole["payload"].tobytes() == bytes(range(256)) * 192 and [u["random_access"] for u in whole["units"]] == [True, False, False, False]
-    assert media.demux(bytes(data[: 188 * 4] + data[188 * 5 :]))["continuity_errors"] == 1
-    with pytest.raises(ValueError):
-        media.demux(bytes(data[1:]))
-    data[14] ^= 1
-    with pytest.raises(ValueError):
-        media.demux(bytes(data))
+def test_transport_stream_faults(spark):
+    samples = bytes(range(256)) * 192
+    data = media.mux(samples)
+    whole = media.demux(data)
+    assert whole["payload"].tobytes() == samples and [u["random_access"] for u in whole["units"]] == [True, False, False, False]
+    packets = [data[a : a + 188] for a in range(0, len(data), 188)]
+    assert media.demux(b"".join(packets[:4] + packets[5:]))["continuity_errors"] == 1
+    again = media.demux(b"".join([*packets[:6], *packets[5:]]))
+    assert again["continuity_errors"] == 0 and again["payload"].tobytes() == samples, "a packet may be sent twice"
+    tables = [p for p in packets if p[1] & 0x1F == 0 and p[2] == 0]
+    long_ = media.mux(samples * 4)
+    at = [a for a in range(0, len(long_), 188) if long_[a + 1] & 0x1F == 0 and long_[a + 2] == 0]
+    assert len(tables) == 1 and len(at) == 4
+    assert media.demux(long_[: at[1]] + long_[at[1] + 188 :])["continuity_errors"] == 1, "counters of tables count too"
+    broken = bytearray(data)
+    broken[14] ^= 1
+    rows = [(1, 0, data), (2, 0, None), (3, 0, bytes(broken)), (4, 0, data[1:]), (5, 0, b""), (6, 0, data[: 188 * 2]), (7, 0, b"G" * 376)]
+    got = {r.doc_id: r for r in media.read_transport_stream(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert bytes(got[1].payload) == samples and got[1].error is None
+    assert all(got[i].payload is None and got[i].error for i in (2, 3, 4))
+    assert got[5].packets == 0 and got[6].programs == 1 and not got[6].units and len(got) == 7
 
 
 def test_fingerprints(docs, corpus):
@@ -368,6 +379,30 @@ def test_syncmers_are_closed(spark):
     assert {x >> 24 for x in one} <= {x >> 24 for x in two}, "anchors don't depend on what stands before"
 
 
+def test_likeness_by_position(spark):
+    """Shares and shifts against brute force, for long texts too."""
+    import random
+
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    base, other = text(3000), text(2500)
+    words = base.split()
+    rows = [(base, base), (base, "new " + base), (base, " ".join(words[:1500] + ["x", "y"] + words[1500:])), (base, other), (base, other + " " + base), ("a b", "a b"), ("", "x"), ("", ""), ("a b c d e f", "g a b c d e f")]
+    rows += [(" ".join(words[700:]), base)]
+    a, b, by = F.col("a"), F.col("b"), F.col("by")
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, s string, t string").select("i", fingerprints.anchors(F.col("s")).alias("a"), fingerprints.anchors(F.col("t")).alias("b"))
+    df = df.select("*", fingerprints.shifts(a, b).alias("by")).select("*", fingerprints.likeness(by, a, b).alias("near"), fingerprints.shift(by).alias("shift"))
+    got = {r.i: r for r in df.collect()}
+    for r in got.values():
+        one, two = ({x >> 24: x & 0xFFFFFF for x in side} for side in (r.a, r.b))
+        assert len(one) == len(r.a)
+        apart = Counter(two[h] - one[h] for h in one.keys() & two.keys())
+        n = sum(c for s, c in apart.items() if s == 0 or c > 1)
+        assert r.near == pytest.approx(n / (len(one) + len(two) - n)) and r["shift"] == min(apart, key=lambda s: (-apart[s], s), default=None)
+    assert got[0].near == got[5].near == got[7].near == 1 and got[6].near == 0 and got[1].near > 0.95 and got[1]["shift"] == 1 and got[9]["shift"] == 700
+    assert got[2].near > 0.95 and got[3].near < 0.1 and 0.4 < got[4].near < 0.7 and len(got[0].a) > 1000
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, "x y z " * 50 + mit + " tail"), (2, "the the. Released under the MIT License. the"), (3, "nothing here"), (4, None), (5, ""), (6, mit.replace("free of charge", "for no money")), (7, "License MIT the under Released")]
