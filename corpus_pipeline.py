@@ -16,8 +16,11 @@ from loomsift.llm.common import materialize
 
 
 def _by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``kept`` (doc_id); a null id counts as one too."""
-    return docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` whose id is in ``kept`` (doc_id); a null id counts as one too.  Rows travel as a
+    struct, so that no column of theirs can clash with the key."""
+    rows = docs.select(F.col("doc_id").alias("_of"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = rows.join(kept.select(F.col("doc_id").alias("_kept")), F.col("_of").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +47,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, with their ids."""
-    return packing.pack_documents(docs)
+    """Pieces of token sequences, with their ids: texts as prompts and answers."""
+    return packing.pack_instructions(docs)
 
 
 STAGES = [
