@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -55,17 +53,21 @@ def floor_match(command: Column) -> Column:
     return F.coalesce(*[F.when(command.rlike(p), F.lit(i)) for i, p in enumerate(FLOOR)])
 
 
+def compiles(pattern: str) -> bool:
+    """Whether the engine that runs a pattern accepts it."""
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def is_critical(command: Column, patterns: list[str] = CRITICAL) -> Column:
     """Any pattern matches; patterns that don't compile are left out."""
-    import re
-
     hit = F.lit(False)
     for p in patterns:
-        try:
-            re.compile(p)
-        except re.error:
-            continue
-        hit = hit | command.rlike("(?i)" + p)
+        if compiles("(?i)" + p):
+            hit = hit | command.rlike("(?i)" + p)
     return hit
 
 
@@ -90,7 +92,11 @@ def g6_critical(spark, sf_dir):
 
 def first_significant(command: Column) -> Column:
     """The first word that is no sudo (with its options), env or assignment; null if none."""
-    words = F.filter(F.split(command, r"\s+"), lambda w: w != "")
+    return first_of(F.filter(F.split(command, r"\s+"), lambda w: w != ""))
+
+
+def first_of(words: Column) -> Column:
+    """``first_significant`` of a command that is split into words."""
 
     def step(s: Column, w: Column) -> Column:
         skip = w.isin("sudo", "env") | w.rlike(r"^[A-Za-z_][A-Za-z0-9_]*=") | (s["sudo"] & w.startswith("-"))
@@ -155,83 +161,3 @@ def p7_missing_flags(spark, sf_dir):
 @query(rf"WITH {COMMANDS_SQL} SELECT cmd_id, regexp_replace(command, '\s*(\s*(&&|\|\||\||;|&))+\s*$', '') AS command FROM shell_commands")
 def p9_stripped_operators(spark, sf_dir):
     return shell_commands(spark, sf_dir).select("cmd_id", F.regexp_replace("command", r"\s*(\s*(&&|\|\||\||;|&))+\s*$", "").alias("command"))
-
-
-def scan(command: str) -> dict:
-    """Words and structure of one command line: a character machine over quotes, escapes, groups and
-    operators.  Substitution inside double quotes is not seen, as ``$(`` there is plain text."""
-    words, word, quote, escaped, depth, operator, at = [], "", "", False, 0, False, 0
-    out = dict.fromkeys(("pipeline", "control", "redirection", "substitution", "grouping", "unbalanced_group"), False)
-
-    def flush() -> None:
-        nonlocal word
-        if word:
-            words.append(word)
-        word = ""
-
-    while at < len(command):
-        ch, two = command[at], command[at : at + 2]
-        at += 1
-        if escaped:
-            word, escaped, operator = word + ch, False, False
-        elif quote:
-            if ch == quote:
-                quote = ""
-            elif ch == "\\" and quote == '"':
-                escaped = True
-            else:
-                word += ch
-        elif ch == "\\":
-            escaped, operator = True, False
-        elif ch in "'\"":
-            quote, operator = ch, False
-        elif ch in "()" or two == "$(":
-            out["grouping"] = True
-            if ch == "$":
-                out["substitution"], word, at = True, word + two, at + 1
-            elif word:
-                word += ch
-            if ch == ")" and not depth:
-                out["unbalanced_group"] = True
-            depth = max(0, depth + (-1 if ch == ")" else 1))
-            operator = False
-        elif ch in "|&;<>":
-            flush()
-            kind = "redirection" if ch in "<>" else "pipeline" if ch == "|" and two != "||" else "control"
-            out[kind] = operator = True
-            at += two in ("||", "&&") or (ch in "<>" and two[1:] in ("<", ">"))
-        elif ch.isspace():
-            flush()
-            operator = operator and not words
-        else:
-            word, operator = word + ch, False
-    flush()
-    unbalanced = bool(quote) or escaped
-    return {"words": words, **out, "trailing_operator": operator, "unbalanced_quotes": unbalanced, "unbalanced_group": out["unbalanced_group"] or depth > 0}
-
-
-@query()
-def g1_shell_scan(spark, sf_dir):
-    """cmd_id and the structure of every command (G1, G3): a sequential machine, so an Arrow function."""
-    names = ["pipeline", "control", "redirection", "substitution", "grouping", "unbalanced_group", "trailing_operator", "unbalanced_quotes"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [scan(c) for c in b.command]
-            yield pd.DataFrame({"cmd_id": b.cmd_id, "words": [f["words"] for f in found], **{n: [f[n] for f in found] for n in names}})
-
-    out = shell_commands(spark, sf_dir).mapInPandas(run, "cmd_id long, words array<string>, " + ", ".join(f"{n} boolean" for n in names))
-    ambiguous = F.col("unbalanced_group") | F.col("unbalanced_quotes") | F.col("trailing_operator") | (F.size("words") == 0)
-    return out.withColumn("ambiguous", ambiguous)
-
-
-@query("SELECT conv_id, turn, 'run' AS name, 'echo ' || conv_id AS command FROM conversations WHERE role = 'assistant'")
-def m1_tool_calls(spark, sf_dir):
-    """Tool calls in model output: tagged JSON, and bare JSON (M1-M3)."""
-    from ..sources.tables import table
-
-    call = F.to_json(F.struct(F.lit("run").alias("name"), F.struct(F.concat(F.lit("echo "), "conv_id").alias("command")).alias("arguments")))
-    said = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("ok <tool_call>"), call, F.lit("</tool_call> done"))).otherwise(F.concat(F.lit("ok "), call))
-    body = F.coalesce(F.nullif(F.regexp_extract(said, r"(?s)<tool_call>(.*?)</tool_call>", 1), F.lit("")), F.regexp_extract(said, r"(?s)(\{.*\})", 1))
-    got = F.from_json(body, "name string, arguments struct<command:string>")
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", got["name"].alias("name"), got["arguments"]["command"].alias("command"))

