@@ -63,15 +63,16 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def same_spans(one: np.ndarray, start: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether ``one[s:s + n]`` and ``other[b:b + n]`` are equal, for every span.  Both have eight bytes to spare."""
+def same_spans(one: np.ndarray, start: np.ndarray, other: np.ndarray, begin: np.ndarray, size: np.ndarray, most: int = LONG) -> np.ndarray:
+    """Whether ``one[s:s + n]`` and ``other[b:b + n]`` are equal, for every span.  Both have eight bytes to spare;
+    spans of more than ``most`` bytes are compared one at a time."""
     out = np.ones(len(size), bool)
     x, y = lanes(one, True), lanes(other, True)
-    own, k = np.flatnonzero(size <= LONG), 0
+    own, k = np.flatnonzero(size <= most), 0
     while len(own := own[size[own] > k]):
         out[own] &= ((x[start[own] + k] ^ y[begin[own] + k]) & _FIRST[np.minimum(size[own] - k, 8)]) == 0
         k += 8
-    for i in np.flatnonzero(size > LONG).tolist():
+    for i in np.flatnonzero(size > most).tolist():
         out[i] = np.array_equal(one[start[i] : start[i] + size[i]], other[begin[i] : begin[i] + size[i]])
     return out
 

@@ -31,6 +31,8 @@ from .common import NULL_ID, partitions, public_id, tidy
 from .kernels import Words, mix64, ngrams, pair64, ranges, runs, same_spans, words
 
 WINDOW, ANCHOR = 20, 6
+#: Windows that share an anchor's place, at most: longer stretches are cut for parsing.
+PART = WINDOW - ANCHOR + 1
 #: Columns that say which rows are one document.
 PLACE = ["_id", "_text_key"]
 #: Anchors that a task gathers before it combines and hands on what it has.
@@ -127,93 +129,142 @@ FACTOR = "_id long, _text_key long, start int, size int, ref_id long, ref_start
 
 @dataclass
 class Block:
-    """A reference block: words in ``data`` (which has eight bytes to spare), and the windows of its
-    stretches in the order of documents and places, each place once.
+    """A reference block: words in ``data`` (which has eight bytes to spare), and stretches of windows with
+    one anchor (``key``), of which ``first`` is the first word, ``count`` the number of windows.
 
-    ``at`` is a window's first word, ``stop`` the end of its stretch, ``key`` its anchor."""
+    Windows are numbered in the order of documents and places, each place once; ``at`` is a window's first
+    word, ``run`` its stretch, ``pos`` its place."""
 
     data: np.ndarray
     start: np.ndarray
     size: np.ndarray
     hashes: np.ndarray
-    at: np.ndarray
-    stop: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
     key: np.ndarray
     ids: np.ndarray
     texts: np.ndarray
-    pos: np.ndarray
+    begin: np.ndarray
+    by_text: np.ndarray | None = None
 
     def __post_init__(self) -> None:
-        order = np.lexsort((self.pos, self.texts, self.ids))
-        ids, texts, pos = self.ids[order], self.texts[order], self.pos[order]
-        again = np.zeros(len(order), bool)
-        # A row that repeats an id and its text has the same places as the other: neither is earlier.
-        again[1:] = (ids[1:] == ids[:-1]) & (texts[1:] == texts[:-1]) & (pos[1:] == pos[:-1])
-        order = order[~again]
-        for name in ("at", "stop", "key", "ids", "texts", "pos"):
+        order = np.lexsort((self.count, self.begin, self.texts, self.ids))
+        # Text that repeats itself has long stretches; they are parsed in parts.
+        parts = -(-self.count[order] // PART)
+        order, part = np.repeat(order, parts), ranges(np.zeros_like(parts), parts)
+        for name in ("first", "count", "key", "ids", "texts", "begin"):
             setattr(self, name, getattr(self, name)[order])
+        self.first, self.begin, self.count = self.first + part * PART, self.begin + part * PART, np.minimum(self.count - part * PART, PART)
+        self.run = np.repeat(np.arange(len(order)), self.count)
+        self.at, self.pos = ranges(self.first, self.count), ranges(self.begin, self.count)
+        meets = (self.ids[1:] == self.ids[:-1]) & (self.texts[1:] == self.texts[:-1]) & (self.begin[1:] < self.begin[:-1] + self.count[:-1])
+        if meets.any():  # a row that repeats an id and its text has the same places as the other: neither is earlier
+            ids, texts = self.ids[self.run], self.texts[self.run]
+            order = np.lexsort((self.pos, texts, ids))
+            ids, texts, pos = ids[order], texts[order], self.pos[order]
+            keep = np.ones(len(order), bool)
+            keep[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (pos[1:] != pos[:-1])
+            order = order[keep]
+            self.run, self.at, self.pos = self.run[order], self.at[order], self.pos[order]
+        # The index: windows of equal hashes, the earliest first.
+        name = runs(self.hashes, WINDOW)[self.at] if len(self.at) else self.hashes[:0]
+        self.order = np.argsort(name, kind="stable")
+        name = name[self.order]
+        new = np.ones(len(name), bool)
+        new[1:] = name[1:] != name[:-1]
+        self.group_at = np.flatnonzero(new)
+        self.group_size = np.diff(np.append(self.group_at, len(name)))
+        self.group = np.empty(len(name), np.int64)
+        self.group[self.order] = np.cumsum(new) - 1
 
     def cuts(self) -> np.ndarray:
         """Where a window does not go on from the one before it."""
         out = np.ones(len(self.at), bool)
-        out[1:] = (self.key[1:] != self.key[:-1]) | (self.ids[1:] != self.ids[:-1]) | (self.texts[1:] != self.texts[:-1]) | (self.pos[1:] != self.pos[:-1] + 1)
+        out[1:] = (self.run[1:] != self.run[:-1]) | (self.pos[1:] != self.pos[:-1] + 1)
         return out
 
-    def longest(self) -> tuple[np.ndarray, np.ndarray]:
-        """Of each window the words of the longest earlier match (0: none), and the first window where such
-        a match begins.  The index is by hash, first of ``WINDOW`` words, then of one word more at a time."""
+    def _left(self, windows: np.ndarray) -> np.ndarray:
+        """Words of the stretch after a window."""
+        run = self.run[windows]
+        return self.first[run] + self.count[run] - 1 - self.at[windows]
+
+    def _members(self, windows: np.ndarray) -> np.ndarray:
+        """All windows with the same words as one of ``windows``."""
+        groups = np.unique(self.group[windows])
+        return np.sort(self.order[ranges(self.group_at[groups], self.group_size[groups])])
+
+    def longest(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the longest earlier match of each window (0: none), and the window where the earliest
+        such match begins."""
         length, ref = np.zeros(len(self.at), np.int64), np.full(len(self.at), -1)
-        left, n = np.arange(len(self.at)), WINDOW
-        name = runs(self.hashes, WINDOW)[self.at] if len(left) else self.hashes[:0]
-        while len(left):
-            order = np.argsort(name[left], kind="stable")
-            own = left[order]
-            first = np.ones(len(own), bool)
-            first[1:] = name[own[1:]] != name[own[:-1]]
-            begin = np.flatnonzero(first)
-            group = np.cumsum(first) - 1
-            lead = own[begin][group]
-            length[own[~first]], ref[own[~first]] = n, lead[~first]
-            several = np.diff(np.append(begin, len(own)))[group] > 1
-            left = np.sort(own[several & (self.stop[own] > self.at[own] + n)])
-            name[left] = pair64(name[left], self.hashes[self.at[left] + n])
+        late = windows[self.order[self.group_at[self.group[windows]]] != windows]
+        # Matches up to the end of a stretch can't be longer.
+        rows = self._members(late)
+        rest = self._left(rows)
+        name, own, k = self.group[rows].astype(np.uint64), np.arange(len(rows)), 0
+        while len(own := own[rest[own] > k]):
+            name[own] = pair64(name[own], self.hashes[self.at[rows[own]] + WINDOW + k])
+            k += 1
+        lead, _ = _leaders(rows, mix64(name + rest.astype(np.uint64)))
+        hit = lead != rows
+        length[rows[hit]], ref[rows[hit]] = WINDOW + rest[hit], lead[hit]
+        whole = length > 0
+        # Others grow a word at a time, among all windows that begin alike.
+        rows, n = self._members(late[~whole[late]]), WINDOW
+        name = self.group[rows].astype(np.uint64)
+        while len(rows):
+            lead, several = _leaders(rows, name)
+            hit = (lead != rows) & ~whole[rows]
+            length[rows[hit]], ref[rows[hit]] = n, lead[hit]
+            keep = several & (self._left(rows) > n - WINDOW)
+            rows = rows[keep]
+            name = pair64(name[keep], self.hashes[self.at[rows] + n])
             n += 1
-        return length, ref
+        return length[windows], ref[windows]
 
-    def exact(self) -> tuple[np.ndarray, np.ndarray]:
+    def exact(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``longest``, by the words themselves and for ``WINDOW`` words: where hashes of different words met."""
-        raw = self.data.tobytes()
-        words_ = [raw[a : a + n] for a, n in zip(self.start.tolist(), self.size.tolist())]
-        seen: dict[tuple, int] = {}
-        ref = np.array([seen.setdefault(tuple(words_[a : a + WINDOW]), i) for i, a in enumerate(self.at.tolist())], np.int64)
-        late = ref != np.arange(len(ref))
-        return np.where(late, WINDOW, 0), np.where(late, ref, -1)
-
-    def parse(self, length: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.by_text is None:
+            raw, seen = self.data.tobytes(), {}
+            words_ = [raw[a : a + n] for a, n in zip(self.start.tolist(), self.size.tolist())]
+            self.by_text = np.array([seen.setdefault(tuple(words_[a : a + WINDOW]), i) for i, a in enumerate(self.at.tolist())], np.int64)
+        ref = self.by_text[windows]
+        return np.where(ref != windows, WINDOW, 0), ref
+
+    def parse(self, match) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Greedy factors: first windows, references, words.  A cursor per stretch takes the longest match; the
         next window that lies not wholly inside a factor is looked up anew, so the windows across a
         factor's end are checked too."""
         cursor = np.flatnonzero(self.cuts())
         end = np.append(cursor[1:], len(self.at))
-        found = []
+        at, refs, sizes = [], [], []
         while len(cursor):
-            size = length[cursor]
-            found.append(cursor[size > 0])
-            cursor = cursor + np.where(size > 0, size - WINDOW + 1, 1)
+            size, ref = match(cursor)
+            hit = size > 0
+            at, refs, sizes = [*at, cursor[hit]], [*refs, ref[hit]], [*sizes, size[hit]]
+            cursor = cursor + np.where(hit, size - WINDOW + 1, 1)
             cursor, end = cursor[cursor < end], end[cursor < end]
-        at = np.sort(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return at, ref[at], length[at]
+        if not at:
+            return tuple(np.zeros((3, 0), np.int64))
+        order = np.argsort(at := np.concatenate(at))
+        return at[order], np.concatenate(refs)[order], np.concatenate(sizes)[order]
 
     def same(self, at: np.ndarray, ref: np.ndarray, size: np.ndarray) -> bool:
-        """Whether all factors and their references are the same words."""
-        one, two = ranges(self.at[at], size), ranges(self.at[ref], size)
+        """Whether all factors and their references are the same words: as bytes, or else word by word."""
+        one, two = self.at[at], self.at[ref]
+        a, b = self.start[one], self.start[two]
+        n, m = self.start[one + size - 1] + self.size[one + size - 1] - a, self.start[two + size - 1] + self.size[two + size - 1] - b
+        left = np.flatnonzero(n != m)
+        alike = np.flatnonzero(n == m)
+        left = np.concatenate((left, alike[~same_spans(self.data, a[alike], self.data, b[alike], n[alike], 4096)]))
+        one, two = ranges(one[left], size[left]), ranges(two[left], size[left])
         return bool((self.size[one] == self.size[two]).all() and same_spans(self.data, self.start[one], self.data, self.start[two], self.size[one]).all())
 
     def factors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First windows, references and numbers of windows of the block's factors."""
-        found = self.parse(*self.longest())
+        found = self.parse(self.longest)
         if not self.same(*found):
-            found = self.parse(*self.exact())
+            found = self.parse(self.exact)
         return found[0], found[1], found[2] - WINDOW + 1
 
     def rows(self) -> tuple[list[np.ndarray], np.ndarray]:
@@ -223,7 +274,8 @@ class Block:
         change[at] += 1
         np.add.at(change, at + size, -1)
         free = np.cumsum(change)[:-1] == 0
-        ids, texts, pos, ref_id, ref_text, ref_pos = self.ids[at], self.texts[at], self.pos[at], self.ids[ref], self.texts[ref], self.pos[ref]
+        ids, texts, pos = self.ids[self.run[at]], self.texts[self.run[at]], self.pos[at]
+        ref_id, ref_text, ref_pos = self.ids[self.run[ref]], self.texts[self.run[ref]], self.pos[ref]
         cut = np.ones(len(at), bool)
         cut[1:] = (ids[1:] != ids[:-1]) | (texts[1:] != texts[:-1]) | (pos[1:] != pos[:-1] + size[:-1])
         cut[1:] |= (ref_id[1:] != ref_id[:-1]) | (ref_text[1:] != ref_text[:-1]) | (ref_pos[1:] != ref_pos[:-1] + size[:-1])
@@ -232,6 +284,19 @@ class Block:
         return [ids[start], texts[start], pos[start].astype(np.int32), total.astype(np.int32), ref_id[start], ref_pos[start].astype(np.int32)], free
 
 
+def _leaders(rows: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the first with the same name, and whether there are several."""
+    order = np.argsort(name, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = name[order[1:]] != name[order[:-1]]
+    begin = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    lead, several = np.empty_like(rows), np.empty(len(rows), bool)
+    lead[order] = rows[order[begin]][group]
+    several[order] = (np.diff(np.append(begin, len(order))) > 1)[group]
+    return lead, several
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows with repeated anchors, as stretches with one anchor and consecutive starts.
 
@@ -248,19 +313,20 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block(data, start, length, h, *_concat(parts))
         (ids, texts, pos, n, ref_id, ref_pos), free = block.rows()
         yield _batch(names, _signed(mix64((ids ^ texts).astype(np.uint64) + np.uint64(1))), ids, texts, pos, n, pa.nulls(len(ids), pa.string()), ref_id, ref_pos)
-        cut = block.cuts()
-        cut[1:] |= free[1:] != free[:-1]
+        key, own, text = block.key[block.run], block.ids[block.run], block.texts[block.run]
+        cut = np.ones(len(free), bool)
+        cut[1:] = (block.at[1:] != block.at[:-1] + 1) | (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (text[1:] != text[:-1]) | (free[1:] != free[:-1])
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(cut)) - 1
         first, last = first[free[first]], last[free[first]]
         for a in range(0, len(first), 50_000):
             s, e = first[a : a + 50_000], last[a : a + 50_000]
-            begin, to = start[block.at[s]], block.at[e] + WINDOW - 1
+            begin, to, run = start[block.at[s]], block.at[e] + WINDOW - 1, block.run[s]
             wide = start[to] + length[to] - begin
             offsets = np.concatenate(([0], np.cumsum(wide)))
             body = pa.Array.from_buffers(pa.string(), len(s), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[ranges(begin, wide)])])
             none = pa.nulls(len(s), pa.int64())
-            yield _batch(names, _signed(block.key[s]), block.ids[s], block.texts[s], block.pos[s].astype(np.int32), (e - s + 1).astype(np.int32), body, none, none.cast(pa.int32()))
+            yield _batch(names, _signed(block.key[run]), block.ids[run], block.texts[run], block.pos[s].astype(np.int32), (e - s + 1).astype(np.int32), body, none, none.cast(pa.int32()))
 
     for batch in batches:
         keys, text_keys, marks = batch[0].to_numpy(), batch["_text_key"].to_numpy(), batch["marks"]
@@ -280,9 +346,9 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.searchsorted(w.first, begin, side="right") - 1
             cut = np.ones(len(begin), bool)
             cut[1:] = (anchor[1:] != anchor[:-1]) | (begin[1:] != begin[:-1] + 1) | (doc[1:] != doc[:-1])
-            ends = np.append(np.flatnonzero(cut)[1:], len(begin)) - 1
-            stop = (begin[ends] + WINDOW)[np.cumsum(cut) - 1] if len(begin) else begin
-            parts.append((begin + count, stop + count, anchor, keys[w.row0 + doc], text_keys[w.row0 + doc], begin - w.first[doc]))
+            cut = np.flatnonzero(cut)
+            own, doc = begin[cut], doc[cut]
+            parts.append((own + count, np.diff(np.append(cut, len(begin))), anchor[cut], keys[w.row0 + doc], text_keys[w.row0 + doc], own - w.first[doc]))
             texts_.append((w.data, w.start + size, w.end - w.start, h))
             size, count = size + len(w.data), count + len(w.start)
             if size > FLUSH_BYTES:
@@ -314,12 +380,9 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not own.num_rows:
             continue
         (w,) = words(own["body"].combine_chunks(), limit=1 << 62)
-        size = own["size"].to_numpy()
-        each = lambda x: np.repeat(x, size)
-        at = ranges(w.first[:-1], size)
         block = Block(
-            np.append(w.data, np.zeros(8, np.uint8)), w.start, w.end - w.start, w.hashes(), at, each(w.first[1:]), each(own["key"].to_numpy().view(np.uint64)),
-            each(own["_id"].to_numpy()), each(own["_text_key"].to_numpy()), ranges(own["start"].to_numpy(), size),
+            np.append(w.data, np.zeros(8, np.uint8)), w.start, w.end - w.start, w.hashes(), w.first[:-1], own["size"].to_numpy().astype(np.int64),
+            own["key"].to_numpy().view(np.uint64), own["_id"].to_numpy(), own["_text_key"].to_numpy(), own["start"].to_numpy().astype(np.int64),
         )
         yield _batch(names, *block.rows()[0])
 
