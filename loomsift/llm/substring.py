@@ -10,7 +10,7 @@ compared with that reference word by word.  Where a factor ends, the next window
 windows across a factor's or a stretch's border are checked too.
 
 A row's place is its id and the hash of its text (``_text_key``), so texts under one id, or under none, keep
-their own words; their order is that of the hashes.
+their own words; their order is that of the hashes.  ``_place`` is a hash of both by which rows are dealt.
 
 Each task parses its own rows as a block first, so a passage that a third of all documents share arrives
 at its block once per task, not once per document.
@@ -74,32 +74,32 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, _id, _text_key, pos, known.  known 0: the only one of this task; 1: the first of several; 2: a later
+    """key, _place, pos, known.  known 0: the only one of this task; 1: the first of several; 2: a later
     one, repeated for sure, which needs no partner and is dealt by its own place."""
-    names = ["key", "_id", "_text_key", "pos", "known"]
+    names = ["key", "_place", "pos", "known"]
     parts, n = [], 0
 
     def combine():
-        key, ids, texts, pos = _concat(parts)
+        key, places, pos = _concat(parts)
         order = np.argsort(key, kind="stable")
-        key, ids, texts, pos = (x[order] for x in (key, ids, texts, pos))
+        key, places, pos = (x[order] for x in (key, places, pos))
         first = np.ones(len(key), bool)
         first[1:] = key[1:] != key[:-1]
         several = np.diff(np.append(np.flatnonzero(first), len(key))) > 1
         known = np.full(len(key), 2, np.int8)
         known[first] = several
-        spread = mix64((ids.astype(np.uint64) ^ texts.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64))
-        return _batch(names, _signed(np.where(known == 2, spread, key)), ids, texts, pos.astype(np.int32), known)
+        spread = mix64(places.view(np.uint64) + pos.astype(np.uint64))
+        return _batch(names, _signed(np.where(known == 2, spread, key)), places, pos.astype(np.int32), known)
 
     for batch in batches:
-        keys, text_keys = batch[0].to_numpy(), batch["_text_key"].to_numpy()
-        for w in words(batch[1]):
+        places = batch["_place"].to_numpy()
+        for w in words(batch["_text"]):
             begin, anchor, at = _windows(w, w.hashes())
             if len(begin):
                 new = np.ones(len(at), bool)
                 new[1:] = at[1:] != at[:-1]
                 doc = np.searchsorted(w.first, at[new], side="right") - 1
-                parts.append((anchor[new], keys[w.row0 + doc], text_keys[w.row0 + doc], at[new] - w.first[doc]))
+                parts.append((anchor[new], places[w.row0 + doc], at[new] - w.first[doc]))
                 n += len(doc)
         if n > FLUSH:
             yield combine()
@@ -109,18 +109,18 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_id, _text_key, pos of the anchors of one partition that occur more than once."""
+    """_place, pos of the anchors of one partition that occur more than once."""
     parts = [tuple(c.to_numpy() for c in b.columns) for b in batches if b.num_rows]
     if parts:
-        names = ["_id", "_text_key", "pos"]
-        key, ids, texts, pos, known = _concat(parts)
+        names = ["_place", "pos"]
+        key, places, pos, known = _concat(parts)
         sure = known == 2
-        yield _batch(names, ids[sure], texts[sure], pos[sure])
-        key, ids, texts, pos, known = (x[~sure] for x in (key, ids, texts, pos, known))
+        yield _batch(names, places[sure], pos[sure])
+        key, places, pos, known = (x[~sure] for x in (key, places, pos, known))
         _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
         again = (count > 1) | (np.bincount(inverse, known, len(count)) > 0)
         again = again[inverse]
-        yield _batch(names, ids[again], texts[again], pos[again])
+        yield _batch(names, places[again], pos[again])
 
 
 STRETCH = "key long, _id long, _text_key long, start int, size int, body string, ref_id long, ref_start int"
@@ -340,7 +340,9 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             marked = np.zeros(w.first[-1] + 1, bool)
             rows = slice(w.row0, w.row0 + len(w.first))
             own = values[offsets[rows][0] : offsets[rows][-1]]
-            marked[np.repeat(w.first[:-1], np.diff(offsets[rows])) + own] = True
+            # A mark may be of another row whose place has the same hash: it must lie in this text.
+            own, end = np.repeat(w.first[:-1], np.diff(offsets[rows])) + own, np.repeat(w.first[1:], np.diff(offsets[rows]))
+            marked[own[own < end]] = True
             keep = marked[at]
             begin, anchor = begin[keep], anchor[keep]
             doc = np.searchsorted(w.first, begin, side="right") - 1
@@ -388,19 +390,25 @@ def _factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (_id, _text, _text_key and more) dealt by place once, and the factors of all documents."""
+    """``rows`` (_id, _text, _text_key, _place and more) dealt by place once, and the factors of all documents."""
     n = partitions(rows.sparkSession)
-    dealt = rows.repartition(n, *PLACE)
-    anchors = rows.select("_id", "_text", "_text_key").mapInArrow(tidy(_anchor_rows), "key long, _id long, _text_key long, pos int, known byte").repartition(n, "key")
-    marks = anchors.mapInArrow(tidy(_repeated), "_id long, _text_key long, pos int").groupBy(*PLACE).agg(F.array_distinct(F.collect_list("pos")).alias("marks"))
-    stretches = dealt.join(marks, PLACE).select("_id", "_text", "_text_key", "marks").mapInArrow(tidy(_stretches), STRETCH)
+    dealt = rows.repartition(n, "_place")
+    anchors = rows.select("_place", "_text").mapInArrow(tidy(_anchor_rows), "key long, _place long, pos int, known byte").repartition(n, "key")
+    marks = anchors.mapInArrow(tidy(_repeated), "_place long, pos int").groupBy("_place").agg(F.array_distinct(F.collect_list("pos")).alias("marks"))
+    stretches = dealt.join(marks, "_place").select("_id", "_text", "_text_key", "marks").mapInArrow(tidy(_stretches), STRETCH)
     return dealt, stretches.repartition(n, "key").mapInArrow(tidy(_factor), FACTOR)
 
 
+def _spans(factors: DataFrame) -> DataFrame:
+    """_place, spans: of all rows whose places have one hash."""
+    return factors.groupBy(F.xxhash64("_id", "_text_key").alias("_place")).agg(F.collect_list(F.struct("start", "size", "_id", "_text_key")).alias("spans"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame:
     kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if whole else []
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_text_key"), *kept)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_text_key"), *kept)
+    return rows.withColumn("_place", F.xxhash64("_id", "_text_key"))
 
 
 def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -410,16 +418,20 @@ def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return factors.select(public_id(), "start", (F.col("size") + WINDOW - 1).alias("n_words"), F.when(F.col("ref_id") != NULL_ID, F.col("ref_id")).alias("ref_id"), "ref_start")
 
 
-def _covered(w: Words, spans: pa.Array) -> np.ndarray:
+def _covered(w: Words, batch: pa.RecordBatch) -> np.ndarray:
     """Which words of a chunk lie in a window of its documents' factors."""
     change = np.zeros(w.first[-1] + 1, np.int64)
-    own = spans.slice(w.row0, len(w.first) - 1)
+    rows = batch.slice(w.row0, len(w.first) - 1)
+    own = rows["spans"]
     if own.null_count < len(own):
         valid = pa.compute.fill_null(pa.compute.list_value_length(own), 0).to_numpy(zero_copy_only=False)
         flat = own.flatten()
-        start = np.repeat(w.first[:-1], valid) + flat.field("start").to_numpy()
+        mine = np.ones(len(flat), bool)
+        for name in PLACE:
+            mine &= np.repeat(rows[name].to_numpy(), valid) == flat.field(name).to_numpy()
+        start = (np.repeat(w.first[:-1], valid) + flat.field("start").to_numpy())[mine]
         np.add.at(change, start, 1)
-        np.add.at(change, start + flat.field("size").to_numpy() + WINDOW - 1, -1)
+        np.add.at(change, start + flat.field("size").to_numpy()[mine] + WINDOW - 1, -1)
     return np.cumsum(change)[:-1] > 0
 
 
@@ -437,7 +449,7 @@ def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for w in words(batch[1]):
                 n = len(w.first) - 1
-                gone = _covered(w, batch["spans"])
+                gone = _covered(w, batch)
                 size = np.where(gone, 0, w.end - w.start + 1)
                 source = np.append(w.data, np.uint8(32))
                 out = source[ranges(w.start, size)]
@@ -450,8 +462,7 @@ def kept_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield _batch(["_id", "n_words", "n_removed", "kept"], batch[0].slice(w.row0, n), np.diff(w.first).astype(np.int64), np.diff(removed).astype(np.int64), pa.array(kept, pa.binary()).cast(pa.string()))
 
     rows, factors = _dealt(_rows(docs, id_col, text_col, False))
-    spans = factors.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    out = rows.join(spans, PLACE, "left").select("_id", "_text", "spans").mapInArrow(tidy(finish), "_id long, n_words long, n_removed long, kept string")
+    out = rows.join(_spans(factors), "_place", "left").select("_id", "_text", "_text_key", "spans").mapInArrow(tidy(finish), "_id long, n_words long, n_removed long, kept string")
     return out.select(public_id(), "n_words", "n_removed", "kept")
 
 
@@ -463,7 +474,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts = batch[1].to_pylist()
             for w in words(batch[1]):
-                gone = _covered(w, batch["spans"])
+                gone = _covered(w, batch)
                 raw = w.data.tobytes()
                 doc_end = np.searchsorted(w.first, np.flatnonzero(gone), side="right") - 1
                 for i in np.unique(doc_end).tolist():
@@ -476,6 +487,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     kind = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).schema["_row"].dataType
     rows, factors = _dealt(_rows(docs, id_col, text_col, True))
-    spans = factors.groupBy(*PLACE).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
-    out = rows.join(spans, PLACE, "left").select("_id", "_text", "_row", "spans").mapInArrow(tidy(cut), f"_row {kind.simpleString()}, _cut string")
+    out = rows.join(_spans(factors), "_place", "left").select("_id", "_text", "_text_key", "_row", "spans").mapInArrow(tidy(cut), f"_row {kind.simpleString()}, _cut string")
     return out.select(*[F.when(F.col("_row")[c].isNotNull(), F.col("_cut")).alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns])
