@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import captured, chunking, drafts, guides, index, metrics, relational, retrieval, routing, scanner, search, shell, web  # noqa: F401
+from .operators import addresses, captured, chunking, drafts, guides, index, metrics, relational, retrieval, routing, scanner, search, shell, tables_and_code, toolcalls, web  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .streaming import events  # noqa: F401
 

@@ -13,7 +13,6 @@ from ..functions.text import redact_sql, squeeze
 from ..registry import query
 from ..sources.captures import NO_DOCUMENTATION, PRIORITIES, bounded_read, captured_output, first_documentation, folder_snapshot, page_caps, priority, scan_path
 from ..sources.tables import SECRETS_SQL, secret_lines, table
-from .web import url_policy
 
 
 _PATH = "/bin/src7:/bin/src2:/none:/bin/src7:/bin/src11"
@@ -98,21 +97,6 @@ def s19_folder_snapshot(spark, sf_dir):
     return folder_snapshot(table(spark, sf_dir, "documents").select("source", name.alias("name"), (n % 3 == 0).alias("is_dir")), "source", 4, 6)
 
 
-def redirects(hops: Column, most: int) -> Column:
-    """ok, ``limit`` with more than ``most`` hops, or the first refused hop as ``number:reason``."""
-    reasons = F.transform(hops, lambda u, i: F.struct((i + 1).alias("n"), url_policy(u).alias("r")))
-    bad = F.try_element_at(F.filter(F.slice(reasons, 1, most), lambda v: v["r"] != "ok"), F.lit(1))
-    return F.when(bad.isNotNull(), F.concat_ws(":", bad["n"].cast("string"), bad["r"])).when(F.size(hops) > most, "limit").otherwise("ok")
-
-
-@query("SELECT page_id, CASE WHEN page_id % 8 = 3 THEN '3:address' WHEN page_id % 8 = 7 THEN '3:address' WHEN page_id % 8 > 5 THEN 'limit' ELSE 'ok' END AS verdict FROM pages")
-def w23_redirects(spark, sf_dir):
-    """Chains of ``page_id mod 8`` redirects, of which the third may lead to a private address."""
-    n = (F.col("page_id") % 8).cast("int")
-    chain = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.when((i == 3) & (n % 4 == 3), F.lit("http://10.0.0.1/")).otherwise(F.concat(F.lit("https://h"), i.cast("string"), F.lit(".example/"))))
-    return table(spark, sf_dir, "pages").select("page_id", redirects(F.slice(chain, F.lit(1), n), 5).alias("verdict"))
-
-
 def robots_rules(body: str, agent: str) -> list[tuple[str, bool]]:
     """(pattern, allowed) of the groups that name the agent, of those for ``*`` where none does."""
     own, every, names, open_ = [], [], set(), False

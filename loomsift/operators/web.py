@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import html as _html
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ENTITIES, squeeze, unescape, unescape_sql, word_count, word_count_sql
+from ..functions.text import squeeze, unescape, unescape_sql, word_count, word_count_sql
 from ..registry import query
 from ..sources.tables import spread, table
 
@@ -182,27 +177,6 @@ def w14_clean_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", clean_url(url).alias("clean"), F.regexp_replace(url, "#.*$", "").alias("bare"))
 
 
-def url_policy(url: Column) -> Column:
-    """Why a URL may not be fetched, or ``ok``: scheme, local names, blocked address classes."""
-    scheme, host = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*):", 1)), F.lower(F.regexp_extract(url, r"^[^:]+://(?:[^@/]*@)?\[?([^/:?#\]]+)", 1))
-    octet = lambda i: F.regexp_extract(host, r"^(\d+)\.(\d+)\.(\d+)\.(\d+)$", i)
-    one, two = F.expr("1") * F.when(octet(1) != "", octet(1)).cast("int"), F.when(octet(2) != "", octet(2)).cast("int")
-    blocked = (one.isin(127, 10, 0) | ((one == 172) & two.between(16, 31)) | ((one == 192) & (two == 168)) | ((one == 169) & (two == 254)) | one.between(224, 239))
-    local = host.isin("localhost", "metadata.google.internal") | host.endswith(".localhost") | host.endswith(".local") | host.endswith(".internal")
-    return F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(local, "local").when(F.coalesce(blocked, F.lit(False)), "address").otherwise("ok")
-
-
-_HOSTS = ["http://127.0.0.1/", "http://10.1.2.3/x", "http://172.20.0.1/", "http://192.168.0.9:80/", "http://169.254.169.254/m", "ftp://a.b/", "http://localhost:1/", "http://x.internal/", "https://224.0.0.1/", "https://8.8.8.8/"]
-_REASONS = ["address", "address", "address", "address", "address", "scheme", "local", "local", "address", "ok"]
-
-
-@query(f"SELECT page_id, [{', '.join(repr(r) for r in _REASONS)}][page_id % 10 + 1] AS reason, 'ok' AS own FROM pages")
-def w21_url_policy(spark, sf_dir):
-    """URLs of every blocked class (W21, W22), and the pages' own."""
-    url = F.element_at(F.array(*map(F.lit, _HOSTS)), (F.col("page_id") % 10 + 1).cast("int"))
-    return table(spark, sf_dir, "pages").select("page_id", url_policy(url).alias("reason"), url_policy(F.col("url")).alias("own"))
-
-
 # Titles of links that lead nowhere.
 NAV_TITLES = ["home", "about", "contact", "login", "sign in", "sign up", "privacy", "terms", "help", "next", "previous", "images", "settings"]
 _LINK = r"""(?is)<a[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""
@@ -235,44 +209,3 @@ def w31_search_payload(spark, sf_dir):
     rows = rows.select("page_id", pick("url", "link").alias("url"), pick("title", "name").alias("title")).where("url is not null")
     redirect = F.concat(F.lit("https://s.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))
     return rows.withColumn("decoded", F.url_decode(F.regexp_extract(redirect, r"[?&]uddg=([^&#]+)", 1)))
-
-
-def plain(text: str) -> str:
-    for entity, char in ENTITIES:
-        text = text.replace(entity, char)
-    return text
-
-
-def _table_rows(page: str, most_rows: int = 20, most_cells: int = 6) -> list[list[str]]:
-    rows = re.findall(r"(?is)<tr[^>]*>(.*?)</tr>", page)[:most_rows]
-    return [[" ".join(_html.unescape(re.sub(r"(?is)<[^>]+>", " ", c)).split()) for c in re.findall(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>", r)[:most_cells]] for r in rows]
-
-
-def full_markdown(page: str) -> str:
-    """Tables and fenced code blocks of one page: they need a callback for every match."""
-
-    def grid(m: re.Match) -> str:
-        rows = [r for r in _table_rows(m[0]) if r]
-        if not rows:
-            return " "
-        width = len(rows[0])
-        cells = [(r + [""] * width)[:width] for r in rows]
-        return "\n" + "\n".join("| " + " | ".join(r) + " |" for r in [cells[0], ["---"] * width, *cells[1:]]) + "\n"
-
-    def fence(m: re.Match) -> str:
-        hint = re.search(r"(?:lang|language)-(\w+)", m[0])
-        return f"\n```{hint[1] if hint else ''}\n{plain(re.sub(r'(?is)<[^>]+>', '', m[1])).replace(chr(13), '').rstrip(chr(10))}\n```\n"
-
-    return re.sub(r"(?is)<pre[^>]*>(.*?)</pre>", fence, re.sub(r"(?is)<table[^>]*>.*?</table>", grid, page))
-
-
-@query()
-def w10_tables_and_code(spark, sf_dir):
-    """page_id, markdown of pages with a table and a code block put in (W6, W10: Arrow function)."""
-    extra = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td></tr></table><pre><code class='language-sh'>ls &lt; x\n\n</code></pre>"
-
-    def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"page_id": b.page_id, "markdown": [full_markdown(h) for h in b.html]})
-
-    return table(spark, sf_dir, "pages").select("page_id", F.concat("html", F.lit(extra)).alias("html")).mapInPandas(convert, "page_id long, markdown string")
