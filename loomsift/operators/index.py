@@ -108,13 +108,6 @@ def b8_delta_diff(spark, sf_dir):
     return delta(row(docs, "d/", F.col("n_chars")), after)
 
 
-@query("SELECT source, count(DISTINCT lang) <> 4 OR max(n_chars) > 10000 AS rebuild FROM documents GROUP BY source")
-def b10_invalidation(spark, sf_dir):
-    """A stored manifest that differs from the wanted one in any field asks for a rebuild."""
-    found = table(spark, sf_dir, "documents").groupBy("source").agg(F.countDistinct("lang").alias("dim"), F.max("n_chars").alias("most"))
-    return found.select("source", ((F.col("dim") != 4) | (F.col("most") > 10000)).alias("rebuild"))
-
-
 @query("SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id) AS total FROM documents) WHERE total <= 200000")
 def b11_resource_cap(spark, sf_dir):
     """The first documents whose texts fit into a byte budget (the cap is the feature)."""
@@ -126,12 +119,23 @@ def b11_resource_cap(spark, sf_dir):
 METHODS = {"man": 1, "--help": 2, "-h": 3, "stub": 4, "builtin": 5, "alias": 6, "function": 7, "fixture": 8}
 
 
-@query("SELECT lang, CASE lang WHEN 'man' THEN 1 ELSE 0 END AS code, 'unknown' AS method, count(*) AS n FROM documents GROUP BY lang")
+_METHOD_NAMES = [*METHODS, "man", "unheard of"]
+
+
+@query(
+    f"WITH m AS (SELECT doc_id, [{', '.join(repr(m) for m in _METHOD_NAMES)}][doc_id % {len(_METHOD_NAMES)} + 1] AS written FROM documents), c AS (SELECT *, CASE written "
+    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in METHODS.items())
+    + " ELSE 0 END AS code FROM m) SELECT doc_id, written, code, CASE code "
+    + " ".join(f"WHEN {v} THEN '{k}'" for k, v in METHODS.items())
+    + " ELSE 'unknown' END AS method FROM c"
+)
 def b13_method_codes(spark, sf_dir):
+    """Methods as codes, and back; what has no code is unknown."""
     codes = F.create_map(*[x for k, v in METHODS.items() for x in (F.lit(k), F.lit(v))])
     names = F.create_map(*[x for k, v in METHODS.items() for x in (F.lit(v), F.lit(k))])
-    code = F.coalesce(F.try_element_at(codes, F.col("lang")), F.lit(0))
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).select("lang", code.alias("code"), F.coalesce(F.try_element_at(names, code), F.lit("unknown")).alias("method"), "n")
+    written = F.element_at(F.array(*map(F.lit, _METHOD_NAMES)), (F.col("doc_id") % len(_METHOD_NAMES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", written.alias("written")).withColumn("code", F.coalesce(F.try_element_at(codes, F.col("written")), F.lit(0)))
+    return rows.withColumn("method", F.coalesce(F.try_element_at(names, F.col("code")), F.lit("unknown")))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE sha256(text) END AS doc_hash FROM documents")

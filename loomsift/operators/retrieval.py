@@ -99,24 +99,6 @@ def l4_fallback_candidates(spark, sf_dir):
     return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates")).union(docs.select("doc_id").crossJoin(missed).groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates")))
 
 
-def dot(a, b) -> Column:
-    """Dot product of two arrays; the shorter one's length counts."""
-    return F.aggregate(F.arrays_zip(F.col(a).alias("x"), F.col(b).alias("y")), F.lit(0.0), lambda s, p: s + F.coalesce(p["x"] * p["y"], F.lit(0.0)).cast("double"))
-
-
-@query(
-    "SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) AS score, "
-    "row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 5) DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE rank <= 8"
-)
-def l5_vector_topk(spark, sf_dir):
-    """Every 50th row is a query against all rows."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    queries = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = rows.crossJoin(queries).select("query_id", "vec_id", F.round(score, 5).alias("score"))
-    return top(pairs, 8, [F.desc("score"), F.col("vec_id")], "query_id")
-
-
 _IDX, _SIGN = bucket_and_sign_sql("token", DIM)
 
 
@@ -136,7 +118,8 @@ def k3_hashed_embedding(spark, sf_dir):
 
 _ALL_TEXT = "source || ' ' || lang || ' ' || text"
 _HYBRID = (
-    f"WITH {_scores_sql(_ALL_TEXT)}, c AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 50), "
+    f"WITH {_scores_sql(_ALL_TEXT)}, c AS (SELECT item_id, doc_id, score FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 50 "
+    "UNION ALL SELECT item_id, doc_id, 0 FROM benchmark, documents WHERE item_id NOT IN (SELECT item_id FROM s)), "
     f"cd AS (SELECT DISTINCT doc_id, source, lang, text FROM documents WHERE doc_id IN (SELECT doc_id FROM c)), {_vectors_sql('q', 'item_id', 'text', 'benchmark')}, {_vectors_sql('d', 'doc_id', _ALL_TEXT, 'cd')}, "
     "dots AS (SELECT item_id, doc_id, sum(q.value * d.value) AS dot FROM c JOIN q USING (item_id) JOIN d USING (doc_id, idx) GROUP BY ALL), "
     f"b AS (SELECT item_id, text AS q_text, {tokens_sql('text')} AS toks FROM benchmark), "
@@ -147,7 +130,8 @@ _HYBRID = (
 
 
 def hybrid(spark, sf_dir, lexical_k: int = 50, min_score: float = 0.0) -> DataFrame:
-    """item_id, doc_id, source, score: lexical plus vector score plus boosts of the lexical candidates.
+    """item_id, doc_id, source, score: lexical plus vector score plus boosts of the lexical candidates, of all
+    rows for a query without one.
 
     Texts are met again for the candidates alone; scoring carries ids.  The candidates, at most
     ``lexical_k`` rows a query, are stored, as three branches use them."""
@@ -155,6 +139,10 @@ def hybrid(spark, sf_dir, lexical_k: int = 50, min_score: float = 0.0) -> DataFr
     queries = table(spark, sf_dir, "benchmark").select("item_id", "text")
     lexical = _lexical(spark, sf_dir, F.concat_ws(" ", "source", "lang", "text")).withColumn("by", F.round("score", 6))
     candidates = stored(top(lexical, lexical_k, [F.desc("by"), F.col("doc_id")]).select("item_id", "doc_id", "score"), "candidates")
+    # Queries without a lexical hit, which are few if any, are held against all rows.
+    missed = stored(queries.select("item_id").join(candidates.select("item_id").distinct(), "item_id", "left_anti"), "missed")
+    if not missed.isEmpty():
+        candidates = candidates.unionByName(docs.select("doc_id").join(sent(missed), F.lit(True)).select("item_id", "doc_id", F.lit(0.0).alias("score")))
     own = docs.join(sent(candidates.select("doc_id").distinct(), candidates), "doc_id", "left_semi")
     qv = hashed_vectors(occurrences(queries, "item_id"), "item_id").select("item_id", "idx", F.col("value").alias("qv"))
     dv = hashed_vectors(occurrences(own, text="whole"), "doc_id").select("doc_id", "idx", F.col("value").alias("dv"))

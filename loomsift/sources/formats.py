@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is set only where none is (tests)."""
+    """The folder that all executors share.  One is set only where none is and executors are threads of this
+    machine (tests); on a cluster a missing folder is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="loomsift-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -49,6 +52,25 @@ def write_index(tables: dict[str, DataFrame], root: str, manifest: dict) -> str:
     return version
 
 
+def read_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The fields of an index's manifest, or none where there is no index."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.json(f"{root}/manifest").first().asDict()
+
+
 def read_index(spark: SparkSession, root: str) -> tuple[dict, dict[str, DataFrame]]:
-    manifest = spark.read.json(f"{root}/manifest").first().asDict()
+    manifest = read_manifest(spark, root)
+    if manifest is None:
+        raise FileNotFoundError(f"no index under {root}")
     return manifest, {name: spark.read.parquet(f"{root}/{manifest['version']}/{name}") for name in manifest["tables"].split(",")}
+
+
+def require_columns(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """``df`` cut to the wanted columns; a column that misses or is of another kind is an error."""
+    found = dict(df.dtypes)
+    wrong = [f"{c} {k}" for c, k in wanted.items() if found.get(c) != k]
+    if wrong:
+        raise ValueError("stored table lacks " + ", ".join(wrong))
+    return df.select(*wanted)
