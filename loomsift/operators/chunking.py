@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,31 +105,44 @@ def k10_sentences(spark, sf_dir):
     return sections(manual_pages(spark, sf_dir), "part_key").select("part_key", "section_no", F.size(pieces).cast("long").alias("n"), F.array_join(pieces, "|").alias("pieces"))
 
 
-def split_large(text: str, most: int) -> list[str]:
+#: Bytes that a piece may have; a longer sentence stays whole.
+LARGE = 2048
+SENTENCE = r"[^.!?;]*[.!?;]|[^.!?;]+$"
+
+
+def pieces(text: Column, most: int = LARGE) -> Column:
     """Greedy packing of paragraphs, and of sentences where a paragraph is too long, into pieces of
     about ``most`` bytes; a longer sentence stays whole."""
-    import re
-
-    out, held = [], ""
-    for paragraph in text.split("\n\n"):
-        big = len(paragraph.encode()) > most
-        parts = [p.strip() for p in re.findall(r"[^.!?;]*[.!?;]|[^.!?;]+$", paragraph) if p.strip()] if big else [paragraph]
-        for part in parts:
-            if held and len(held.encode()) + len(part.encode()) + 2 > most:
-                out.append(held.strip())
-                held = ""
-            held += part + "\n\n"
-    return [x for x in (*out, held.strip()) if x]
-
-
-@query()
-def k9_large_pieces(spark, sf_dir, most: int = 2048):
-    """doc_id, piece_no, piece of every whole document: a sequential fold, so an Arrow function."""
-    from ..sources.tables import table
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, n, p) for i, t in zip(b.doc_id, b.text) for n, p in enumerate(split_large(t or "", most))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece_no", "piece"])
-
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(pieces, "doc_id long, piece_no long, piece string")
+    sentences = lambda p: F.filter(F.transform(F.regexp_extract_all(p, F.lit(SENTENCE), F.lit(0)), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
+    parts = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda p: F.when(F.octet_length(p) > most, sentences(p)).otherwise(F.array(p))))
+
+    def step(s: Column, part: Column) -> Column:
+        full = (F.size(s["held"]) > 0) & (s["n"] + F.octet_length(part) + 2 > most)
+        grown = F.when(full, F.array(part)).otherwise(F.array_append(s["held"], part))
+        n = F.when(full, 0).otherwise(s["n"]) + F.octet_length(part) + 2
+        return F.struct(F.when(full, F.array_append(s["out"], F.array_join(s["held"], "\n\n"))).otherwise(s["out"]).alias("out"), grown.alias("held"), n.cast("int").alias("n"))
+
+    none = F.array().cast("array<string>")
+    out = F.aggregate(parts, F.struct(none.alias("out"), none.alias("held"), F.lit(0).alias("n")), step, lambda s: F.array_append(s["out"], F.array_join(s["held"], "\n\n")))
+    return F.filter(F.transform(out, lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")), lambda x: x != "")
+
+
+_LARGE_PARTS = (
+    r"p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10) || chr(10))) AS p, generate_subscripts(string_split(coalesce(text, ''), chr(10) || chr(10)), 1) AS i FROM documents), "
+    rf"x AS (SELECT doc_id, i, CASE WHEN strlen(p) > {LARGE} THEN list_filter(list_transform(regexp_extract_all(p, '{SENTENCE}'), lambda x: regexp_replace(x, '^[\s\x0B]+|[\s\x0B]+\z', '', 'g')), lambda x: x <> '') ELSE [p] END AS parts FROM p), "
+    "y AS (SELECT doc_id, i, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM x), parts AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS k FROM y)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_LARGE_PARTS}, f AS (SELECT doc_id, k, 0 AS piece, strlen(part) + 2 AS n FROM parts WHERE k = 1 UNION ALL "
+    f"SELECT f.doc_id, parts.k, CASE WHEN f.n + strlen(part) + 2 > {LARGE} THEN piece + 1 ELSE piece END, CASE WHEN f.n + strlen(part) + 2 > {LARGE} THEN 0 ELSE f.n END + strlen(part) + 2 FROM f JOIN parts ON parts.doc_id = f.doc_id AND parts.k = f.k + 1), "
+    rf"g AS (SELECT doc_id, piece, regexp_replace(string_agg(part, chr(10) || chr(10) ORDER BY k), '^[\s\x0B]+|[\s\x0B]+\z', '', 'g') AS piece_text FROM f JOIN parts USING (doc_id, k) GROUP BY doc_id, piece) "
+    "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY piece) - 1 AS piece_no, strlen(piece_text) AS bytes, sha256(piece_text) AS digest FROM g WHERE piece_text <> ''"
+)
+def k9_large_pieces(spark, sf_dir):
+    """Pieces of every whole document."""
+    from ..sources.tables import spread, table
+
+    rows = spread(table(spark, sf_dir, "documents")).select("doc_id", F.posexplode(pieces(F.col("text"))).alias("piece_no", "piece"))
+    return rows.select("doc_id", F.col("piece_no").cast("long").alias("piece_no"), F.octet_length("piece").cast("long").alias("bytes"), F.sha2(F.col("piece").cast("binary"), 256).alias("digest"))
