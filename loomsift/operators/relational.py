@@ -83,9 +83,16 @@ def rel9_grouped_aggregates(spark, sf_dir):
     return g.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("parts"), F.round(F.avg("l_discount"), 6).alias("discount"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue")).where("n > 10")
 
 
-@query()
+@query("SELECT event_type, count(*) AS n, true AS users_near, true AS median_near, true AS high_near FROM events GROUP BY event_type")
 def rel10_approximate(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", [0.5, 0.9]).alias("quantiles"))
+    """Approximate distinct counts and quantiles, and whether they lie within their error of the exact ones."""
+    users, cut = F.countDistinct("user_id"), F.percentile_approx("value", [0.5, 0.9], 10_000)
+    rank = lambda q: F.count_if(F.col("value") < F.col("cut")[q]) / F.count(F.lit(1))
+    events = table(spark, sf_dir, "events")
+    near = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), (F.abs(F.approx_count_distinct("user_id", 0.02) - users) <= F.greatest(F.lit(1), 0.1 * users)).alias("users_near"))
+    cuts = events.groupBy("event_type").agg(cut.alias("cut"))
+    ranks = events.join(F.broadcast(cuts), "event_type").groupBy("event_type").agg((F.abs(rank(0) - 0.5) <= 0.01).alias("median_near"), (F.abs(rank(1) - 0.9) <= 0.01).alias("high_near"))
+    return near.join(ranks, "event_type")
 
 
 @query("SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS BIGINT) AS gid, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..sources.formats import shared_folder
 from ..sources.tables import table
 
 
@@ -111,3 +114,56 @@ def e9_lru_cache(spark, sf_dir):
         return pd.DataFrame({"event_id": pdf.event_id, "hit": hits})
 
     return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts").groupBy("user_id").applyInPandas(run, "event_id long, hit boolean")
+
+
+@query(
+    "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2) SELECT * FROM d WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+)
+def rel24_stream_windows(spark, sf_dir):
+    """Windows that a stream over the events has closed: watermark, duplicates dropped, late rows left out."""
+    base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    counts = windowed_counts(stream(spark, sf_dir)).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    q = counts.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(counts.schema).parquet(f"{base}/rows")
+
+
+def observed_events(events: DataFrame) -> DataFrame:
+    """user_id, seq, event (JSON): a command's start paired with the prompt after it, as a shell reports them.
+
+    The next event of the same shell ends a command; the last one has not ended."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    rows = events.withColumn("seq", F.row_number().over(w).cast("long")).withColumn("took", F.lead(ms).over(w) - ms).where("took is not null")
+    body = F.struct(F.lit("observed_command").alias("type"), F.col("user_id").cast("string").alias("shell_id"), "seq", F.col("event_type").alias("command"), F.greatest("took", F.lit(0)).alias("duration_ms"), (F.col("event_id") % 3).cast("long").alias("exit_code"))
+    return rows.select("user_id", "seq", F.to_json(body).alias("event"))
+
+
+@query(
+    "WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER w AS seq, epoch_us(lead(ts) OVER w) // 1000 - epoch_us(ts) // 1000 AS took FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+    "SELECT user_id, seq, CAST(user_id AS VARCHAR) AS shell_id, event_type AS command, greatest(took, 0) AS duration_ms, event_id % 3 AS exit_code FROM s WHERE took IS NOT NULL"
+)
+def s17_observed_commands(spark, sf_dir):
+    """Observed commands, written as JSON events and read again."""
+    read = F.from_json("event", "shell_id string, command string, duration_ms long, exit_code long")
+    return observed_events(table(spark, sf_dir, "events")).select("user_id", "seq", read.alias("e")).select("user_id", "seq", "e.*")
+
+
+def coalesced(events: DataFrame, every: str, key: str, *latest: str) -> DataFrame:
+    """key, start, changes and the latest values: at most one write per key and span, as a stream with a
+    trigger of that span does it."""
+    of = F.window("ts", every)
+    last = F.max_by(F.struct(*latest), F.struct("ts", "event_id")).alias("last")
+    return events.groupBy(key, of.alias("_w")).agg(F.count(F.lit(1)).alias("changes"), last).select(key, F.col("_w.start").alias("start"), "changes", "last.*")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, count(*) AS changes, arg_max(user_id, (ts, event_id)) AS user_id FROM events GROUP BY ALL")
+def e7_coalesced_writes(spark, sf_dir):
+    return coalesced(table(spark, sf_dir, "events"), "6 hours", "event_type", "user_id")
+
+
+@query("SELECT event_id, make_timestamp(epoch_us(ts) // 1000 * 1000) AS at, strftime(ts, '%Y-%m-%d %H:%M:%S') AS seconds FROM events")
+def f3_millis(spark, sf_dir):
+    """Milliseconds since the epoch as timestamps."""
+    at = F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp")))
+    return table(spark, sf_dir, "events").select("event_id", at.cast("timestamp_ntz").alias("at"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("seconds"))
