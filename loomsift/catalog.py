@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import addresses, captured, chunking, drafts, guides, index, metrics, planning, relational, retrieval, routing, rules, scanner, search, settings, shell, store, tables_and_code, toolcalls, vectors, web  # noqa: F401
+from .operators import addresses, captured, chunking, drafts, guides, index, intents, metrics, planning, relational, retrieval, routing, rules, scanner, search, settings, shell, store, tables_and_code, toolcalls, vectors, web  # noqa: F401
 from .registry import ORACLES, QUERIES
 from .streaming import events  # noqa: F401
 

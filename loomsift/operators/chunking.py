@@ -48,17 +48,6 @@ def k7_sections(spark, sf_dir):
     return sections(manual_pages(spark, sf_dir), "part_key")
 
 
-@query(
-    f"WITH {MANUAL_SQL}, p AS (SELECT part_key, raw || chr(10) || 'COMMON INTENTS' || chr(10) || '  use ' || command_name AS doc FROM manual_pages) SELECT part_key, doc, sha256(doc) AS doc_hash FROM p"
-)
-def k12_intent_augmentation(spark, sf_dir):
-    """A page that has no intents section gets one; the hash is of the augmented page (K12; of K11 the
-    hash alone).  The section is a fixed line, not the hints, combinations and notes of K13."""
-    section = F.concat(F.col("raw"), F.lit("\nCOMMON INTENTS\n  use "), F.col("command_name"))
-    doc = F.when(F.instr("raw", "\nCOMMON INTENTS\n") == 0, section).otherwise(F.col("raw"))
-    return manual_pages(spark, sf_dir).select("part_key", doc.alias("doc")).withColumn("doc_hash", F.sha2(F.col("doc").cast("binary"), 256))
-
-
 def flags_of(option: Column) -> Column:
     bare = F.transform(F.split(option, r"[,\s]"), lambda t: F.regexp_replace(t, r"^[\[\]():;,]+|[\[\]():;,]+$", ""))
     return F.filter(bare, lambda t: t.startswith("-") & t.rlike("[A-Za-z]"))
