@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -97,8 +98,10 @@ def s19_folder_snapshot(spark, sf_dir):
     return folder_snapshot(table(spark, sf_dir, "documents").select("source", name.alias("name"), (n % 3 == 0).alias("is_dir")), "source", 4, 6)
 
 
+@functools.lru_cache(maxsize=4096)
 def robots_rules(body: str, agent: str) -> list[tuple[str, bool]]:
-    """(pattern, allowed) of the groups that name the agent, of those for ``*`` where none does."""
+    """(pattern, allowed) of the groups that name the agent, of those for ``*`` where none does;
+    a file is parsed once for its pages."""
     own, every, names, open_ = [], [], set(), False
     found = False
     for line in body.splitlines():

@@ -37,9 +37,10 @@ def lexical_scores(posted: DataFrame, terms: DataFrame, n_docs: DataFrame, q: st
 
 
 def top(scores: DataFrame, k: int, by: list[Column], q: str = "item_id") -> DataFrame:
-    """The first k rows of each query, numbered from 1."""
-    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy(*by)).cast("long"))
-    return ranked.where(F.col("rank") <= k) if k else ranked
+    """The first k rows of each query, numbered from 1.  The bare number is compared, so that tasks keep
+    their own first k rows before anything is shuffled."""
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy(*by)))
+    return (ranked.where(F.col("rank") <= k) if k else ranked).withColumn("rank", F.col("rank").cast("long"))
 
 
 def hashed_vectors(occurs: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
@@ -68,12 +69,14 @@ def l1_query_tf(spark, sf_dir):
     return query_terms(table(spark, sf_dir, "benchmark")).drop("terms")
 
 
+def lexical_search(docs: DataFrame, queries: DataFrame, text: str | Column = "text") -> DataFrame:
+    """``lexical_scores`` of all documents (doc_id, text) for all queries (item_id, text)."""
+    n = docs.where(F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(TOKEN))).agg(F.count(F.lit(1)).alias("n"))
+    return lexical_scores(postings(spread(docs), text=text), query_terms(queries), n)
+
+
 def _lexical(spark, sf_dir, text: str | Column = "text", queries: DataFrame | None = None) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents"))
-    posted = postings(docs, text=text)
-    n = table(spark, sf_dir, "documents").where(F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(TOKEN))).agg(F.count(F.lit(1)).alias("n"))
-    queries = table(spark, sf_dir, "benchmark") if queries is None else queries
-    return lexical_scores(posted, query_terms(queries), n)
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark") if queries is None else queries, text)
 
 
 @query(f"WITH {_scores_sql('text')} SELECT item_id, doc_id, round(score, 6) AS score FROM s")
@@ -96,7 +99,8 @@ def l4_fallback_candidates(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select("item_id", "text").union(spark.createDataFrame([(-1, "zzqqxx")], "item_id long, text string"))
     hits = postings(docs).join(postings(queries, "item_id"), "token").select("item_id", "doc_id").distinct()
     missed = queries.select("item_id").join(hits.select("item_id").distinct(), "item_id", "left_anti")
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates")).union(docs.select("doc_id").crossJoin(missed).groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates")))
+    every = docs.agg(F.count(F.lit(1)).alias("candidates"))  # one row
+    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("candidates")).union(missed.join(F.broadcast(every), F.lit(True)).select("item_id", "candidates"))
 
 
 _IDX, _SIGN = bucket_and_sign_sql("token", DIM)
@@ -130,14 +134,18 @@ _HYBRID = (
 
 
 def hybrid(spark, sf_dir, lexical_k: int = 50, min_score: float = 0.0) -> DataFrame:
+    return hybrid_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select("item_id", "text"), lexical_k, min_score)
+
+
+def hybrid_search(docs: DataFrame, queries: DataFrame, lexical_k: int = 50, min_score: float = 0.0) -> DataFrame:
     """item_id, doc_id, source, score: lexical plus vector score plus boosts of the lexical candidates, of all
     rows for a query without one.
 
-    Texts are met again for the candidates alone; scoring carries ids.  The candidates, at most
-    ``lexical_k`` rows a query, are stored, as three branches use them."""
-    docs = spread(table(spark, sf_dir, "documents")).withColumn("whole", F.concat_ws(" ", "source", "lang", "text"))
-    queries = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    lexical = _lexical(spark, sf_dir, F.concat_ws(" ", "source", "lang", "text")).withColumn("by", F.round("score", 6))
+    ``docs`` has doc_id, source (the command), lang (the section) and text.  Texts are met again for the
+    candidates alone; scoring carries ids.  The candidates, at most ``lexical_k`` rows a query, are stored,
+    as three branches use them."""
+    lexical = lexical_search(docs, queries, F.concat_ws(" ", "source", "lang", "text")).withColumn("by", F.round("score", 6))
+    docs = spread(docs).withColumn("whole", F.concat_ws(" ", "source", "lang", "text"))
     candidates = stored(top(lexical, lexical_k, [F.desc("by"), F.col("doc_id")]).select("item_id", "doc_id", "score"), "candidates")
     # Queries without a lexical hit, which are few if any, are held against all rows.
     missed = stored(queries.select("item_id").join(candidates.select("item_id").distinct(), "item_id", "left_anti"), "missed")
