@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Spans, WordTable, encoder, pieces, split, vocabulary
-from .common import NULL_ID, ids_and_text, materialize, public_id
+from .common import NULL_ID, ids_and_text, materialize_by, public_id
 from .kernels import ranges, same_spans
 
 HEAD_WORDS = 1 << 19
@@ -192,7 +192,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     vocab = vocab or vocabulary()
     spark = docs.sparkSession
     rows = ids_and_text(docs, id_col, text_col)
-    table = materialize(decode_table(encode_table(word_counts(rows, vocab), vocab), vocab), "words")
+    table = materialize_by(decode_table(encode_table(word_counts(rows, vocab), vocab), vocab), "words", "word")
     top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
     got = top.select("word", "n", "ids", "decoded").toArrow()
     head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist(), _width(encoder(vocab))))

@@ -63,13 +63,44 @@ def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+#: Shuffle files go when the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """What is written inside is read from the shared folder from then on, so nothing reads its shuffle files."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/loomsift-{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, which cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomsift-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = _new_path(df.sparkSession, name)
+    with _cleaning(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialize``, in as many buckets of ``key`` as there are shuffle partitions: a join on the key
+    need not shuffle what is read back."""
+    spark = df.sparkSession
+    path = _new_path(spark, name)
+    called = path.rpartition("/")[2].replace("-", "_")
+    with _cleaning(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(spark), key).saveAsTable(called)
+    return spark.table(called)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table that ``materialize`` wrote and nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
