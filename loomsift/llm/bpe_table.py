@@ -3,7 +3,7 @@
 Words are split in Spark tasks and counted; each distinct word is encoded once, into a table that
 is written to the shared folder.  Its ids are joined with their pieces, of which a vocabulary has a
 fixed number, so each distinct word is decoded once too.  The table's most frequent words (a fixed
-number of short ones, so the size is bounded) go to all tasks, which compare words byte by byte; the
+number of bounded length, so the size is bounded) go to all tasks, which compare words byte by byte; the
 occurrences of all others are joined with the table by word.  Both come back to their document by
 position: its ids are its words' ids, its decoded text is its words' decoded pieces.  Documents travel
 as compressed blocks of a range of ids, the ids that a block needs are joined on the block.
@@ -27,6 +27,8 @@ from .kernels import ranges, same_spans
 
 HEAD_WORDS = 1 << 19
 HEAD_BYTES = 64
+#: Longer words among those that go to all tasks: at most so many, of so many bytes, that occur so often.
+LONG_WORDS, LONG_BYTES, LONG_LEAST = 1 << 13, 1 << 12, 16
 #: Document ids per block.
 BLOCK = 256
 #: Distinct words, and bytes of them, that a task holds before it hands its counts on.
@@ -167,7 +169,7 @@ class _Head:
 
     def __init__(self, words: list[str], blobs: list[bytes], decoded: list[bytes | None], width: np.dtype) -> None:
         raw = [w.encode() for w in words]
-        state = np.array([len(w) for w in raw], np.uint8), b"".join(raw), np.array([len(b) // width.itemsize for b in blobs], np.uint8), np.frombuffer(b"".join(blobs), width)
+        state = np.array([len(w) for w in raw], np.uint16), b"".join(raw), np.array([len(b) // width.itemsize for b in blobs], np.uint16), np.frombuffer(b"".join(blobs), width)
         self.__setstate__((*state, {i: d for i, d in enumerate(decoded) if d is not None}))
 
     def __getstate__(self):
@@ -195,10 +197,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table = materialize_by(decode_table(encode_table(word_counts(rows, vocab), vocab), vocab), "words", "word")
     top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
     got = top.select("word", "n", "ids", "decoded").toArrow()
+    least = min(got["n"].to_pylist()) if got.num_rows >= HEAD_WORDS else 0
+    long_ = table.where((F.octet_length("word") > HEAD_BYTES) & (F.octet_length("word") <= LONG_BYTES) & (F.col("n") >= LONG_LEAST)).orderBy(F.desc("n"), "word").limit(LONG_WORDS)
+    got = pa.concat_tables([got, long_.select("word", "n", "ids", "decoded").toArrow()])
     head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist(), _width(encoder(vocab))))
-    rest = table.select("word", "ids", "decoded")
-    if got.num_rows >= HEAD_WORDS:
-        rest = table.where((F.col("n") <= min(got["n"].to_pylist())) | (F.octet_length("word") > HEAD_BYTES)).select("word", "ids", "decoded")
+    rest = table.where((F.col("n") <= least) | (F.octet_length("word") > HEAD_BYTES)).select("word", "ids", "decoded")
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(vocab).special
