@@ -9,7 +9,7 @@ from ..functions.hashing import bucket_and_sign, bucket_and_sign_sql
 from ..functions.text import TOKEN, ascii_lower, ascii_lower_sql, tokens, tokens_sql
 from ..registry import query
 from ..sources.formats import stored
-from ..sources.tables import sent, spread, table
+from ..sources.tables import SENT, planned_bytes, sent, spread, table
 from .index import document_frequency, occurrences, postings
 
 DIM = 384
@@ -43,6 +43,45 @@ def top(scores: DataFrame, k: int, by: list[Column], q: str = "item_id") -> Data
     return (ranked.where(F.col("rank") <= k) if k else ranked).withColumn("rank", F.col("rank").cast("long"))
 
 
+#: A token that more than this share of all documents hold is common: it tells little and hits many.
+COMMON = 0.25
+
+
+def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, text: str | Column = "text") -> DataFrame:
+    """item_id, doc_id, score, by, rank: the first ``k`` rows of each query by ``lexical_scores`` (rounded: ``by``).
+
+    Documents are found by their rare tokens alone; what common tokens add is counted for those.  A
+    document that has common tokens alone scores at most the sum of their weights, so a query whose k-th row
+    scores more is done.  Others, which are few, are scored in full."""
+    n_docs = docs.where(F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(TOKEN))).agg(F.count(F.lit(1)).alias("n"))
+    terms = query_terms(queries)
+    found = spread(docs).select("doc_id", F.array_distinct(tokens(text)).alias("_t"))
+    each = found.select("doc_id", F.explode("_t").alias("token"))
+    df = document_frequency(each.join(sent(terms.select("token").distinct(), terms), "token", "left_semi"))
+    idf = F.greatest(F.lit(0.0), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+    weights = terms.join(df, "token").crossJoin(F.broadcast(n_docs)).select("item_id", "token", "terms", (idf * (1 + F.log1p("qtf"))).alias("w"), (F.col("df") > COMMON * F.col("n")).alias("common"))
+    weights = stored(weights, "weights")
+    rare, common = weights.where("not common").drop("common"), weights.where("common").drop("common")
+    # Common tokens are bounded in number: a document has so many tokens, and a share of all holds each.
+    names = [r.token for r in common.select("token").distinct().collect()]
+    held = F.array_intersect("_t", F.array(*map(F.lit, names)).cast("array<string>")) if names else F.array().cast("array<string>")
+    hits = found.select("doc_id", held.alias("_c"), F.explode("_t").alias("token")).join(sent(rare, rare), "token")
+    pairs = hits.groupBy("item_id", "doc_id").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("m"), F.first("terms").alias("terms"), F.first("_c").alias("_c"))
+    extra = common.groupBy("item_id").agg(F.collect_list(F.struct("token", "w")).alias("_w"), (F.sum("w") + 0.2 * F.count(F.lit(1)) / F.first("terms")).alias("most"))
+    met = F.filter(F.coalesce("_w", F.array().cast("array<struct<token:string,w:double>>")), lambda x: F.array_contains(F.col("_c"), x["token"]))
+    pairs = pairs.join(sent(extra, common), "item_id", "left").withColumn("_w", met)
+    score = F.col("s") + F.aggregate("_w", F.lit(0.0), lambda t, x: t + x["w"]) + 0.2 * (F.col("m") + F.size("_w")) / F.col("terms")
+    by = [F.desc("by"), F.col("doc_id")]
+    best = stored(top(pairs.select("item_id", "doc_id", score.alias("score")).withColumn("by", F.round("score", 6)), k, by), "best")
+    last = best.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows"), F.min("by").alias("least")).join(extra.select("item_id", "most"), "item_id", "left")
+    done = last.where((F.col("rows") >= k) & (F.col("least") > F.coalesce("most", F.lit(0.0)) + 1e-5) | F.col("most").isNull()).select("item_id")
+    left = stored(extra.select("item_id").join(done, "item_id", "left_anti"), "left")
+    if left.isEmpty():
+        return best
+    rest = lexical_scores(each, terms.join(sent(left, common), "item_id", "left_semi"), n_docs)
+    return best.join(F.broadcast(left) if planned_bytes(left) <= SENT else left, "item_id", "left_anti").unionByName(top(rest.withColumn("by", F.round("score", 6)), k, by))
+
+
 def hashed_vectors(occurs: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
     """id, idx, value: normalized hashed bag of words, sparse.  Each distinct token is hashed once."""
     counts = occurs.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
@@ -86,7 +125,7 @@ def l2_lexical_score(spark, sf_dir):
 
 @query(f"WITH {_scores_sql('text')} SELECT * FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 5")
 def l3_lexical_topk(spark, sf_dir):
-    return top(_lexical(spark, sf_dir).withColumn("score", F.round("score", 6)), 5, [F.desc("score"), F.col("doc_id")])
+    return lexical_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 5).select("item_id", "doc_id", F.col("by").alias("score"), "rank")
 
 
 @query(
@@ -144,9 +183,9 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, lexical_k: int = 50, min_
     ``docs`` has doc_id, source (the command), lang (the section) and text.  Texts are met again for the
     candidates alone; scoring carries ids.  The candidates, at most ``lexical_k`` rows a query, are stored,
     as three branches use them."""
-    lexical = lexical_search(docs, queries, F.concat_ws(" ", "source", "lang", "text")).withColumn("by", F.round("score", 6))
+    lexical = lexical_topk(docs, queries, lexical_k, F.concat_ws(" ", "source", "lang", "text"))
     docs = spread(docs).withColumn("whole", F.concat_ws(" ", "source", "lang", "text"))
-    candidates = stored(top(lexical, lexical_k, [F.desc("by"), F.col("doc_id")]).select("item_id", "doc_id", "score"), "candidates")
+    candidates = stored(lexical.select("item_id", "doc_id", "score"), "candidates")
     # Queries without a lexical hit, which are few if any, are held against all rows.
     missed = stored(queries.select("item_id").join(candidates.select("item_id").distinct(), "item_id", "left_anti"), "missed")
     if not missed.isEmpty():
