@@ -12,13 +12,14 @@ as compressed blocks of a range of ids, the ids that a block needs are joined on
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Spans, WordTable, encoder, pieces, split, vocabulary
@@ -201,14 +202,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     long_ = table.where((F.octet_length("word") > HEAD_BYTES) & (F.octet_length("word") <= LONG_BYTES) & (F.col("n") >= LONG_LEAST)).orderBy(F.desc("n"), "word").limit(LONG_WORDS)
     got = pa.concat_tables([got, long_.select("word", "n", "ids", "decoded").toArrow()])
     head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist(), _width(encoder(vocab))))
-    rest = table.where((F.col("n") <= least) | (F.octet_length("word") > HEAD_BYTES)).select("word", "ids", "decoded")
+    rest = table.where((F.col("n") <= least) | (F.octet_length("word") > HEAD_BYTES)).select("word", _packed(F.col("ids"), F.col("decoded")).alias("code"))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(vocab).special
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                texts, keys = part[1].to_pylist(), part[0].to_numpy()
+                texts, marks, blocks_ = part["_text"].to_pylist(), part["_print"].to_numpy(), part["block"].to_numpy()
                 plain, between = _plain(texts, special)
                 owner = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in between])
                 words, doc, pos = [], [], []
@@ -225,9 +226,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     pos.append(within[miss])
                 if words:
                     doc = np.concatenate(doc)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(words, pa.string()), pa.array(keys[doc]), part[2].take(pa.array(doc)), pa.array(np.concatenate(pos).astype(np.int32))], names=["word", "_id", "_print", "pos"]
-                    )
+                    place = np.empty(len(doc), _PLACE)
+                    place["text"], place["pos"] = marks[doc], np.concatenate(pos)
+                    ends = pa.py_buffer((np.arange(len(doc) + 1) * _PLACE.itemsize).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(blocks_[doc]), pa.Array.from_buffers(pa.binary(), len(doc), [None, ends, pa.py_buffer(place.tobytes())])], names=["word", "block", "place"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=9)
@@ -254,26 +256,45 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 keys, texts, prints = docs_[0].to_pylist(), docs_[1].to_pylist(), docs_[2].to_pylist()
                 patches: dict = {}
                 if batch["patches"][b].is_valid:
-                    p = batch["patches"][b].values
-                    for key, mark, pos, ids, decoded in zip(*(p.field(i).to_pylist() for i in range(5))):
-                        patches.setdefault((key, mark), {})[pos] = ids, decoded
+                    for patch in batch["patches"][b].as_py():
+                        mark, pos = struct.unpack_from(_PLACE_CODE, patch)
+                        patches.setdefault(mark, {})[pos] = _unpacked(patch[_PLACE.itemsize :])
                 for lo in range(0, len(texts), 64):
                     yield _finish(keys[lo : lo + 64], texts[lo : lo + 64], prints[lo : lo + 64], patches, head.value, special_ids, coder.special, _width(coder))
 
-    marked = rows.withColumn("_print", F.xxhash64("_text"))
     # Rows without an id are dealt by their texts.
     block = F.when(F.col("_id") == NULL_ID, F.col("_print")).otherwise(F.floor(F.col("_id") / BLOCK)).alias("block")
+    marked = rows.withColumn("_print", F.xxhash64("_text")).select("_id", "_text", "_print", block)
     patches = (
-        marked.mapInArrow(tails, "word string, _id long, _print long, pos int")
-        .join(rest, "word")
-        .groupBy(block)
-        .agg(F.collect_list(F.struct("_id", "_print", "pos", "ids", "decoded")).alias("patches"))
+        marked.mapInArrow(tails, "word string, block long, place binary")
+        .join(rest.select("word", "code"), "word")
+        .groupBy("block")
+        .agg(F.collect_list(F.concat("place", "code")).alias("patches"))
     )
-    whole = marked.withColumn("block", block).mapInArrow(blocks, "block long, rows binary").join(patches, "block", "left").select("rows", "patches")
+    whole = marked.mapInArrow(blocks, "block long, rows binary").join(patches, "block", "left").select("rows", "patches")
     out = whole.mapInArrow(finish, "_id long, n_tokens long, ids binary, decoded string")
     return out.select(public_id(), "n_tokens", "ids", "decoded")
 
 
+#: Where a joined word stands: the hash of its document's text (documents of a block with equal texts have
+#: equal words) and its number there.
+_PLACE = np.dtype([("text", "<i8"), ("pos", "<i4")])
+_PLACE_CODE = "<qi"
+
+
+def _packed(ids: Column, decoded: Column) -> Column:
+    """A word's ids and, if it is not the word itself, its decoded bytes as one value."""
+    size = F.unhex(F.lpad(F.hex(F.octet_length(ids)), 8, "0"))
+    return F.when(decoded.isNull(), F.concat(F.unhex(F.lit("00")), ids)).otherwise(F.concat(F.unhex(F.lit("01")), size, ids, decoded))
+
+
+def _unpacked(code: bytes) -> tuple[bytes, bytes | None]:
+    if code[0] == 0:
+        return code[1:], None
+    end = 5 + int.from_bytes(code[1:5], "big")
+    return code[5:end], code[end:]
+
+
 def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, width) -> pa.RecordBatch:
     """Ids and decoded text of some documents, from the head and the joined ids of other words."""
     plain, between = _plain(texts, special)
@@ -293,7 +314,7 @@ def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, wid
         own = number[at : at + n]
         size = np.where(own >= 0, head.size[own] if len(head.size) else 0, 0).astype(np.int64)
         miss = np.flatnonzero(own < 0)
-        joined = [patches[key, mark][int(i)] for i in miss]
+        joined = [patches[mark][int(i)] for i in miss]
         extra = [np.frombuffer(ids, width).astype(np.int32) for ids, _ in joined]
         size[miss] = [len(x) for x in extra]
         ids = np.empty(int(size.sum()), np.int32)
