@@ -514,11 +514,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table = materialize(rows.withColumn("_mark", F.xxhash64("_text")).mapInArrow(tidy(_summary), SUMMARY), "sets")
     sets = table.where("_id is not null")
     bits = sets.where((F.col("size") > 0) & (F.col("_id") != NULL_ID)).groupBy("_id").agg(F.min_by(F.struct("size", "a", "b", "bits"), "mark").alias("s")).select("_id", "s.*")
+    bits = materialize(bits, "bits")
     often = table.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
     got = often.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
     order = spark.sparkContext.broadcast(_Order(got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()))
 
-    classes = bits.groupBy("a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that a join with it is one that is split where a class is large.
+    classes = materialize(bits.groupBy("a", "b").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
     copies = materialize(bits.select("_id", "a", "b").join(classes, ["a", "b"]).where("_id <> rep").select("_id", "rep"), "copies")
 
     posted = rows.mapInArrow(tidy(_postings(order)), "token long, deal int, _id long, size int, who long").repartition(n, "token", "deal")
