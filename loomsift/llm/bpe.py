@@ -147,7 +147,7 @@ class HashTable:
         """Number new, distinct keys from ``n`` on."""
         self.all = np.concatenate((self.all, keys))
         if 2 * len(self.all) > len(self.keys):
-            self._resize(int(4 * len(self.all)).bit_length())
+            self._resize(int(2 * len(self.all)).bit_length())
             keys, number = self.all, np.arange(len(self.all), dtype=np.int32)
         else:
             number = np.arange(self.n, self.n + len(keys), dtype=np.int32)

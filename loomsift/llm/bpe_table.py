@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Spans, WordTable, encoder, pieces, split, vocabulary
-from .common import NULL_ID, ids_and_text, materialize_by, public_id
+from .common import NULL_ID, ids_and_text, materialize_by, public_id, tidy
 from .kernels import ranges, same_spans
 
 HEAD_WORDS = 1 << 19
@@ -74,7 +74,7 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
                         table, n = WordTable(), np.zeros(0, np.int64)
         yield out()
 
-    return docs.select("_id", "_text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("_id", "_text").mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_table(words: DataFrame, vocab: str) -> DataFrame:
@@ -88,7 +88,7 @@ def encode_table(words: DataFrame, vocab: str) -> DataFrame:
                 offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["word", "n", "ids"])
 
-    return words.mapInArrow(encode, "word string, n long, ids array<int>")
+    return words.mapInArrow(tidy(encode), "word string, n long, ids array<int>")
 
 
 def piece_table(spark: SparkSession, vocab: str) -> DataFrame:
@@ -148,7 +148,7 @@ def decode_table(table: DataFrame, vocab: str) -> DataFrame:
         if held is not None and held.num_rows:
             yield out(held)
 
-    return each.mapInArrow(join, "word string, n long, ids binary, decoded binary")
+    return each.mapInArrow(tidy(join), "word string, n long, ids binary, decoded binary")
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +171,13 @@ class _Head:
     def __init__(self, words: list[str], blobs: list[bytes], decoded: list[bytes | None], width: np.dtype) -> None:
         raw = [w.encode() for w in words]
         state = np.array([len(w) for w in raw], np.uint16), b"".join(raw), np.array([len(b) // width.itemsize for b in blobs], np.uint16), np.frombuffer(b"".join(blobs), width)
-        self.__setstate__((*state, {i: d for i, d in enumerate(decoded) if d is not None}))
+        self.state = (*state, {i: d for i, d in enumerate(decoded) if d is not None})
 
     def __getstate__(self):
         return self.state
 
     def __setstate__(self, state) -> None:
-        self.state = word_size, raw, size, packed, changed = state
+        word_size, raw, size, packed, changed = state
         self.table = WordTable()
         number = self.table.numbers(Spans(np.frombuffer(raw + bytes(8), np.uint8), word_size.astype(np.int64))) if len(word_size) else np.zeros(0, np.int64)
         self.size, self.offset = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
@@ -266,13 +266,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     block = F.when(F.col("_id") == NULL_ID, F.col("_print")).otherwise(F.floor(F.col("_id") / BLOCK)).alias("block")
     marked = rows.withColumn("_print", F.xxhash64("_text")).select("_id", "_text", "_print", block)
     patches = (
-        marked.mapInArrow(tails, "word string, block long, place binary")
+        marked.mapInArrow(tidy(tails), "word string, block long, place binary")
         .join(rest.select("word", "code"), "word")
         .groupBy("block")
         .agg(F.collect_list(F.concat("place", "code")).alias("patches"))
     )
-    whole = marked.mapInArrow(blocks, "block long, rows binary").join(patches, "block", "left").select("rows", "patches")
-    out = whole.mapInArrow(finish, "_id long, n_tokens long, ids binary, decoded string")
+    whole = marked.mapInArrow(tidy(blocks), "block long, rows binary").join(patches, "block", "left").select("rows", "patches")
+    out = whole.mapInArrow(tidy(finish), "_id long, n_tokens long, ids binary, decoded string")
     return out.select(public_id(), "n_tokens", "ids", "decoded")
 
 
