@@ -21,40 +21,52 @@ LOCAL_NAMES = ["localhost", "metadata.google.internal"]
 LOCAL_ENDS = [".localhost", ".local", ".internal"]
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port, brackets or a final dot."""
     authority = F.regexp_replace(F.lower(F.regexp_extract(url, AUTHORITY, 1)), r"^.*@", "")
-    return F.when(authority.startswith("["), F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(F.split_part(authority, F.lit(":"), F.lit(1)), r"\.+$", ""))
+    return _let(authority, lambda a: F.when(a.startswith("["), F.regexp_extract(a, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(F.split_part(a, F.lit(":"), F.lit(1)), r"\.+$", "")))
 
 
 def _number(hexed: Column) -> Column:
-    return F.conv(hexed, 16, 10).cast("long")
+    return F.conv(F.nullif(hexed, F.lit("")), 16, 10).cast("long")
 
 
 def blocked_v4(host: Column) -> Column:
     """Loopback, private, link-local (with the metadata address), multicast, or of this host."""
-    one, two = (F.nullif(F.regexp_extract(host, V4, i), F.lit("")).cast("long") for i in (1, 2))
-    return F.coalesce(one.isin(0, 10, 127) | one.between(224, 239) | ((one == 172) & two.between(16, 31)) | ((one == 192) & (two == 168)) | ((one == 169) & (two == 254)), F.lit(False))
+
+    def of(octets: Column) -> Column:
+        one, two = octets[0], octets[1]
+        return one.isin(0, 10, 127) | one.between(224, 239) | ((one == 172) & two.between(16, 31)) | ((one == 192) & (two == 168)) | ((one == 169) & (two == 254))
+
+    return F.coalesce(_let(F.when(host.rlike(V4), F.transform(F.split(host, r"\."), lambda x: x.cast("long"))), of), F.lit(False))
 
 
 def blocked_v6(host: Column) -> Column:
     """Loopback, unique local (fc00::/7), link-local (fe80::/10), multicast (ff00::/8), or a blocked IPv4
     address inside."""
-    first = _number(F.nullif(F.regexp_extract(host, FIRST_GROUP, 1), F.lit("")))
-    high, low = (_number(F.nullif(F.regexp_extract(host, MAPPED_HEX, i), F.lit(""))) for i in (1, 2))
-    inside = F.concat_ws(".", *[x.cast("string") for x in (F.floor(high / 256), high % 256, F.floor(low / 256), low % 256)])
-    inside = F.when(high.isNotNull(), inside).otherwise(F.regexp_extract(host, MAPPED_DOTTED, 1))
-    return host.contains(":") & (host.rlike(OWN_V6) | F.coalesce(first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF) | (first >= 0xFF00), F.lit(False)) | blocked_v4(inside))
+    pair = F.array(_number(F.regexp_extract(host, MAPPED_HEX, 1)), _number(F.regexp_extract(host, MAPPED_HEX, 2)))
+    dotted = lambda p: F.concat_ws(".", *[x.cast("string") for n in (p[0], p[1]) for x in (F.floor(n / 256), n % 256)])
+    inside = _let(pair, lambda p: F.when(p[0].isNotNull(), dotted(p)).otherwise(F.regexp_extract(host, MAPPED_DOTTED, 1)))
+    first = _let(_number(F.regexp_extract(host, FIRST_GROUP, 1)), lambda n: F.coalesce(n.between(0xFC00, 0xFDFF) | n.between(0xFE80, 0xFEBF) | (n >= 0xFF00), F.lit(False)))
+    return F.when(host.contains(":"), host.rlike(OWN_V6) | first | blocked_v4(inside)).otherwise(False)
 
 
 def url_policy(url: Column) -> Column:
     """Why a URL may not be fetched, or ``ok``: ``scheme``, ``host`` (none), ``local`` or ``address``."""
-    host = host_of(url)
-    local = host.isin(LOCAL_NAMES)
-    for end in LOCAL_ENDS:
-        local = local | host.endswith(end)
     scheme = F.lower(F.regexp_extract(url, SCHEME, 1))
-    return F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(local, "local").when(blocked_v4(host) | blocked_v6(host), "address").otherwise("ok")
+
+    def of(host: Column) -> Column:
+        local = host.isin(LOCAL_NAMES)
+        for end in LOCAL_ENDS:
+            local = local | host.endswith(end)
+        return F.when(host == "", "host").when(local, "local").when(blocked_v4(host) | blocked_v6(host), "address").otherwise("ok")
+
+    return F.when(~scheme.isin("http", "https"), "scheme").otherwise(_let(host_of(url), of))
 
 
 def policy_sql(url: str) -> str:

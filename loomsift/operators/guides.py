@@ -11,29 +11,29 @@ from ..sources.tables import table
 
 # Commands, flags, and what such a flag is for.
 KNOWN_OPTIONS = [
-    ("ls", "-a --all -A --almost-all", "hidden files and all entries"),
-    ("ls", "-l --long", "long detailed listings"),
-    ("grep rg", "-i --ignore-case", "case-insensitive matching"),
-    ("grep rg", "-n --line-number", "line numbers"),
-    ("grep rg", "-v --invert-match", "excluding or inverted matches"),
-    ("grep rg", "-E --extended-regexp", "extended regular expressions"),
-    ("grep rg", "-F --fixed-strings", "literal string matching"),
-    ("grep rg", "-H --with-filename", "showing filenames with matches"),
-    ("grep rg", "-l --files-with-matches", "showing filenames with matches"),
-    ("grep rg", "-R -r --recursive", "recursive traversal"),
-    ("du df ls", "--human-readable", "human-readable sizes"),
-    ("du", "-s --summarize", "total summary output"),
-    ("mkdir", "-p --parents", "creating parent directories"),
-    ("tail", "-f --follow", "following appended output"),
-    ("tail", "-n", "line counts"),
-    ("find", "-name --name", "filename matching"),
-    ("find", "-type", "files only, directories only, or file type filtering"),
-    ("find", "-size", "file size filters"),
-    ("find", "-mtime -mmin -newer", "modified time filters"),
-    ("find", "-maxdepth -mindepth", "depth-limited searches"),
-    ("find", "-empty", "empty files or directories"),
-    ("find", "-exec -execdir", "running a command for each match"),
-    ("find", "-print -print0", "printing matching paths"),
+    (("ls",), ("-a", "--all", "-A", "--almost-all"), "hidden files and all entries"),
+    (("ls",), ("-l", "--long"), "long detailed listings"),
+    (("grep", "rg"), ("-i", "--ignore-case"), "case-insensitive matching"),
+    (("grep", "rg"), ("-n", "--line-number"), "line numbers"),
+    (("grep", "rg"), ("-v", "--invert-match"), "excluding or inverted matches"),
+    (("grep", "rg"), ("-E", "--extended-regexp"), "extended regular expressions"),
+    (("grep", "rg"), ("-F", "--fixed-strings"), "literal string matching"),
+    (("grep", "rg"), ("-H", "--with-filename"), "showing filenames with matches"),
+    (("grep", "rg"), ("-l", "--files-with-matches"), "showing filenames with matches"),
+    (("grep", "rg"), ("-R", "-r", "--recursive"), "recursive traversal"),
+    (("du", "df", "ls"), ("--human-readable",), "human-readable sizes"),
+    (("du",), ("-s", "--summarize"), "total summary output"),
+    (("mkdir",), ("-p", "--parents"), "creating parent directories"),
+    (("tail",), ("-f", "--follow"), "following appended output"),
+    (("tail",), ("-n",), "line counts"),
+    (("find",), ("-name", "--name"), "filename matching"),
+    (("find",), ("-type",), "files only, directories only, or file type filtering"),
+    (("find",), ("-size",), "file size filters"),
+    (("find",), ("-mtime", "-mmin", "-newer"), "modified time filters"),
+    (("find",), ("-maxdepth", "-mindepth"), "depth-limited searches"),
+    (("find",), ("-empty",), "empty files or directories"),
+    (("find",), ("-exec", "-execdir"), "running a command for each match"),
+    (("find",), ("-print", "-print0"), "printing matching paths"),
 ]
 # Words in an option's line, and the purpose that they show.
 OPTION_WORDS = [
@@ -57,21 +57,21 @@ OPTION_WORDS = [
 ]
 # Commands, groups of flags (one of each group must be there), and the combination's line.
 COMBINATIONS = [
-    ("find", "-type, -name", "`find PATH -type f -name PATTERN`: find files only, not directories, whose filenames match a pattern."),
-    ("find", "-type, -empty", "`find PATH -type d -empty`: find empty directories; use `-type f -empty` for empty files."),
-    ("find", "-type, -mtime -mmin", "`find PATH -type f -mtime N`: find files by modification age."),
-    ("find", "-maxdepth, -type", "`find PATH -maxdepth N -type f`: limit recursive search depth while selecting files."),
-    ("find", "-type, -size", "`find PATH -type f -size +N`: find files larger than a size threshold; use `-size -N` for smaller files."),
-    ("grep rg", "-r -R --recursive", "`{} -R PATTERN PATH`: recursively search file contents for text."),
-    ("grep rg", "-i --ignore-case", "`{} -i PATTERN PATH`: search text case-insensitively."),
-    ("grep rg", "-l --files-with-matches", "`{} -l PATTERN PATH`: list filenames containing matches, not matching lines."),
-    ("ls", "-a --all", "`ls -la PATH`: list all entries including hidden files with long details."),
-    ("ls", "-S", "`ls -lhS PATH`: list entries sorted by size with human-readable sizes."),
-    ("ls", "-t", "`ls -lt PATH`: list entries sorted by modification time."),
-    ("du", "-s, -h --human-readable", "`du -sh PATH`: show total disk usage for a path in human-readable form."),
-    ("mkdir", "-p --parents", "`mkdir -p PATH`: create a directory and any missing parent directories without error if it already exists."),
-    ("tail", "-n", "`tail -n N FILE`: show the last N lines of a file or stream."),
-    ("tail", "-f", "`tail -f FILE`: follow a growing log file as new lines arrive."),
+    (("find",), (("-type",), ("-name",)), "`find PATH -type f -name PATTERN`: find files only, not directories, whose filenames match a pattern."),
+    (("find",), (("-type",), ("-empty",)), "`find PATH -type d -empty`: find empty directories; use `-type f -empty` for empty files."),
+    (("find",), (("-type",), ("-mtime", "-mmin")), "`find PATH -type f -mtime N`: find files by modification age."),
+    (("find",), (("-maxdepth",), ("-type",)), "`find PATH -maxdepth N -type f`: limit recursive search depth while selecting files."),
+    (("find",), (("-type",), ("-size",)), "`find PATH -type f -size +N`: find files larger than a size threshold; use `-size -N` for smaller files."),
+    (("grep", "rg"), (("-r", "-R", "--recursive"),), "`{} -R PATTERN PATH`: recursively search file contents for text."),
+    (("grep", "rg"), (("-i", "--ignore-case"),), "`{} -i PATTERN PATH`: search text case-insensitively."),
+    (("grep", "rg"), (("-l", "--files-with-matches"),), "`{} -l PATTERN PATH`: list filenames containing matches, not matching lines."),
+    (("ls",), (("-a", "--all"),), "`ls -la PATH`: list all entries including hidden files with long details."),
+    (("ls",), (("-S",),), "`ls -lhS PATH`: list entries sorted by size with human-readable sizes."),
+    (("ls",), (("-t",),), "`ls -lt PATH`: list entries sorted by modification time."),
+    (("du",), (("-s",), ("-h", "--human-readable")), "`du -sh PATH`: show total disk usage for a path in human-readable form."),
+    (("mkdir",), (("-p", "--parents"),), "`mkdir -p PATH`: create a directory and any missing parent directories without error if it already exists."),
+    (("tail",), (("-n",),), "`tail -n N FILE`: show the last N lines of a file or stream."),
+    (("tail",), (("-f",),), "`tail -f FILE`: follow a growing log file as new lines arrive."),
 ]
 # What a command is for, in the words of a task.
 TASK_PHRASES = {
@@ -158,7 +158,7 @@ OPTIONS_SQL = (
 
 def option_intents(command: Column, flags: Column, description: Column) -> Column:
     """Purposes of an option, each once: those of its flags, then those of the words in its line."""
-    by_flag = F.create_map(*[F.lit(x) for commands, names, intent in KNOWN_OPTIONS for c in commands.split() for n in names.split() for x in (f"{c} {n}", intent)])
+    by_flag = F.create_map(*[F.lit(x) for commands, names, intent in KNOWN_OPTIONS for c in commands for n in names for x in (f"{c} {n}", intent)])
     of_flags = F.transform(flags, lambda f: F.try_element_at(by_flag, F.concat_ws(" ", command, F.regexp_replace(f, r"^[\[\]]+|[\[\]]+$", ""))))
     line = F.lower(F.concat_ws(" ", command, F.array_join(flags, ", "), description))
     of_words = F.array(*[F.when(F.contains(line, F.lit(word)), F.lit(label)) for word, label in OPTION_WORDS])
@@ -167,7 +167,7 @@ def option_intents(command: Column, flags: Column, description: Column) -> Colum
 
 @query(
     f"WITH {OPTIONS_SQL}, known AS (SELECT unnest(string_split(c, ' ')) AS command_name, f, intent FROM (VALUES "
-    + ", ".join(f"({_text(c)}, {_text(f)}, {_text(i)})" for c, f, i in KNOWN_OPTIONS)
+    + ", ".join(f"({_text(' '.join(c))}, {_text(' '.join(f))}, {_text(i)})" for c, f, i in KNOWN_OPTIONS)
     + ") k(c, f, intent)), flag AS (SELECT command_name, unnest(string_split(f, ' ')) AS flag, intent FROM known), words AS (SELECT * FROM (VALUES "
     + ", ".join(f"({100 + i}, {_text(w)}, {_text(label)})" for i, (w, label) in enumerate(OPTION_WORDS))
     + ") w(ord, word, intent)), own AS (SELECT page_id, pos, command_name, unnest(flags) AS flag, generate_subscripts(flags, 1) AS ord FROM options), "
@@ -184,16 +184,16 @@ def combinations(command: Column, flags: Column) -> Column:
     """Lines of the combinations that a command's flags allow, in the rules' order."""
     out = []
     for commands, groups, line in COMBINATIONS:
-        met = command.isin(commands.split())
-        for group in groups.split(", "):
-            met = met & F.arrays_overlap(flags, F.split(F.lit(group), " "))
+        met = command.isin(list(commands))
+        for group in groups:
+            met = met & F.arrays_overlap(flags, F.array(*map(F.lit, group)))
         out.append(F.when(met, F.replace(F.lit(line), F.lit("{}"), command)))
     return F.array_compact(F.array(*out))
 
 
 @query(
     f"WITH {OPTIONS_SQL}, own AS (SELECT page_id, command_name, flatten(list(flags)) AS flags FROM options GROUP BY ALL), rules AS (SELECT ord, unnest(string_split(c, ' ')) AS command_name, g, line FROM (VALUES "
-    + ", ".join(f"({i}, {_text(c)}, {_text(g)}, {_text(line)})" for i, (c, g, line) in enumerate(COMBINATIONS))
+    + ", ".join(f"({i}, {_text(' '.join(c))}, {_text(', '.join(map(' '.join, g)))}, {_text(line)})" for i, (c, g, line) in enumerate(COMBINATIONS))
     + ") r(ord, c, g, line)), met AS (SELECT page_id, command_name, ord, replace(line, '{}', command_name) AS line FROM own JOIN rules USING (command_name) WHERE len(list_filter(string_split(g, ', '), lambda x: NOT list_has_any(flags, string_split(x, ' ')))) = 0) "
     "SELECT page_id, command_name, string_agg(line, chr(10) ORDER BY ord) AS combinations FROM met GROUP BY ALL"
 )

@@ -56,7 +56,7 @@ _listed_sql = lambda heading, lines: f"CASE WHEN len({lines}) > 0 THEN {_lit(hea
 #: Purposes per option, ordered: what ``option_intents`` gives, for a relation ``options`` with key columns page_id, pos.
 _INTENTS_SQL = (
     "known AS (SELECT unnest(string_split(c, ' ')) AS command_name, f, intent FROM (VALUES "
-    + ", ".join(f"({_text(c)}, {_text(f)}, {_text(i)})" for c, f, i in KNOWN_OPTIONS)
+    + ", ".join(f"({_text(' '.join(c))}, {_text(' '.join(f))}, {_text(i)})" for c, f, i in KNOWN_OPTIONS)
     + ") k(c, f, intent)), flag AS (SELECT command_name, unnest(string_split(f, ' ')) AS flag, intent FROM known), words AS (SELECT * FROM (VALUES "
     + ", ".join(f"({100 + i}, {_text(w)}, {_text(label)})" for i, (w, label) in enumerate(OPTION_WORDS))
     + ") w(ord, word, intent)), own AS (SELECT page_id, pos, command_name, unnest(flags) AS flag, generate_subscripts(flags, 1) AS ord FROM options), "
@@ -68,7 +68,7 @@ _INTENTS_SQL = (
 _NOTES_SQL = "notes AS (SELECT * FROM (VALUES " + ", ".join(f"({_text(c)}, {_quoted(p)}, {_quoted(RELATED.get(c, []))})" for c, p in TASK_PHRASES.items()) + ") n(command_name, phrases, related))"
 _COMMON_SQL = (
     "rules AS (SELECT ord, unnest(string_split(c, ' ')) AS command_name, g, line FROM (VALUES "
-    + ", ".join(f"({i}, {_text(c)}, {_text(g)}, {_text(line)})" for i, (c, g, line) in enumerate(COMBINATIONS))
+    + ", ".join(f"({i}, {_text(' '.join(c))}, {_text(', '.join(map(' '.join, g)))}, {_text(line)})" for i, (c, g, line) in enumerate(COMBINATIONS))
     + ") r(ord, c, g, line)), common AS (SELECT page_id, command_name, list(replace(line, '{}', command_name) ORDER BY ord)[1:10] AS common FROM lines JOIN rules USING (command_name) WHERE len(list_filter(string_split(g, ', '), lambda x: NOT list_has_any(flags, string_split(x, ' ')))) = 0 GROUP BY ALL)"
 )
 
