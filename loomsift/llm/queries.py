@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_table, fingerprints, jaccard, licenses, media, packing, quality, secrets, substring, token_counts, vector_codes
+from . import alignment, bpe_table, fingerprints, jaccard, licenses, media, packing, quality, sanitise, secrets, substring, token_counts, vector_codes
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +81,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_documents(spark, sf_dir))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return codes.withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
 
 
+def op13_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.personal_spans(_documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        *[secrets.counts_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in sanitise.KINDS],
+        F.sha2(sanitise.joined(F.col("spans"), sanitise.KINDS).cast("binary"), 256).alias("base_sha256"),
+        sanitise.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_secret_scan, op2_license_scan, op3_substring_dedup, op4_fingerprints, op5_quality, op6_bpe, op7_transport_stream, op8_token_counts, op9_jaccard_join, op10_packing, op12_vector_codes, pipeline)
+    named = (op1_secret_scan, op2_license_scan, op3_substring_dedup, op4_fingerprints, op5_quality, op6_bpe, op7_transport_stream, op8_token_counts, op9_jaccard_join, op10_packing, op11_alignment, op12_vector_codes, op13_sanitise, pipeline)
     return {f.__name__: f for f in named}
 
 
