@@ -35,7 +35,7 @@ MOST_SEGMENTS, MOST_BYTES = 600_000, 1 << 25
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 
 _OVERLAPS = """
-CREATE OR REPLACE TEMP TABLE overlaps AS
+CREATE OR REPLACE TEMP TABLE shared AS
 WITH lo AS (SELECT b.k, a.k AS lo FROM tb b ASOF JOIN ta a ON b.s >= a.s), hi AS (SELECT b.k, a.k AS hi FROM tb b ASOF JOIN ta a ON b.e > a.s),
 reach AS (SELECT tb.k, id, e, lo, hi FROM tb JOIN lo USING (k) JOIN hi USING (k))
 SELECT a.seg, a.k AS ak, r.k AS bk, a.id AS a, r.id AS b, a.e = r.e AS linked FROM reach r JOIN ta a ON a.k >= r.lo AND a.k <= r.hi
@@ -43,10 +43,10 @@ SELECT a.seg, a.k AS ak, r.k AS bk, a.id AS a, r.id AS b, a.e = r.e AS linked FR
 _GROUPED = """
 g{x} AS (SELECT g, any_value(seg) AS seg, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS ids FROM (
   SELECT k, id, seg, coalesce(sum(CASE WHEN {x}k IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
-  FROM t{x} LEFT JOIN (SELECT {x}k FROM overlaps WHERE linked) ON k = {x}k) GROUP BY g)"""
+  FROM t{x} LEFT JOIN (SELECT {x}k FROM shared WHERE linked) ON k = {x}k) GROUP BY g)"""
 _GROUPS = f"WITH {_GROUPED.format(x='a')}, {_GROUPED.format(x='b')} SELECT ga.seg, string_agg(ga.ids || '|' || gb.ids, ';' ORDER BY g) || ';' AS said, count(*) AS n FROM ga JOIN gb USING (g) GROUP BY ga.seg ORDER BY ga.seg"
-_LINKS = "SELECT seg, a, b FROM overlaps WHERE linked ORDER BY bk"
-_COUNTS = "SELECT seg, count(*) AS n FROM overlaps GROUP BY seg ORDER BY seg"
+_LINKS = "SELECT seg, a, b FROM shared WHERE linked ORDER BY bk"
+_COUNTS = "SELECT seg, count(*) AS n FROM shared GROUP BY seg ORDER BY seg"
 
 
 @functools.cache
@@ -89,7 +89,7 @@ def align(count: int, a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.
     con.register("ta", _table(*a))
     con.register("tb", _table(*b))
     con.execute(_OVERLAPS)
-    groups, links, overlaps = (con.execute(sql).to_arrow_table() for sql in (_GROUPS, _LINKS, _COUNTS))
+    groups, links, overlaps = (con.sql(sql).to_arrow_table() for sql in (_GROUPS, _LINKS, _COUNTS))
     of = lambda t, c: t.column(c).to_numpy().astype(np.int64)
     seg = of(links, "seg")
     out.links, out.n_links = of(links, "a") << 32 | of(links, "b"), np.bincount(seg, minlength=count)
