@@ -151,19 +151,25 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """entity, term, disclosure: what the terms of all contexts give away.
 
     ``found`` has, per document, hashes of its text, its entities and their contexts; ``texts`` the hashes and the
-    text of every document.  Terms seen with an entity in fewer than ``SUPPORT`` texts give nothing away."""
+    text of every document.  Terms seen with an entity in fewer than ``SUPPORT`` texts give nothing away.
+
+    A term is in at least as many texts as have it in a context.  So contexts alone tell of most terms that they
+    are too common to give anything away, and only the others are counted in all texts."""
+    total = float(max(found.select("_h", "_c").distinct().count(), 1))
+
+    def share(n_term: str) -> Column:
+        gain = F.log(F.col("n_both") * F.lit(total) / (F.col(n_term).cast("double") * F.col("n_entity")))
+        return gain / F.nullif(F.log(F.lit(total) / F.col("n_entity")), F.lit(0.0))
+
     entities = _counted(found.select("_h", "_c", F.explode("entities").alias("entity")), "entity").where(F.col("n") >= SUPPORT).withColumnRenamed("n", "n_entity")
     contexts = found.select("_h", "_c", F.explode("contexts").alias("x")).select("_h", "_c", "x.entity", "x.term")
     pairs = _counted(contexts, "entity", "term").where(F.col("n") >= SUPPORT).withColumnRenamed("n", "n_both")
-    pairs = materialize(pairs.join(entities, "entity"), "pairs")
+    pairs = pairs.join(entities, "entity").join(_counted(contexts, "term").withColumnRenamed("n", "n_seen"), "term")
+    pairs = materialize(pairs.where(share("n_seen") >= GENERALISE - 1e-9), "pairs")
     terms = materialize(pairs.select("term").distinct(), "terms")
-    n_terms = terms.count()
-    total = found.select("_h", "_c").distinct().count() if n_terms else 1
     words = texts.select("_h", "_c", F.explode(F.array_distinct(F.split(F.lower("_text"), r"[^\p{L}]+"))).alias("term"))
-    held = _counted(words.join(F.broadcast(terms) if n_terms <= MOST_SENT else terms, "term", "left_semi"), "term").withColumnRenamed("n", "n_term")
-    gain = F.log(F.col("n_both") * F.lit(float(total)) / (F.col("n_term").cast("double") * F.col("n_entity")))
-    share = gain / F.nullif(F.log(F.lit(float(total)) / F.col("n_entity")), F.lit(0.0))
-    return pairs.join(held, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    held = _counted(words.join(F.broadcast(terms) if terms.count() <= MOST_SENT else terms, "term", "left_semi"), "term").withColumnRenamed("n", "n_term")
+    return pairs.join(held, "term").select("entity", "term", share("n_term").alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
