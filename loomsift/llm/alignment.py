@@ -12,6 +12,7 @@ A segment whose bytes a tokenizer changes is not trusted: its whole document is
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 import tempfile
@@ -29,9 +30,9 @@ from .common import ids_and_text, materialize, public_id, small_batches, tidy
 from .kernels import ranges, span_hashes
 
 #: Code points of a block of documents; a longer document is a block of its own.
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 #: Distinct segments, and their bytes, that a worker keeps: they bound its memory, not the results.
-MOST_SEGMENTS, MOST_BYTES = 600_000, 1 << 25
+MOST_SEGMENTS, MOST_BYTES = 250_000, 1 << 24
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 
 _OVERLAPS = """
@@ -49,11 +50,17 @@ _LINKS = "SELECT seg, a, b FROM shared WHERE linked ORDER BY bk"
 _COUNTS = "SELECT seg, count(*) AS n FROM shared GROUP BY seg ORDER BY seg"
 
 
-@functools.cache
+#: Memory of a partition's joins; what needs more goes to disk until the join is done.
+DUCK_MEMORY = "192MB"
+
+
+@contextlib.contextmanager
 def _duck():
+    """A database of one block's tables, whose memory goes with it: workers also serve tasks of other kinds."""
     import duckdb
 
-    return duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": tempfile.mkdtemp(prefix="loomsift-")})
+    with tempfile.TemporaryDirectory(prefix="loomsift-") as folder, duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCK_MEMORY, "temp_directory": folder}) as con:
+        yield con
 
 
 class Aligned:
@@ -85,11 +92,11 @@ def align(count: int, a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.
     out.said_size, out.n_links = np.zeros(count, np.int64), np.zeros(count, np.int64)
     if not len(a[0]):
         return out
-    con = _duck()
-    con.register("ta", _table(*a))
-    con.register("tb", _table(*b))
-    con.execute(_OVERLAPS)
-    groups, links, overlaps = (con.sql(sql).to_arrow_table() for sql in (_GROUPS, _LINKS, _COUNTS))
+    with _duck() as con:
+        con.register("ta", _table(*a))
+        con.register("tb", _table(*b))
+        con.execute(_OVERLAPS)
+        groups, links, overlaps = (con.sql(sql).to_arrow_table() for sql in (_GROUPS, _LINKS, _COUNTS))
     of = lambda t, c: t.column(c).to_numpy().astype(np.int64)
     seg = of(links, "seg")
     out.links, out.n_links = of(links, "a") << 32 | of(links, "b"), np.bincount(seg, minlength=count)
@@ -134,6 +141,7 @@ class Aligner:
         self.a = Encoder(byte_path)
         self.a.tokenizer.encode_special_tokens = True
         self.a.special = []  # their strings are plain text here
+        self.a.MOST_WORDS, self.a.MOST_BYTES = MOST_SEGMENTS, MOST_BYTES
         self.a_pieces, self.a_at = pieces(byte_path)
         self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
         spelt = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
