@@ -3,8 +3,8 @@
 Both tokenizers cut before a space that follows a character other than white space, so a text is the
 sequence of its segments between such places and a segment's tokens don't depend on what stands
 around it.  Within an Arrow partition each distinct segment is encoded once by both; DuckDB joins the
-two tables of token intervals (as-of join for the first token that overlaps, range join for all, window
-sums for groups).  A partition hands on blocks of documents as numbers of segments, and how often each
+two tables of token intervals (range join for tokens that overlap, window sums for numbers of groups, as-of
+join from tokens to groups).  A partition hands on blocks of documents as numbers of segments, and how often each
 pair of ids is linked there.  Spark adds the counts up, and gives each block the totals of its pairs.
 
 A segment whose bytes a tokenizer changes is not trusted: its whole document is encoded as one.
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,22 +33,17 @@ from .kernels import ranges, span_hashes
 #: Code points of a block of documents; a longer document is a block of its own.
 BLOCK_CHARS = 1 << 20
 #: Distinct segments, and their bytes, that a worker keeps: they bound its memory, not the results.
-MOST_SEGMENTS, MOST_BYTES = 250_000, 1 << 24
+MOST_SEGMENTS, MOST_BYTES = 300_000, 1 << 24
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links", "n_overlaps"]
 
-_OVERLAPS = """
-CREATE OR REPLACE TEMP TABLE shared AS
-WITH lo AS (SELECT b.k, a.k AS lo FROM tb b ASOF JOIN ta a ON b.s >= a.s), hi AS (SELECT b.k, a.k AS hi FROM tb b ASOF JOIN ta a ON b.e > a.s),
-reach AS (SELECT tb.k, id, e, lo, hi FROM tb JOIN lo USING (k) JOIN hi USING (k))
-SELECT a.seg, a.k AS ak, r.k AS bk, a.id AS a, r.id AS b, a.e = r.e AS linked FROM reach r JOIN ta a ON a.k >= r.lo AND a.k <= r.hi
-"""
-_GROUPED = """
-g{x} AS (SELECT g, any_value(seg) AS seg, string_agg(CAST(id AS VARCHAR), ',' ORDER BY k) AS ids FROM (
-  SELECT k, id, seg, coalesce(sum(CASE WHEN {x}k IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
-  FROM t{x} LEFT JOIN (SELECT {x}k FROM shared WHERE linked) ON k = {x}k) GROUP BY g)"""
-_GROUPS = f"WITH {_GROUPED.format(x='a')}, {_GROUPED.format(x='b')} SELECT ga.seg, string_agg(ga.ids || '|' || gb.ids, ';' ORDER BY g) || ';' AS said, count(*) AS n FROM ga JOIN gb USING (g) GROUP BY ga.seg ORDER BY ga.seg"
+# Segments follow one another, so offsets of a whole block tell them apart: a range join finds the tokens that share a byte,
+# those that end together cut the block into groups, which a window numbers, and a token's group is that of the first cut
+# at or after its end.
+_OVERLAPS = "CREATE TEMP TABLE shared AS SELECT a.seg, b.k AS bk, a.id AS a, b.id AS b, a.e, a.e = b.e AS linked FROM tb b JOIN ta a ON a.s < b.e AND a.e > b.s"
+_CUTS = "CREATE TEMP TABLE cuts AS SELECT e, CAST(sum(1) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING) AS BIGINT) AS g FROM shared WHERE linked"
+_GROUPS = "SELECT t.k, c.g FROM {} t ASOF JOIN cuts c ON t.e <= c.e ORDER BY t.k"
 _LINKS = "SELECT seg, a, b FROM shared WHERE linked ORDER BY bk"
-_COUNTS = "SELECT seg, count(*) AS n FROM shared GROUP BY seg ORDER BY seg"
+_COUNTS = "SELECT seg, count(*) AS n FROM shared GROUP BY seg"
 
 
 #: Memory of a partition's joins; what needs more goes to disk until the join is done.
@@ -96,14 +92,21 @@ def align(count: int, a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.
         con.register("ta", _table(*a))
         con.register("tb", _table(*b))
         con.execute(_OVERLAPS)
-        groups, links, overlaps = (con.sql(sql).to_arrow_table() for sql in (_GROUPS, _LINKS, _COUNTS))
+        con.execute(_CUTS)
+        links, overlaps, of_a, of_b = (con.sql(sql).to_arrow_table() for sql in (_LINKS, _COUNTS, _GROUPS.format("ta"), _GROUPS.format("tb")))
     of = lambda t, c: t.column(c).to_numpy().astype(np.int64)
     seg = of(links, "seg")
     out.links, out.n_links = of(links, "a") << 32 | of(links, "b"), np.bincount(seg, minlength=count)
-    said = groups.column("said").to_pylist()
-    out.said = np.frombuffer("".join(said).encode(), np.uint8)
-    out.said_size[of(groups, "seg")] = [len(s) for s in said]
-    for row, (at, n) in enumerate(((a[2], None), (b[2], None), (of(groups, "seg"), of(groups, "n")), (seg, None), (of(overlaps, "seg"), of(overlaps, "n")))):
+    # A group's ids of A stand before those of B; each id is followed by what parts it from the next.
+    side = np.concatenate((2 * of(of_a, "g"), 2 * of(of_b, "g") + 1))
+    by = np.argsort(side, kind="stable")
+    ids, home, side = np.concatenate((a[0], b[0]))[by], np.concatenate((a[2], b[2]))[by], side[by]
+    mark = np.where(np.append(side[1:] == side[:-1], False), 0, 1 + side % 2)
+    said = pc.binary_join_element_wise(pa.array(ids).cast(pa.string()), pa.array([",", "|", ";"]).take(pa.array(mark)), "")
+    size = pc.binary_length(said).to_numpy()
+    out.said = np.frombuffer(said.buffers()[2], np.uint8)[: int(size.sum())]
+    out.said_size = np.bincount(home, size, count).astype(np.int64)
+    for row, (at, n) in enumerate(((a[2], None), (b[2], None), (home[mark == 2], None), (seg, None), (of(overlaps, "seg"), of(overlaps, "n")))):
         out.numbers[row] = np.bincount(at, n, minlength=count)
     return out
 
