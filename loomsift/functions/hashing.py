@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,3 +44,18 @@ def bucket_and_sign_sql(x: str, dim: int) -> tuple[str, str]:
         f"('0x' || substr(hex(encode({x})), CAST(2 * i + 1 AS BIGINT), 2))::INT::HUGEINT)), lambda s, b: (xor(s, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
     )
     return f"CAST({h} % {dim} AS INTEGER)", f"CAST(1 - 2 * (({h} // 2251799813685248::HUGEINT) % 2) AS INTEGER)"
+
+
+def hashed_cells(names: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """``bucket_and_sign`` of all strings of an Arrow array: byte by byte, all strings at a time."""
+    raw = names.cast(pa.binary())
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)
+    size, state = np.diff(ends), np.full(len(raw), BASIS, np.uint64)
+    prime = np.uint64((1 << 40) + LOW_PRIME)
+    own, k = np.flatnonzero(size > 0), 0
+    while len(own):
+        state[own] = (state[own] ^ data[ends[own] + k]) * prime
+        k += 1
+        own = own[size[own] > k]
+    return (state % np.uint64(dim)).astype(np.int64), 1 - 2 * ((state >> np.uint64(51)) & np.uint64(1)).astype(np.int64)

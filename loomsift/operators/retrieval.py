@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import bucket_and_sign, bucket_and_sign_sql
+from ..functions.hashing import bucket_and_sign, bucket_and_sign_sql, hashed_cells
 from ..functions.text import TOKEN, ascii_lower, ascii_lower_sql, tokens, tokens_sql
 from ..registry import query
 from ..sources.formats import stored
-from ..sources.tables import SENT, planned_bytes, sent, spread, table
+from ..sources.tables import sent, spread, table
+from .blockmax import MOST_TERMS, block_index, block_topk, scored, term_weights
 from .index import document_frequency, occurrences, postings
 
 DIM = 384
@@ -43,43 +49,43 @@ def top(scores: DataFrame, k: int, by: list[Column], q: str = "item_id") -> Data
     return (ranked.where(F.col("rank") <= k) if k else ranked).withColumn("rank", F.col("rank").cast("long"))
 
 
-#: A token that more than this share of all documents hold is common: it tells little and hits many.
-COMMON = 0.25
-
-
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, text: str | Column = "text") -> DataFrame:
     """item_id, doc_id, score, by, rank: the first ``k`` rows of each query by ``lexical_scores`` (rounded: ``by``).
 
-    Documents are found by their rare tokens alone; what common tokens add is counted for those.  A
-    document that has common tokens alone scores at most the sum of their weights, so a query whose k-th row
-    scores more is done.  Others, which are few, are scored in full."""
-    n_docs = docs.where(F.rlike(F.col(text) if isinstance(text, str) else text, F.lit(TOKEN))).agg(F.count(F.lit(1)).alias("n"))
-    terms = query_terms(queries)
-    found = spread(docs).select("doc_id", F.array_distinct(tokens(text)).alias("_t"))
-    each = found.select("doc_id", F.explode("_t").alias("token"))
-    df = document_frequency(each.join(sent(terms.select("token").distinct(), terms), "token", "left_semi"))
-    idf = F.greatest(F.lit(0.0), F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    weights = terms.join(df, "token").crossJoin(F.broadcast(n_docs)).select("item_id", "token", "terms", (idf * (1 + F.log1p("qtf"))).alias("w"), (F.col("df") > COMMON * F.col("n")).alias("common"))
-    weights = stored(weights, "weights")
-    rare, common = weights.where("not common").drop("common"), weights.where("common").drop("common")
-    # Common tokens are bounded in number: a document has so many tokens, and a share of all holds each.
-    names = [r.token for r in common.select("token").distinct().collect()]
-    held = F.array_intersect("_t", F.array(*map(F.lit, names)).cast("array<string>")) if names else F.array().cast("array<string>")
-    hits = found.select("doc_id", held.alias("_c"), F.explode("_t").alias("token")).join(sent(rare, rare), "token")
-    pairs = hits.groupBy("item_id", "doc_id").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("m"), F.first("terms").alias("terms"), F.first("_c").alias("_c"))
-    extra = common.groupBy("item_id").agg(F.collect_list(F.struct("token", "w")).alias("_w"), (F.sum("w") + 0.2 * F.count(F.lit(1)) / F.first("terms")).alias("most"))
-    met = F.filter(F.coalesce("_w", F.array().cast("array<struct<token:string,w:double>>")), lambda x: F.array_contains(F.col("_c"), x["token"]))
-    pairs = pairs.join(sent(extra, common), "item_id", "left").withColumn("_w", met)
-    score = F.col("s") + F.aggregate("_w", F.lit(0.0), lambda t, x: t + x["w"]) + 0.2 * (F.col("m") + F.size("_w")) / F.col("terms")
-    by = [F.desc("by"), F.col("doc_id")]
-    best = stored(top(pairs.select("item_id", "doc_id", score.alias("score")).withColumn("by", F.round("score", 6)), k, by), "best")
-    last = best.groupBy("item_id").agg(F.count(F.lit(1)).alias("rows"), F.min("by").alias("least")).join(extra.select("item_id", "most"), "item_id", "left")
-    done = last.where((F.col("rows") >= k) & (F.col("least") > F.coalesce("most", F.lit(0.0)) + 1e-5) | F.col("most").isNull()).select("item_id")
-    left = stored(extra.select("item_id").join(done, "item_id", "left_anti"), "left")
-    if left.isEmpty():
-        return best
-    rest = lexical_scores(each, terms.join(sent(left, common), "item_id", "left_semi"), n_docs)
-    return best.join(F.broadcast(left) if planned_bytes(left) <= SENT else left, "item_id", "left_anti").unionByName(top(rest.withColumn("by", F.round("score", 6)), k, by))
+    Texts are split once, into a stored index of block-max postings; queries are sent to all tasks if they have at
+    most ``MOST_TERMS`` terms, else every score is summed by shuffle."""
+    return indexed_topk(stored(block_index(spread(docs), text), "blocks"), queries, k)
+
+
+def indexed_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``lexical_topk`` over an index that ``block_index`` made."""
+    weights = term_weights(index, query_terms(queries))
+    rows = weights.limit(MOST_TERMS + 1).toArrow()
+    if rows.num_rows <= MOST_TERMS:
+        found = block_topk(index, rows, k)
+    else:
+        found = scored(index, weights).withColumn("by", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+    return top(found, k, [F.desc("by"), F.col("doc_id")])
+
+
+def dense_vectors(df: DataFrame, token_col: str, dim: int = DIM) -> DataFrame:
+    """``df`` with ``v``: the normalized hashed bag of words of an array of tokens.  A batch's distinct tokens are hashed
+    once, all at a time."""
+    at = df.columns.index(token_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch[at]
+            code = lists.flatten().dictionary_encode()
+            idx, sign = hashed_cells(code.dictionary, dim)
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            number = code.indices.to_numpy()
+            v = np.bincount(row * dim + idx[number], sign[number], len(lists) * dim).reshape(len(lists), dim)
+            v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+            column = pa.ListArray.from_arrays(np.arange(0, (len(lists) + 1) * dim, dim, dtype=np.int32), v.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "v"])
+
+    return df.mapInArrow(run, df.select("*", F.lit(None).cast("array<double>").alias("v")).schema)
 
 
 def hashed_vectors(occurs: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:
@@ -181,27 +187,26 @@ def hybrid_search(docs: DataFrame, queries: DataFrame, lexical_k: int = 50, min_
     rows for a query without one.
 
     ``docs`` has doc_id, source (the command), lang (the section) and text.  Texts are met again for the
-    candidates alone; scoring carries ids.  The candidates, at most ``lexical_k`` rows a query, are stored,
-    as three branches use them."""
-    lexical = lexical_topk(docs, queries, lexical_k, F.concat_ws(" ", "source", "lang", "text"))
-    docs = spread(docs).withColumn("whole", F.concat_ws(" ", "source", "lang", "text"))
-    candidates = stored(lexical.select("item_id", "doc_id", "score"), "candidates")
+    candidates alone.  The candidates, at most ``lexical_k`` rows a query, are stored."""
+    whole = F.concat_ws(" ", "source", "lang", "text")
+    candidates = stored(lexical_topk(docs, queries, lexical_k, whole).select("item_id", "doc_id", "score"), "candidates")
     # Queries without a lexical hit, which are few if any, are held against all rows.
     missed = stored(queries.select("item_id").join(candidates.select("item_id").distinct(), "item_id", "left_anti"), "missed")
     if not missed.isEmpty():
         candidates = candidates.unionByName(docs.select("doc_id").join(sent(missed), F.lit(True)).select("item_id", "doc_id", F.lit(0.0).alias("score")))
-    own = docs.join(sent(candidates.select("doc_id").distinct(), candidates), "doc_id", "left_semi")
-    qv = hashed_vectors(occurrences(queries, "item_id"), "item_id").select("item_id", "idx", F.col("value").alias("qv"))
-    dv = hashed_vectors(occurrences(own, text="whole"), "doc_id").select("doc_id", "idx", F.col("value").alias("dv"))
-    dots = candidates.select("item_id", "doc_id").join(qv, "item_id").join(dv, ["doc_id", "idx"]).groupBy("item_id", "doc_id").agg(F.sum(F.col("qv") * F.col("dv")).alias("dot"))
-    toks = queries.select("item_id", tokens("text").alias("toks"))
-    rows = candidates.join(own, "doc_id").join(toks, "item_id").join(dots, ["item_id", "doc_id"], "left")
+    # Texts meet the queries that want them where they are; what is sent is bounded by the candidates.
+    wanted = candidates.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "score")).alias("items"))
+    own = spread(docs).select("doc_id", "source", "lang", "text").join(sent(wanted, candidates), "doc_id")
+    asked = dense_vectors(queries.select("item_id", tokens("text").alias("toks")), "toks").withColumnRenamed("v", "qv")
+    rows = dense_vectors(own.withColumn("t", tokens(whole)), "t").drop("t").select("*", F.explode("items").alias("i")).drop("items")
+    rows = rows.select("doc_id", "source", "lang", "text", "v", "i.item_id", "i.score").join(sent(asked, queries), "item_id")
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     boost = (
         F.when(F.array_contains("toks", ascii_lower("source")), 2.0).otherwise(0.0)
         + F.when(F.upper("lang").isin("OPTIONS", "SYNOPSIS", "EXAMPLES"), 0.25).otherwise(0.0)
         + F.when(F.exists("toks", lambda t: t.startswith("-") & F.contains(F.col("text"), t)), 1.0).otherwise(0.0)
     )
-    score = F.round(F.col("score") + F.coalesce("dot", F.lit(0.0)) + boost, 5)
+    score = F.round(F.col("score") + dot + boost, 5)
     return rows.select("item_id", "doc_id", "source", score.alias("score")).where(F.col("score") >= min_score)
 
 
