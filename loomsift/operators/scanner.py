@@ -11,9 +11,11 @@ from .shell import _FLOOR_SQL, FLOOR, first_of, floor_match
 
 #: What a command line is made of: escaped characters, quoted runs (the last may be open), groups,
 #: operators, white space, and runs of anything else.
-LEXEME = r"""(?s)\\.|\\|'[^']*'?|"(?:[^"\\]|\\.)*(?:"|\\?\z)|\$\(|[()]|\|\|?|&&?|;|[<>][<>]?|\s+|[^\\'"$()|&;<>\s]+|\$"""
+LEXEME = r"""(?s)\\.|\\|'[^']*'?|"(?:[^"\\]++|\\.)*+(?:"|\\?\z)|\$\(|[()]|\|\|?|&&?|;|[<>][<>]?|\s+|[^\\'"$()|&;<>\s]+|\$"""
 OPERATOR = r"^[|&;<>]"
-CLOSED = r'(?s)^"([^"\\]|\\.)*"\z'
+CLOSED = r'(?s)^"(?:[^"\\]++|\\.)*+"\z'
+#: Loops that never give back are not recursive, so a quoted run may be of any length; SQL's engine knows no others.
+_SQL_LEXEME, _SQL_CLOSED = (p.replace("++", "").replace("*+", "*") for p in (LEXEME, CLOSED))
 STRUCTURE = ["pipeline", "control", "redirection", "substitution", "grouping", "unbalanced_group", "unbalanced_quotes", "trailing_operator"]
 
 
@@ -91,8 +93,8 @@ _q = lambda p: p.replace("'", "''")
 
 def scanned_sql(source: str) -> str:
     """CTEs that end in ``scan``: the same for a relation with cmd_id and command."""
-    found = f"regexp_extract_all(command, '{_q(LEXEME)}')"
-    is_open = rf"""x IN ('\', '''', '"') OR (starts_with(x, '''') AND NOT ends_with(x, '''')) OR (starts_with(x, '"') AND NOT regexp_matches(x, '{CLOSED}'))"""
+    found = f"regexp_extract_all(command, '{_q(_SQL_LEXEME)}')"
+    is_open = rf"""x IN ('\', '''', '"') OR (starts_with(x, '''') AND NOT ends_with(x, '''')) OR (starts_with(x, '"') AND NOT regexp_matches(x, '{_SQL_CLOSED}'))"""
     inside = r"""regexp_replace(CASE WHEN open_quote THEN substr(x, 2) ELSE regexp_replace(x, '^"|"\z', '', 'g') END, '(?s)\\(.?)', '\1', 'g')"""
     said = rf"""CASE WHEN starts_with(x, '''') THEN regexp_replace(x, '^''|''\z', '', 'g') WHEN starts_with(x, '"') THEN {inside} WHEN starts_with(x, '\') THEN substr(x, 2) ELSE x END"""
     none = r"^((sudo( -\S*)*|env|[A-Za-z_][A-Za-z0-9_]*=\S*)( |\z))*\z"

@@ -23,6 +23,10 @@ SAID = [
     'call:execute_shell_command{cmd:<|"|>ls -la /{}<|"|>,intent:<|"|>list',
     'call:execute_shell_command{intent:x,cmd:<|"|>du -sh {},commands_used:[du]',
     'call:execute_shell_command{cmd:<|"|> <|"|>} call:other',
+    'deep {"name": "nest", "args": {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": [{"i": {}}]}}}}}}}}} end',
+    'open { never {"name": "inner", "args": {}}',
+    'closed } first {"name": "after", "args": {"cmd": "{}"}} }',
+    '<tool_call>call:deep{a: {b: {c: {d: {e: {f: {g: {h: 1}}}}}}}}</tool_call> <|tool_call>call:run{cmd: "two {}"}',
     "nothing to do with {}",
     "",
 ]
