@@ -175,37 +175,3 @@ def w14_clean_urls(spark, sf_dir):
     own = F.split_part("url", F.lit("#"), F.lit(1))
     url = F.concat(own, F.when(F.contains(own, F.lit("?")), "&").otherwise("?"), F.lit("utm_source=a&id="), "page_id", F.lit("&gclid=x&b=2#top"))
     return table(spark, sf_dir, "pages").select("page_id", clean_url(url).alias("clean"), F.regexp_replace(url, "#.*$", "").alias("bare"))
-
-
-# Titles of links that lead nowhere.
-NAV_TITLES = ["home", "about", "contact", "login", "sign in", "sign up", "privacy", "terms", "help", "next", "previous", "images", "settings"]
-_LINK = r"""(?is)<a[^>]*href=["'][^"']+["'][^>]*>.*?</a>"""
-
-
-@query(
-    f"WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, $${_LINK}$$)) AS a, generate_subscripts(regexp_extract_all(html, $${_LINK}$$), 1) AS pos FROM pages), "
-    r"""p AS (SELECT page_id, pos, regexp_replace(regexp_extract(a, $$(?is)href=["']([^"']+)["']$$, 1), '#.*$', '') AS url, trim(regexp_replace(regexp_replace(regexp_extract(a, '(?is)>(.*)</a>', 1), '(?is)<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS title FROM l), """
-    f"f AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS k FROM p WHERE title <> '' AND lower(title) NOT IN ({', '.join(repr(t) for t in NAV_TITLES)})) "
-    "SELECT page_id, url, title, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank, left(sha256(url || chr(10) || title), 16) AS hash FROM f WHERE k = 1"
-)
-def w26_page_links(spark, sf_dir):
-    """Links of a page: navigation left out, first of equal URLs, numbered in order."""
-    links = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(0))).alias("pos", "a"))
-    url = F.regexp_replace(F.regexp_extract("a", r"""(?is)href=["']([^"']+)["']""", 1), "#.*$", "")
-    title = squeeze(F.regexp_replace(F.regexp_extract("a", r"(?is)>(.*)</a>", 1), r"(?is)<[^>]+>", " "))
-    rows = links.select("page_id", "pos", url.alias("url"), title.alias("title")).where(F.col("title") != "").where(~F.lower("title").isin(NAV_TITLES))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))).where("k = 1")
-    rank = F.row_number().over(Window.partitionBy("page_id").orderBy("pos")).cast("long")
-    return rows.select("page_id", "url", "title", rank.alias("rank"), F.left(F.sha2(F.concat_ws("\n", "url", "title").cast("binary"), 256), F.lit(16)).alias("hash"))
-
-
-@query("SELECT page_id, url, 'page ' || page_id AS title, url AS decoded FROM pages WHERE url IS NOT NULL")
-def w31_search_payload(spark, sf_dir):
-    """Rows of a JSON search payload with alias fields (W30, W31) and a redirect decoded."""
-    body = F.to_json(F.struct(F.array(F.struct(F.col("url").alias("link"), F.concat(F.lit("page "), "page_id").alias("name"))).alias("results")))
-    kind = "results array<struct<url:string,link:string,title:string,name:string,snippet:string>>"
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.from_json(body, kind)["results"]).alias("r"))
-    pick = lambda *names: F.coalesce(*[F.nullif(F.trim(F.col(f"r.{n}")), F.lit("")) for n in names])
-    rows = rows.select("page_id", pick("url", "link").alias("url"), pick("title", "name").alias("title")).where("url is not null")
-    redirect = F.concat(F.lit("https://s.example/l/?uddg="), F.url_encode("url"), F.lit("&rut=1"))
-    return rows.withColumn("decoded", F.url_decode(F.regexp_extract(redirect, r"[?&]uddg=([^&#]+)", 1)))
