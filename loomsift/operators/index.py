@@ -116,18 +116,16 @@ def b11_resource_cap(spark, sf_dir):
 
 
 # Codes of extraction methods.
-METHODS = {"man": 1, "--help": 2, "-h": 3, "stub": 4, "builtin": 5, "alias": 6, "function": 7, "fixture": 8}
+METHODS = {"man": 1, "--help": 2, "-h": 3, "stub": 4, "heuristic": 5, "builtin": 6, "alias": 7, "function": 8}
 
 
-_METHOD_NAMES = [*METHODS, "man", "unheard of"]
+_METHOD_NAMES = [*METHODS, "fixture", "", "unheard of"]
 
 
 @query(
-    f"WITH m AS (SELECT doc_id, [{', '.join(repr(m) for m in _METHOD_NAMES)}][doc_id % {len(_METHOD_NAMES)} + 1] AS written FROM documents), c AS (SELECT *, CASE written "
-    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in METHODS.items())
-    + " ELSE 0 END AS code FROM m) SELECT doc_id, written, code, CASE code "
-    + " ".join(f"WHEN {v} THEN '{k}'" for k, v in METHODS.items())
-    + " ELSE 'unknown' END AS method FROM c"
+    f"WITH m AS (SELECT doc_id, [{', '.join(repr(m) for m in _METHOD_NAMES)}][doc_id % {len(_METHOD_NAMES)} + 1] AS written FROM documents), "
+    "c AS (SELECT *, coalesce(list_position(['man', '--help', '-h', 'stub', 'heuristic', 'builtin', 'alias', 'function'], written), 0) AS code FROM m) "
+    "SELECT doc_id, written, CAST(code AS INTEGER) AS code, CASE WHEN code > 0 THEN written ELSE 'unknown' END AS method FROM c"
 )
 def b13_method_codes(spark, sf_dir):
     """Methods as codes, and back; what has no code is unknown."""

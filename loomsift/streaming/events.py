@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -57,10 +57,37 @@ def e2_pairing(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") - F.lag("event_id").over(w)).alias("gap"), took.alias("ms"))
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('login', 'logout') THEN 'excluded' WHEN regexp_matches(props, 'password|token') THEN 'excluded' ELSE 'captured' END AS capture FROM events")
+# Commands whose output belongs to a terminal, and what prints secrets.
+INTERACTIVE = [
+    "vim", "nvim", "vi", "emacs", "nano", "less", "more", "man", "ssh", "sftp", "scp", "mosh", "top", "htop", "btop", "watch",
+    "fzf", "sk", "tmux", "screen", "node", "python", "python3", "ruby", "irb", "lua", "julia", "mysql", "psql", "sqlite3", "redis-cli", "mongosh",
+]
+REVEALING = [r"^\s*(env|printenv)(\s|$)", r"^\s*security\s+find-.*password", r"^\s*(op|pass)\s+.*(show|get)", r"^\s*gcloud\s+auth\s+print-access-token", r"^\s*aws\s+configure\s+get"]
+# Inputs: commands by event number, with {} for the user.
+OBSERVED = [
+    "vim notes{}", "ls -la", "  env", "printenv PATH", "environment", "python3 x.py {}", "python4", "git push", "security find-generic-password -a {}", "op item get {}", "pass show x", "pass", "gcloud auth print-access-token", "gcloud auth login", " aws configure get region", "aws configure list",
+    "sudo vim x", "redis-cli", "redis-cli-x", "less", "", "man {}", "cat more", "ssh host{}", "env -i x",
+]
+
+
+def observed_status(command: Column) -> Column:
+    """``excluded`` where the first word is interactive or a pattern tells of secrets; the event is given out all the same."""
+    out = F.split_part(F.btrim(command), F.lit(" "), F.lit(1)).isin(INTERACTIVE)
+    for p in REVEALING:
+        out = out | command.rlike(p)
+    return F.when(out, "excluded").otherwise("captured")
+
+
+@query(
+    f"WITH c AS (SELECT event_id, replace([{', '.join(repr(c) for c in OBSERVED)}][event_id % {len(OBSERVED)} + 1], '{{}}', CAST(user_id AS VARCHAR)) AS command FROM events) "
+    r"SELECT event_id, command, CASE WHEN regexp_matches(command, '^ *(vim|nvim|vi|emacs|nano|less|more|man|ssh|sftp|scp|mosh|top|htop|btop|watch|fzf|sk|tmux|screen|node|python|python3|ruby|irb|lua|julia|mysql|psql|sqlite3|redis-cli|mongosh)( |$)') "
+    r"OR regexp_matches(command, '^\s*((env|printenv)(\s|$)|security\s+find-.*password|(op|pass)\s+.*(show|get)|gcloud\s+auth\s+print-access-token|aws\s+configure\s+get)') THEN 'excluded' ELSE 'captured' END AS capture FROM events JOIN c USING (event_id)"
+)
 def e3_exclusion(spark, sf_dir):
-    out = F.col("event_type").isin("login", "logout") | F.col("props").rlike("password|token")
-    return table(spark, sf_dir, "events").select("event_id", F.when(out, "excluded").otherwise("captured").alias("capture"))
+    """Whether a command's output is captured, for commands of every kind."""
+    chosen = F.element_at(F.array(*map(F.lit, OBSERVED)), (F.col("event_id") % len(OBSERVED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.replace(chosen, F.lit("{}"), F.col("user_id").cast("string")).alias("command"))
+    return rows.withColumn("capture", observed_status(F.col("command")))
 
 
 @query("SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 1 HOUR, false) AS hit FROM events")
