@@ -92,12 +92,6 @@ def x9_workspace_root(spark, sf_dir):
     return up.join(marks, "folder").groupBy("doc_id").agg(F.max_by("folder", "depth").alias("root"))
 
 
-@query("SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, bool_or(n_chars > 5000) AS has_large, count(*) FILTER (doc_id % 2 = 0) AS even FROM documents GROUP BY source")
-def x10_project_metadata(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").groupBy("source")
-    return g.agg(F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.bool_or(F.col("n_chars") > 5000).alias("has_large"), F.count_if(F.col("doc_id") % 2 == 0).alias("even"))
-
-
 _STATES = ["M ", " M", "??", "UU", "A ", "R "]
 
 
