@@ -16,6 +16,8 @@ from .common import NULL_ID, materialize, public_id
 K, S = 6, 2
 #: Ids per window of the next-document join: with distinct ids, at most so many rows meet in one.
 BUCKET = 1024
+#: Buckets per stretch, of which one window orders the first ones: a row for every four million ids.
+STRETCH = 4096
 #: Rows up to which the bucket borders are sent to all tasks; beyond, they are joined by shuffle.
 MOST_SENT = 100_000
 _POS = 24  # bits of a position; a hash has 38 above them
@@ -127,11 +129,16 @@ def compare_with_edit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     tie = F.xxhash64("_text")
     spread = F.lit(-(1 << 62)) + F.shiftright(tie, 44)
     rows = rows.withColumn("_bucket", F.when(F.col("_id") == NULL_ID, spread).otherwise(F.floor(F.col("_id") / F.lit(BUCKET)))).withColumn("_tie", tie)
-    # The document after a bucket's last one is the first of the next bucket that has any.
-    tops = rows.groupBy("_bucket").agg(F.max(F.struct("_id", "_tie")).alias("top"))
-    order = Window.orderBy(F.desc("_bucket"))
+    # The document after a bucket's last one is the first of the next bucket that has any: the next one of its stretch
+    # of buckets or, after the stretch's last, the first of the next stretch.
+    tops = rows.groupBy("_bucket").agg(F.max(F.struct("_id", "_tie")).alias("top")).withColumn("_stretch", F.floor(F.col("_bucket") / F.lit(STRETCH)))
+    stretches = tops.groupBy("_stretch").agg(F.max_by("top", "_bucket").alias("head"))
+    order = Window.orderBy(F.desc("_stretch"))
     every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    borders = tops.select(F.col("_bucket").alias("_of"), F.coalesce(F.lead("top").over(order), F.first("top").over(every)).alias("n"))
+    stretches = stretches.select(F.col("_stretch").alias("_s"), F.coalesce(F.lead("head").over(order), F.first("head").over(every)).alias("after"))
+    inside = Window.partitionBy("_stretch").orderBy(F.desc("_bucket"))
+    tops = tops.withColumn("n", F.lead("top").over(inside))
+    borders = tops.join(stretches, F.col("_stretch") == F.col("_s")).select(F.col("_bucket").alias("_of"), F.coalesce("n", "after").alias("n"))
     borders = materialize(borders.select("_of", F.col("n._id").alias("_nid"), F.col("n._tie").alias("_ntie")), "borders")
     if borders.count() <= MOST_SENT:
         borders = F.broadcast(borders)

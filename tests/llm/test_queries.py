@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loomsift.llm import bpe, bpe_table, jaccard, kernels, queries, substring
+from loomsift.llm import bpe, bpe_table, fingerprints, jaccard, kernels, queries, substring
 
 SEP = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda raw: hashlib.sha256(raw).hexdigest()
@@ -113,6 +113,19 @@ def test_op4(spark, sf_dir, texts):
     assert 0.6 < got[70_001].near_edited < 0.72, "two thirds of the anchors stay, none is left out"
 
 
+def test_op4_over_stretches(spark, monkeypatch):
+    """Next documents across buckets and stretches of buckets, where most are empty."""
+    monkeypatch.setattr(fingerprints, "BUCKET", 3)
+    monkeypatch.setattr(fingerprints, "STRETCH", 2)
+    ids = [-9, -1, 0, 1, 2, 5, 6, 7, 30, 31, 100, 1000, 1001, 1002, 5000]
+    docs = spark.createDataFrame([(i, f"text {i} " * 3) for i in ids], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.compare_with_edit(docs).collect()}
+    order = sorted(ids, reverse=True)
+    for k, i in enumerate(order):
+        t, after = f"text {i} " * 3, f"text {order[(k + 1) % len(order)]} " * 3
+        assert got[i] == sha((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode())
+
+
 def test_op6(spark, sf_dir, texts, encoded, tokenizer, monkeypatch):
     monkeypatch.setattr(bpe_table, "HEAD_WORDS", 200)
     got = rows_of(queries.op6_bpe(spark, sf_dir))
