@@ -1,12 +1,11 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Words are split in Spark tasks and counted; each distinct word is encoded once, into a table that
-is written to the shared folder.  Its ids are joined with their pieces, of which a vocabulary has a
-fixed number, so each distinct word is decoded once too.  The table's most frequent words (a fixed
-number of bounded length, so the size is bounded) go to all tasks, which compare words byte by byte; the
-occurrences of all others are joined with the table by word.  Both come back to their document by
-position: its ids are its words' ids, its decoded text is its words' decoded pieces.  Documents travel
-as compressed blocks of a range of ids, the ids that a block needs are joined on the block.
+is written to the shared folder.  The table's most frequent words (a fixed number of bounded length, so
+the size is bounded) go to all tasks, which compare words byte by byte; the occurrences of all others
+are joined with the table by word.  Both come back to their document by position: its ids are its words'
+ids.  Documents travel as compressed blocks of a range of ids, the ids that a block needs are joined on
+the block.  Decoding knows ids alone and joins them with the vocabulary's pieces.
 """
 
 from __future__ import annotations
@@ -19,12 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Spans, WordTable, encoder, pieces, split, vocabulary
 from .common import NULL_ID, ids_and_text, materialize_by, public_id, tidy
-from .kernels import ranges, same_spans
+from .kernels import ranges
 
 HEAD_WORDS = 1 << 19
 HEAD_BYTES = 64
@@ -78,85 +77,49 @@ def word_counts(docs: DataFrame, vocab: str) -> DataFrame:
 
 
 def encode_table(words: DataFrame, vocab: str) -> DataFrame:
-    """word, n, ids: each distinct word is encoded here, once."""
+    """word, n, ids (little-endian, 16 bits where the vocabulary allows): each distinct word is encoded here, once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocab)
+        width = _width(coder)
         for batch in batches:
             if batch.num_rows:
                 ids, size = coder.encode_words(batch["word"].to_pylist())
-                offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))], names=["word", "n", "ids"])
-
-    return words.mapInArrow(tidy(encode), "word string, n long, ids array<int>")
-
-
-def piece_table(spark: SparkSession, vocab: str) -> DataFrame:
-    """id, piece: a row per id of the vocabulary."""
-    data, at = pieces(vocab)
-    raw = data.tobytes()
-    return spark.createDataFrame(pa.table({"id": pa.array(range(len(at) - 1), pa.int32()), "piece": pa.array([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())}))
-
-
-def decode_table(table: DataFrame, vocab: str) -> DataFrame:
-    """word, n, ids (little-endian, 16 bits where the vocabulary allows), decoded (binary; null if it is
-    the word): ids joined with their pieces.
-
-    The pieces are the side that is sent, so a word's rows stay together in the order of its ids."""
-    width = _width(encoder(vocab))
-    each = table.select("word", "n", "ids", F.posexplode_outer("ids").alias("pos", "id"))
-    each = each.join(F.broadcast(piece_table(table.sparkSession, vocab)), "id", "left")
-    each = each.select(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("word")).alias("word"), "n", "id", "pos", F.coalesce("piece", F.lit(b"")).alias("piece"))
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-
-        def out(rows: pa.Table) -> pa.RecordBatch:
-            (rows,) = rows.combine_chunks().to_batches()
-            pos = rows["pos"].fill_null(0).to_numpy()
-            first = np.flatnonzero(pos == 0)
-            cuts = np.append(first, len(pos))
-            if (pos != np.arange(len(pos)) - np.repeat(first, np.diff(cuts))).any():
-                raise RuntimeError("ids of a word came out of order")
-            raw = [_binary(rows[c]) for c in ("piece", "word")]
-            (data, at), (words, to) = raw
-            at, to = at[cuts], to[cuts]
-            size = np.diff(to)
-            same = np.diff(at) == size
-            own = np.flatnonzero(same)
-            same[own] = same_spans(np.append(data, np.zeros(8, np.uint8)), at[own], np.append(words, np.zeros(8, np.uint8)), to[own], size[own])
-            whole = data.tobytes()
-            decoded = [None if s else whole[a:b] for s, a, b in zip(same.tolist(), at[:-1].tolist(), at[1:].tolist())]
-            count = np.diff(cuts) * ~rows["pos"].is_null().to_numpy(zero_copy_only=False)[first]
-            ids = rows["id"].drop_null().to_numpy().astype(width)
-            ends = np.concatenate(([0], np.cumsum(width.itemsize * count))).astype(np.int32)
-            blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(ids.tobytes())])
-            take = pa.array(first)
-            return pa.RecordBatch.from_arrays([rows["word"].take(take), rows["n"].take(take), blob, pa.array(decoded, pa.binary())], names=["word", "n", "ids", "decoded"])
+                ends = (width.itemsize * np.concatenate(([0], np.cumsum(size)))).astype(np.int32)
+                blob = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(width).tobytes())])
+                yield pa.RecordBatch.from_arrays([batch["word"], batch["n"], blob], names=["word", "n", "ids"])
 
+    return words.mapInArrow(tidy(encode), "word string, n long, ids binary")
+
+
+def _spelt(ids: list[np.ndarray], data: np.ndarray, at: np.ndarray) -> list[str]:
+    """Texts of arrays of ids: each id's piece, found by the id, one after the other; bytes that are no UTF-8 are replaced."""
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    size = (at[1:] - at[:-1])[flat]
+    raw = data[ranges(at[flat], size)]
+    cuts = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, ids)])].tolist()
+    return [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
+
+
+def decode_documents(coded: DataFrame, ids_col: str = "ids", vocab: str | None = None) -> DataFrame:
+    """``coded`` with ``decoded``: the text that ids (binary, little-endian 32-bit) spell, from the ids alone.
+
+    Ids are joined with the vocabulary's pieces, a table of fixed size that is sent to all tasks; special tokens
+    are spelt out.  Null ids give null, no ids the empty text; an id that the vocabulary lacks is an error."""
+    sent = coded.sparkSession.sparkContext.broadcast(pieces(vocab or vocabulary()))
+    at = coded.columns.index(ids_col)
+    schema = coded.select("*", F.lit(None).cast("string").alias("decoded")).schema
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            starts = np.flatnonzero(rows["pos"].fill_null(0).to_numpy() == 0)
-            if len(starts):
-                last = int(starts[-1])  # the next batch may go on with this word
-                if last:
-                    yield out(rows.slice(0, last))
-                held = rows.slice(last)
-            else:
-                held = rows if rows.num_rows else held
-        if held is not None and held.num_rows:
-            yield out(held)
-
-    return each.mapInArrow(tidy(join), "word string, n long, ids binary, decoded binary")
-
-
-def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a column of strings or bytes; nulls count as empty."""
-    column = column.cast(pa.large_binary()).fill_null(b"")
-    _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                blobs = part[at].to_pylist()
+                texts = _spelt([np.frombuffer(b or b"", "<u4").astype(np.int64) for b in blobs], *sent.value)
+                decoded = pa.array([None if b is None else t for b, t in zip(blobs, texts)], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[*part.schema.names, "decoded"])
+
+    return coded.mapInArrow(tidy(decode), schema)
 
 
 def _width(coder) -> np.dtype:
@@ -165,25 +128,23 @@ def _width(coder) -> np.dtype:
 
 
 class _Head:
-    """The words that every task has, their ids and, where they differ, decoded pieces.  Bytes, sizes and
-    ids travel; the table of words is built where it is used."""
+    """The words that every task has, and their ids.  Bytes, sizes and ids travel; the table of words is built
+    where it is used."""
 
-    def __init__(self, words: list[str], blobs: list[bytes], decoded: list[bytes | None], width: np.dtype) -> None:
+    def __init__(self, words: list[str], blobs: list[bytes], width: np.dtype) -> None:
         raw = [w.encode() for w in words]
-        state = np.array([len(w) for w in raw], np.uint16), b"".join(raw), np.array([len(b) // width.itemsize for b in blobs], np.uint16), np.frombuffer(b"".join(blobs), width)
-        self.state = (*state, {i: d for i, d in enumerate(decoded) if d is not None})
+        self.state = np.array([len(w) for w in raw], np.uint16), b"".join(raw), np.array([len(b) // width.itemsize for b in blobs], np.uint16), np.frombuffer(b"".join(blobs), width)
 
     def __getstate__(self):
         return self.state
 
     def __setstate__(self, state) -> None:
-        word_size, raw, size, packed, changed = state
+        word_size, raw, size, packed = state
         self.table = WordTable()
         number = self.table.numbers(Spans(np.frombuffer(raw + bytes(8), np.uint8), word_size.astype(np.int64))) if len(word_size) else np.zeros(0, np.int64)
         self.size, self.offset = np.zeros(len(size), np.int32), np.zeros(len(size), np.int64)
         self.size[number], self.offset[number] = size, np.cumsum(size.astype(np.int64)) - size
         self.pool = packed.astype(np.int32)
-        self.changed = {int(number[i]): d for i, d in changed.items()}
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None) -> DataFrame:
@@ -195,14 +156,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     vocab = vocab or vocabulary()
     spark = docs.sparkSession
     rows = ids_and_text(docs, id_col, text_col)
-    table = materialize_by(decode_table(encode_table(word_counts(rows, vocab), vocab), vocab), "words", "word")
+    table = materialize_by(encode_table(word_counts(rows, vocab), vocab), "words", "word")
     top = table.where(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD_WORDS)
-    got = top.select("word", "n", "ids", "decoded").toArrow()
+    got = top.select("word", "n", "ids").toArrow()
     least = min(got["n"].to_pylist()) if got.num_rows >= HEAD_WORDS else 0
     long_ = table.where((F.octet_length("word") > HEAD_BYTES) & (F.octet_length("word") <= LONG_BYTES) & (F.col("n") >= LONG_LEAST)).orderBy(F.desc("n"), "word").limit(LONG_WORDS)
-    got = pa.concat_tables([got, long_.select("word", "n", "ids", "decoded").toArrow()])
-    head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), got["decoded"].to_pylist(), _width(encoder(vocab))))
-    rest = table.where((F.col("n") <= least) | (F.octet_length("word") > HEAD_BYTES)).select("word", _packed(F.col("ids"), F.col("decoded")).alias("code"))
+    got = pa.concat_tables([got, long_.select("word", "n", "ids").toArrow()])
+    head = spark.sparkContext.broadcast(_Head(got["word"].to_pylist(), got["ids"].to_pylist(), _width(encoder(vocab))))
+    rest = table.where((F.col("n") <= least) | (F.octet_length("word") > HEAD_BYTES)).select("word", F.col("ids").alias("code"))
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = encoder(vocab).special
@@ -258,7 +219,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if batch["patches"][b].is_valid:
                     for patch in batch["patches"][b].as_py():
                         mark, pos = struct.unpack_from(_PLACE_CODE, patch)
-                        patches.setdefault(mark, {})[pos] = _unpacked(patch[_PLACE.itemsize :])
+                        patches.setdefault(mark, {})[pos] = patch[_PLACE.itemsize :]
                 for lo in range(0, len(texts), 64):
                     yield _finish(keys[lo : lo + 64], texts[lo : lo + 64], prints[lo : lo + 64], patches, head.value, special_ids, coder.special, _width(coder))
 
@@ -272,8 +233,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.collect_list(F.concat("place", "code")).alias("patches"))
     )
     whole = marked.mapInArrow(tidy(blocks), "block long, rows binary").join(patches, "block", "left").select("rows", "patches")
-    out = whole.mapInArrow(tidy(finish), "_id long, n_tokens long, ids binary, decoded string")
-    return out.select(public_id(), "n_tokens", "ids", "decoded")
+    out = whole.mapInArrow(tidy(finish), "_id long, n_tokens long, ids binary")
+    return decode_documents(out, vocab=vocab).select(public_id(), "n_tokens", "ids", "decoded")
 
 
 #: Where a joined word stands: the hash of its document's text (documents of a block with equal texts have
@@ -282,21 +243,8 @@ _PLACE = np.dtype([("text", "<i8"), ("pos", "<i4")])
 _PLACE_CODE = "<qi"
 
 
-def _packed(ids: Column, decoded: Column) -> Column:
-    """A word's ids and, if it is not the word itself, its decoded bytes as one value."""
-    size = F.unhex(F.lpad(F.hex(F.octet_length(ids)), 8, "0"))
-    return F.when(decoded.isNull(), F.concat(F.unhex(F.lit("00")), ids)).otherwise(F.concat(F.unhex(F.lit("01")), size, ids, decoded))
-
-
-def _unpacked(code: bytes) -> tuple[bytes, bytes | None]:
-    if code[0] == 0:
-        return code[1:], None
-    end = 5 + int.from_bytes(code[1:5], "big")
-    return code[5:end], code[end:]
-
-
 def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, width) -> pa.RecordBatch:
-    """Ids and decoded text of some documents, from the head and the joined ids of other words."""
+    """Ids of some documents, from the head and the joined ids of other words."""
     plain, between = _plain(texts, special)
     segment_words = np.zeros(len(plain), np.int64)
     numbers = []
@@ -304,18 +252,16 @@ def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, wid
         numbers.append(head.table.numbers(chunk, add=False))
         segment_words[chunk.row0 : chunk.row0 + len(chunk.first) - 1] = np.diff(chunk.first)
     number = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-    odd = np.isin(number, list(head.changed)) if head.changed else np.zeros(len(number), bool)
     at, segment = 0, 0
     parts: list[np.ndarray] = []
-    decoded: list[str] = []
-    for key, mark, cut, text in zip(keys, prints, between, texts, strict=True):
+    for mark, cut in zip(prints, between, strict=True):
         segments = segment_words[segment : segment + len(cut) + 1]
         n = int(segments.sum())
         own = number[at : at + n]
         size = np.where(own >= 0, head.size[own] if len(head.size) else 0, 0).astype(np.int64)
         miss = np.flatnonzero(own < 0)
         joined = [patches[mark][int(i)] for i in miss]
-        extra = [np.frombuffer(ids, width).astype(np.int32) for ids, _ in joined]
+        extra = [np.frombuffer(own_ids, width).astype(np.int32) for own_ids in joined]
         size[miss] = [len(x) for x in extra]
         ids = np.empty(int(size.sum()), np.int32)
         to = np.cumsum(size) - size
@@ -327,22 +273,5 @@ def _finish(keys, texts, prints, patches, head: _Head, special_ids, special, wid
         if cut:
             ids = np.insert(ids, np.append(to, len(ids))[ends], [special_ids[s] for s in cut])
         parts.append(ids)
-        changed = {int(i): d for i, (_, d) in zip(miss, joined) if d is not None} | {int(i): head.changed[int(own[i])] for i in np.flatnonzero(odd[at : at + n])}
-        # Words whose pieces spell them out need no second copy: together they are the text.
-        decoded.append(_spelled(plain[segment : segment + len(cut) + 1], cut, changed) if changed else text)
         at, segment = at + n, segment + len(cut) + 1
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary()), pa.array(decoded, pa.string())], names=["_id", "n_tokens", "ids", "decoded"]
-    )
-
-
-def _spelled(segments: list[str], cut: list[str], changed: dict[int, bytes]) -> str:
-    """A document's decoded text, where some words (by position) are decoded to something else."""
-    out, i = [], 0
-    for k, segment in enumerate(segments):
-        for chunk in split([segment]):
-            for a, b in zip(chunk.start.tolist(), chunk.end.tolist()):
-                out.append(changed.get(i, chunk.text[a:b].encode()))
-                i += 1
-        out += [cut[k].encode()] if k < len(cut) else []
-    return b"".join(out).decode("utf-8", "replace")
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in parts], pa.binary())], names=["_id", "n_tokens", "ids"])

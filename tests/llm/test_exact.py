@@ -210,6 +210,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100, 300: 299, 299: 299}
 
 
+def test_decode_documents(spark, tokenizer):
+    """Ids alone are decoded: halves of characters, special tokens, no ids and null."""
+    sets = [[], tokenizer.encode("héé 日本 <|endoftext|> x", add_special_tokens=False).ids, tokenizer.encode("日", add_special_tokens=False).ids[:1], [50256, 50256], list(range(0, 50257, 97))]
+    rows = [(i, np.array(ids, "<u4").tobytes(), "x") for i, ids in enumerate(sets)] + [(9, None, "y")]
+    got = {r.k: r.decoded for r in bpe_table.decode_documents(spark.createDataFrame(rows, "k int, ids binary, _id string")).collect()}
+    assert got == {**{i: tokenizer.decode(ids, skip_special_tokens=False) for i, ids in enumerate(sets)}, 9: None}
+
+
 def test_encode_documents(docs, corpus, tokenizer, monkeypatch):
     monkeypatch.setattr(bpe_table, "HEAD_WORDS", 50)  # most words go through the join
     got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe_table.encode_documents(docs).collect())
