@@ -452,6 +452,42 @@ def test_licenses_given_twice_or_in_long_texts(spark):
         assert all(text[i] == template[j] for i, j in pairs) and all(p < q and x < y for (p, x), (q, y) in zip(pairs, pairs[1:]))
 
 
+def _common(text, template):
+    row = [0] * (len(template) + 1)
+    for w in text:
+        before = row[:]
+        for j, v in enumerate(template):
+            row[j + 1] = before[j] + 1 if w == v else max(before[j + 1], row[j])
+    return row[-1]
+
+
+def test_licenses_against_brute_force(spark):
+    """Every template of mutated texts by longest common subsequences; null ids, repeats, clashing columns, a long text."""
+    import random
+
+    rng = random.Random(7)
+    split = {name: licenses.tokens(t) for name, t in licenses.TEMPLATES.items()}
+    texts = []
+    for name, words in split.items():
+        for share in (0.0, 0.05, 0.15, 0.25):
+            own = [w if rng.random() >= share else rng.choice(["zz", "the", words[0]]) for w in words]
+            texts.append(" ".join(["lead"] * rng.randrange(4) + own + ["tail"] * rng.randrange(4)))
+    long_ = " ".join(f"w{i}" for i in range(40_000))
+    texts += [long_ + " " + licenses.TEMPLATES["Unlicense"], long_, "", None]
+    rows = [(i, t, "x", 1, "k") for i, t in enumerate(texts)] + [(None, texts[0], "x", 1, "k"), (0, texts[0], "x", 1, "k")]
+    got = licenses.license_coverage(spark.createDataFrame(rows, "doc_id long, text string, license string, coverage int, matches string").repartition(3)).collect()
+    assert len(got) == len(rows) and sum(r.doc_id is None for r in got) == 1
+    found = {r.doc_id: {m.license: m.coverage for m in r.matches} for r in got}
+    assert found[None] == found[0] and found[len(texts) - 4] == {"Unlicense": 1.0}
+    for i in range(len(texts) - 4):
+        text = licenses.tokens(texts[i])
+        for name, words in split.items():
+            if len(text) <= 2 * len(words) + 8:
+                share = _common(text, words) / len(words)
+                assert found[i].get(name) == (pytest.approx(share) if share >= 0.8 else None), (i, name)
+    assert all(found[len(texts) - k] == {} for k in (1, 2, 3))
+
+
 def test_quality(spark):
     import random
 
