@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..registry import query
 from ..sources.tables import table
 
@@ -21,15 +22,10 @@ LOCAL_NAMES = ["localhost", "metadata.google.internal"]
 LOCAL_ENDS = [".localhost", ".local", ".internal"]
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port, brackets or a final dot."""
     authority = F.regexp_replace(F.lower(F.regexp_extract(url, AUTHORITY, 1)), r"^.*@", "")
-    return _let(authority, lambda a: F.when(a.startswith("["), F.regexp_extract(a, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(F.split_part(a, F.lit(":"), F.lit(1)), r"\.+$", "")))
+    return let(authority, lambda a: F.when(a.startswith("["), F.regexp_extract(a, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_replace(F.split_part(a, F.lit(":"), F.lit(1)), r"\.+$", "")))
 
 
 def _number(hexed: Column) -> Column:
@@ -43,7 +39,7 @@ def blocked_v4(host: Column) -> Column:
         one, two = octets[0], octets[1]
         return one.isin(0, 10, 127) | one.between(224, 239) | ((one == 172) & two.between(16, 31)) | ((one == 192) & (two == 168)) | ((one == 169) & (two == 254))
 
-    return F.coalesce(_let(F.when(host.rlike(V4), F.transform(F.split(host, r"\."), lambda x: x.cast("long"))), of), F.lit(False))
+    return F.coalesce(let(F.when(host.rlike(V4), F.transform(F.split(host, r"\."), lambda x: x.cast("long"))), of), F.lit(False))
 
 
 def blocked_v6(host: Column) -> Column:
@@ -51,8 +47,8 @@ def blocked_v6(host: Column) -> Column:
     address inside."""
     pair = F.array(_number(F.regexp_extract(host, MAPPED_HEX, 1)), _number(F.regexp_extract(host, MAPPED_HEX, 2)))
     dotted = lambda p: F.concat_ws(".", *[x.cast("string") for n in (p[0], p[1]) for x in (F.floor(n / 256), n % 256)])
-    inside = _let(pair, lambda p: F.when(p[0].isNotNull(), dotted(p)).otherwise(F.regexp_extract(host, MAPPED_DOTTED, 1)))
-    first = _let(_number(F.regexp_extract(host, FIRST_GROUP, 1)), lambda n: F.coalesce(n.between(0xFC00, 0xFDFF) | n.between(0xFE80, 0xFEBF) | (n >= 0xFF00), F.lit(False)))
+    inside = let(pair, lambda p: F.when(p[0].isNotNull(), dotted(p)).otherwise(F.regexp_extract(host, MAPPED_DOTTED, 1)))
+    first = let(_number(F.regexp_extract(host, FIRST_GROUP, 1)), lambda n: F.coalesce(n.between(0xFC00, 0xFDFF) | n.between(0xFE80, 0xFEBF) | (n >= 0xFF00), F.lit(False)))
     return F.when(host.contains(":"), host.rlike(OWN_V6) | first | blocked_v4(inside)).otherwise(False)
 
 
@@ -66,7 +62,7 @@ def url_policy(url: Column) -> Column:
             local = local | host.endswith(end)
         return F.when(host == "", "host").when(local, "local").when(blocked_v4(host) | blocked_v6(host), "address").otherwise("ok")
 
-    return F.when(~scheme.isin("http", "https"), "scheme").otherwise(_let(host_of(url), of))
+    return F.when(~scheme.isin("http", "https"), "scheme").otherwise(let(host_of(url), of))
 
 
 def policy_sql(url: str) -> str:

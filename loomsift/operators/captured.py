@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import functools
-import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import redact_sql, squeeze
 from ..registry import query
-from ..sources.captures import NO_DOCUMENTATION, PRIORITIES, bounded_read, captured_output, first_documentation, folder_snapshot, page_caps, priority, scan_path
+from ..sources.captures import NO_DOCUMENTATION, PRIORITIES, bounded_read, captured_output, first_documentation, folder_snapshot, page_caps, priority, scan_path, text_of
 from ..sources.tables import SECRETS_SQL, secret_lines, table
 
 
@@ -98,46 +93,33 @@ def s19_folder_snapshot(spark, sf_dir):
     return folder_snapshot(table(spark, sf_dir, "documents").select("source", name.alias("name"), (n % 3 == 0).alias("is_dir")), "source", 4, 6)
 
 
-@functools.lru_cache(maxsize=4096)
-def robots_rules(body: str, agent: str) -> list[tuple[str, bool]]:
-    """(pattern, allowed) of the groups that name the agent, of those for ``*`` where none does;
-    a file is parsed once for its pages."""
-    own, every, names, open_ = [], [], set(), False
-    found = False
-    for line in body.splitlines():
-        key, _, value = line.partition("#")[0].partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if key == "user-agent":
-            names = names if open_ else set()
-            names.add(value.lower().split("/")[0])
-            open_, found = True, found or value.lower().split("/")[0] == agent.lower()
-        elif key in ("allow", "disallow"):
-            open_ = False
-            if value:
-                own += [(value, key == "allow")] if agent.lower() in names else []
-                every += [(value, key == "allow")] if "*" in names else []
-    return own if found else every
-
-
-def robots_allow(body: str, agent: str, path: str) -> bool:
-    """The longest pattern that matches the path decides, an allowing one among equals; else allowed."""
-    best = (0, True)
-    for pattern, allowed in robots_rules(body, agent):
-        shape = "".join(".*" if x == "*" else re.escape(x) for x in pattern.removesuffix("$"))
-        if re.match(shape + ("$" if pattern.endswith("$") else ""), path):
-            best = max(best, (len(pattern), allowed))
-    return best[1]
-
-
 def robots_verdicts(df: DataFrame) -> DataFrame:
-    """page_id, allowed: by status 401 and 403 deny, any other but success allows; else the rules decide."""
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            allowed = [s not in (401, 403) if not 200 <= s < 300 else robots_allow(t or "", a, p) for s, t, a, p in zip(b.status, b.body, b.agent, b.path)]
-            yield pd.DataFrame({"page_id": b.page_id, "allowed": pd.Series(allowed, dtype=bool)})
-
-    return df.select("page_id", "status", "body", "agent", "path").mapInPandas(decide, "page_id long, allowed boolean")
+    """page_id, allowed of pages (page_id, status, body, agent, path): by status 401 and 403 deny, any other but success
+    allows; else the longest pattern that matches the path decides, an allowing one among equals; else allowed.
+
+    The groups that name the agent count or, where none does, those for ``*``.  Lines become rows: runs of agent
+    lines number the groups, so a file's rules are found by a join of its lines with themselves."""
+    asked = df.select("body", "agent", "path").distinct().withColumn("f", F.xxhash64("body", "agent", "path"))
+    line = F.split_part(F.col("raw"), F.lit("#"), F.lit(1))
+    lines = asked.select("f", F.lower("agent").alias("agent"), "path", F.posexplode(F.split(F.coalesce("body", F.lit("")), r"\r\n|\n|\r")).alias("pos", "raw"))
+    lines = lines.withColumn("key", F.lower(F.trim(F.split_part(line, F.lit(":"), F.lit(1))))).withColumn("value", F.trim(F.regexp_extract(line, r"^[^:]*:(.*)$", 1)))
+    lines = lines.where(F.col("key").isin("user-agent", "allow", "disallow")).withColumn("names", F.col("key") == "user-agent")
+    in_file = Window.partitionBy("f").orderBy("pos")
+    begins = F.col("names") & ~F.coalesce(F.lag("names").over(in_file), F.lit(False))
+    lines = lines.withColumn("begins", begins.cast("int")).withColumn("g", F.sum("begins").over(in_file.rowsBetween(Window.unboundedPreceding, 0)))
+    named = F.when(F.col("names"), F.split_part(F.lower("value"), F.lit("/"), F.lit(1)))
+    lines = lines.withColumn("own", F.max(F.coalesce(named == F.col("agent"), F.lit(False))).over(Window.partitionBy("f")))
+    meant = F.when(F.col("own"), F.col("agent")).otherwise(F.lit("*"))
+    lines = lines.withColumn("meant", F.max(F.coalesce(named == meant, F.lit(False))).over(Window.partitionBy("f", "g")))
+    pattern = F.regexp_replace("value", r"\$$", "")
+    quoted = F.array_join(F.transform(F.split(pattern, r"\*"), lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))), ".*")
+    shape = F.concat(F.lit("^"), quoted, F.when(F.col("value").endswith("$"), "$").otherwise(""))
+    hits = lines.where(F.col("meant") & ~F.col("names") & (F.col("value") != "") & F.rlike("path", shape))
+    allow = F.col("key") == "allow"
+    best = hits.groupBy("f").agg(F.max_by(allow, F.struct(F.char_length("value"), allow)).alias("said"))
+    rows = df.withColumn("f", F.xxhash64("body", "agent", "path")).join(best, "f", "left")
+    by_rules = F.coalesce("said", F.lit(True))
+    return rows.select("page_id", F.when(F.col("status").isin(401, 403), False).when(~F.col("status").between(200, 299), True).otherwise(by_rules).alias("allowed"))
 
 
 # Inputs: status, robots file, path and whether it is allowed for the agent ``reader``.
@@ -149,9 +131,21 @@ _ROBOTS = [
 ]
 
 
-@query(f"SELECT page_id, [{', '.join(str(r[3]).lower() for r in _ROBOTS)}][page_id % {len(_ROBOTS)} + 1] AS allowed FROM pages")
+_CASES = ", ".join("({}, {}, '{}', '{}')".format(i, r[0], r[1].replace("\n", "' || chr(10) || '"), r[2]) for i, r in enumerate(_ROBOTS))
+
+
+@query(
+    f"WITH c(k, status, body, path) AS (VALUES {_CASES}), l AS (SELECT k, path, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) AS pos FROM c), "
+    "t AS (SELECT k, path, pos, lower(trim(split_part(split_part(raw, '#', 1), ':', 1))) AS key, trim(regexp_extract(split_part(raw, '#', 1), '^[^:]*:(.*)$', 1)) AS value FROM l), "
+    "n AS (SELECT *, CASE WHEN key = 'user-agent' AND coalesce(lag(key) OVER (PARTITION BY k ORDER BY pos), '') <> 'user-agent' THEN 1 ELSE 0 END AS b FROM t WHERE key IN ('user-agent', 'allow', 'disallow')), "
+    "g AS (SELECT *, sum(b) OVER (PARTITION BY k ORDER BY pos) AS g FROM n), a AS (SELECT k, g, lower(split_part(value, '/', 1)) AS name FROM g WHERE key = 'user-agent'), "
+    "w AS (SELECT k, CASE WHEN bool_or(name = 'reader') THEN 'reader' ELSE '*' END AS wanted FROM a GROUP BY k), "
+    "r AS (SELECT DISTINCT g.k, value, key = 'allow' AS allow, path FROM g JOIN a ON a.k = g.k AND a.g = g.g JOIN w ON w.k = g.k AND name = wanted WHERE key <> 'user-agent' AND value <> ''), "
+    "m AS (SELECT k, arg_max(allow, length(value) * 2 + CAST(allow AS INTEGER)) AS said FROM r WHERE regexp_matches(path, '^' || replace(regexp_replace(regexp_replace(value, '[$]$', ''), '([.?+()])', '[\\1]', 'g'), '*', '.*') || CASE WHEN ends_with(value, '$') THEN '$' ELSE '' END) GROUP BY k) "
+    f"SELECT page_id, CASE WHEN status IN (401, 403) THEN false WHEN status NOT BETWEEN 200 AND 299 THEN true ELSE coalesce(said, true) END AS allowed FROM pages JOIN c ON page_id % {len(_ROBOTS)} = c.k LEFT JOIN m USING (k)"
+)
 def w24_robots(spark, sf_dir):
-    """Whether robots files let a reader in; SQL has the decisions, worked by hand."""
+    """Whether robots files let a reader in."""
     cases = spark.createDataFrame([(i, s, t, "reader", p) for i, (s, t, p, _) in enumerate(_ROBOTS)], "k long, status int, body string, agent string, path string")
     rows = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % len(_ROBOTS)).alias("k"))
     return robots_verdicts(rows.join(F.broadcast(cases), "k"))
@@ -192,3 +186,18 @@ def w25_result_links(spark, sf_dir):
     )
     rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(result_links(body, 10)).alias("pos", "r"))
     return rows.select("page_id", "pos", "r.*")
+
+
+# Inputs: bytes that are no UTF-8, as hexadecimal digits, and what each becomes: a replacement per longest part that could
+# begin a character, else per byte.
+_ODD_BYTES = [("", ""), ("FF", "\ufffd"), ("C3", "\ufffd"), ("E282", "\ufffd"), ("F09F98", "\ufffd"), ("C0AF", "\ufffd\ufffd"), ("EDA080", "\ufffd\ufffd\ufffd"), ("8081", "\ufffd\ufffd"), ("C3A9", "\u00e9"), ("E28241", "\ufffdA"), ("F4908080", "\ufffd\ufffd\ufffd\ufffd")]
+
+
+@query(
+    f"SELECT doc_id, md5([{', '.join(repr(t) for _, t in _ODD_BYTES)}][doc_id % {len(_ODD_BYTES)} + 1] || text || [{', '.join(repr(t) for _, t in _ODD_BYTES)}][(doc_id * 3) % {len(_ODD_BYTES)} + 1]) AS digest FROM documents"
+)
+def f10_lossy_decode(spark, sf_dir):
+    """Texts between bytes that are no UTF-8, decoded with replacements."""
+    odd = lambda n: F.unhex(F.element_at(F.array(*[F.lit(h) for h, _ in _ODD_BYTES]), (n % len(_ODD_BYTES) + 1).cast("int")))
+    content = F.concat(odd(F.col("doc_id")), F.encode("text", "UTF-8"), odd(F.col("doc_id") * 3))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text_of(content).cast("binary")).alias("digest"))

@@ -23,7 +23,7 @@ def sections(df: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """key, section_no, name, body.  Text before the first heading joins the first section; a page
     without headings has none.  ``NAME`` comes first, the others keep their order."""
     order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines(df, key, raw).withColumn("heading", is_heading(F.col("line")))
+    marked = lines(df, key, raw).withColumn("heading", trimmed_heading(F.col("t")))
     marked = marked.withColumn("no", F.sum(F.col("heading").cast("int")).over(order)).withColumn("no", F.greatest("no", F.lit(1)))
     name = F.max(F.when(F.col("heading"), F.struct("pos", "line")))["line"]
     body = F.sort_array(F.collect_list(F.when(~F.col("heading"), F.struct("pos", "line"))))
@@ -53,6 +53,11 @@ def flags_of(option: Column) -> Column:
     return F.filter(bare, lambda t: t.startswith("-") & t.rlike("[A-Za-z]"))
 
 
+def trimmed_heading(text: Column) -> Column:
+    """A heading as it is told from trimmed text, where no indentation speaks against it: no small ASCII letter."""
+    return (text != "") & ~text.rlike("[a-z]")
+
+
 def option_hints(df: DataFrame, key: str, raw: str = "raw", most: int = 48) -> DataFrame:
     """key, pos, display, flags, description.  An option line starts a hint, later lines that are no
     headings or options go on with its description; of equal flags the first hint stays."""

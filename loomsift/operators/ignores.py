@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..registry import query
 from ..sources.tables import sent, table
 
@@ -12,11 +13,6 @@ from ..sources.tables import sent, table
 PARTS = r"\\.|\[[!^]?\]?[^\]]*\]|\*\*/|\*+|\?|/|[^\\\[*?/]+|."
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def glob_expression(pattern: Column) -> Column:
     """A pattern without its marks as an expression: ``*`` and ``?`` stop at slashes, ``**`` between slashes does not."""
 
@@ -37,7 +33,7 @@ def glob_expression(pattern: Column) -> Column:
             .otherwise(quoted(t))
         )
 
-    return _let(F.regexp_extract_all(pattern, F.lit(PARTS), F.lit(0)), lambda parts: F.array_join(F.transform(parts, lambda t, i: piece(parts, t, i)), ""))
+    return let(F.regexp_extract_all(pattern, F.lit(PARTS), F.lit(0)), lambda parts: F.array_join(F.transform(parts, lambda t, i: piece(parts, t, i)), ""))
 
 
 def ignore_rules(files: DataFrame) -> DataFrame:

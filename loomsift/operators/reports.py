@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.formats import shared_folder
+from ..sources.formats import scratch
 from ..sources.report_sink import ReportSink
 from ..sources.tables import table
 from .metrics import markdown_cell
@@ -49,7 +47,7 @@ def write_report(df: DataFrame, path: str, kind: str) -> None:
 )
 def s16_json_results(spark, sf_dir):
     """Results written as JSON lines by the report sink, and read again."""
-    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    path = scratch(spark, "results")
     write_report(labelled_results(spark, sf_dir), path, "json")
     return spark.read.schema("id long, category string, passed boolean, prompt string").json(path)
 
@@ -66,7 +64,7 @@ _CELL = "replace(replace({}, '|', chr(92) || '|'), chr(10), '<br>')"
 )
 def s16_markdown_report(spark, sf_dir):
     """The Markdown report, one file that the sink's commit puts together, line by line."""
-    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    path = scratch(spark, "report")
     write_report(report_lines(labelled_results(spark, sf_dir)), path, "markdown")
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n\z", ""), "\n")).alias("n", "line"))
     return lines.select((F.col("n") + 1).cast("long").alias("n"), "line")

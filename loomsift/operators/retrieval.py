@@ -289,20 +289,17 @@ def command_query(command: Column, prompt: Column) -> Column:
     return F.concat_ws(" ", F.split_part(F.trim(command), F.lit(" "), F.lit(1)), F.array_join(flags(command), " "), prompt)
 
 
-_SOURCE_TEXT = "source || ' ' || text"
-
-
 @query(
-    f"WITH benchmark AS (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS item_id, source || ' -a -l --token show the files' AS text FROM documents), {_scores_sql(_SOURCE_TEXT)} "
-    "SELECT * FROM (SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 3"
+    "WITH benchmark AS (SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) AS item_id, source || ' -a -l --token show the files' AS text FROM documents), " + _HYBRID.removeprefix("WITH ")
+    + "SELECT * FROM (SELECT item_id, doc_id, source, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, source, doc_id) AS rank FROM f) WHERE rank <= 3"
 )
 def l16_command_retrieval(spark, sf_dir):
-    """The best three rows for each drafted command with its flags; here a draft per source."""
-    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    """The best three rows for each drafted command with its flags, through the hybrid plan with all its boosts
+    (L1-L11, L16); here a draft per source."""
+    docs = table(spark, sf_dir, "documents")
     text = command_query(F.concat("source", F.lit(" -al --token=x /y")), F.lit("show the files"))
-    drafts = sources.select(F.substring("source", 4, 20).cast("long").alias("item_id"), text.alias("text"))
-    scores = _lexical(spark, sf_dir, F.concat_ws(" ", "source", "text"), drafts).withColumn("score", F.round("score", 6))
-    return top(scores, 3, [F.desc("score"), F.col("doc_id")])
+    drafts = docs.select("source").distinct().select(F.substring("source", 4, 20).cast("long").alias("item_id"), text.alias("text"))
+    return top(hybrid_search(docs, stored(drafts, "drafts")), 3, [F.desc("score"), F.col("source"), F.col("doc_id")])
 
 
 @query(f"WITH {_vectors_sql('q', 'item_id', 'prefixed', '(SELECT item_id, $$search_query: $$ || text AS prefixed FROM benchmark)')} SELECT item_id, idx, round(value, 5) AS value FROM q")

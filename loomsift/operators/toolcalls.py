@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..registry import query
 from ..sources.model_output import CHAT_SQL, SAID_SQL, chat_lines, said
 
@@ -37,11 +38,6 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def marks(text: Column, pattern: str) -> Column:
     """array<struct<gap, mark, next>>: what the pattern finds, with the code points before each and the text up to the
     next one."""

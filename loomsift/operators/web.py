@@ -175,3 +175,31 @@ def w14_clean_urls(spark, sf_dir):
     own = F.split_part("url", F.lit("#"), F.lit(1))
     url = F.concat(own, F.when(F.contains(own, F.lit("?")), "&").otherwise("?"), F.lit("utm_source=a&id="), "page_id", F.lit("&gclid=x&b=2#top"))
     return table(spark, sf_dir, "pages").select("page_id", clean_url(url).alias("clean"), F.regexp_replace(url, "#.*$", "").alias("bare"))
+
+
+def query_pairs(url: Column) -> Column:
+    """array<struct<key, value>> of a URL's query, decoded as forms are: ``+`` is a blank, empty parts are none, a
+    pair without ``=`` has an empty value; escapes that can't be read stay as they are (F9)."""
+    decoded = lambda c: F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    parts = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: p != "")
+    at = lambda p: F.instr(p, "=")
+    key = lambda p: F.when(at(p) > 0, F.substr(p, F.lit(1), at(p) - 1)).otherwise(p)
+    value = lambda p: F.when(at(p) > 0, F.substr(p, at(p) + 1)).otherwise("")
+    return F.transform(parts, lambda p: F.struct(decoded(key(p)).alias("key"), decoded(value(p)).alias("value")))
+
+
+_QUERIES = ["?a=1&b=two+words&&c", "?x=%C3%A9%20y&x=2#f?no=1", "", "?=empty&k==v&", "#only?f=1", "?u=https%3A%2F%2Fh.example%2F%3Fq%3D1"]
+
+
+@query(
+    f"WITH u AS (SELECT page_id, regexp_extract(url, '^[^?#]*') || [{', '.join(repr(q) for q in _QUERIES)}][page_id % {len(_QUERIES)} + 1] AS url FROM pages), "
+    "p AS (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda p: p <> '') AS parts FROM u), "
+    "e AS (SELECT page_id, url, unnest(parts) AS p, generate_subscripts(parts, 1) - 1 AS pos FROM p) "
+    "SELECT page_id, pos, url_decode(replace(regexp_extract(p, '^[^=]*'), '+', ' ')) AS key, url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' ')) AS value, nullif(regexp_extract(url, '#(.*)$', 1), '') AS fragment FROM e"
+)
+def f9_query_pairs(spark, sf_dir):
+    """Query pairs and fragments of URLs."""
+    ending = F.element_at(F.array(*map(F.lit, _QUERIES)), (F.col("page_id") % len(_QUERIES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.regexp_extract("url", r"^[^?#]*", 0), ending).alias("url"))
+    rows = rows.select("page_id", F.posexplode(query_pairs(F.col("url"))).alias("pos", "p"), F.nullif(F.regexp_extract("url", "#(.*)$", 1), F.lit("")).alias("fragment"))
+    return rows.select("page_id", "pos", "p.key", "p.value", "fragment")

@@ -21,17 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose files go when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once in the shared folder and read back: what several branches use is computed
     once, and a lost executor doesn't bring its lineage back."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def round_trip(df: DataFrame, formats: list[str]) -> DataFrame:
     """The union of ``df`` as each format gives it back, under its own schema."""
-    base = f"{shared_folder(df.sparkSession)}/formats-{uuid.uuid4().hex}"
+    base = scratch(df.sparkSession, "formats")
     out = []
     for name in formats:
         options = {"header": "true"} if name == "csv" else {}

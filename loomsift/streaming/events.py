@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources.formats import shared_folder
+from ..sources.formats import scratch
 from ..sources.tables import table
 
 
@@ -92,7 +90,7 @@ def e3_exclusion(spark, sf_dir):
 
 @query("SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) <= INTERVAL 1 HOUR, false) AS hit FROM events")
 def e8_ttl(spark, sf_dir):
-    """A cache entry put by the event before is still valid within an hour."""
+    """A cache entry put by the event before is still valid within an hour (E8); the cache itself is ``e8_ttl_cache``."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", F.coalesce(micros - F.lag(micros).over(w) <= 3_600_000_000, F.lit(False)).alias("hit"))
@@ -130,9 +128,17 @@ def lru_hits(keys: list, sizes: list[int], times: list[float], most_entries: int
     return out
 
 
-@query()
+@query(
+    "WITH RECURSIVE b AS MATERIALIZED (SELECT user_id, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), l AS (SELECT user_id, list(event_type ORDER BY n) AS l FROM b GROUP BY user_id), "
+    "d AS (SELECT *, lag(n) OVER (PARTITION BY user_id, event_type ORDER BY n) AS n0 FROM b), "
+    # Entries are equal in size and two fit, so a key is held if at most one other was asked for since it was.
+    "r AS (SELECT d.*, n0 IS NOT NULL AND len(list_distinct(l[n0 + 1:n - 1])) <= 1 AS held FROM d JOIN l USING (user_id)), s AS (SELECT *, sum(CASE WHEN held THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, event_type ORDER BY n) AS seg FROM r), "
+    "o AS MATERIALIZED (SELECT event_id, ts, user_id || ':' || event_type || ':' || seg AS key, row_number() OVER (PARTITION BY user_id, event_type, seg ORDER BY n) AS k FROM s), "
+    "p(key, k, put) AS (SELECT key, k, ts FROM o WHERE k = 1 UNION ALL SELECT o.key, min(o.k), arg_min(o.ts, o.k) FROM p JOIN o ON o.key = p.key AND o.k > p.k AND o.ts > p.put + INTERVAL 1 DAY GROUP BY o.key) "
+    "SELECT event_id, p.k IS NULL AS hit FROM o LEFT JOIN p ON o.key = p.key AND o.k = p.k"
+)
 def e9_lru_cache(spark, sf_dir):
-    """event_id, hit per user: a sequential fold in order of time."""
+    """event_id, hit per user: a sequential fold in order of time."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +154,7 @@ def e9_lru_cache(spark, sf_dir):
 )
 def rel24_stream_windows(spark, sf_dir):
     """Windows that a stream over the events has closed: watermark, duplicates dropped, late rows left out."""
-    base = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    base = scratch(spark, "windows")
     counts = windowed_counts(stream(spark, sf_dir)).select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
     q = counts.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()

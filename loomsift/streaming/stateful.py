@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..functions.text import tokens, tokens_sql
 from ..registry import query
-from ..sources.formats import shared_folder
+from ..sources.formats import scratch
 from ..sources.tables import table
 
 #: State of these operators is kept by RocksDB.
@@ -34,7 +33,7 @@ def _state_store(spark: SparkSession) -> Iterator[None]:
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into a table of the shared folder, and read that."""
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, name)
     with _state_store(spark):
         q = df.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
         q.awaitTermination()
@@ -45,7 +44,7 @@ def replayed(df: DataFrame, name: str, parts: int, by: Column) -> DataFrame:
     """``df`` as a stream of ``parts`` micro-batches, in the order of ``by`` (a number from 0): each is a file of its
     own, as a log that was cut at these places would give them."""
     spark = df.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = scratch(spark, name)
     for k in range(parts):
         df.where(by == k).coalesce(1).write.parquet(f"{base}/part={k:04d}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(base)
@@ -301,7 +300,7 @@ _LIVE = (
 
 
 def _followed(spark: SparkSession, sf_dir: str) -> IndexFollower:
-    index = IndexFollower(spark, f"{shared_folder(spark)}/followed-{uuid.uuid4().hex}")
+    index = IndexFollower(spark, scratch(spark, "followed"))
     index.follow(replayed(document_changes(spark, sf_dir), "changes", 3, F.col("part")))
     return index
 
