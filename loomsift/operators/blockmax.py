@@ -34,13 +34,15 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def block_index(docs: DataFrame, text: str | Column = "text", id_col: str = "doc_id") -> DataFrame:
     """docs array<id>, tokens, counts, held (16-bit places in the block): blocks of the documents that have tokens."""
-    rows = docs.select(F.col(id_col).alias("id"), F.array_distinct(tokens(text)).alias("t")).where(F.size("t") > 0)
+    # No token holds a blank.  Texts without tokens are left out below: a filter here would be pushed under the exchange
+    # that deals the texts, and split all of them there a second time.
+    rows = docs.select(F.col(id_col).alias("id"), F.concat_ws(" ", F.array_distinct(tokens(text))).alias("t"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            batch, out = batch.filter(pc.not_equal(batch[1], "")), []
             for at in range(0, batch.num_rows, BLOCK):
-                ids, lists = batch[0].slice(at, BLOCK), batch[1].slice(at, BLOCK)
+                ids, lists = batch[0].slice(at, BLOCK), pc.split_pattern(batch[1].slice(at, BLOCK), " ")
                 code = lists.flatten().dictionary_encode()
                 place = np.repeat(np.arange(len(lists), dtype=np.uint16), pc.list_value_length(lists).to_numpy())
                 number = code.indices.to_numpy()
