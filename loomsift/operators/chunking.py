@@ -23,7 +23,7 @@ def sections(df: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """key, section_no, name, body.  Text before the first heading joins the first section; a page
     without headings has none.  ``NAME`` comes first, the others keep their order."""
     order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines(df, key, raw).withColumn("heading", trimmed_heading(F.col("t")))
+    marked = lines(df, key, raw).withColumn("heading", is_heading(F.col("line")))
     marked = marked.withColumn("no", F.sum(F.col("heading").cast("int")).over(order)).withColumn("no", F.greatest("no", F.lit(1)))
     name = F.max(F.when(F.col("heading"), F.struct("pos", "line")))["line"]
     body = F.sort_array(F.collect_list(F.when(~F.col("heading"), F.struct("pos", "line"))))
@@ -66,7 +66,7 @@ def option_hints(df: DataFrame, key: str, raw: str = "raw", most: int = 48) -> D
     rows = lines(df, key, raw).withColumn("t", trimmed)
     rows = rows.withColumn("part", F.when(split != "", F.trim(split)).otherwise(F.col("t"))).withColumn("flags", flags_of(F.col("part")))
     option = F.col("t").startswith("-") & ~F.col("t").startswith("---") & (F.length("t") >= 2) & (F.size("flags") > 0) & (F.octet_length("part") <= 96)
-    rows = rows.withColumn("option", option).withColumn("heading", is_heading(F.col("line")))
+    rows = rows.withColumn("option", option).withColumn("heading", trimmed_heading(F.col("t")))
     group = F.sum(F.col("option").cast("int")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     own = F.when(F.col("option"), F.trim(F.regexp_extract("t", r"^..(?:(?!\s\s).)*\s\s(.*)$", 1))).otherwise(F.col("t"))
     says = F.when(F.col("option") | ((F.col("t") != "") & ~F.col("heading") & ~F.col("t").startswith("-")), F.struct("pos", own.alias("d")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from pyspark.sql.types import StructType
 
 #: Lines of a Markdown report that one task may give: a report is a summary.
 MOST_LINES = 100_000
+TRIES = 10
 
 
 @dataclass
@@ -43,6 +45,9 @@ class ReportWriter(DataSourceWriter):
             raise ValueError("a Markdown report needs the columns section, place and line")
         self.overwrite, self.job = overwrite, uuid.uuid4().hex
         self.aside = f"{self.path}/_aside-{self.job}"
+        # Made here and never by a task: one that still runs when the job is given up can't bring it back.
+        files, aside = _files(self.aside)
+        files.create_dir(aside, recursive=True)
 
     def write(self, iterator: Iterator[Row]) -> Written:
         if self.kind == "markdown":
@@ -53,7 +58,6 @@ class ReportWriter(DataSourceWriter):
                 lines.append((row.section, row.place, row.line))
             return Written(lines=lines)
         files, aside = _files(self.aside)
-        files.create_dir(aside, recursive=True)
         name = f"part-{uuid.uuid4().hex}.json"
         with files.open_output_stream(f"{aside}/{name}") as out:
             for row in iterator:
@@ -75,7 +79,7 @@ class ReportWriter(DataSourceWriter):
             for m in messages:
                 if m and m.file:
                     files.move(f"{path}/_aside-{self.job}/{m.file}", f"{path}/{m.file}")
-            self._clear()
+        self._clear()
         for name in old:
             if not name.endswith("/report.md") or self.kind == "json":
                 files.delete_file(name)
@@ -84,11 +88,18 @@ class ReportWriter(DataSourceWriter):
         self._clear()
 
     def _clear(self) -> None:
+        """Remove what lies aside, again where a task has put a file there meanwhile."""
         from pyarrow import fs
 
         files, aside = _files(self.aside)
-        if files.get_file_info(aside).type == fs.FileType.Directory:
-            files.delete_dir(aside)
+        for attempt in range(TRIES):
+            if files.get_file_info(aside).type == fs.FileType.NotFound:
+                return
+            try:
+                files.delete_dir(aside)
+            except OSError:
+                time.sleep(0.1 * attempt)
+        files.delete_dir(aside)
 
 
 class ReportSink(DataSource):
