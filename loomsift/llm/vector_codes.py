@@ -21,7 +21,7 @@ from .common import materialize, tidy
 
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Entries of a leaf, and vectors that are searched at a time.
-LEAF, BLOCK = 8, 1 << 13
+LEAF, BLOCK = 32, 1 << 13
 #: Components that 64 bits can't square and sum: a vector that has one gets no code.
 MOST = 1 << 24
 #: Labels up to which their sums are sent to all tasks; more are joined by shuffle.
@@ -30,10 +30,14 @@ MOST_SENT = 100_000
 
 class Tree:
     """A kd-tree over a codebook's entries: inner nodes are cut at the median of the widest component, and every
-    node knows the box around its entries."""
+    node knows the box around its entries.
+
+    Distances are whole numbers: they are taken as products of matrices of doubles where those hold them exactly,
+    as 64-bit integers elsewhere."""
 
     def __init__(self, entries: np.ndarray) -> None:
         self.entries = entries
+        self.most = int(np.abs(entries).max()) if entries.size else 0
         self.low, self.high, self.children, self.own = [], [], [], []
         if len(entries):
             self._grow(np.arange(len(entries)))
@@ -51,29 +55,46 @@ class Tree:
             self.children[node] = self._grow(own[by[:half]]), self._grow(own[by[half:]])
         return node
 
-    def _bound(self, node: int, x: np.ndarray) -> np.ndarray:
-        """The least squared distance that any entry under a node can have."""
-        out = np.maximum(np.maximum(self.low[node] - x, x - self.high[node]), 0)
-        return np.einsum("ij,ij->i", out, out)
-
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of the entry nearest to each row; of equally near ones the lowest index."""
-        at, best = np.zeros(len(x), np.int64), np.full(len(x), np.iinfo(np.int64).max)
+        at, best = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for a in range(0, len(x) if len(self.entries) else 0, BLOCK):
+            at[a : a + BLOCK], best[a : a + BLOCK] = self._search(x[a : a + BLOCK])
+        return at, best
+
+    def _search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # The largest number on the way is below (|x| + |entry|)^2, summed over the components.
+        exact = (max(self.most, int(np.abs(x).max(initial=0))) * 2) ** 2 * max(x.shape[1], 1) < 1 << 53
+        kind = np.float64 if exact else np.int64
+        x, entries = x.astype(kind), self.entries.astype(kind)
+        low, high = [v.astype(kind) for v in self.low], [v.astype(kind) for v in self.high]
+        own_norm, norm = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", entries, entries)
+        at, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf if exact else np.iinfo(np.int64).max, kind)
+
+        def bound(node: int, rows: np.ndarray) -> np.ndarray:
+            """The least squared distance that any entry under a node can have."""
+            out = np.maximum(np.maximum(low[node] - x[rows], x[rows] - high[node]), 0)
+            return np.einsum("ij,ij->i", out, out)
+
+        def leaf(rows: np.ndarray, own: np.ndarray) -> None:
+            if exact:
+                far = own_norm[rows][:, None] - 2 * (x[rows] @ entries[own].T) + norm[own]
+            else:
+                apart = x[rows][:, None, :] - entries[own][None]
+                far = np.einsum("ijk,ijk->ij", apart, apart)
+            one = far.argmin(axis=1)
+            far, one = far[np.arange(len(rows)), one], own[one]
+            better = (far < best[rows]) | ((far == best[rows]) & (one < at[rows]))
+            at[rows[better]], best[rows[better]] = one[better], far[better]
 
         def visit(node: int, rows: np.ndarray) -> None:
             if not len(rows):
                 return
             if self.children[node] is None:
-                own = self.own[node]
-                apart = x[rows][:, None, :] - self.entries[own][None]
-                far = np.einsum("ijk,ijk->ij", apart, apart)
-                one = far.argmin(axis=1)
-                far, one = far[np.arange(len(rows)), one], own[one]
-                better = (far < best[rows]) | ((far == best[rows]) & (one < at[rows]))
-                at[rows[better]], best[rows[better]] = one[better], far[better]
+                leaf(rows, self.own[node])
                 return
             left, right = self.children[node]
-            to_left, to_right = self._bound(left, x[rows]), self._bound(right, x[rows])
+            to_left, to_right = bound(left, rows), bound(right, rows)
             near = to_left <= to_right
             visit(left, rows[near])
             visit(right, rows[~near])
@@ -81,10 +102,8 @@ class Tree:
             visit(right, rows[near & (to_right <= best[rows])])
             visit(left, rows[~near & (to_left <= best[rows])])
 
-        if len(self.entries):
-            for a in range(0, len(x), BLOCK):
-                visit(0, np.arange(a, min(a + BLOCK, len(x))))
-        return at, best
+        visit(0, np.arange(len(x)))
+        return at, best.astype(np.int64)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
