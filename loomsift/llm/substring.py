@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, partitions, public_id, tidy
@@ -411,11 +411,25 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, whole: bool) -> DataFrame
     return rows.withColumn("_place", F.xxhash64("_id", "_text_key"))
 
 
+def _whole(factors: DataFrame) -> DataFrame:
+    """Factors of one text that go on in the same earlier text, each where the one before ends or within it, as one: what was
+    parsed in stretches becomes the longest factors of whole texts."""
+    line = ["_id", "_text_key", "ref_id", "_shift"]
+    rows = factors.withColumn("_shift", F.col("ref_start") - F.col("start")).withColumn("_end", F.col("start") + F.col("size"))
+    in_order = Window.partitionBy(*line).orderBy("start", "size")
+    reach = F.max("_end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")
+    rows = rows.withColumn("_begins", begins).withColumn("_n", F.sum("_begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    glued = rows.groupBy(*line, "_n").agg(F.min("start").alias("start"), F.max("_end").alias("_end"))
+    return glued.select("_id", "_text_key", "start", (F.col("_end") - F.col("start")).alias("size"), "ref_id", (F.col("start") + F.col("_shift")).alias("ref_start"))
+
+
 def duplicate_factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_words, ref_id, ref_start: factors of ``WINDOW`` words or more that occur
-    earlier (smaller id, or same document and earlier start), in words."""
+    earlier (smaller id, or same document and earlier start), in words; one row for as long as a text goes on as the
+    same earlier text does."""
     _, factors = _dealt(_rows(docs, id_col, text_col, False))
-    return factors.select(public_id(), "start", (F.col("size") + WINDOW - 1).alias("n_words"), F.when(F.col("ref_id") != NULL_ID, F.col("ref_id")).alias("ref_id"), "ref_start")
+    return _whole(factors).select(public_id(), "start", (F.col("size") + WINDOW - 1).alias("n_words"), F.when(F.col("ref_id") != NULL_ID, F.col("ref_id")).alias("ref_id"), "ref_start")
 
 
 def _covered(w: Words, batch: pa.RecordBatch) -> np.ndarray:
@@ -479,8 +493,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 doc_end = np.searchsorted(w.first, np.flatnonzero(gone), side="right") - 1
                 for i in np.unique(doc_end).tolist():
                     a, b = w.first[i], w.first[i + 1]
-                    end = w.end[b - 1] if b == len(w.start) else None
-                    starts = np.append(w.start[a:b], w.end[b - 1] if end is not None else w.end[b - 1])
+                    starts = np.append(w.start[a:b], w.end[b - 1])
                     keep = ~gone[a:b]
                     texts[w.row0 + i] = b"".join(raw[x:y] for x, y, k in zip(starts[:-1].tolist(), starts[1:].tolist(), keep.tolist()) if k).decode("utf-8", "replace").rstrip(" \t\n\v\f\r")
             yield _batch(["_row", "_cut"], batch["_row"], pa.array(texts, pa.string()))

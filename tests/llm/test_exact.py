@@ -104,6 +104,17 @@ def test_kept_words(docs, corpus):
     assert all(r.n_words >= n for r in substring.duplicate_factors(docs).collect())
 
 
+def test_factors_of_whole_texts(spark):
+    """A long copy is one factor, and two passages of one text are two."""
+    text = [f"w{i}" for i in range(400)]
+    mixed = [*text[50:130], *[f"own{i}" for i in range(30)], *text[200:290]]
+    rows = [(1, " ".join(text)), (2, " ".join(text)), (3, " ".join(mixed)), (4, " ".join(["a b c"] * 40))]
+    got = sorted(map(tuple, substring.duplicate_factors(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert [g for g in got if g[0] == 2] == [(2, 0, 400, 1, 0)]
+    assert [g for g in got if g[0] == 3] == [(3, 0, 80, 1, 50), (3, 110, 90, 1, 200)]
+    assert all(g[3] == 4 and g[4] < g[1] for g in got if g[0] == 4) and max(g[1] + g[2] for g in got if g[0] == 4) == 120
+
+
 def test_repeats_under_one_id(spark):
     """Null and repeated ids with texts of different lengths: each text loses its own words alone."""
     passage = " ".join(f"p{k}" for k in range(40))
