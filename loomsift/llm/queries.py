@@ -112,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_vector_codes": vector_codes.SQL}
+    return {"op12_vector_codes": vector_codes.SQL, "op13_sanitise": sanitise.SQL}

@@ -241,3 +241,33 @@ def joined(spans: Column, kinds: list[str] | None = None) -> Column:
     if kinds is not None:
         spans = F.filter(spans, lambda s: s["kind"].isin(kinds))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+#: DuckDB SQL for the rows of the registered query; patterns and thresholds are written out, not taken from above.
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS (SELECT r, ko, kind, regexp_extract_all(text, p) AS ms, regexp_split_to_array(text, p) AS gs FROM d, (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'),
+  (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), (2, 'card', '[0-9]([ -]?[0-9])+'), (3, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) AS pats(ko, kind, p)),
+e AS (SELECT r, ko, kind, unnest(ms) AS said, unnest(gs) AS gap, unnest(range(1, len(gs) + 1)) AS i FROM f WHERE len(ms) > 0),
+s AS (SELECT *, lead(gap) OVER w AS nxt, sum(len(gap)) OVER w + coalesce(sum(len(said)) OVER (PARTITION BY r, ko ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM e WINDOW w AS (PARTITION BY r, ko ORDER BY i)),
+v AS (SELECT r, ko, kind, said, CAST(place AS BIGINT) AS a, CAST(place AS BIGINT) + len(said) AS b, right(gap, 120) AS bef, left(nxt, 120) AS aft, regexp_replace(said, '[^0-9]', '', 'g') AS dg, list_transform(string_split(said, '.'), lambda o: CASE WHEN ltrim(o, '0') = '' THEN '0' ELSE ltrim(o, '0') END) AS octets FROM s WHERE said IS NOT NULL),
+x AS MATERIALIZED (SELECT row_number() OVER () AS sid, *, kind || ':' || CASE kind WHEN 'email' THEN lower(said) WHEN 'ip' THEN array_to_string(octets, '.') ELSE dg END AS entity FROM v WHERE CASE kind
+  WHEN 'ip' THEN len(list_filter(octets, lambda o: len(o) > 3 OR coalesce(TRY_CAST(o AS BIGINT), 256) > 255)) = 0 WHEN 'phone' THEN len(dg) BETWEEN 9 AND 15
+  WHEN 'card' THEN len(dg) BETWEEN 13 AND 19 AND list_sum(list_transform(range(len(dg)), lambda j: (1 + j % 2) * CAST(substr(dg, len(dg) - j, 1) AS INTEGER) - CASE WHEN j % 2 = 1 AND substr(dg, len(dg) - j, 1) > '4' THEN 9 ELSE 0 END)) % 10 = 0 ELSE true END),
+z AS (SELECT sid, r, entity, 0 AS side, bef AS t, a - len(bef) AS base FROM x UNION ALL SELECT sid, r, entity, 1, aft, b FROM x),
+w1 AS (SELECT sid, r, entity, side, base, len(t) AS tl, unnest(regexp_extract_all(t, '\p{L}{3,}')) AS said, unnest(regexp_split_to_array(t, '\p{L}{3,}')) AS gap, unnest(range(1, len(regexp_split_to_array(t, '\p{L}{3,}')) + 1)) AS i FROM z),
+w2 AS (SELECT *, CAST(sum(len(gap)) OVER (PARTITION BY sid, side ORDER BY i) + coalesce(sum(len(said)) OVER (PARTITION BY sid, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM w1),
+w3 AS (SELECT *, row_number() OVER (PARTITION BY sid, side ORDER BY CASE WHEN side = 0 THEN -i ELSE i END) AS k FROM w2 WHERE said IS NOT NULL AND NOT (tl = 120 AND CASE WHEN side = 0 THEN p = 0 ELSE p + len(said) = 120 END)),
+c AS MATERIALIZED (SELECT r, entity, lower(said) AS term, base + p AS a, base + p + len(said) AS b FROM w3 WHERE k <= 8),
+n AS (SELECT count(DISTINCT text) AS total FROM d),
+ne AS (SELECT entity, count(DISTINCT text) AS n_entity FROM x JOIN d USING (r) GROUP BY entity),
+nb AS MATERIALIZED (SELECT entity, term, count(DISTINCT text) AS n_both FROM c JOIN d USING (r) GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+nt AS (SELECT term, count(*) AS n_term FROM (SELECT DISTINCT text, unnest(regexp_split_to_array(lower(text), '[^\p{L}]+')) AS term FROM d) WHERE term IN (SELECT term FROM nb) GROUP BY term),
+g AS (SELECT entity, term, ln(n_both * total::DOUBLE / (n_term * n_entity)) / nullif(ln(total::DOUBLE / n_entity), 0) AS share FROM nb JOIN ne USING (entity) JOIN nt USING (term), n),
+h AS (SELECT r, c.a, c.b, max(share) AS share FROM c JOIN g USING (entity, term) WHERE share >= 0.85 GROUP BY ALL),
+o AS (SELECT r, CASE WHEN share >= 0.95 THEN 'removed' ELSE 'generalised' END AS kind, a, b FROM h WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.r = h.r AND x.a < h.b AND h.a < x.b)),
+u AS (SELECT r, ko, kind, a, b FROM x UNION ALL SELECT r, 4, kind, a, b FROM o)
+SELECT doc_id, count(*) FILTER (ko = 0) AS n_email, count(*) FILTER (ko = 1) AS n_ip, count(*) FILTER (ko = 2) AS n_card, count(*) FILTER (ko = 3) AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ko, a) FILTER (ko < 4), '')) AS base_sha256, coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ko, kind, a, b), '') AS spans
+FROM d LEFT JOIN u USING (r) GROUP BY r, doc_id
+"""

@@ -301,7 +301,12 @@ def test_sanitise_query(spark, personal, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(personal)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     said = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     want = spans_by_hand(personal)
-    for r in queries.op13_sanitise(spark, str(tmp_path)).collect():
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    ran = queries.op13_sanitise(spark, str(tmp_path))
+    asked = con.execute(sanitise.SQL).fetch_df()
+    assert sorted(map(tuple, asked[ran.columns].itertuples(index=False))) == sorted(map(tuple, ran.collect()))
+    for r in ran.collect():
         base, extra = want[r.doc_id]
         kinds = Counter(k for k, *_ in base)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(kinds[k] for k in BASE)
