@@ -67,6 +67,30 @@ def term_weights(index: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(df, "token").crossJoin(F.broadcast(n_docs)).select("item_id", "token", "terms", (idf * (1 + F.log1p("qtf"))).alias("w"))
 
 
+def batch_weights(index: DataFrame, terms: pa.Table) -> pa.Table:
+    """``term_weights`` of a batch of terms that is sent to all tasks: a task counts the documents of its blocks and of each
+    token, in one pass over names and counts alone."""
+    names = pc.unique(terms.column("token").combine_chunks())
+    sent_ = index.sparkSession.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(sent_.value), np.int64), 0
+        for batch in batches:
+            n += int(batch[0].to_numpy().sum())
+            code = pc.fill_null(pc.index_in(batch[1].flatten(), value_set=sent_.value), -1).to_numpy()
+            own = code >= 0
+            df += np.bincount(code[own], batch[2].flatten().to_numpy()[own], len(df)).astype(np.int64)
+        held = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int32()), pa.array(np.append(df[held], n))], names=["i", "c"])
+
+    each = index.select(F.size("docs").alias("n"), "tokens", "counts").mapInArrow(count, "i int, c long")
+    found = {r.i: r.c for r in each.groupBy("i").agg(F.sum("c").alias("c")).collect()}  # a row per term at most
+    df = np.array([found.get(i, 0) for i in range(len(names))], np.float64)
+    own = df[pc.index_in(terms.column("token").combine_chunks(), value_set=names).to_numpy()]
+    w = np.maximum(0.0, np.log((found.get(-1, 0) - own + 0.5) / (own + 0.5) + 1)) * (1 + np.log1p(terms.column("qtf").to_numpy()))
+    return terms.select(["item_id", "token", "terms"]).append_column("w", pa.array(w)).filter(pa.array(own > 0))
+
+
 def scored(index: DataFrame, weights: DataFrame) -> DataFrame:
     """item_id, doc_id, score of every document that shares a token with a query, for more queries than can be sent."""
 
@@ -154,6 +178,9 @@ def _search(blocks: pa.RecordBatch, batch: Batch, best: Best) -> None:
 
 def block_topk(index: DataFrame, weights: pa.Table, k: int) -> DataFrame:
     """item_id, doc_id, score, by: each task's best ``k`` rows of every query."""
+    schema = "item_id long, doc_id long, score double, by double"
+    if not weights.num_rows:
+        return index.sparkSession.createDataFrame([], schema)
     sent_ = index.sparkSession.sparkContext.broadcast(Batch(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,4 +192,4 @@ def block_topk(index: DataFrame, weights: pa.Table, k: int) -> DataFrame:
         rows = best.rows
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (batch.items[rows["query"]], rows["id"], rows["score"], rows["by"])], names=["item_id", "doc_id", "score", "by"])
 
-    return index.mapInArrow(run, "item_id long, doc_id long, score double, by double")
+    return index.mapInArrow(run, schema)

@@ -15,7 +15,7 @@ from ..functions.text import TOKEN, ascii_lower, ascii_lower_sql, tokens, tokens
 from ..registry import query
 from ..sources.formats import stored
 from ..sources.tables import sent, spread, table
-from .blockmax import MOST_TERMS, block_index, block_topk, scored, term_weights
+from .blockmax import MOST_TERMS, batch_weights, block_index, block_topk, scored, term_weights
 from .index import document_frequency, occurrences, postings
 
 DIM = 384
@@ -59,12 +59,12 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, text: str | Column
 
 def indexed_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``lexical_topk`` over an index that ``block_index`` made."""
-    weights = term_weights(index, query_terms(queries))
-    rows = weights.limit(MOST_TERMS + 1).toArrow()
+    terms = query_terms(queries)
+    rows = terms.limit(MOST_TERMS + 1).toArrow()
     if rows.num_rows <= MOST_TERMS:
-        found = block_topk(index, rows, k)
+        found = block_topk(index, batch_weights(index, rows), k)
     else:
-        found = scored(index, weights).withColumn("by", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
+        found = scored(index, term_weights(index, terms)).withColumn("by", F.floor(F.col("score") * 1e6 + 0.5) / 1e6)
     return top(found, k, [F.desc("by"), F.col("doc_id")])
 
 

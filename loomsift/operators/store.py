@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens_sql
 from ..registry import query
-from ..sources.formats import read_index, read_manifest, require_columns, shared_folder, write_index
+from ..sources.formats import read_index, read_manifest, require_columns, scratch, write_index
 from ..sources.tables import spread, table
 from .guides import command_name
 from .index import postings
@@ -44,7 +44,7 @@ def read_postings(words: DataFrame, posted: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, docs: DataFrame, lexical: bool = True, vectors: DataFrame | None = None) -> str:
     """The folder of a new index.  Without vectors, or without a lexical side, an index has no such tables."""
-    root = f"{shared_folder(spark)}/index-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    root = scratch(spark, "index")
     tables = {"entries": entries(docs), "chunks": docs.select("doc_id", "source", "lang", "text")}
     if lexical:
         posted = postings(docs)
@@ -86,17 +86,25 @@ def s7_index_tables(spark, sf_dir):
     return out
 
 
-@query("SELECT unnest(['missing', 'written']) AS setup, unnest([NULL, '3']) AS index_version, unnest([NULL, '384']) AS dim, unnest([NULL, 'entries']) AS first_table")
+@query(
+    "SELECT 'missing' AS setup, NULL::VARCHAR AS index_version, NULL::VARCHAR AS dim, NULL::VARCHAR AS first_table, NULL::BIGINT AS chunks, NULL::BIGINT AS chars "
+    "UNION ALL SELECT 'written', '3', '384', 'entries', count(*), CAST(sum(n_chars) AS BIGINT) FROM documents UNION ALL SELECT 'before', '2', '1', 'entries', count(*), CAST(sum(n_chars) AS BIGINT) FROM documents WHERE lang = 'en'"
+)
 def s8_manifest(spark, sf_dir):
-    """The manifest of a folder without an index (none) and of a written one; the last of two writes counts."""
-    root = f"{shared_folder(spark)}/index-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    seen = {"missing": read_manifest(spark, root)}
-    only = {"entries": entries(table(spark, sf_dir, "documents"))}
-    write_index(only, root, {"index_version": 2, "dim": 1})
-    write_index(only, root, {"index_version": INDEX_VERSION, "dim": 384})
-    seen["written"] = read_manifest(spark, root)
-    rows = [(k, *[(m or {}).get(c) for c in ("index_version", "dim", "tables")]) for k, m in seen.items()]
-    return spark.createDataFrame(rows, "setup string, index_version string, dim string, first_table string")
+    """The manifest of a folder without an index (none), of an index of some documents, and of the whole one that is
+    written over it: of two writes the last counts, and says what its index holds."""
+    root = scratch(spark, "index")
+    docs = table(spark, sf_dir, "documents")
+
+    def write(part: DataFrame, version: int, dim: int) -> dict | None:
+        size = part.agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_chars").alias("chars")).first()
+        write_index({"entries": entries(part)}, root, {"index_version": version, "dim": dim, **size.asDict()})
+        return read_manifest(spark, root)
+
+    seen = {"missing": read_manifest(spark, root), "before": write(docs.where("lang = 'en'"), INDEX_VERSION - 1, 1), "written": write(docs, INDEX_VERSION, 384)}
+    number = lambda v: None if v is None else int(v)
+    rows = [(k, *[(m or {}).get(c) for c in ("index_version", "dim", "tables")], *[number((m or {}).get(c)) for c in ("chunks", "chars")]) for k, m in seen.items()]
+    return spark.createDataFrame(rows, "setup string, index_version string, dim string, first_table string, chunks long, chars long")
 
 
 WANTED = {"index_version": "3", "model": "m1", "dim": "384", "prefix": "search_document: "}

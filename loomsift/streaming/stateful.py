@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions.text import tokens, tokens_sql
 from ..registry import query
@@ -30,24 +32,27 @@ def _state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
-def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into a table of the shared folder, and read that."""
+def replayed(df: DataFrame, name: str, parts: int, by: Column) -> Iterator[DataFrame]:
+    """``df`` as a log that grows: rows for which ``by`` is 0, 1, ... are written one part after the other, and a stream over
+    what is there is given out after each.  A query that goes on from its checkpoint takes each part as one micro-batch."""
     spark = df.sparkSession
     base = scratch(spark, name)
-    with _state_store(spark):
-        q = df.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode(mode).trigger(availableNow=True).start()
-        q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/rows")
+    for k in range(parts):
+        df.where(by == k).write.parquet(f"{base}/part={k:04d}")
+        yield spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(base)
 
 
-def replayed(df: DataFrame, name: str, parts: int, by: Column) -> DataFrame:
-    """``df`` as a stream of ``parts`` micro-batches, in the order of ``by`` (a number from 0): each is a file of its
-    own, as a log that was cut at these places would give them."""
-    spark = df.sparkSession
-    base = scratch(spark, name)
-    for k in range(parts):
-        df.where(by == k).coalesce(1).write.parquet(f"{base}/part={k:04d}")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(base)
+def drained(streams: Iterable[DataFrame], operator: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run ``operator`` over each stream until it is drained, going on from the same checkpoint, into a table of the shared
+    folder, and read that."""
+    base, out = None, None
+    for stream in streams:
+        out = operator(stream)
+        base = base or scratch(out.sparkSession, name)
+        with _state_store(out.sparkSession):
+            q = out.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{base}/rows")
 
 
 class Sequences(StatefulProcessor):
@@ -159,7 +164,7 @@ def e1_sequence_gaps(spark, sf_dir):
     events = _events(spark, sf_dir)
     reports = events.select("user_id", "event_id", "ts", seq.alias("seq")).where("event_id % 7 <> 0")
     reports = reports.select("user_id", "seq", _days(events, 3).cast("int").alias("part"))
-    return drained(sequence_gaps(replayed(reports, "reports", 3, F.col("part"))), "gaps")
+    return drained(replayed(reports, "reports", 3, F.col("part")), sequence_gaps, "gaps")
 
 
 def _cache_sql(key: str, ttl: str) -> str:
@@ -176,7 +181,7 @@ def e8_ttl_cache(spark, sf_dir):
     """A cache per shell and type with lazy expiry, as a stream of four micro-batches."""
     events = _events(spark, sf_dir)
     requests = events.select("user_id", "event_type", "event_id", "ts", F.lit(86_400).alias("ttl"), _days(events, 4).cast("int").alias("part"))
-    return drained(cache_hits(replayed(requests, "requests", 4, F.col("part")), "user_id", "event_type"), "hits")
+    return drained(replayed(requests, "requests", 4, F.col("part")), lambda s: cache_hits(s, "user_id", "event_type"), "hits")
 
 
 def robots_ttl(configured: Column) -> Column:
@@ -190,7 +195,26 @@ def e13_robots_cache(spark, sf_dir):
     origin = F.col("user_id") % 20
     ttl = robots_ttl(F.when(origin < 10, 5).otherwise(40_000))
     requests = events.select(F.concat(F.lit("https://h"), origin, F.lit(".example")).alias("origin"), "event_id", "ts", ttl.alias("ttl"), _days(events, 2).cast("int").alias("part"))
-    return drained(cache_hits(replayed(requests, "robots", 2, F.col("part")), "origin"), "fetched")
+    return drained(replayed(requests, "robots", 2, F.col("part")), lambda s: cache_hits(s, "origin"), "fetched")
+
+
+def coalesced_writes(changes: DataFrame, path: str, key: str, order: list[str], every: str = "30 seconds") -> StreamingQuery:
+    """Start a query that persists a stream of changes with one write per ``every`` at most (E7): of all that came meanwhile
+    each key's last row by ``order``.  A write that is done again replaces itself."""
+    columns = changes.columns
+
+    def write(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("last"))
+        last.select("last.*").write.mode("overwrite").parquet(f"{path}/write={number}")
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-state").trigger(processingTime=every).start()
+
+
+def persisted(spark: SparkSession, schema: StructType, path: str, key: str, order: list[str]) -> DataFrame:
+    """What ``coalesced_writes`` holds: each key's last row over all writes."""
+    rows = spark.read.schema(schema).parquet(path)
+    last = rows.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*schema.names), F.struct(*order)).alias("last"))
+    return last.select("last.*")
 
 
 class IndexFollower:
@@ -301,7 +325,8 @@ _LIVE = (
 
 def _followed(spark: SparkSession, sf_dir: str) -> IndexFollower:
     index = IndexFollower(spark, scratch(spark, "followed"))
-    index.follow(replayed(document_changes(spark, sf_dir), "changes", 3, F.col("part")))
+    for changes in replayed(document_changes(spark, sf_dir), "changes", 3, F.col("part")):
+        index.follow(changes)
     return index
 
 

@@ -53,6 +53,14 @@ def test_block_max(spark, monkeypatch, sent):
         assert {(r.item_id, r.doc_id, r["rank"], round(r.by, 6)) for r in got} == topk_by_hand(docs, queries, k)
 
 
+def test_block_max_without_rows(spark):
+    docs, asked = "doc_id long, text string", "item_id long, text string"
+    some = spark.createDataFrame([(1, "a b")], docs)
+    assert retrieval.lexical_topk(some, spark.createDataFrame([], asked), 3).collect() == []
+    assert retrieval.lexical_topk(some, spark.createDataFrame([(1, "zz")], asked), 3).collect() == []
+    assert retrieval.lexical_topk(spark.createDataFrame([], docs), spark.createDataFrame([(1, "a")], asked), 3).collect() == []
+
+
 def test_blocks_are_skipped():
     """Blocks whose bound is below the best rows so far aren't opened, and the result is the same."""
     docs = [(i, ["rare"] if i < 8 else ["common"]) for i in range(40)]
@@ -201,13 +209,26 @@ def _requests(spark, n=400):
 def test_streams_equal_batches(spark):
     requests = _requests(spark)
     parts = requests.agg(F.max("part")).first()[0] + 1
-    live = stateful.drained(stateful.cache_hits(stateful.replayed(requests, "t", parts, F.col("part")), "key"), "t-hits")
+    live = stateful.drained(stateful.replayed(requests, "t", parts, F.col("part")), lambda s: stateful.cache_hits(s, "key"), "t-hits")
     assert parts > 1 and sorted(live.collect()) == sorted(stateful.cache_hits_batch(requests, "key").collect())
     reports = requests.where("event_id % 5 <> 0").select(F.col("key").alias("user_id"), "event_id", "part").selectExpr("user_id", "row_number() over (partition by user_id order by event_id) * 2 as seq", "part").withColumn("seq", F.col("seq").cast("long"))
-    live = stateful.drained(stateful.sequence_gaps(stateful.replayed(reports, "s", parts, F.col("part"))), "t-gaps")
+    live = stateful.drained(stateful.replayed(reports, "s", parts, F.col("part")), stateful.sequence_gaps, "t-gaps")
     assert sorted(live.collect()) == sorted(stateful.sequence_gaps_batch(reports).collect())
 
 
+def test_coalesced_writes(spark, tmp_path):
+    """One write per trigger, and the last row of every key after all of them."""
+    changes = _requests(spark, 120).select("key", "event_id", "part")
+    path = str(tmp_path / "held")
+    for stream in stateful.replayed(changes, "c", 2, F.col("part")):
+        q = stateful.coalesced_writes(stream, path, "key", ["event_id"], "1 second")
+        q.processAllAvailable()
+        q.stop()
+    want = {r.key: r.event_id for r in changes.where("part < 2").groupBy("key").agg(F.max("event_id").alias("event_id")).collect()}
+    assert {r.key: r.event_id for r in stateful.persisted(spark, changes.schema, path, "key", ["event_id"]).collect()} == want
+    assert len(list((tmp_path / "held").glob("write=*"))) == 2
+
+
 def test_index_follower(spark, tmp_path):
     """Batches that run again change nothing; live rows are those of a fresh build, before and after compaction."""
     change = "path string, size long, mtime long, removed boolean, text string"
