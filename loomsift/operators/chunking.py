@@ -1,10 +1,13 @@
-"""Sections, option hints and sentence pieces of manual pages, by windows over lines."""
+"""Sections, option hints and sentence pieces of manual pages: sections by windows over lines, the rest within a page's row."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..registry import query
 from ..sources.tables import MANUAL_SQL, manual_pages
 
@@ -58,25 +61,50 @@ def trimmed_heading(text: Column) -> Column:
     return (text != "") & ~text.rlike("[a-z]")
 
 
+def page_hints(raw: Column, most: int = 48) -> Column:
+    """array<struct<pos, display, flags, description>> of a page, by position.  An option line starts a hint, later lines
+    that are no headings or options go on with its description; of equal flags the first hint stays."""
+
+    def told(line: Column, pos: Column) -> Column:
+        def parted(t: Column, part: Column) -> Column:
+            return let(
+                flags_of(part),
+                lambda flags: F.struct(
+                    pos.alias("pos"), t.alias("t"), part.alias("part"), flags.alias("flags"),
+                    (t.startswith("-") & ~t.startswith("---") & (F.length(t) >= 2) & (F.size(flags) > 0) & (F.octet_length(part) <= 96)).alias("option"),
+                ),
+            )
+
+        split = lambda t: F.regexp_extract(t, r"^(..(?:(?!\s\s).)*)\s\s(.*)$", 1)
+        return let(F.trim(F.replace(line, F.lit("\t"), F.lit("    "))), lambda t: let(split(t), lambda x: let(F.when(x != "", F.trim(x)).otherwise(t), lambda part: parted(t, part))))
+
+    def says(row: Column) -> Column:
+        own = F.trim(F.regexp_extract(row["t"], r"^..(?:(?!\s\s).)*\s\s(.*)$", 1))
+        return F.when(row["option"], own).when((row["t"] != "") & ~trimmed_heading(row["t"]) & ~row["t"].startswith("-"), row["t"])
+
+    bounded = lambda s, d: F.when(d.isNull() | (F.octet_length(s) >= 260), s).otherwise(F.trim(F.concat_ws(" ", s, d)))
+
+    def hint(rows: Column, starts: Column) -> Callable[[Column, Column], Column]:
+        def of(start: Column, i: Column) -> Column:
+            own = F.slice(rows, start + 1, F.coalesce(F.get(starts, i + 1), F.size(rows)) - start)
+            text = F.aggregate(F.transform(own, says), F.lit(""), bounded)
+            return let(F.get(rows, start), lambda r: F.struct(r["pos"].cast("long").alias("pos"), F.regexp_replace(r["part"], ",+$", "").alias("display"), F.array_join(r["flags"], "|").alias("flags"), text.alias("description")))
+
+        return of
+
+    def first(hints: Column) -> Column:
+        names = F.transform(hints, lambda h: h["flags"])
+        return let(names, lambda names: F.transform(F.slice(F.array_distinct(names), 1, most), lambda x: F.get(hints, (F.array_position(names, x) - 1).cast("int"))))
+
+    rows = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), told)
+    starts = lambda rows: F.transform(F.filter(rows, lambda r: r["option"]), lambda r: r["pos"])
+    hints = let(rows, lambda rows: let(starts(rows), lambda at: F.filter(F.transform(at, hint(rows, at)), lambda h: h["description"] != "")))
+    return let(hints, first)
+
+
 def option_hints(df: DataFrame, key: str, raw: str = "raw", most: int = 48) -> DataFrame:
-    """key, pos, display, flags, description.  An option line starts a hint, later lines that are no
-    headings or options go on with its description; of equal flags the first hint stays."""
-    trimmed = F.trim(F.replace("line", F.lit("\t"), F.lit("    ")))
-    split = F.regexp_extract(F.col("t"), r"^(..(?:(?!\s\s).)*)\s\s(.*)$", 1)
-    rows = lines(df, key, raw).withColumn("t", trimmed)
-    rows = rows.withColumn("part", F.when(split != "", F.trim(split)).otherwise(F.col("t"))).withColumn("flags", flags_of(F.col("part")))
-    option = F.col("t").startswith("-") & ~F.col("t").startswith("---") & (F.length("t") >= 2) & (F.size("flags") > 0) & (F.octet_length("part") <= 96)
-    rows = rows.withColumn("option", option).withColumn("heading", trimmed_heading(F.col("t")))
-    group = F.sum(F.col("option").cast("int")).over(Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    own = F.when(F.col("option"), F.trim(F.regexp_extract("t", r"^..(?:(?!\s\s).)*\s\s(.*)$", 1))).otherwise(F.col("t"))
-    says = F.when(F.col("option") | ((F.col("t") != "") & ~F.col("heading") & ~F.col("t").startswith("-")), F.struct("pos", own.alias("d")))
-    hints = rows.withColumn("g", group).where("g > 0").groupBy(key, "g").agg(F.min("pos").alias("pos"), F.min_by("part", "pos").alias("display"), F.min_by("flags", "pos").alias("flags"), F.sort_array(F.collect_list(says)).alias("x"))
-    bounded = lambda s, v: F.when(F.octet_length(s) < 260, F.trim(F.concat_ws(" ", s, v["d"]))).otherwise(s)
-    hints = hints.withColumn("description", F.aggregate("x", F.lit(""), bounded)).where("description <> ''")
-    first = Window.partitionBy(key, F.array_join("flags", "|")).orderBy("pos")
-    hints = hints.withColumn("k", F.row_number().over(first)).where("k = 1")
-    hints = hints.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("n") <= most)
-    return hints.select(key, F.col("pos").cast("long").alias("pos"), F.regexp_replace("display", ",+$", "").alias("display"), F.array_join("flags", "|").alias("flags"), "description")
+    """key, pos, display, flags, description: a row per hint of every page."""
+    return df.select(key, F.inline(page_hints(F.col(raw), most)))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..functions.text import cut_bytes, tokens_up
 from ..registry import query
 from ..sources.tables import table
@@ -161,7 +162,7 @@ def option_intents(command: Column, flags: Column, description: Column) -> Colum
     by_flag = F.create_map(*[F.lit(x) for commands, names, intent in KNOWN_OPTIONS for c in commands for n in names for x in (f"{c} {n}", intent)])
     of_flags = F.transform(flags, lambda f: F.try_element_at(by_flag, F.concat_ws(" ", command, F.regexp_replace(f, r"^[\[\]]+|[\[\]]+$", ""))))
     line = F.lower(F.concat_ws(" ", command, F.array_join(flags, ", "), description))
-    of_words = F.array(*[F.when(F.contains(line, F.lit(word)), F.lit(label)) for word, label in OPTION_WORDS])
+    of_words = let(line, lambda line: F.array(*[F.when(F.contains(line, F.lit(word)), F.lit(label)) for word, label in OPTION_WORDS]))
     return F.array_distinct(F.array_compact(F.concat(of_flags, of_words)))
 
 
@@ -238,8 +239,9 @@ def trim_sentence(text: Column, most: int) -> Column:
     """White space collapsed, then at most ``most`` bytes of whole characters; what is cut ends with an
     ASCII letter or digit.  An empty text, as a null one, gets a fixed sentence."""
     clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
-    clean = F.when(clean == "", F.lit(NO_SENTENCE)).otherwise(clean)
-    return F.when(F.octet_length(clean) <= most, clean).otherwise(F.regexp_replace(cut_bytes(clean, most), "[^A-Za-z0-9]+$", ""))
+    whole = lambda c: F.when(c == "", F.lit(NO_SENTENCE)).otherwise(c)
+    cut = lambda c: F.when(F.octet_length(c) <= most, c).otherwise(F.regexp_replace(cut_bytes(c, most), "[^A-Za-z0-9]+$", ""))
+    return let(clean, lambda c: let(whole(c), cut))
 
 
 @query(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import let
 from ..registry import query
 from ..sources.tables import MANUAL_SQL, manual_pages
-from .chunking import option_hints, pieces, sections
+from .chunking import page_hints, pieces, sections
 from .guides import COMBINATIONS, KNOWN_OPTIONS, OPTION_WORDS, OPTIONS_SQL, RELATED, TASK_PHRASES, _text, combinations, command_notes, command_options, option_intents, trim_sentence
 
 # What a section of usage intents says.
@@ -26,21 +27,20 @@ def usage_intents(command: Column, options: Column, phrases: Column, related: Co
     options, phrases and related commands."""
 
     def hint(o: Column) -> Column:
-        wants = option_intents(command, o["flags"], o["description"])
-        says = F.when(F.size(wants) > 0, F.concat(F.lit(" Useful for requests about "), F.array_join(wants, ", "), F.lit("."))).otherwise("")
-        return F.concat(F.lit("`"), command, F.lit(" "), o["display"], F.lit("`: "), trim_sentence(o["description"], MOST_BYTES), says)
+        says = lambda wants: F.when(F.size(wants) > 0, F.concat(F.lit(" Useful for requests about "), F.array_join(wants, ", "), F.lit("."))).otherwise("")
+        return F.concat(F.lit("`"), command, F.lit(" "), o["display"], F.lit("`: "), trim_sentence(o["description"], MOST_BYTES), let(option_intents(command, o["flags"], o["description"]), says))
 
-    hints = F.transform(F.slice(options, 1, MOST_HINTS), hint)
-    common = F.slice(combinations(command, F.flatten(F.transform(options, lambda o: o["flags"]))), 1, MOST_COMBINATIONS)
-    whole = F.concat(F.lit(INTRODUCTION), command, F.lit("\n"), _listed(PHRASES, phrases), _listed(HINTS, hints), _listed(COMMON, common), _listed(SIMILAR, related))
+    hints = let(F.transform(F.slice(options, 1, MOST_HINTS), hint), lambda x: _listed(HINTS, x))
+    common = lambda flags: let(F.slice(combinations(command, flags), 1, MOST_COMBINATIONS), lambda x: _listed(COMMON, x))
+    whole = F.concat(F.lit(INTRODUCTION), command, F.lit("\n"), _listed(PHRASES, phrases), hints, let(F.flatten(F.transform(options, lambda o: o["flags"])), common), _listed(SIMILAR, related))
     return F.when((F.size(options) > 0) | (F.size(phrases) > 0) | (F.size(related) > 0), F.regexp_replace(whole, r"\s+\z", ""))
 
 
 def with_section(raw: Column, section: Column) -> Column:
     """A page with its section at the end, unless it has one or there is none."""
     bare = F.regexp_replace(raw, r"\s+\z", "")
-    whole = F.concat(bare, F.when(bare != "", F.lit("\n\n")).otherwise(""), F.lit(TITLE + "\n"), section, F.lit("\n"))
-    return F.when(F.contains(raw, F.lit(f"\n{TITLE}\n")) | section.isNull(), raw).otherwise(whole)
+    whole = lambda section: let(bare, lambda bare: F.concat(bare, F.when(bare != "", F.lit("\n\n")).otherwise(""), F.lit(TITLE + "\n"), section, F.lit("\n")))
+    return F.when(F.contains(raw, F.lit(f"\n{TITLE}\n")), raw).otherwise(let(section, lambda s: F.coalesce(whole(s), raw)))
 
 
 def _noted(df: DataFrame) -> DataFrame:
@@ -90,13 +90,12 @@ def k13_usage_intents(spark, sf_dir):
     return _noted(pages).select("page_id", "command_name", usage_intents(F.col("command_name"), F.col("options"), F.col("phrases"), F.col("related")).alias("section"))
 
 
-def augmented(pages: DataFrame, key: str) -> DataFrame:
-    """``pages`` (key, command_name, raw) with doc: the page with its section."""
-    hint = F.struct("pos", "display", F.split("flags", r"\|").alias("flags"), "description")
-    found = option_hints(pages, key).groupBy(key).agg(F.sort_array(F.collect_list(hint)).alias("options"))
-    none = F.array().cast("array<struct<pos:bigint,display:string,flags:array<string>,description:string>>")
-    rows = _noted(pages.join(found, key, "left")).withColumn("options", F.coalesce("options", none))
-    return rows.withColumn("doc", with_section(F.col("raw"), usage_intents(F.col("command_name"), F.col("options"), F.col("phrases"), F.col("related")))).drop("options", "phrases", "related")
+def augmented(pages: DataFrame) -> DataFrame:
+    """``pages`` (command_name, raw) with doc: the page with its section (K12).  A page's hints are found within its row,
+    so no line is shuffled and pages meet no one."""
+    options = F.transform(page_hints(F.col("raw")), lambda h: F.struct(h["pos"].alias("pos"), h["display"].alias("display"), F.split(h["flags"], r"\|").alias("flags"), h["description"].alias("description")))
+    section = let(options, lambda options: usage_intents(F.col("command_name"), options, F.col("phrases"), F.col("related")))
+    return _noted(pages).withColumn("doc", with_section(F.col("raw"), section)).drop("phrases", "related")
 
 
 _HINTS_SQL = (
@@ -114,13 +113,13 @@ _DOC_SQL = (
 @query(f"WITH {_DOC_SQL} SELECT part_key, doc, sha256(doc) AS doc_hash FROM doc")
 def k12_intent_augmentation(spark, sf_dir):
     """Pages with their usage intents; the hash is of the augmented page."""
-    return augmented(manual_pages(spark, sf_dir), "part_key").select("part_key", "doc", F.sha2(F.col("doc").cast("binary"), 256).alias("doc_hash"))
+    return augmented(manual_pages(spark, sf_dir)).select("part_key", "doc", F.sha2(F.col("doc").cast("binary"), 256).alias("doc_hash"))
 
 
 def chunk_documents(pages: DataFrame, key: str) -> DataFrame:
     """key, chunk_index, total_chunks, section, text, doc_hash of every page (K11): its intents are put in, its
     sections found, and large sections cut; a page without sections is one chunk, or a stub if it is empty."""
-    docs = augmented(pages, key).select(key, "doc", F.sha2(F.col("doc").cast("binary"), 256).alias("doc_hash"))
+    docs = augmented(pages).select(key, "doc", F.sha2(F.col("doc").cast("binary"), 256).alias("doc_hash"))
     cut = sections(docs, key, "doc").select(key, "section_no", F.col("name").alias("section"), "body")
     whole = docs.join(cut.select(key).distinct(), key, "left_anti").select(key, F.lit(0).cast("long").alias("section_no"), F.lit("").alias("section"), F.when(F.trim("doc") == "", "no documentation available").otherwise(F.col("doc")).alias("body"))
     parts = cut.unionByName(whole).select(key, "section_no", "section", F.posexplode(pieces(F.col("body"))).alias("k", "text"))

@@ -34,8 +34,8 @@ def sent(df: DataFrame, by: DataFrame | None = None) -> DataFrame:
 
 
 def manual_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """part_key, command_name, raw: one manual page per part."""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part_key"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("command_name"), F.expr(_RAW.format(name="lower(replace(p_name, ' ', '-'))")).alias("raw"))
+    """part_key, command_name, raw: one manual page per part, dealt over all cores while they are short rows."""
+    return spread(table(spark, sf_dir, "part")).select(F.col("p_partkey").alias("part_key"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("command_name"), F.expr(_RAW.format(name="lower(replace(p_name, ' ', '-'))")).alias("raw"))
 
 
 _RAW = (

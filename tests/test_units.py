@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsift.functions import halves, hashing, text
-from loomsift.operators import addresses, chunking, planning, scanner, search, shell, store, tables_and_code, toolcalls, vectors, web
+from loomsift.operators import addresses, chunking, intents, planning, scanner, search, shell, store, tables_and_code, toolcalls, vectors, web
 from loomsift.sources import formats
 from loomsift.streaming import events
 
@@ -154,3 +154,19 @@ def test_index_files(spark, tmp_path):
     version = formats.write_index({"chunks": chunks.where("chunk_id > 1")}, str(tmp_path), {"index_version": 2})
     manifest, tables = formats.read_index(spark, str(tmp_path))
     assert manifest["version"] == version and manifest["index_version"] == "2" and tables["chunks"].count() == 3
+
+
+def test_page_hints(spark):
+    page = "-a, --all  Show all\nand hidden\nOPTIONS\n---\n\t-n\tcount\n-a, --all  again\n-1  no letter\n-x\n" + "\n".join(f"-o{i}  option {i}" for i in range(60))
+    rows = spark.createDataFrame([(1, "ls", page), (2, "tool", None), (3, None, ""), (4, "pwd", "text")], "k long, command_name string, raw string")
+    found = chunking.option_hints(rows, "k").collect()
+    assert [tuple(r)[1:] for r in found][:2] == [(0, "-a, --all", "-a|--all", "Show all and hidden"), (4, "-n", "-n", "count")] and {r.k for r in found} == {1} and len(found) == 48
+    docs = {r.k: r.doc for r in intents.augmented(rows).collect()}
+    assert docs[2] is None and docs[3] == "" and docs[1].startswith(page + "\n\nUSAGE INTENTS\n") and docs[1].count("\n- `ls -") == 24 + 1 and docs[4].startswith("text\n\nUSAGE INTENTS\n")
+    assert "`ls -a, --all`: Show all and hidden Useful for requests about hidden files and all entries, hidden files." in docs[1]
+
+
+def test_pages_are_augmented_in_their_rows(spark):
+    """No page is sorted, grouped or joined by key: windows and sorts of lines took the memory of a task."""
+    plan = intents.k12_intent_augmentation(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("hashpartitioning", "Window", "Sort", "Aggregate"))
