@@ -125,10 +125,15 @@ class Best:
     """The first k rows of each query so far, by score (rounded) and then id."""
 
     def __init__(self, queries: int, k: int) -> None:
-        self.k, self.least = k, np.full(queries, -np.inf)
+        self.k, self.least, self.last = k, np.full(queries, -np.inf), np.full(queries, np.iinfo(np.int64).max)
         self.rows = np.zeros(0, [("query", "i8"), ("by", "f8"), ("id", "i8"), ("score", "f8")])
         self.opened = self.skipped = 0
 
+    def takes(self, query: np.ndarray, by: np.ndarray, id_: np.ndarray) -> np.ndarray:
+        """Whether a row comes before the k-th best row of its query so far."""
+        least = self.least[query]
+        return (by > least) | (by == least) & (id_ < self.last[query])
+
     def add(self, rows: np.ndarray) -> None:
         rows = np.concatenate((self.rows, rows))
         rows = rows[np.lexsort((rows["id"], -rows["by"], rows["query"]))]
@@ -136,7 +141,7 @@ class Best:
         rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
         self.rows = rows[rank < self.k]
         last = rows[rank == self.k - 1]
-        self.least[last["query"]] = last["by"]
+        self.least[last["query"]], self.last[last["query"]] = last["by"], last["id"]
 
 
 def _search(blocks: pa.RecordBatch, batch: Batch, best: Best) -> None:

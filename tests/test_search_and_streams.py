@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomsift.functions.hashing import bucket_and_sign, hashed_cells
-from loomsift.operators import blockmax, retrieval, scanner, toolcalls, websearch
+from loomsift.operators import blockmax, retrieval, scanner, toolcalls, vectors, websearch
 from loomsift.streaming import stateful
 
 # --- block-max retrieval
@@ -292,3 +292,34 @@ def test_failed_report_leaves_nothing(spark, tmp_path):
     assert not path.exists() or not list(path.rglob("*.*"))
     reports.write_report(good, str(path), "json")
     assert not list(path.glob("_*")) and sorted(r.t for r in spark.read.json(str(path)).collect()) == sorted(f"x{i}" for i in range(20))
+
+
+# --- vectors
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_dense_topk(spark, monkeypatch, block):
+    """Against scores one by one: ties by id, copies, null vectors, another length, more queries than a block holds."""
+    monkeypatch.setattr(vectors, "MOST_QUERIES", block)
+    monkeypatch.setattr(vectors, "CELLS", 500)
+    rng = np.random.default_rng(3)
+    held = [(i, rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(700)] + [(700 + i, [3.0] * 6) for i in range(90)]
+    odd = [(800, None), (801, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (802, [9.0] * 3), (810, None), (820, [float("nan")] + [0.0] * 5)]
+    rows = spark.createDataFrame([*held, *odd], "vec_id long, v array<float>")
+    score = lambda a, b: None if a is None or b is None or len(a) != len(b) or None in a + b else float(np.dot(a, b))
+    order = lambda s: (1, 0) if s is None else (0, -math.inf if math.isnan(s) else -round(s, 5))
+    want = set()
+    every = [*held, *odd]
+    for i, q in every:
+        if i % 20 == 0:
+            best = sorted((order(score(q, v)), j) for j, v in every)[:5]
+            want |= {(i, j, n + 1, s) for n, (s, j) in enumerate(best)}
+    got = vectors.dense_topk(rows, rows.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "v AS q"), 5).collect()
+    assert {(r.query_id, r.vec_id, r["rank"], order(r.score)) for r in got} == want and len(got) == len(want)
+
+
+def test_dense_topk_makes_no_pairs(spark):
+    """A row per query and vector was made before the best were kept."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "vec_id long, v array<double>")
+    plan = vectors.dense_topk(rows, rows.selectExpr("vec_id AS query_id", "v AS q"), 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
