@@ -5,6 +5,9 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -62,8 +65,6 @@ class Sequences(StatefulProcessor):
         self.last = handle.getValueState("last", "seq long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        import pandas as pd
-
         pdf = pd.concat(list(rows)).sort_values("seq")  # one shell's reports of one micro-batch
         last, missing = (self.last.get()[0] if self.last.exists() else 0), []
         for seq in pdf.seq.tolist():
@@ -87,39 +88,74 @@ def sequence_gaps_batch(reports: DataFrame) -> DataFrame:
     return reports.select("user_id", "seq", (F.col("seq") - last - 1).alias("missing"))
 
 
+#: Groups of keys that a cache's state is kept in.
+CACHE_GROUPS = 256
+
+
+def _folded(rows: pd.DataFrame, keys: list[str], held: dict[tuple, tuple[int, int]]) -> np.ndarray:
+    """Hits of requests in the order of key, time and id: one finds its key's entry while that isn't older than the request's age
+    limit, else it puts a new one.  ``held`` (put and limit of a key's entry, in microseconds) is brought up to date."""
+    hits, own, put, limit = np.zeros(len(rows), bool), None, None, None
+    of = zip(*[rows[k].tolist() for k in keys])
+    for i, (key, at, age) in enumerate(zip(of, rows["_at"].tolist(), (rows.ttl.to_numpy(np.int64) * 1_000_000).tolist())):
+        if key != own:
+            if own is not None:
+                held[own] = put, limit
+            own, put = key, held.get(key, (None,))[0]
+        if put is not None and at - put <= age:
+            hits[i] = True
+        else:
+            put = at
+        limit = put + age
+    if own is not None:
+        held[own] = put, limit
+    return hits
+
+
 class Cache(StatefulProcessor):
     """An entry per key that a request finds while it isn't older than the request's age limit; else the request puts
-    a new one.  A timer takes an entry away once event time has passed its limit."""
+    a new one.  The keys of a group share one state, which is read and written once per micro-batch, and a timer, which takes
+    entries away once event time has passed their limits."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys = keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.put = handle.getValueState("put", "at timestamp")
+        self.held = handle.getValueState("held", "entries binary")
+
+    def _read(self) -> dict[tuple, tuple[int, int]]:
+        if not self.held.exists():
+            return {}
+        t = pa.ipc.open_stream(self.held.get()[0]).read_all().to_pydict()
+        return dict(zip(zip(*[t[k] for k in self.keys]), zip(t["_put"], t["_limit"])))
+
+    def _write(self, held: dict[tuple, tuple[int, int]], since: int) -> None:
+        """Keep entries whose limit isn't before ``since`` (milliseconds), and wake up when the first of them ends."""
+        live = {k: v for k, v in held.items() if v[1] >= since * 1000}
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if not live:
+            self.held.clear()
+            return
+        columns = [pa.array(c) for c in (*zip(*live), *zip(*live.values()))]
+        sink = pa.BufferOutputStream()
+        t = pa.table(columns, names=[*self.keys, "_put", "_limit"])
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        self.held.update((sink.getvalue().to_pybytes(),))
+        self.handle.registerTimer(max(min(v[1] for v in live.values()) // 1000, since) + 1)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        import pandas as pd
-
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])  # one key's requests of one micro-batch
-        put, hits = (pd.Timestamp(self.put.get()[0]) if self.put.exists() else None), []
-        limit = None
-        for ts, seconds in zip(pdf.ts, pdf.ttl.tolist()):
-            hit = put is not None and ts - put <= pd.Timedelta(seconds=seconds)
-            if not hit:
-                put = ts
-            limit = put + pd.Timedelta(seconds=seconds)
-            hits.append(hit)
-        self.put.update((put.to_pydatetime(),))
-        self.handle.registerTimer(int(limit.timestamp() * 1000) + 1)
+        pdf = pd.concat(list(rows))  # one group's requests of one micro-batch
+        pdf["_at"] = pdf.ts.astype("datetime64[us]").astype("int64")
+        pdf, held = pdf.sort_values([*self.keys, "_at", "event_id"]), self._read()
+        hits = _folded(pdf, self.keys, held)
+        self._write(held, max(timerValues.getCurrentWatermarkInMs(), 0))
         yield pd.DataFrame({"event_id": pdf.event_id.to_numpy(), "hit": hits})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        import pandas as pd
-
-        # A timer of an entry that was put anew since says nothing about the new one.
-        if self.put.exists():
-            at = expiredTimerInfo.getExpiryTimeInMs()
-            put = self.put.get()[0]
-            if put.timestamp() * 1000 < at and not any(t > at for t in self.handle.listTimers()):
-                self.put.clear()
+        self._write(self._read(), max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()))
         yield pd.DataFrame({"event_id": pd.Series(dtype="int64"), "hit": pd.Series(dtype="bool")})
 
     def close(self) -> None:
@@ -128,7 +164,8 @@ class Cache(StatefulProcessor):
 
 def cache_hits(requests: DataFrame, *keys: str, late: str = "1 hour") -> DataFrame:
     """event_id, hit of a stream of requests (keys, event_id, ts, ttl in seconds)."""
-    return requests.withWatermark("ts", late).groupBy(*keys).transformWithStateInPandas(Cache(), "event_id long, hit boolean", outputMode="Append", timeMode="EventTime")
+    grouped = requests.withWatermark("ts", late).withColumn("_group", F.pmod(F.xxhash64(*keys), F.lit(CACHE_GROUPS))).groupBy("_group")
+    return grouped.transformWithStateInPandas(Cache(list(keys)), "event_id long, hit boolean", outputMode="Append", timeMode="EventTime")
 
 
 def cache_hits_batch(requests: DataFrame, *keys: str) -> DataFrame:

@@ -323,3 +323,13 @@ def test_dense_topk_makes_no_pairs(spark):
     rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "vec_id long, v array<double>")
     plan = vectors.dense_topk(rows, rows.selectExpr("vec_id AS query_id", "v AS q"), 2)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Generate" not in plan
+
+
+def test_cache_keys_share_a_state(spark):
+    """A state, and a call to the worker, per key and micro-batch took all the time; entries end with event time."""
+    rows = spark.createDataFrame([(i % 300, f"t{i % 3}", i, float(i * 5 + 5)) for i in range(1500)] + [(1, "t1", 2000, 90_000.0), (4, "t1", 2001, 200_000.0), (4, "t1", 2002, 200_060.0)], "user long, kind string, event_id long, at double")
+    rows = rows.select("user", "kind", "event_id", F.timestamp_seconds("at").alias("ts"), F.lit(60).alias("ttl"), (F.col("event_id") >= 2000).cast("int").alias("part"))
+    live = stateful.drained(stateful.replayed(rows, "c", 2, F.col("part")), lambda s: stateful.cache_hits(s, "user", "kind"), "c-hits")
+    assert sorted(live.collect()) == sorted(stateful.cache_hits_batch(rows, "user", "kind").collect())
+    state = spark.read.format("statestore").option("stateVarName", "held").load(live.inputFiles()[0].rpartition("/rows/")[0] + "/state")
+    assert state.count() <= 2  # of 300 keys those that haven't ended
