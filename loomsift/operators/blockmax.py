@@ -18,10 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.formats import arrow_rows, stored
 from ..sources.tables import sent
 
-#: Documents per block, and blocks whose bounds are held at a time.
-BLOCK, AHEAD = 128, 256
+#: Documents per block, blocks whose bounds are held at a time, documents whose texts a worker gets at a time, and scores
+#: that are added up at a time.
+BLOCK, AHEAD, TEXTS, CELLS = 128, 64, 512, 1 << 20
 #: Query terms (token and query) up to which a batch of queries is sent to all tasks.
 MOST_TERMS = 1 << 20
 
@@ -84,7 +86,8 @@ def batch_weights(index: DataFrame, terms: pa.Table) -> pa.Table:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1), pa.int32()), pa.array(np.append(df[held], n))], names=["i", "c"])
 
     each = index.select(F.size("docs").alias("n"), "tokens", "counts").mapInArrow(count, "i int, c long")
-    found = {r.i: r.c for r in each.groupBy("i").agg(F.sum("c").alias("c")).collect()}  # a row per term at most
+    with arrow_rows(index.sparkSession, AHEAD):
+        found = {r.i: r.c for r in each.groupBy("i").agg(F.sum("c").alias("c")).collect()}  # a row per term at most
     df = np.array([found.get(i, 0) for i in range(len(names))], np.float64)
     own = df[pc.index_in(terms.column("token").combine_chunks(), value_set=names).to_numpy()]
     w = np.maximum(0.0, np.log((found.get(-1, 0) - own + 0.5) / (own + 0.5) + 1)) * (1 + np.log1p(terms.column("qtf").to_numpy()))
@@ -148,41 +151,53 @@ def _search(blocks: pa.RecordBatch, batch: Batch, best: Best) -> None:
     lists, counts = blocks.column("tokens"), blocks.column("counts")
     n_tokens = pc.list_value_length(lists).to_numpy().astype(np.int64)
     code = pc.fill_null(pc.index_in(lists.flatten(), value_set=batch.tokens), -1).to_numpy().astype(np.int64)
-    count = counts.flatten().to_numpy().astype(np.int64)
+    count = counts.flatten().to_numpy()
     first = np.concatenate(([0], np.cumsum(n_tokens)))
-    found = []
-    bounds = np.zeros((blocks.num_rows, len(batch.items)))
+    found, most, bounds = [], np.zeros(blocks.num_rows), []
     for i in range(blocks.num_rows):
-        own, n = code[first[i] : first[i + 1]], count[first[i] : first[i + 1]]
+        own, n = code[first[i] : first[i + 1]], count[first[i] : first[i + 1]].astype(np.int64)
         has = np.flatnonzero(own >= 0)
-        entry = _ranges(batch.start[own[has]], batch.size[own[has]])
-        found.append((np.repeat((np.cumsum(n) - n)[has], batch.size[own[has]]), np.repeat(n[has], batch.size[own[has]]), entry))
-        bounds[i] = np.bincount(batch.query[entry], batch.weight[entry], len(batch.items))
+        own, n, start = own[has], n[has], (np.cumsum(n) - n)[has]
+        found.append((own, n, start))
+        entry = _ranges(batch.start[own], batch.size[own])
+        bound = np.bincount(batch.query[entry], batch.weight[entry], len(batch.items))
+        met = np.flatnonzero(bound > 0)
+        bounds.append((met, bound[met]))
+        most[i] = bound.max(initial=0)
     # Sums may differ in their last digits by the order of what is added.
-    for i in np.argsort(-bounds.max(axis=1), kind="stable").tolist():
-        met = bounds[i] > 0
-        wanted = met & (bounds[i] + 1e-5 >= best.least)
-        best.opened, best.skipped = best.opened + int(wanted.sum()), best.skipped + int((met & ~wanted).sum())
-        if not wanted.any():
+    for i in np.argsort(-most, kind="stable").tolist():
+        met, bound = bounds[i]
+        queries = met[bound + 1e-5 >= best.least[met]]
+        best.opened, best.skipped = best.opened + len(queries), best.skipped + len(met) - len(queries)
+        if not len(queries):
             continue
-        at, size, entry = found[i]
-        keep = wanted[batch.query[entry]]
-        at, size, entry = at[keep], size[keep], entry[keep]
+        own, n, start = found[i]
+        held = np.frombuffer(blocks.column("held")[i].as_py(), "<u2")
         ids = blocks.column("docs")[i].values.to_numpy()
-        held = np.frombuffer(blocks.column("held")[i].as_py(), "<u2").astype(np.int64)
-        queries = np.flatnonzero(wanted)
-        row = np.searchsorted(queries, batch.query[entry])
-        cell = np.repeat(row * len(ids), size) + held[_ranges(at, size)]
-        score = np.bincount(cell, np.repeat(batch.weight[entry], size), len(queries) * len(ids)).reshape(len(queries), len(ids))
-        by = np.floor(score * 1e6 + 0.5) / 1e6
-        q, d = np.nonzero((score > 0) & (by >= best.least[queries][:, None]))
-        new = np.zeros(len(q), best.rows.dtype)
-        new["query"], new["by"], new["id"], new["score"] = queries[q], by[q, d], ids[d], score[q, d]
-        best.add(new)
+        row = np.full(len(batch.items), -1)
+        row[queries] = np.arange(len(queries))
+        entry = _ranges(batch.start[own], batch.size[own])
+        row = row[batch.query[entry]]
+        keep = row >= 0
+        entry, row, at, size = entry[keep], row[keep], np.repeat(start, batch.size[own])[keep], np.repeat(n, batch.size[own])[keep]
+        # As many queries at a time as have so many places to add up.
+        places = np.cumsum(np.bincount(row, size, len(queries)) + len(ids)) // CELLS
+        for some in np.split(np.arange(len(queries)), np.flatnonzero(np.diff(places)) + 1):
+            low, high = some[0], some[-1] + 1
+            part = slice(None) if len(some) == len(queries) else (row >= low) & (row < high)
+            cell = np.repeat((row[part] - low) * len(ids), size[part]) + held[_ranges(at[part], size[part])]
+            score = np.bincount(cell, np.repeat(batch.weight[entry[part]], size[part]), len(some) * len(ids)).reshape(len(some), len(ids))
+            by = np.floor(score * 1e6 + 0.5) / 1e6
+            q, d = np.nonzero((score > 0) & (by >= best.least[queries[some]][:, None]))
+            own_ = best.takes(queries[some][q], by[q, d], ids[d])
+            q, d = q[own_], d[own_]
+            new = np.zeros(len(q), best.rows.dtype)
+            new["query"], new["by"], new["id"], new["score"] = queries[some][q], by[q, d], ids[d], score[q, d]
+            best.add(new)
 
 
 def block_topk(index: DataFrame, weights: pa.Table, k: int) -> DataFrame:
-    """item_id, doc_id, score, by: each task's best ``k`` rows of every query."""
+    """item_id, doc_id, score, by: each task's best ``k`` rows of every query, stored, as a worker gets few blocks at a time."""
     schema = "item_id long, doc_id long, score double, by double"
     if not weights.num_rows:
         return index.sparkSession.createDataFrame([], schema)
@@ -197,4 +212,4 @@ def block_topk(index: DataFrame, weights: pa.Table, k: int) -> DataFrame:
         rows = best.rows
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in (batch.items[rows["query"]], rows["id"], rows["score"], rows["by"])], names=["item_id", "doc_id", "score", "by"])
 
-    return index.mapInArrow(run, schema)
+    return stored(index.mapInArrow(run, schema), "found", AHEAD)

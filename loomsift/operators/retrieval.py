@@ -15,7 +15,7 @@ from ..functions.text import TOKEN, ascii_lower, ascii_lower_sql, tokens, tokens
 from ..registry import query
 from ..sources.formats import stored
 from ..sources.tables import sent, spread, table
-from .blockmax import MOST_TERMS, batch_weights, block_index, block_topk, scored, term_weights
+from .blockmax import MOST_TERMS, TEXTS, batch_weights, block_index, block_topk, scored, term_weights
 from .index import document_frequency, occurrences, postings
 
 DIM = 384
@@ -54,7 +54,7 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, text: str | Column
 
     Texts are split once, into a stored index of block-max postings; queries are sent to all tasks if they have at
     most ``MOST_TERMS`` terms, else every score is summed by shuffle."""
-    return indexed_topk(stored(block_index(spread(docs), text), "blocks"), queries, k)
+    return indexed_topk(stored(block_index(spread(docs), text), "blocks", TEXTS), queries, k)
 
 
 def indexed_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -68,22 +68,26 @@ def indexed_topk(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(found, k, [F.desc("by"), F.col("doc_id")])
 
 
+def bags(lists: pa.Array, dim: int = DIM) -> np.ndarray:
+    """The normalized hashed bag of words of each list of tokens.  Distinct tokens are hashed once, all at a time."""
+    code = lists.flatten().dictionary_encode()
+    idx, sign = hashed_cells(code.dictionary, dim)
+    row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    number = code.indices.to_numpy()
+    v = np.bincount(row * dim + idx[number], sign[number], len(lists) * dim).reshape(len(lists), dim)
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+
+
 def dense_vectors(df: DataFrame, token_col: str, dim: int = DIM) -> DataFrame:
-    """``df`` with ``v``: the normalized hashed bag of words of an array of tokens.  A batch's distinct tokens are hashed
-    once, all at a time."""
+    """``df`` with ``v``: the normalized hashed bag of words of an array of tokens."""
     at = df.columns.index(token_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch[at]
-            code = lists.flatten().dictionary_encode()
-            idx, sign = hashed_cells(code.dictionary, dim)
-            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
-            number = code.indices.to_numpy()
-            v = np.bincount(row * dim + idx[number], sign[number], len(lists) * dim).reshape(len(lists), dim)
-            v /= np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
-            column = pa.ListArray.from_arrays(np.arange(0, (len(lists) + 1) * dim, dim, dtype=np.int32), v.ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "v"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                column = pa.ListArray.from_arrays(np.arange(0, (part.num_rows + 1) * dim, dim, dtype=np.int32), bags(part[at], dim).ravel())
+                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*part.schema.names, "v"])
 
     return df.mapInArrow(run, df.select("*", F.lit(None).cast("array<double>").alias("v")).schema)
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +31,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Rows that an Arrow batch may have.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """What runs within gets Arrow batches of at most ``most`` rows: long rows take the memory of JVM and worker at once."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(most or before))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """``df`` written once in the shared folder and read back: what several branches use is computed
-    once, and a lost executor doesn't bring its lineage back."""
+    once, and a lost executor doesn't bring its lineage back.  ``rows``: as in ``arrow_rows``."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with arrow_rows(df.sparkSession, rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomsift.functions.hashing import bucket_and_sign, hashed_cells
 from loomsift.operators import blockmax, retrieval, scanner, toolcalls, vectors, websearch
+from loomsift.sources import formats
 from loomsift.streaming import stateful
 
 # --- block-max retrieval
@@ -333,3 +334,48 @@ def test_cache_keys_share_a_state(spark):
     assert sorted(live.collect()) == sorted(stateful.cache_hits_batch(rows, "user", "kind").collect())
     state = spark.read.format("statestore").option("stateVarName", "held").load(live.inputFiles()[0].rpartition("/rows/")[0] + "/state")
     assert state.count() <= 2  # of 300 keys those that haven't ended
+
+
+# --- memory of searches
+
+
+def test_worker_batches_are_bounded(spark):
+    """Rows that a worker gets at a time: a batch of 10,000 texts or blocks took the memory of an executor."""
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    before = spark.conf.get(formats.ARROW_ROWS)
+    got = formats.stored(spark.range(5000, numPartitions=1).mapInArrow(sizes, "n long"), "sizes", 64)
+    assert max(r.n for r in got.collect()) <= 64 and spark.conf.get(formats.ARROW_ROWS) == before
+    with pytest.raises(ZeroDivisionError), formats.arrow_rows(spark, 3):
+        assert spark.conf.get(formats.ARROW_ROWS) == "3"
+        1 / 0
+    assert spark.conf.get(formats.ARROW_ROWS) == before
+
+
+def test_searches_go_by_few_rows_at_a_time(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(formats, "arrow_rows", lambda s, most, f=formats.arrow_rows: (seen.append(most), f(s, most))[1])
+    monkeypatch.setattr(blockmax, "arrow_rows", formats.arrow_rows)
+    docs = spark.createDataFrame([(i, f"a b{i}") for i in range(20)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "a b3")], "item_id long, text string")
+    assert [r.doc_id for r in retrieval.lexical_topk(docs, asked, 1).collect()] == [3] and seen == [blockmax.TEXTS, blockmax.AHEAD, blockmax.AHEAD]
+    seen.clear()
+    assert [r.doc_id for r in vectors.vector_topk(docs, asked, 1, 0.0).collect()] == [3] and blockmax.TEXTS in seen
+
+
+def test_scores_are_added_in_parts(monkeypatch):
+    """Many queries with common tokens: as many at a time as there is room for, with the same result."""
+    rng = np.random.default_rng(5)
+    held = [[int(d) for d in np.flatnonzero(rng.random(40) < 0.6)] for _ in range(9)]
+    blocks = pa.RecordBatch.from_pydict({"docs": pa.array([list(range(40))], pa.list_(pa.int64())), "tokens": [[f"t{i}" for i in range(9)]], "counts": pa.array([[len(h) for h in held]], pa.list_(pa.int32())), "held": pa.array([np.concatenate(held).astype("<u2").tobytes()], pa.binary())})
+    pairs = [(q, t) for q in range(70) for t in range(9) if rng.random() < 0.4]
+    batch = blockmax.Batch(pa.table({"item_id": [q for q, _ in pairs], "token": [f"t{t}" for _, t in pairs], "terms": [3] * len(pairs), "w": [1.0 + t / 7 for _, t in pairs]}))
+    out, asked = [], []
+    count = np.bincount
+    monkeypatch.setattr(blockmax.np, "bincount", lambda *a: (asked.append(len(a[0])), count(*a))[1])
+    for cells in (1 << 20, 300):
+        monkeypatch.setattr(blockmax, "CELLS", cells)
+        best = blockmax.Best(len(batch.items), 4)
+        asked.clear()
+        blockmax._search(blocks, batch, best)
+        out.append((best.rows.tolist(), max(asked)))
+    assert out[0][0] == out[1][0] and len(out[0][0]) == 4 * len(batch.items) and out[1][1] <= 700 < out[0][1]
